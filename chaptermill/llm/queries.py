@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chaptermill.llm import bpe, chat, quality, simhash, url_rules
+from chaptermill.llm import bpe, chat, jaccard, mixing, pii, quality, resampling, simhash, toxicity, url_rules
 from chaptermill.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.verdicts(table(spark, sf_dir, "pages"))
 
@@ -18,28 +22,50 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_url_rules": op2_url_rules,
     "op3_chat_windows": op3_chat_windows,
+    "op4_jaccard": op4_jaccard,
     "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_resampling": op8_resampling,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_rules": url_rules.SQL,
     "op3_chat_windows": chat.SQL,
+    "op6_mixing": mixing.SQL,
     "op7_quality_rules": quality.SQL,
 }

@@ -1,0 +1,460 @@
+"""The ten operators against brute force, exact round trips and held-out labels, and on odd inputs."""
+
+import base64
+import hashlib
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chaptermill.llm import bpe, chat, jaccard, mixing, pii, quality, resampling, simhash, toxicity, url_rules
+from chaptermill.llm.hashing import WordHasher
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "src1", 0),
+    (3, " \t\n ", "en", "src1", 4),
+    (4, "one", "en", "src1", 3),
+    (5, LONG, "en", "src0", len(LONG)),
+    (6, LONG, "en", "src0", len(LONG)),
+    (6, LONG, "en", "src0", len(LONG)),
+    (7, "x" * 300_000, "de", "src2", 300_000),
+    (8, "Tabs\tand\u00a0odd \u2028 spaces \U0001f600 end " * 9, "fr", "src3", 10),
+    (None, "no id at all but some words here", "en", "src4", 5),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+
+
+def words(text, lower=False):
+    text = text or ""
+    if lower:
+        text = text.translate({i: i + 32 for i in range(65, 91)})
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+# 1. PII
+
+
+def values(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.pseudonymize(rows).orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed([int(c) for c in digits])):
+        total += d if i % 2 == 0 else 2 * d - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def test_pii_keeps_formats_and_links(spark):
+    before = [
+        "mail anna.b-7@mail3.example.com now",
+        "again anna.b-7@mail3.example.com, and êv.2@x.org",
+        "ip 10.0.255.1.",
+        "call +1 (017) 555-7713 or 555-123-4567",
+        "card 4111 1111 1111 1111 and 4111111111111111",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"',
+        "born 1984-02-29, 31/12/1999 and 5.3.2001; ssn 123-45-6789",
+    ]
+    after = values(spark, before)
+    shape = lambda t: re.sub(r"[0-9]", "9", t)
+    for a, b in zip(before, after, strict=True):
+        assert a != b
+    mail = re.findall(r"\S+@mail3.example.com", after[0] + " " + after[1])
+    assert mail[0] == mail[1] and re.fullmatch(r"[a-z]{4}\.[a-z]-[0-9]@mail3\.example\.com", mail[0])
+    assert all(0 <= int(x) < 256 for x in after[2][3:-1].split("."))
+    assert shape(after[3]) == shape(before[3])
+    spaced, plain = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", after[4])
+    assert spaced.replace(" ", "") == plain and luhn(plain)
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', after[5])
+    years = re.search(r"born (\d{4})-02-29, (\d\d)/(\d\d)/(\d{4})", after[6])
+    assert int(years[1]) % 4 == 0 and int(years[2]) >= 29
+
+
+def test_pii_leaves_what_does_not_validate(spark):
+    same = ["card 4111111111111112", "ip 300.1.2.3 and 1.2.3.4.5", "version 4.0. and 2.0", "born 2001-13-01", "a@b c", "ssn 000-12-3456", "12345678901234567890123"]
+    assert values(spark, same) == same
+
+
+def test_pii_is_a_permutation(spark):
+    ids = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
+    assert ids.select(pii.feistel(F.col("s"), pii.DIGITS, "t", "k").alias("p")).distinct().count() == 1000
+    days = spark.sql("SELECT explode(sequence(DATE'1990-01-01', DATE'2009-12-31')) d").select(F.date_format("d", "yyyy-MM-dd").alias("s"))
+    moved = days.select(pii._date(F.col("s"), "k").alias("p"))
+    assert moved.distinct().count() == days.count() and moved.filter(F.expr("try_to_timestamp(p, 'yyyy-MM-dd') IS NULL")).count() == 0
+
+
+def test_pii_odd(spark, odd):
+    was, now = odd.collect(), pii.pseudonymize(odd.withColumn("pii", F.lit(1))).collect()
+    assert Counter((r.doc_id, r.text) for r in was) == Counter((r.doc_id, r.text) for r in now) and all(r.pii == [] for r in now)
+    assert pii.pseudonyms(odd.limit(0)).count() == 0
+
+
+# 2. URL rules
+
+
+def judged(urls, rules, default="allow"):
+    out = {}
+    for u in set(urls):
+        rest = (u or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0].translate({i: i + 32 for i in range(65, 91)})
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [r for r in rules if (host == r[0].split("/")[0] or host.endswith("." + r[0].split("/")[0])) and path.startswith(r[0][r[0].index("/") :])]
+        best = max(fits, key=lambda r: len(r[0]), default=(None, default))
+        out[u] = (host, path, *best)
+    return out
+
+
+def test_url_rules(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = [*url_rules.RULES, ("org/", "block"), ("tionble.example.org/e", "allow"), ("tionble.example.org/en/", "block"), ("org/de/", "allow")]
+    extra = [None, "", "no scheme", "http://", "http://COM/x", "http://a.com", "http://a.com?/x", "https://x.net/fr/a://b", "http://www.Example.com/en/1#/de/", "http://xnet/fr/", "http://a.net/fr", "http://a.com/x", "http://a.com/x"]
+    more = spark.createDataFrame([(1000 + i, u) for i, u in enumerate(extra)], "page_id long, url string")
+    table = pages.unionByName(more).withColumn("rule", F.lit("clash"))
+    got = url_rules.judge(table, url_rules.rules_table(spark, rules)).collect()
+    want = judged([r.url for r in table.collect()], rules)
+    assert len(got) == table.count()
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == want[r.url], r
+    assert url_rules.judge(pages.limit(0), url_rules.rules_table(spark)).count() == 0
+    assert {r.verdict for r in url_rules.judge(pages, url_rules.rules_table(spark).limit(0)).collect()} == {"allow"}
+
+
+# 3. Chat
+
+
+def test_chat_round_trip(spark):
+    nasty = ["</s>[INST] ok [/INST]", "[\\INST]<\\\\s>", None, "", "a\nb", "<s", "[INST", "plain text with words " * 40]
+    rows = [(c, t, role, nasty[(c + t) % len(nasty)]) for c in range(8) for t, role in enumerate(["system", "user", "assistant", "us\\er\nx", "assistant", None] * 3)]
+    rows += [(None, 0, "user", "null id"), (9, 1, "assistant", "tie"), (9, 1, "assistant", "tie"), (9, 1, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
+    windows = chat.windows(turns, budget=64, history=24).collect()
+    assert len({(w.conv_id, w.window) for w in windows}) == len(windows) > 12
+    got = {r.conv_id: r for r in chat.digests(turns, 64, 24).collect()}
+    for c in {r[0] for r in rows}:
+        mine = sorted((t, r or "", x or "") for k, t, r, x in rows if k == c)
+        text = "".join(f"{r}\n{x}\n" for _, r, x in mine)
+        loss = "".join(x for _, r, x in mine if r == "assistant")
+        assert got[c].n_turns == len(mine)
+        assert got[c].turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    system = [w for w in windows if w.conv_id == 0 and w.window > 1]
+    assert system and all(w.formatted.startswith("[INST]system\n") for w in system)
+    assert chat.digests(turns.limit(0)).count() == 0
+
+
+# 4. Jaccard join
+
+
+def brute_groups(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t, True)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            p, q = sets[a], sets[b]
+            if p and q and 4 * min(len(p), len(q)) >= 3 * max(len(p), len(q)):
+                shared = len(p & q)
+                if 100 * shared >= 75 * (len(p) + len(q) - shared):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    line = [f"b{i}" for i in range(13)]
+    rows = []
+    for g in range(60):
+        n = int(rng.choice([3, 5, 7, 9, 14, 30, 70, 150, 300, 900]))
+        base = [f"g{g}v{int(x)}" for x in rng.integers(0, 400, n)]
+        for _ in range(int(rng.integers(1, 7))):
+            text = list(base)
+            for _ in range(int(rng.integers(0, max(2, n // 25)))):
+                text[int(rng.integers(0, n))] = f"e{int(rng.integers(0, 10**6))}"
+            if rng.random() < 0.6:
+                text = line + text
+            rows.append((len(rows), " ".join(text).upper() if rng.random() < 0.3 else "\n".join(text)))
+    rows += [(len(rows) + i, " ".join(line) + f" x{i}" * (i % 4)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_groups(docs).collect()}
+    assert got == want
+
+
+def test_jaccard_odd(spark, odd):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_groups(odd.withColumn("key", F.lit(0))).collect()]
+    assert len(got) == len(ODD)
+    by_id = {g[0]: g for g in got}
+    assert by_id[2] == (2, 0, 2) and by_id[1] == (1, 0, 1) and by_id[4] == (4, 1, 4) and by_id[6][2] == 5 and by_id[7] == (7, 1, 7)
+    assert jaccard.join_groups(odd.limit(0)).count() == 0
+
+
+def test_parity_sketch_bounds_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a = rng.integers(0, 1 << 62, 80).astype(np.uint64)
+        b = np.concatenate([a[: int(rng.integers(40, 80))], rng.integers(0, 1 << 62, 20).astype(np.uint64)])
+        bits = np.unpackbits((jaccard.parity_bits(np.unique(a)) ^ jaccard.parity_bits(np.unique(b))).view(np.uint8)).sum()
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_bands_always_spare_parts():
+    """In bands up to 256 more parts are filled than a linked pair can differ in."""
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 40), 64, 65, 97, 128, 129, 193, 200, 256]:
+        for _ in range(20):
+            for sketch, aux in jaccard.band_sketches(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))):
+                if aux >> 16 <= 8:
+                    assert len(sketch) >= n // 3 + 1 and aux & 0xFFFF == len(sketch) - n // 3 - 1
+
+
+def test_larger_sets_hardly_ever_miss():
+    """The chance that a pair at the threshold agrees in none of the sampled parts, over sizes in a band."""
+    for top in (512, 4096, 65536):
+        parts = jaccard.parts_of(top)
+        for a in np.linspace(0.375 * top, top, 60):
+            b = min(a / 0.75, top)
+            apart, shared = (a + b) / 7 / parts, 3 * (a + b) / 7 / parts
+            agree = np.exp(-apart) * (1 - np.exp(-shared) * (1 + shared))
+            assert (1 - agree) ** jaccard.SAMPLED_PARTS < 1e-12
+
+
+# 5. SimHash
+
+
+def test_simhash(spark, documents):
+    got = {r.doc_id: r for r in simhash.digests(documents).collect()}
+    rows = sorted(((r.doc_id, r.text or "") for r in documents.select("doc_id", "text").collect()), reverse=True)
+    assert len(got) == len(rows)
+    prints = {}
+    for i, (doc_id, text) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + following[:third]
+        r = got[doc_id]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert prints.setdefault(text, r.fingerprint) == r.fingerprint
+        other = got[rows[(i + 1) % len(rows)][0]].fingerprint
+        assert r.near_next == 1 - bin(int(r.fingerprint, 16) ^ int(other, 16)).count("1") / 64
+        assert r.near_edited == 1 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1") / 64
+    assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.1
+
+
+def test_simhash_near_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 63), 1 << 63, 60)
+    flips = [int(b) ^ int(np.bitwise_xor.reduce([np.int64(1) << np.int64(x) for x in rng.integers(0, 63, int(k))])) for b in base for k in rng.integers(1, 6, 3)]
+    prints = spark.createDataFrame([(i, int(x)) for i, x in enumerate([*base, *flips])], "doc_id long, bits long")
+    got = {(r.query_id, r.bits, r.distance) for r in simhash.near(prints, prints, 3).collect()}
+    rows = [(r.doc_id, r.bits) for r in prints.collect()]
+    want = {(i, y, d) for i, x in rows for _, y in rows if (d := bin((x ^ y) & (2**64 - 1)).count("1")) <= 3}
+    assert got == want
+
+
+def test_simhash_odd(spark, odd):
+    got = {r.doc_id: r for r in simhash.digests(odd.withColumn("bits", F.lit(0))).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8} and got[5].fingerprint == got[6].fingerprint and got[1].fingerprint == "0" * 16
+    assert simhash.digests(odd.limit(0)).count() == 0
+
+
+# 6. Mixing
+
+
+def test_mixing_fills_budgets(spark, documents):
+    mix = mixing.Mix(share=(1, 1), epochs=2)
+    chosen = mixing.select(documents.withColumn("mix_epoch", F.lit("clash")), mix).collect()
+    tokens = {r.doc_id: len(words(r.text)) for r in documents.collect()}
+    leaf = {r.doc_id: (r.lang, r.source) for r in documents.collect()}
+    total = sum(tokens.values())
+    picked = sum(r.mix_tokens for r in chosen)
+    assert picked <= total and picked > 0.8 * total
+    assert max(Counter(r.doc_id for r in chosen).values()) <= 2
+    leaves = documents.groupBy("lang", "source").agg(F.lit("web").alias("domain"), F.lit(10).cast("long").alias("tokens")).limit(7)
+    for share in ((1, 2), (2, 1), (3, 1)):
+        given = mixing.budgets(leaves, mixing.Mix(share=share)).collect()
+        assert all(0 <= g.give <= 20 for g in given) and sum(g.give for g in given) <= min(70 * share[0] // share[1], 140)
+        assert sum(g.give for g in given) >= min(70 * share[0] // share[1], 140) - 2 * len(given)
+    assert len(leaf) == len(tokens)
+
+
+def test_mixing_odd(spark, odd):
+    chosen = mixing.select(odd, mixing.Mix(share=(2, 1))).collect()
+    assert Counter(r.doc_id for r in chosen) == Counter({4: 2, 5: 2, 6: 4, 7: 2, 8: 2, None: 2})
+    assert mixing.select(odd.limit(0)).count() == 0
+
+
+# 7. Quality rules
+
+
+def test_quality_against_brute_force(spark, documents, odd):
+    docs = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    got = Counter((r.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs.withColumn("kept", F.lit(0))).collect())
+    want = Counter()
+    for r in docs.collect():
+        t, w = r.text or "", words(r.text)
+        windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        seen = Counter(windows)
+        again = {i + k for i, g in enumerate(windows) if seen[g] > 1 for k in range(8)}
+        lines = [x for x in t.split("\n") if words(x)]
+        want[r.text, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w)] += 1
+    assert got == want
+
+
+def test_quality_order_does_not_change_verdicts(spark, documents):
+    docs = documents.select("doc_id", "text")
+    first = {(r.doc_id, r.kept) for r in quality.judge(docs, quality.RULES, share=1.0).collect()}
+    assert first == {(r.doc_id, r.kept) for r in quality.judge(docs, quality.RULES[::-1], share=0.0).collect()}
+    ordered = quality.cascade_order(docs, quality.RULES, share=1.0)
+    assert sorted(r.name for r in ordered) == sorted(r.name for r in quality.RULES)
+    assert quality.judge(docs.limit(0)).count() == 0
+
+
+# 8. Importance resampling
+
+
+def test_top_k_is_exact(spark):
+    rows = [(i, float(x)) for i, x in enumerate(np.random.default_rng(6).integers(0, 50, 3000))]
+    scored = spark.createDataFrame(rows, "doc_id long, key double")
+    for k in (0, 1, 700, 2999, 3000, 4000):
+        want = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
+        assert {r.doc_id for r in resampling.top_k(scored, k).filter("kept").collect()} == want
+
+
+def test_resampling_separates(spark, documents, sf_dir, odd):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    got = resampling.resample(documents.withColumn("key", F.lit("clash")), labels).join(labels, "doc_id").groupBy("good").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    share = {r.good: r.kept for r in got}
+    assert share[1] > 0.9 > 0.5 > share[0]
+    assert resampling.resample(odd, labels).filter("doc_id < 4 AND log_weight = 0 AND n_features = 0").count() == 3
+    assert resampling.resample(odd.limit(0), labels.limit(0)).count() == 0
+
+
+def test_word_hasher_cuts_as_the_pattern():
+    texts = [(r[1] or "")[:5000] for r in ODD] + ["A b\x0bC", "é ü", "", "a"]
+    hashes, starts = WordHasher().words([t.encode() for t in texts])
+    known = {}
+    for i, t in enumerate(texts):
+        mine = hashes[starts[i] : starts[i + 1]].tolist()
+        assert len(mine) == len(words(t))
+        for w, h in zip(words(t, True), mine, strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+# 9. Toxicity
+
+
+def test_toxicity_on_unseen_spellings():
+    rng = np.random.default_rng(8)
+    fine = ["".join(rng.choice(list("abcdehiklmnoprstu"), int(rng.integers(3, 9)))) for _ in range(300)]
+    make = lambda bad: " ".join(rng.choice(fine, 40).tolist() + bad)
+    bad = ["grumblewort", "grumbleworts", "grumblewortish", "grumblewortly"]
+    texts = [make([]) for _ in range(150)] + [make([str(rng.choice(bad))]) for _ in range(150)]
+    model = toxicity.train(texts, [0] * 150 + [1] * 150, 0.5)
+
+    def score(text):
+        vocabulary = toxicity.Vocabulary(text.split())
+        return toxicity.worst_window(toxicity.word_scores(model, vocabulary), np.zeros(len(text.split()), bool), model["bias"]) - model["cut"]
+
+    clean = fine[:30]
+    assert score(" ".join([*clean, "grumblewortest"])) > 0 > score(" ".join(clean))
+
+
+def test_toxicity_odd(spark, odd, documents, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = toxicity.scores(odd.withColumn("toxic", F.lit(1)), labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert toxicity.scores(documents, labels.limit(0)).filter("predicted = 1").count() == 0
+    assert toxicity.scores(odd.limit(0), labels).count() == 0
+
+
+# 10. BPE
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.default_vocabulary()
+
+
+def test_bpe_as_the_library(spark, documents, odd, vocabulary):
+    import tiktoken
+
+    path, pattern = vocabulary
+    with open(path, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).filter("text IS NULL OR length(text) < 100000").withColumn("ids", F.lit(1))
+    got = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        ids = library.encode_ordinary(r.text or "")
+        assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)
+        assert bytes(r.decoded) == (r.text or "").encode()
+
+
+def test_bpe_where_a_merge_makes_an_earlier_pair():
+    ranks = {bytes([i]): i + 10 for i in range(256)} | {b"bc": 3, b"abc": 1, b"cd": 2}
+    replay = bpe.MergeReplay(ranks)
+    for word in ("abcd", "bcdabc", "aabcc", "bcbcd"):
+        assert replay.encode([word])[0] == replay.encode_alone(word.encode())
+
+
+def test_rank_file_lines():
+    line = base64.b64encode(b"ab") + b" 7"
+    assert bpe.read_ranks(line + b"\n") == {b"ab": 7}
+
+
+# Pipeline
+
+
+def test_pipeline(spark, sf_dir, documents):
+    import corpus_pipeline as p
+
+    docs, kept = documents, {}
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, sf_dir).cache()
+        kept[name] = docs
+        if name != "bpe":
+            assert docs.columns == documents.columns
+    good = {(r.doc_id, r.text) for r in quality.judge(documents).filter("kept").collect()}
+    assert {(r.doc_id, r.text) for r in kept["quality_rules"].collect()} == good
+    groups = brute_groups(sorted(good))
+    assert sorted(r.doc_id for r in kept["near_duplicates"].collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
+    assert kept["pii"].count() == kept["near_duplicates"].count()
+    assert all(r.n_chars == len(r.text) for r in kept["pii"].collect())
+    assert {r.doc_id for r in kept["mixing"].collect()} <= {r.doc_id for r in kept["pii"].collect()}
+    assert kept["bpe"].count() == kept["mixing"].count() and kept["bpe"].filter("NOT exact").count() == 0
+    assert Counter(r.doc_id for r in p.run(spark, sf_dir).collect()) == Counter(r.doc_id for r in kept["bpe"].collect())
+
+
+def test_pipeline_odd(spark, sf_dir, odd):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        stage(spark, odd, sf_dir).collect()
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0

@@ -15,11 +15,12 @@ shingles, of two at least; a pair just at the threshold misses all of these with
 
 *Join.* Documents with one set are one class; classes meet in the buckets of equal sketches. Each
 bucket first joins its members to its smallest one, verified on the sets; what is linked becomes
-one component. Buckets whose members then lie in several components give the pairs across them.
-In buckets of more than ``COLD`` classes, members that have enough parts outside such buckets to
-meet every partner there are left out, which loses nothing. Pairs are checked against the sizes
-and a 256-bit parity sketch of the whole sets, whose Hamming distance never exceeds the number of
-shingles that differ, before the sets themselves decide.
+one component. Buckets torn between components then join theirs to a member drawn by hash, and
+those still torn give the pairs across components. Of torn buckets of more than ``COLD`` classes,
+members that have enough parts outside such buckets to meet every partner there are left out,
+which loses nothing. Pairs are checked against the sizes and parity sketches of the whole sets,
+four bits or more to a shingle, whose Hamming distance never exceeds the number of shingles that
+differ, before the sets themselves decide.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.
 Rows that repeat a doc_id are documents of their own with one id.
@@ -35,7 +36,7 @@ from chaptermill.llm.common import written
 from chaptermill.llm.hashing import WordHasher, mixed, runs, text_chunks
 
 WORDS = 5
-COLD = 32
+COLD = 16
 SAMPLED_PARTS = 112
 #: Classes whose sketches a task remembers having sent, so copies in one task are sent once.
 SENT = 200_000
@@ -71,14 +72,19 @@ def set_key(tokens) -> int:
     return int(mixed(np.array([total + np.uint64(len(tokens) * 0x2545F491 % (1 << 64))], np.uint64)).view(np.int64)[0])
 
 
-def parity_bits(tokens):
-    """The 256-bit parity sketch as four signed 64-bit numbers."""
+def parity_bits(tokens, width: int = 256):
+    """The parity sketch of ``width`` bits as signed 64-bit numbers; halves of a wide one XOR to the narrower."""
     import numpy as np
 
-    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def width_of(n: int) -> int:
+    """Bits of the wide sketch of n shingles: 256, 2,048, 16,384 or 131,072."""
+    return next((w for w in (256, 2048, 16384) if 4 * n <= w), 131072)
+
+
 def band_sketches(tokens):
     """(sketches, aux) of one set in its bands; aux packs the band and how many parts can be spared."""
     import numpy as np
@@ -112,7 +118,7 @@ def band_sketches(tokens):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (null for empty sets) and s0 to s3, the parity sketch."""
+    """doc_id, n_shingles, key (null for empty sets), s0 to s3, the 256-bit parity sketch, and wide, the wide one."""
 
     def run(batches):
         import numpy as np
@@ -120,19 +126,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
         hasher = WordHasher()
         for batch in batches:
-            sizes, keys, bits = [], [], []
+            sizes, keys, bits, wide = [], [], [], []
             for _, texts in text_chunks(batch.column("text")):
                 for tokens in shingle_sets(hasher, texts):
                     sizes.append(len(tokens))
                     keys.append(set_key(tokens) if len(tokens) else None)
                     bits.append(parity_bits(tokens))
+                    wide.append(parity_bits(tokens, width_of(len(tokens))))
             sketch = np.array(bits, np.int64).reshape(len(bits), 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *[pa.array(sketch[:, i]) for i in range(4)]],
-                names=["doc_id", "n_shingles", "key", "s0", "s1", "s2", "s3"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *[pa.array(sketch[:, i]) for i in range(4)], pa.array(wide, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "key", "s0", "s1", "s2", "s3", "wide"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, s0 long, s1 long, s2 long, s3 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, s0 long, s1 long, s2 long, s3 long, wide array<long>")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -181,11 +188,21 @@ def buckets(found: DataFrame) -> DataFrame:
     )
 
 
+def _folded(bits: Column, to: Column) -> Column:
+    """A parity sketch brought to fewer numbers by XOR."""
+    folds = F.floor(F.size(bits) / to).cast("int")
+    narrow = F.transform(F.sequence(F.lit(0), to - 1), lambda i: F.aggregate(F.sequence(F.lit(0), folds - 1), F.lit(0).cast("bigint"), lambda x, k: x.bitwiseXOR(F.get(bits, i + k * to))))
+    return F.when(folds == 1, bits).otherwise(narrow)
+
+
 def may_link(a: str, b: str) -> Column:
     """Whether sizes and parity sketches of two classes allow a link."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m)
+    p, q = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    to = F.least(F.size(p), F.size(q))
+    widely = F.aggregate(F.zip_with(_folded(p, to), _folded(q, to), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m) & (7 * widely <= n + m)
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
@@ -242,14 +259,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-def _across(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """From rows (sketch, key, leader, root): pairs of keys of different roots in one bucket that may link
-    and were not both compared with the leader already."""
+def _torn(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``bucketed`` with root, from buckets whose members have several."""
+    whole = Window.partitionBy("sketch")
+    rooted = bucketed.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return rooted.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).filter("lo <> hi").drop("lo", "hi")
+
+
+def _from_leaders(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's leader and each other member that may link with it."""
+    pairs = rows.filter("key <> leader").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+    return pairs.join(known.alias("p"), F.col("a") == F.col("p.key")).join(known.alias("q"), F.col("b") == F.col("q.key")).filter(may_link("p", "q")).select("a", "b")
+
+
+def _across(torn: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of different roots in one torn bucket that may link."""
+    # In large buckets a class stays only if too many of its parts lie in such buckets.
+    hot = torn.filter(f"size > {COLD}")
+    bound = hot.groupBy("key", "aux").count().filter(F.col("count") > F.col("aux").bitwiseAND(F.lit(0xFFFF))).select("key", "aux")
+    stay = torn.filter(f"size <= {COLD}").unionByName(hot.join(bound, ["key", "aux"], "left_semi")).select("sketch", "key", "root")
     whole = Window.partitionBy("sketch")
-    torn = rows.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).filter("lo <> hi").drop("lo", "hi")
-    told = torn.join(known.drop("doc_id"), "key")
-    met = told.alias("p").join(told.alias("q"), "sketch").filter(F.col("p.key") < F.col("q.key")).filter((F.col("p.root") != F.col("q.root")) & (F.col("p.key") != F.col("p.leader")) & may_link("p", "q"))
-    return met.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
+    stay = stay.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).filter("lo <> hi").drop("lo", "hi")
+    told = stay.join(known.drop("doc_id"), "key")
+    met = told.alias("p").join(told.alias("q"), "sketch").filter((F.col("p.key") < F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & may_link("p", "q"))
+    return met.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
 
 
 def join_groups(docs: DataFrame) -> DataFrame:
@@ -257,25 +290,26 @@ def join_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     all_docs = written(classes(docs), "jaccard-classes")
     named = all_docs.filter("key IS NOT NULL")
-    known = written(named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(4)]), "jaccard-known")
+    facts = [F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(4)], F.first("wide").alias("wide")]
+    known = written(named.groupBy("key").agg(*facts), "jaccard-known")
     bucketed = written(buckets(sketches(docs)), "jaccard-buckets")
 
-    stars = bucketed.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    p, q = known.select(*[F.col(c).alias(c) for c in known.columns]).alias("p"), known.alias("q")
-    stars = stars.join(p, F.col("a") == F.col("p.key")).join(q, F.col("b") == F.col("q.key")).filter(may_link("p", "q")).select("a", "b")
-    links = written(verified(written(stars, "jaccard-pairs"), known, docs), "jaccard-links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "jaccard-pairs")
+        return written(verified(pairs, known, docs), "jaccard-links")
 
+    links = linked(_from_leaders(bucketed, known))
     roots = written(components(links), "jaccard-roots")
-    rooted = bucketed.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    cold = rooted.filter(f"size <= {COLD}")
-    # In large buckets a class stays only if too many of its parts lie in such buckets.
-    hot = rooted.filter(f"size > {COLD}")
-    bound = hot.groupBy("key", "aux").count().filter(F.col("count") > F.col("aux").bitwiseAND(F.lit(0xFFFF))).select("key", "aux")
-    more = _across(cold.select("sketch", "key", "leader", "root"), known).unionByName(_across(hot.join(bound, ["key", "aux"]).select("sketch", "key", "leader", "root"), known))
-    more = written(more.distinct(), "jaccard-pairs")
+
+    torn = _torn(bucketed, roots)
+    drawn = F.min(F.struct(F.xxhash64("key", "sketch"), "key")).over(Window.partitionBy("sketch"))["key"]
+    leading = torn.withColumn("leader", drawn).withColumn("led", F.max(F.when(F.col("key") == F.col("leader"), F.col("root"))).over(Window.partitionBy("sketch"))).filter("root <> led")
+    links = links.unionByName(linked(_from_leaders(leading, known)))
+    roots = written(components(links), "jaccard-roots")
+
+    more = linked(_across(_torn(bucketed, roots), known))
     if not more.isEmpty():
-        late = written(verified(more, known, docs), "jaccard-links")
-        roots = written(components(links.unionByName(late)), "jaccard-roots")
+        roots = written(components(links.unionByName(more)), "jaccard-roots")
 
     members = known.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))

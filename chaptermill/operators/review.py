@@ -178,6 +178,6 @@ def boundary_edits(chapters: DataFrame, edits: DataFrame) -> DataFrame:
 def unused_draft_id(ids: DataFrame) -> DataFrame:
     """book_id and the smallest k for which ``draft-chapter-k`` isn't taken. ``ids``: book_id, chapter_id."""
     number = F.regexp_extract("chapter_id", r"^draft-chapter-([1-9][0-9]{0,8})\z", 1)
-    taken = ids.select("book_id", F.when(number != "", number.cast("long")).otherwise(0).alias("k")).distinct()
+    taken = ids.select("book_id", F.explode(F.array(F.lit(0).cast("long"), F.when(number != "", number.cast("long")).otherwise(0))).alias("k")).distinct()
     order = Window.partitionBy("book_id").orderBy("k")
     return taken.withColumn("next", F.lead("k").over(order)).filter(F.col("next").isNull() | (F.col("next") > F.col("k") + 1)).groupBy("book_id").agg((F.min("k") + 1).alias("k"))

@@ -40,6 +40,8 @@ COLD = 16
 SAMPLED_PARTS = 112
 #: Classes whose sketches a task remembers having sent, so copies in one task are sent once.
 SENT = 200_000
+#: Documents whose ids (16 bytes each) are broadcast rather than joined by shuffling all texts.
+IDS_TO_SEND = 250_000
 #: Parts by the largest size of a band.
 _PARTS = {32: 64, 64: 64, 128: 96, 256: 128}
 
@@ -206,9 +208,12 @@ def may_link(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys whose sets link. Texts move once, only the sets in question after that."""
+    """The pairs (a, b) of class keys whose sets link. While the documents in question are few their ids are
+    sent to the texts; beyond that texts are shuffled to them. After that only the sets in question move."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = wanted.join(known.select("key", "doc_id"), "key")
+    wanted = written(wanted.join(known.select("key", "doc_id"), "key"), "jaccard-wanted")
+    if wanted.count() <= IDS_TO_SEND:
+        wanted = F.broadcast(wanted)
 
     def sets(batches):
         import pyarrow as pa
@@ -319,6 +324,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one of the smallest doc_id, with its own columns."""
-    stay = join_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """One document of each group: the one of the smallest doc_id, with its own columns. Documents without a
+    doc_id stay. The others' ids are sent to the documents while they are few, else joined by a shuffle."""
+    others = written(join_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-others")
+    return docs.join(F.broadcast(others) if others.count() <= IDS_TO_SEND else others, "doc_id", "left_anti").select(*docs.columns)

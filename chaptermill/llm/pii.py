@@ -223,14 +223,15 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
         lambda m: F.struct(kind_of(m).alias("kind"), m.alias("was"), pseudonym(m, key).alias("now")),
     )
     # Nothing that is looked for lacks both @ and a digit.
-    marked = docs.select(*own, F.when(F.col(text).rlike("[@0-9]"), found).otherwise(empty).alias("_found"))
-    between = F.split(F.col(text), FOUND)
-    replaced = let(between, lambda b: F.array_join(F.transform(b, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_found"), i)["now"], F.lit("")))), ""))
-    changed = F.filter("_found", lambda v: v["was"] != v["now"])
+    marked = docs.select(F.struct(*own).alias("__pii_document"), F.when(F.col(text).rlike("[@0-9]"), found).otherwise(empty).alias("__pii_values"))
+    was = F.col("__pii_document")[text]
+    between = F.split(was, FOUND)
+    replaced = let(between, lambda b: F.array_join(F.transform(b, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("__pii_values"), i)["now"], F.lit("")))), ""))
+    changed = F.filter("__pii_values", lambda v: v["was"] != v["now"])
     kinds = F.array_sort(F.array_distinct(F.transform(changed, lambda v: v["kind"])))
     counts = let(changed, lambda c: F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.size(F.filter(c, lambda v: v["kind"] == k)).alias("n"))))
     return marked.select(
-        *[F.when(F.size("_found") > 0, replaced).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in own],
+        *[F.when(F.size("__pii_values") > 0, replaced).otherwise(was).alias(text) if c == text else F.col("__pii_document")[c].alias(c) for c in own],
         counts.alias("pii"),
     )
 

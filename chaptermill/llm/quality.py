@@ -106,13 +106,14 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base statistics of every whole text; they replace columns of those names."""
     t = F.coalesce(F.col(text), F.lit(""))
     by_words = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("again")))
-    return docs.drop(*BASE).withColumn("_w", by_words).select(
-        *[c for c in docs.columns if c not in BASE],
-        F.col("_w")["n"].alias("n_words"),
+    own = [c for c in docs.columns if c not in (*BASE, "_by_words")]
+    return docs.select(*own, by_words.alias("_by_words")).select(
+        *own,
+        F.col("_by_words")["n"].alias("n_words"),
         F.length(F.regexp_replace(t, GAP, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         duplicate_lines(t).cast("long").alias("n_dup_lines"),
-        F.col("_w")["again"].alias("n_repeat_words"),
+        F.col("_by_words")["again"].alias("n_repeat_words"),
     )
 
 
@@ -149,11 +150,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    own = [c for c in docs.columns if c not in (*BASE, "base_failed", "kept", "rejected_by")]
-    if len(own) < len(docs.columns):
-        raise ValueError("columns of the judge's names would be lost; rename them first")
-    return judge(docs).filter("kept").select(*own)
+    """The documents that pass, with their own columns, whatever these are named."""
+    packed = docs.select(F.struct(*docs.columns).alias("_document"), "text")
+    return judge(packed).filter("kept").select("_document.*")
 
 
 SQL = r"""

@@ -63,6 +63,7 @@ def feature_counts(docs: DataFrame, flag: str, text: str = "text") -> DataFrame:
 
 def log_weights(docs: DataFrame, ratios, text: str = "text") -> DataFrame:
     """``docs`` without the text, with n_features and log_weight. ``ratios`` is a broadcast of BUCKETS numbers."""
+    docs = docs.drop("n_features", "log_weight")
 
     def run(batches):
         import numpy as np

@@ -80,6 +80,14 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
     return q.join(p, "b").filter(distance <= radius).select("query_id", "bits", distance.alias("distance")).distinct()
 
 
+def near_documents(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """query_id and near_documents: how many other documents have a fingerprint within ``radius``, for every
+    document whose doc_id is divisible by 50, against all of ``prints`` (doc_id, bits)."""
+    queries = prints.filter("doc_id % 50 = 0").select("doc_id", "bits").distinct()
+    shared = prints.groupBy("bits").agg(F.countDistinct("doc_id").alias("n"))
+    return near(queries, prints, radius).join(shared, "bits").groupBy("query_id").agg((F.sum("n") - 1).alias("near_documents"))
+
+
 def following(ids: DataFrame) -> DataFrame:
     """doc_id and next_id: the next lower doc_id, after the lowest the highest. The ids are range
     partitioned, so no task sees them all; only one row a partition goes through a single task."""
@@ -104,7 +112,8 @@ def edited(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and its edited text, and their likeness.
+    """Fingerprints of every text and its edited text, their likeness, and how many other documents' fingerprints
+    lie within three bits, for documents whose id is divisible by 50 (null for others).
 
     Rows that repeat a doc_id and its text count once; one doc_id with several texts gives a row for
     each and for each start of a next text; rows without a doc_id have no place in the order and
@@ -117,7 +126,8 @@ def digests(docs: DataFrame) -> DataFrame:
     each = lambda v: F.max(F.when(F.col("v") == v, F.col("bits")))
     prints = written(bits.groupBy(*key).agg(each(0).alias("bits"), each(1).alias("edited_bits")), "simhash-prints")
     after = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("bits").alias("next_bits"))
-    return prints.join(after, "next_id").select(
+    found = near_documents(prints).withColumnRenamed("query_id", "doc_id")
+    return prints.join(after, "next_id").join(found, "doc_id", "left").select(
         "doc_id",
         "n_chars",
         F.lower(F.hex("sha")).alias("edited_sha256"),
@@ -125,4 +135,5 @@ def digests(docs: DataFrame) -> DataFrame:
         as_text(F.col("edited_bits")).alias("edited_fingerprint"),
         likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"),
         likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
+        "near_documents",
     )

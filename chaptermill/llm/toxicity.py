@@ -174,6 +174,8 @@ def score_documents(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """``docs`` without the text, with toxic_score from 0 to 1. ``model`` is a broadcast of a trained model
     (half a megabyte, whatever the data)."""
 
+    docs = docs.drop("toxic_score")
+
     def run(batches):
         import math
 

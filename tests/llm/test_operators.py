@@ -262,6 +262,10 @@ def test_simhash(spark, documents):
         other = got[rows[(i + 1) % len(rows)][0]].fingerprint
         assert r.near_next == 1 - bin(int(r.fingerprint, 16) ^ int(other, 16)).count("1") / 64
         assert r.near_edited == 1 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1") / 64
+    for i, _ in rows:
+        x = int(got[i].fingerprint, 16)
+        near = sum(bin(x ^ int(r.fingerprint, 16)).count("1") <= 3 for r in got.values()) - 1
+        assert got[i].near_documents == (near if i % 50 == 0 else None)
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.1
 
 
@@ -325,6 +329,16 @@ def test_quality_against_brute_force(spark, documents, odd):
     assert got == want
 
 
+def test_clashing_columns_survive(spark):
+    names = ["n_words", "kept", "rejected_by", "pii", "_document", "_by_words", "_found", "mix_epoch", "toxic_score", "n_features"]
+    row = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(60)) + " a.b@c.org", "en", "src1", 9)], SCHEMA).select("*", *[F.lit(n).alias(n) for n in names])
+    kept = quality.keep_good(row)
+    assert kept.columns == row.columns and kept.first()["kept"] == "kept"
+    done = pii.pseudonymize(row).first()
+    assert done["_found"] == "_found" and done["_document"] == "_document" and done.pii[0].kind == "email"
+    assert mixing.select(row, mixing.Mix(share=(1, 1))).first()["toxic_score"] == "toxic_score"
+
+
 def test_quality_order_does_not_change_verdicts(spark, documents):
     docs = documents.select("doc_id", "text")
     first = {(r.doc_id, r.kept) for r in quality.judge(docs, quality.RULES, share=1.0).collect()}

@@ -111,11 +111,6 @@ def count_text(current: Column, total: Column, limited: Column) -> Column:
     return F.concat(F.format_number(current, 0), F.lit(" / "), F.format_number(total, 0), F.when(limited, "+").otherwise(""))
 
 
-def preview_lines(ready: Column, viewport: Column, reserve: int = 2) -> Column:
-    """Lines to ask for next: the viewport and a reserve, at least one and at most PREVIEW_LINES."""
-    return F.least(F.greatest(F.ceil(viewport * reserve) - ready, F.lit(1)), F.lit(PREVIEW_LINES))
-
-
 @F.pandas_udf(LongType())
 def utf16_to_byte(text: pd.Series, at: pd.Series) -> pd.Series:
     """UTF-8 byte offset of a UTF-16 offset; null inside a surrogate pair or out of range."""

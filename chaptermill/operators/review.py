@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chaptermill.operators.intervals import islands
+from chaptermill.operators.intervals import islands, subtract
 from chaptermill.operators.ordered import along, running_total
 
 
@@ -81,6 +81,14 @@ def after_insertions(at: Column, points: Column) -> Column:
     return at + F.size(F.filter(points, lambda p: p < at))
 
 
+def mapped_range(start: Column, end: Column, at: Column, with_end: bool) -> Column:
+    """A range after a line break is put in at ``at``. ``with_end`` tells whether one that ends there takes the
+    break in, as contents do and headings don't; an empty range moves as a point."""
+    moved = (start >= at).cast("int")
+    grown = ((end > at) | (F.lit(with_end) & (end == at))).cast("int")
+    return F.struct((start + moved).alias("start_byte"), F.when(start == end, end + moved).otherwise(end + grown).alias("end_byte"))
+
+
 def before_insertions(at: Column, points: Column) -> Column:
     """The offset before the insertions of an edited offset."""
     shifted = F.transform(F.sort_array(points), lambda p, i: p + i)
@@ -94,6 +102,61 @@ def with_breaks(data: Column, points: Column) -> Column:
     return F.array_join(F.zip_with(starts, ends, lambda s, e: F.substring(data, s + 1, e - s).cast("string")), "\n")
 
 
+def receives_gaps(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, ord and whether the chapter is given bytes that lie before it, or after the last one."""
+    start = F.coalesce("heading_start", "content_start")
+    placed = along(chapters.drop("total").withColumn("_at", start), ["book_id"], "ord", before={"_before": "content_end"}, after={"_next": "ord"}).join(books.select("book_id", "total"), "book_id")
+    gap = (F.coalesce("_before", F.lit(0)) < F.col("_at")) | (F.col("_next").isNull() & (F.col("content_end") < F.col("total")))
+    return placed.select("book_id", "ord", gap.alias("receives"))
+
+
+def add_recognition(chapters: DataFrame, unassigned: DataFrame, books: DataFrame, clicks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chapters, unassigned) with one more chapter in each book of ``clicks`` (book_id, at, line_start, line_body_end,
+    line_end, title; one click a book). A click on a heading line (title not null) makes a chapter from that line
+    on, one elsewhere an unnamed chapter from the click on. It ends where the unassigned range around the click
+    does, else where the chapter that owned the place did, else at the next one. Clicks where a chapter starts
+    or that leave no room change nothing."""
+    start = F.coalesce("heading_start", "content_start")
+    headed = F.col("title").isNotNull()
+    c = clicks.select("book_id", "at", F.when(headed, F.col("line_start")).otherwise(F.col("at")).alias("split"), F.when(headed, F.col("line_end")).otherwise(F.col("at")).alias("from"), "line_start", "line_body_end", F.col("title").alias("new_title"))
+    placed = chapters.withColumn("_at", start).join(c, "book_id").join(books.select("book_id", F.col("total").alias("_total")), "book_id")
+    facts = placed.groupBy("book_id").agg(
+        F.max_by(F.struct("ord", "content_start", "content_end"), F.when(F.col("_at") < F.col("split"), F.col("ord"))).alias("prev"),
+        F.min(F.when(F.col("_at") > F.col("split"), F.col("_at"))).alias("next_at"),
+        F.max((F.col("_at") == F.col("split")).cast("int")).alias("taken"),
+    )
+    around = unassigned.join(c, "book_id").filter((F.col("start_byte") <= F.col("at")) & (F.col("at") < F.col("end_byte"))).groupBy("book_id").agg(F.max("end_byte").alias("hole_end"))
+    known = c.join(books.select("book_id", F.col("total").alias("_total")), "book_id").join(facts, "book_id", "left").join(around, "book_id", "left")
+    reach = F.when(F.col("next_at").isNull(), F.col("_total")).otherwise(F.col("prev.content_end"))
+    owns = F.coalesce(F.col("hole_end").isNull() & (F.col("split") >= F.col("prev.content_start")) & (F.col("split") <= reach), F.lit(False))
+    to = F.coalesce("hole_end", F.when(owns, reach), "next_at", "_total")
+    made = known.withColumn("owns", owns).withColumn("to", to).filter((F.coalesce("taken", F.lit(0)) == 0) & (F.col("from") <= F.col("to")))
+    cut = chapters.join(made.filter("owns").select("book_id", F.col("prev.ord").alias("ord"), F.col("split").alias("_split")), ["book_id", "ord"], "left").withColumn("content_end", F.coalesce("_split", "content_end"))
+    heading = lambda name: F.when(F.col("new_title").isNotNull(), F.col(name)).cast("long")
+    values = {"ord": F.coalesce("prev.ord", F.lit(0)) + 0.5, "title": F.coalesce("new_title", F.lit("未命名章节")), "heading_kind": F.when(F.col("new_title").isNotNull(), "source").otherwise("missing"), "heading_start": heading("line_start"), "heading_end": heading("line_body_end"), "content_start": F.col("from"), "content_end": F.col("to"), "accepted": F.lit(False), "book_id": F.col("book_id"), "total": F.col("_total"), "chapter_id": F.concat(F.lit("draft-"), F.col("split").cast("string"))}
+    new = made.select(*[values.get(k, F.lit(None)).alias(k) for k in chapters.columns])
+    both = cut.select(*chapters.columns).withColumn("ord", F.col("ord") + F.lit(0.0)).unionByName(new)
+    numbered = along(both, ["book_id"], "ord", totals={"_place": F.lit(1)})
+    holes = made.select("book_id", F.col("split").alias("start_byte"), F.col("to").alias("end_byte"))
+    return numbered.withColumn("ord", (F.col("_place") + 1).cast("int")).select(*chapters.columns), subtract(unassigned, holes, ["book_id"])
+
+
+def layouts(chapters: DataFrame, lines: DataFrame) -> DataFrame:
+    """book_id, ord, anchor_line (where the chapter starts), heading_last_line (null without a heading) and
+    content_line. Lines: book_id, line, start_byte, end_byte."""
+    from chaptermill.operators.intervals import owner_of
+
+    spans = lines.select("book_id", "start_byte", "end_byte", F.col("line").alias("owner"))
+    asked = F.array(
+        F.struct(F.lit("anchor_line").alias("what"), F.coalesce("heading_start", "content_start").alias("at")),
+        F.struct(F.lit("heading_last_line").alias("what"), (F.col("heading_end") - 1).alias("at")),
+        F.struct(F.lit("content_line").alias("what"), F.col("content_start").alias("at")),
+    )
+    points = chapters.select("book_id", "ord", F.explode(asked).alias("a")).select("book_id", "ord", "a.what", "a.at").filter("at IS NOT NULL")
+    found = owner_of(points, spans, ["book_id"])
+    return found.groupBy("book_id", "ord").agg(*[F.max(F.when(F.col("what") == k, F.col("owner"))).alias(k) for k in ("anchor_line", "heading_last_line", "content_line")])
+
+
 def display_titles(chapters: DataFrame) -> DataFrame:
     """Chapters with the title to show: unnamed ones are counted."""
     counted = running_total(chapters, ["book_id"], "ord", (F.col("heading_kind") == "missing").cast("int"), "_before")

@@ -233,6 +233,23 @@ SQL: dict[str, str] = {
     "boundary_shift": f"""WITH {_CHAPTERS}, e AS (SELECT *, lead(heading_start) OVER (PARTITION BY book_id ORDER BY ord) AS guard FROM chapters)
       SELECT e.book_id, ord, p.start_byte AS new_end FROM e JOIN lines l ON l.book_id = e.book_id AND l.start_byte = e.content_end JOIN lines p ON p.book_id = l.book_id AND p.line = l.line - 1
       WHERE guard IS NOT NULL AND p.start_byte >= content_start AND p.start_byte <= guard""",
+    "add_recognition": f"""WITH {_LOOSE}, x AS (
+      SELECT *, ord = 3 AND content_end - content_start > 40 AS hit FROM loose
+    ), u AS (
+      SELECT book_id, ord, content_start, CASE WHEN hit THEN content_start + 20 ELSE content_end END AS content_end, 'source' AS heading_kind FROM x
+      UNION ALL SELECT book_id, ord + 0.5, content_start + 20, content_end, 'missing' FROM x WHERE hit
+    ) SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS ord, content_start, content_end, heading_kind FROM u""",
+    "gap_receipts": f"""WITH {_LOOSE} SELECT book_id, ord, coalesce(lag(content_end) OVER w, 0) < heading_start OR (lead(ord) OVER w IS NULL AND content_end < total) AS receives FROM loose WINDOW w AS (PARTITION BY book_id ORDER BY ord)""",
+    "chapter_layouts": f"""WITH {_CHAPTERS}, z AS (SELECT book_id, line - 1 AS line, start_byte AS s, start_byte + strlen(body) + 1 AS e, max(start_byte) OVER (PARTITION BY book_id) AS last FROM lines)
+      SELECT c.book_id, ord, a.line AS anchor_line, h.line AS heading_last_line, t.line AS content_line FROM chapters c
+      JOIN z a ON a.book_id = c.book_id AND heading_start >= a.s AND heading_start < a.e JOIN z h ON h.book_id = c.book_id AND heading_end - 1 >= h.s AND heading_end - 1 < h.e
+      JOIN z t ON t.book_id = c.book_id AND content_start >= t.s AND (content_start < t.e OR t.s = t.last)""",
+    "range_mapping": f"WITH {_CHAPTERS} SELECT book_id, ord, heading_end, content_start + CASE WHEN content_start = content_end THEN 1 ELSE 0 END AS content_start, content_end + 1 AS content_end FROM chapters",
+    "source_preview": """WITH c AS (
+      SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents
+    ), w AS (
+      SELECT doc_id, text, CASE WHEN len(l) > 3 THEN l[1] || chr(10) || l[2] || chr(10) || l[3] || chr(10) ELSE text END AS three FROM c
+    ) SELECT doc_id, CASE WHEN length(three) <= 250 THEN three ELSE substr(text, 1, 250) END AS text, CAST(2 * least(length(three), 250) AS BIGINT) AS end_byte, least(length(three), 250) = length(text) AS done FROM w""",
     "boundary_edits": f"""WITH {_LOOSE}, m AS (
       SELECT *, CASE WHEN ord % 3 = 0 THEN content_end + 3 ELSE content_end END AS want, lead(heading_start) OVER w AS following FROM loose WINDOW w AS (PARTITION BY book_id ORDER BY ord)
     ), n AS (SELECT *, greatest(heading_start, coalesce(CASE WHEN lag(ord) OVER w % 3 = 0 THEN lag(want) OVER w END, 0)) AS start FROM m WINDOW w AS (PARTITION BY book_id ORDER BY ord))

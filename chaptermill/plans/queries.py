@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from chaptermill.functions import encoding, hashing
 from chaptermill.functions import text as T
 from chaptermill.operators import catalog, intervals, lengths, lineage, review, structure, tasks
+from chaptermill.operators.stored import stored
 from chaptermill.sources import books
 from chaptermill.sources import text_files as files
 
@@ -53,6 +54,11 @@ def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chapters(books.parts(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters for queries that use them more than once."""
+    return stored(_chapters(spark, sf_dir), "chapters")
+
+
 @query
 def chapter_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chapters(spark, sf_dir).select("book_id", "title", *_long("ord", "heading_start", "heading_end", "content_start", "content_end"))
@@ -89,6 +95,7 @@ def body_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = books.parts(spark, sf_dir)
     found = lengths.body_lengths(structure.chapters(parts), structure.lines(parts, keep_text=True)).select("book_id", "ord", "length", (F.col("ord") % 7 == 0).alias("accepted"))
+    found = stored(found, "lengths")
     return lengths.anomalies(found, "book_id", "ord").select("book_id", *_long("ord", "length"), "kind", lengths.reason(F.col("kind"), F.col("length")).alias("reason"))
 
 
@@ -176,25 +183,25 @@ def _segments(df: DataFrame) -> DataFrame:
 
 @query
 def coverage_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _loose(_chapters(spark, sf_dir))
+    found = _loose(_stored(spark, sf_dir))
     return _segments(intervals.implicit_coverage(found, _books(found)))
 
 
 @query
 def coverage_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _loose(_chapters(spark, sf_dir))
+    found = _loose(_stored(spark, sf_dir))
     return _segments(intervals.explicit_coverage(found, _books(found), _unassigned(found)))
 
 
 @query
 def coverage_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _loose(_chapters(spark, sf_dir))
+    found = _loose(_stored(spark, sf_dir))
     return _segments(intervals.draft_coverage(found, _books(found), _unassigned(found)))
 
 
 @query
 def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _loose(_chapters(spark, sf_dir))
+    found = _loose(_stored(spark, sf_dir))
     report = intervals.coverage_report(intervals.explicit_coverage(found, _books(found), _unassigned(found)), _books(found))
     return report.select("book_id", *_long("total", "classified", "unclassified"), "complete")
 
@@ -202,7 +209,7 @@ def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def coverage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters' own ranges alone don't tile a book that has gaps."""
-    found = _loose(_chapters(spark, sf_dir))
+    found = _loose(_stored(spark, sf_dir))
     own = found.select("book_id", F.col("heading_start").alias("start_byte"), F.col("content_end").alias("end_byte"))
     return intervals.tiling_faults(own, _books(found)).select("book_id", *_long("at"), "fault")
 
@@ -252,7 +259,7 @@ def range_asof_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _loose(_chapters(spark, sf_dir))
+    found = _loose(_stored(spark, sf_dir))
     return found.select("book_id", "ord", "chapter_id", "title", F.lit("source").alias("heading_kind"), "heading_start", "heading_end", "content_start", "content_end", F.lit(False).alias("accepted"), "total")
 
 
@@ -317,6 +324,50 @@ def boundary_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.shifted_boundaries(structure.chapters(parts), numbered, -1).select("book_id", *_long("ord", "new_end"))
 
 
+@query
+def add_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more chapter in each book, 20 bytes into the content of its third."""
+    found = _reviewed(spark, sf_dir)
+    place = found.filter("ord = 3 AND content_end - content_start > 40")
+    none = F.lit(None).cast("long")
+    clicks = place.select("book_id", (F.col("content_start") + 20).alias("at"), none.alias("line_start"), none.alias("line_body_end"), none.alias("line_end"), F.lit(None).cast("string").alias("title"))
+    return review.add_recognition(found, _unassigned(found), _books(found), clicks)[0].select("book_id", *_long("ord", "content_start", "content_end"), "heading_kind")
+
+
+@query
+def gap_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _reviewed(spark, sf_dir)
+    return review.receives_gaps(found, _books(found)).select("book_id", *_long("ord"), "receives")
+
+
+@query
+def chapter_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chaptermill.operators.ordered import running_total
+
+    parts = books.parts(spark, sf_dir)
+    numbered = running_total(structure.lines(parts), ["book_id"], "start_byte", F.lit(1), "line", structure.BYTES)
+    return review.layouts(structure.chapters(parts), numbered).select("book_id", *_long("ord", "anchor_line", "heading_last_line", "content_line"))
+
+
+@query
+def range_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter ranges after a line break at the end of each heading."""
+    found = _chapters(spark, sf_dir)
+    heading = review.mapped_range(F.col("heading_start"), F.col("heading_end"), F.col("heading_end"), False)
+    content = review.mapped_range(F.col("content_start"), F.col("content_end"), F.col("content_end"), True)
+    return found.select("book_id", *_long("ord"), heading["end_byte"].cast("long").alias("heading_end"), content["start_byte"].cast("long").alias("content_start"), content["end_byte"].cast("long").alias("content_end"))
+
+
+@query
+def source_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three lines of each text in UTF-16, or what fits in 500 bytes."""
+    from chaptermill.functions.preview import source_page
+
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-16LE").alias("data"))
+    page = rows.select("doc_id", source_page(F.col("data"), F.lit("utf-16le"), F.lit(0), F.lit(3), 500).alias("p"))
+    return page.select("doc_id", F.col("p.text").alias("text"), F.col("p.end_byte").alias("end_byte"), F.col("p.done").alias("done"))
+
+
 @query
 def boundary_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third chapter asked to end a little into the next one."""

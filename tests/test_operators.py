@@ -277,3 +277,49 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m" / "1.json").write_text(json.dumps(good))
     (tmp_path / "m" / "2.json").write_text(json.dumps(good | {"projectId": "x", "sourceAsset": good["sourceAsset"] | {"relativePath": "elsewhere"}}))
     assert sorted(tuple(r.faults) for r in files.manifests(spark, str(tmp_path / "m")).collect()) == [(), ("project-id", "path")]
+
+
+def test_preview_pages():
+    from chaptermill.functions.preview import page_of
+
+    text = "第一行\r\n第二行\r第三行\n第四行"
+    for encoding, codec in (("utf-8", "utf-8"), ("utf-16le", "utf-16-le"), ("utf-16be", "utf-16-be"), ("gb18030", "gb18030")):
+        data = text.encode(codec)
+        for cap in (8, 9, 11, 14, 1000):
+            at, read, done = 0, "", False
+            while not done:
+                page, end, done, error = page_of(data, encoding, at, 2, cap)
+                assert error is None and end > at and not (page.endswith("\r") and text[len(read + page) :].startswith("\n"))
+                at, read = end, read + page
+            assert read == text
+        assert page_of(data, encoding, 0, 2)[0] == "第一行\r\n第二行\r"
+    assert page_of(b"ab", "utf-16le", 1, 1)[3] == "invalid-request" and page_of(b"\xff\xff\xff\xff\xff\xff", "utf-8", 0, 1)[3] == "decode-failed"
+    assert page_of("\ufeffa".encode(), "utf-8", 0, 1) == ("a", 4, True, None)
+
+
+def test_preview_sizes_and_joined_pages(spark):
+    from chaptermill.functions import preview
+
+    row = spark.range(1).select(
+        preview.visible_lines(F.lit(0), F.lit(20)), preview.visible_lines(F.lit(101), F.lit(20)), preview.first_lines(F.lit(700)), preview.next_lines(F.lit(50), F.lit(10), F.lit(20)),
+        preview.next_lines(F.lit(50), F.lit(-4000), F.lit(20)), preview.next_lines(F.lit(50), F.lit(40000), F.lit(20)), preview.should_fetch(F.lit(1000), F.lit(500), F.lit(400)),
+    ).first()
+    assert tuple(row) == (50, 6, 1000, 100, 400, 400, True)
+    pages = frame(spark, [("a", 0, 3, "x", False), ("a", 3, 5, "y", True), ("b", 0, 3, "x", False), ("b", 4, 5, "y", True)], "k string, start_byte long, end_byte long, text string, done boolean")
+    assert {r.k: (r.text, r.end_byte, r.complete) for r in preview.joined_pages(pages, ["k"]).collect()} == {"a": ("xy", 5, True), "b": ("xy", 5, False)}
+
+
+def test_add_recognition(spark):
+    chapters = frame(spark, [("b", 1, "c1", 0, 2, 2, 10), ("b", 2, "c2", 12, 14, 14, 20)], CHAPTERS).withColumn("title", F.lit("t")).withColumn("heading_kind", F.lit("source")).withColumn("accepted", F.lit(False))
+    books = frame(spark, [("b", 25)], "book_id string, total long")
+    holes = frame(spark, [("b", 10, 12)], "book_id string, start_byte long, end_byte long")
+    schema = "book_id string, at long, line_start long, line_body_end long, line_end long, title string"
+    run = lambda *click: review.add_recognition(chapters, holes, books, frame(spark, [("b", *click)], schema))
+    spans = lambda df: [(r.ord, r.heading_start, r.heading_end, r.content_start, r.content_end) for r in df.orderBy("ord").collect()]
+    done, left = run(5, 4, 6, 7, "New")
+    assert spans(done) == [(1, 0, 2, 2, 4), (2, 4, 6, 7, 10), (3, 12, 14, 14, 20)] and left.count() == 1
+    done, left = run(11, None, None, None, None)
+    assert spans(done)[1] == (2, None, None, 11, 12) and [(r.start_byte, r.end_byte) for r in left.collect()] == [(10, 11)]
+    done, _ = run(22, None, None, None, None)
+    assert spans(done) == [(1, 0, 2, 2, 10), (2, 12, 14, 14, 22), (3, None, None, 22, 25)]
+    assert spans(run(12, 12, 14, 15, "Again")[0]) == spans(chapters)

@@ -17,13 +17,21 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return (a_start < b_end) & (b_start < a_end)
 
 
-def islands(ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Non-empty ranges (start_byte, end_byte) merged where they touch or overlap."""
-    order = Window.partitionBy(*by).orderBy("start_byte", "end_byte")
-    reach = F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = ranges.filter("start_byte < end_byte").select(*by, "start_byte", "end_byte").withColumn("opens", F.coalesce((F.col("start_byte") > reach).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "island").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("island")
+def islands(ranges: DataFrame, by: list[str], width: int = 1 << 22) -> DataFrame:
+    """Non-empty ranges (start_byte, end_byte) merged where they touch or overlap. A key is swept in stretches
+    of ``width``; how far earlier stretches reach, and where their last island starts, is carried over."""
+    cut = ranges.filter("start_byte < end_byte").select(*by, "start_byte", "end_byte", F.floor(F.col("start_byte") / width).alias("_stretch"))
+    key = [*by, "_stretch"]
+    own = Window.partitionBy(*key).orderBy("start_byte", "end_byte")
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reached = cut.groupBy(*key).agg(F.max("end_byte").alias("_end")).select(*key, F.max("_end").over(earlier).alias("_far"))
+    near = F.max("end_byte").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    opened = cut.withColumn("_near", near).join(reached, key)
+    reach = F.greatest("_near", "_far")  # nulls don't count
+    opened = opened.withColumn("_opens", F.when(reach.isNull() | (F.col("start_byte") > reach), F.col("start_byte"))).drop("_near", "_far")
+    last = opened.groupBy(*key).agg(F.max("_opens").alias("_open")).select(*key, F.max("_open").over(earlier).alias("_carried"))
+    placed = opened.withColumn("_island", F.max("_opens").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(last, key)
+    return placed.groupBy(*by, F.coalesce("_island", "_carried").alias("start_byte")).agg(F.max("end_byte").alias("end_byte"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bin_size: int) -> DataFrame:

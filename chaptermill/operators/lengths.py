@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chaptermill.functions import text as T
+from chaptermill.operators.ordered import WIDTH, along
 
 # Fences and thresholds of an unusual length.
 IQR_FENCE, MAD_SCALE, MAD_THRESHOLD, LEAST_RATIO, LEAST_SAMPLE, RADIUS = 1.5, 1.4826, 3, 1.75, 4, 5
@@ -61,11 +62,16 @@ def fences(lengths: DataFrame, by: str) -> DataFrame:
 
 def local_spread(lengths: DataFrame, by: str, order: str) -> DataFrame:
     """``lengths`` with n_near, center and spread (median distance) of the logarithms of the non-zero lengths
-    within RADIUS rows."""
-    near = Window.partitionBy(by).orderBy(order).rowsBetween(-RADIUS, RADIUS)
+    within RADIUS rows. Rows are numbered and cut into stretches; those near an edge are lent to the next one."""
+    ranked = along(lengths, [by], order, totals={"_rank": F.lit(1)})
+    stretch, place = F.floor(F.col("_rank") / WIDTH), F.col("_rank") % WIDTH
+    at = lambda s, own: F.struct(s.alias("s"), F.lit(own).alias("own"))
+    copies = F.array_compact(F.array(at(stretch, True), F.when(place < RADIUS, at(stretch - 1, False)), F.when(place >= WIDTH - RADIUS, at(stretch + 1, False))))
+    lent = ranked.withColumn("_in", F.explode(copies)).withColumn("_stretch", F.col("_in.s"))
+    near = Window.partitionBy(by, "_stretch").orderBy("_rank").rowsBetween(-RADIUS, RADIUS)
     logs = F.collect_list(F.when(F.col("length") > 0, F.log(F.col("length").cast("double")))).over(near)
-    placed = lengths.withColumn("_logs", logs).withColumn("center", median(F.col("_logs")))
-    return placed.withColumn("n_near", F.size("_logs")).withColumn("spread", deviation(F.col("_logs"), F.col("center"))).drop("_logs")
+    placed = lent.withColumn("_logs", logs).filter("_in.own").withColumn("center", median(F.col("_logs")))
+    return placed.withColumn("n_near", F.size("_logs")).withColumn("spread", deviation(F.col("_logs"), F.col("center"))).select(*lengths.columns, "center", "n_near", "spread")
 
 
 def anomalies(lengths: DataFrame, by: str, order: str) -> DataFrame:

@@ -120,7 +120,7 @@ def test_subtract_and_islands_against_a_mask(spark):
         assert {x for p, q in mine for x in range(p, q)} == set(range(s, e)) - masked[b]
         assert all(q < p2 for (_, q), (p2, _) in zip(mine, mine[1:], strict=False))
     for b in "ab":
-        merged = sorted((x.start_byte, x.end_byte) for x in intervals.islands(h, ["book_id"]).filter(F.col("book_id") == b).collect())
+        merged = sorted((x.start_byte, x.end_byte) for x in intervals.islands(h, ["book_id"], width=32).filter(F.col("book_id") == b).collect())
         assert {x for p, q in merged for x in range(p, q)} == masked[b] and all(q < p for (_, q), (p, _) in zip(merged, merged[1:], strict=False))
     pairs = {(x.l_id, x.r_start_byte, x.r_end_byte) for x in intervals.overlap_join(r, h, ["book_id"], 16).collect()}
     assert pairs == {(i, p, q) for b, s, e, i in ranges for k, p, q in holes if k == b and s < q and p < e and s < e and p < q}
@@ -157,6 +157,16 @@ def test_length_anomalies(spark):
     assert {r.ord: r.kind for r in got if r.book == "accepted"} == {6: "long"}
 
 
+def test_local_spread_in_stretches(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [("b", i * 3, rng.randint(0, 40)) for i in range(60)]
+    df = frame(spark, rows, "book string, ord int, length long")
+    whole = {r.ord: (r.n_near, r.center, r.spread) for r in lengths.local_spread(df, "book", "ord").collect()}
+    monkeypatch.setattr(lengths, "WIDTH", 16)
+    assert {r.ord: (r.n_near, r.center, r.spread) for r in lengths.local_spread(df, "book", "ord").collect()} == whole
+    assert len(whole) == 60 and max(n for n, _, _ in whole.values()) <= 11
+
+
 def test_counting_and_offsets(spark):
     text = "甲😀\u3000e\u0301\u0085\n"
     row = frame(spark, [(text,)], "t string").select(

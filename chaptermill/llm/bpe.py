@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text whose pretokens are held in memory at once.
-BLOCK_CHARS = 2_000_000
+#: Bytes of text whose pretokens are held in memory at once.
+BLOCK_BYTES = 500_000
 #: Known pretokens a task keeps before it starts afresh.
-KNOWN_PRETOKENS = 1_000_000
+KNOWN_PRETOKENS = 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -37,7 +37,7 @@ class MergeReplay:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.single = [ranks[bytes([i])] for i in range(256)]
-        self.made: dict[tuple[int, int], int] = {}
+        self.made: dict[tuple[int, int], int] = {}  # of pairs seen, emptied when there are too many
 
     def rank_of(self, pair: tuple[int, int]) -> int:
         """The token a pair makes, or -1."""
@@ -47,6 +47,8 @@ class MergeReplay:
 
     def encode(self, pretokens: list[str]) -> list[bytes]:
         """For each pretoken its ids as little-endian unsigned 32-bit integers."""
+        if len(self.made) > KNOWN_PRETOKENS:
+            self.made.clear()
         raw = [p.encode("utf-8", "surrogatepass") for p in pretokens]
         ranks, single, made, rank_of = self.ranks, self.single, self.made, self.rank_of
         done: list[bytes | None] = [None] * len(raw)
@@ -133,76 +135,112 @@ class MergeReplay:
         return array("I", [self.ranks[p] for p in parts]).tobytes()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with column ``into``: the ids of ``text`` as little-endian unsigned 32-bit integers (binary).
+def _blocks(batch, column: str):
+    """Slices of a record batch of about BLOCK_BYTES bytes in ``column``, of one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held > BLOCK_BYTES:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+class _Encoder:
+    """Encodes the texts of one task block by block."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import regex
+
+        self.cut = regex.compile(pattern).findall
+        self.replay = MergeReplay(ranks)
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        pretokens = [self.cut(t) for t in texts]
+        new = list({p for doc in pretokens for p in doc} - self.known.keys())
+        if len(self.known) + len(new) > KNOWN_PRETOKENS:
+            self.known.clear()
+            new = list({p for doc in pretokens for p in doc})
+        self.known.update(zip(new, self.replay.encode(new), strict=True))
+        known = self.known
+        return [b"".join([known[p] for p in doc]) for doc in pretokens]
+
 
-    ``ranks_path`` is a rank file on the driver (its size is that of a vocabulary, about 1 MB,
-    and doesn't grow with the data); ``pattern`` cuts a text into pretokens.
+class _Decoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.piece = [b""] * (max(ranks.values()) + 1)
+        for b, r in ranks.items():
+            self.piece[r] = b
+
+    def text(self, packed: bytes) -> bytes:
+        import numpy as np
+
+        piece = self.piece
+        return b"".join([piece[t] for t in np.frombuffer(packed, "<u4").tolist()])
+
+
+def _mapped(docs: DataFrame, ranks_path: str, source: str, into: list[str], made) -> DataFrame:
+    """``docs`` with binary columns ``into`` that ``made(ranks)`` makes from the values of a block of ``source``.
+
+    ``ranks_path`` is a rank file on the driver; its size is that of a vocabulary, about 1 MB, and doesn't
+    grow with the data.
     """
-    spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
-        ranks_data = spark.sparkContext.broadcast(f.read())
+        ranks_data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         import pyarrow as pa
-        import regex
 
-        cut = regex.compile(pattern).findall
-        replay = MergeReplay(read_ranks(ranks_data.value))
-        known: dict[str, bytes] = {}
+        make = made(read_ranks(ranks_data.value))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            out: list[bytes] = []
-            block: list[list[str]] = []
-            held = 0
-
-            def flush():
-                new = list({p for doc in block for p in doc} - known.keys())
-                if len(known) + len(new) > KNOWN_PRETOKENS:
-                    known.clear()
-                    new = list({p for doc in block for p in doc})
-                known.update(zip(new, replay.encode(new), strict=True))
-                out.extend([b"".join([known[p] for p in doc]) for doc in block])
-                block.clear()
-
-            for value in column:
-                s = value.as_py() or ""
-                block.append(cut(s))
-                held += len(s)
-                if held > BLOCK_CHARS:
-                    flush()
-                    held = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, into])
-
-    kept = docs.drop(into)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.BinaryType())]))
+            for block in _blocks(batch, source):
+                columns = make(block.column(block.schema.get_field_index(source)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*block.columns, *[pa.array(c, pa.binary()) for c in columns]], names=[*block.schema.names, *into])
+        pa.default_memory_pool().release_unused()
+
+    kept = docs.drop(*into)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(c, T.BinaryType()) for c in into]]))
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """``docs`` with column ``into``: the ids of ``text`` as little-endian unsigned 32-bit integers (binary).
+    ``pattern`` cuts a text into pretokens."""
+
+    def made(ranks):
+        encoder = _Encoder(ranks, pattern)
+        return lambda texts: [encoder.ids([t or "" for t in texts])]
+
+    return _mapped(docs, ranks_path, text, [into], made)
 
 
 def decode_documents(docs: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with column ``into``: the bytes that the ids in ``ids`` stand for (null ids: none)."""
-    spark = docs.sparkSession
-    with open(ranks_path, "rb") as f:
-        ranks_data = spark.sparkContext.broadcast(f.read())
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    def made(ranks):
+        decoder = _Decoder(ranks)
+        return lambda packed: [[decoder.text(p or b"") for p in packed]]
 
-        ranks = read_ranks(ranks_data.value)
-        piece = [b""] * (max(ranks.values()) + 1)
-        for b, r in ranks.items():
-            piece[r] = b
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            out = []
-            for value in column:
-                packed = value.as_py() or b""
-                out.append(b"".join([piece[t] for t in np.frombuffer(packed, "<u4").tolist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, into])
+    return _mapped(docs, ranks_path, ids, [into], made)
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both in one pass over the documents: the ids, and the bytes these ids stand for."""
+
+    def made(ranks):
+        encoder, decoder = _Encoder(ranks, pattern), _Decoder(ranks)
+
+        def both(texts):
+            packed = encoder.ids([t or "" for t in texts])
+            return [packed, [decoder.text(p) for p in packed]]
+
+        return both
 
-    kept = docs.drop(into)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(into, T.BinaryType())]))
+    return _mapped(docs, ranks_path, text, [ids, decoded], made)
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -215,7 +253,7 @@ def default_vocabulary() -> tuple[str, str]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     path, pattern = default_vocabulary()
-    done = decode_documents(encode_documents(docs.select("doc_id", "text"), path, pattern).drop("text"), path)
+    done = encode_and_decode(docs.select("doc_id", "text"), path, pattern)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

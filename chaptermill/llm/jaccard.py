@@ -216,32 +216,20 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
 
     def sets(batches):
+        import numpy as np
         import pyarrow as pa
 
         hasher = WordHasher()
         for batch in batches:
             for at, texts in text_chunks(batch.column("text")):
                 keys = batch.column("key").slice(at, len(texts)).to_pylist()
-                out = [(k, t.tobytes()) for k, t in zip(keys, shingle_sets(hasher, texts), strict=True) if len(t) and set_key(t) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], names=["key", "tokens"])
+                out = [(k, t.view(np.int64)) for k, t in zip(keys, shingle_sets(hasher, texts), strict=True) if len(t) and set_key(t) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    def decide(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= 75 * (len(p) + len(q) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
-
-    fetched = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "text").mapInArrow(sets, "key long, tokens binary"), "jaccard-sets")
+    fetched = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "text").mapInArrow(sets, "key long, tokens array<long>"), "jaccard-sets")
     joined = pairs.join(fetched.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(fetched.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    shared = F.size(F.array_intersect("x", "y"))
+    return joined.filter(100 * shared >= 75 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:

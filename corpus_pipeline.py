@@ -41,7 +41,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and whether they decode to the text."""
     path, pattern = bpe.default_vocabulary()
-    done = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), path, pattern), path)
+    done = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 

@@ -425,6 +425,8 @@ def test_bpe_as_the_library(spark, documents, odd, vocabulary):
     docs = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).filter("text IS NULL OR length(text) < 100000").withColumn("ids", F.lit(1))
     got = bpe.decode_documents(bpe.encode_documents(docs, path, pattern), path).collect()
     assert len(got) == docs.count()
+    both = bpe.encode_and_decode(docs, path, pattern).collect()
+    assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in both) == Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got)
     for r in got:
         ids = library.encode_ordinary(r.text or "")
         assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)

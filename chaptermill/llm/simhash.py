@@ -77,7 +77,8 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
     q = queries.select(F.col("doc_id").alias("query_id"), F.col("bits").alias("query_bits"), F.explode(block_keys(F.col("bits"), radius)).alias("b"))
     p = prints.select("bits").distinct().select("bits", F.explode(block_keys(F.col("bits"), radius)).alias("b"))
     distance = F.bit_count(F.col("query_bits").bitwiseXOR(F.col("bits")))
-    return q.join(p, "b").filter(distance <= radius).select("query_id", "bits", distance.alias("distance")).distinct()
+    # Both sides grow with the data by the number of tables, which their sizes before don't tell: merge them.
+    return q.join(p.hint("merge"), "b").filter(distance <= radius).select("query_id", "bits", distance.alias("distance")).distinct()
 
 
 def near_documents(prints: DataFrame, radius: int = 3) -> DataFrame:

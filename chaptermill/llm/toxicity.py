@@ -33,12 +33,11 @@ def plain(word: str) -> str:
 
 
 def parts(word: str) -> list[int]:
-    """Buckets of a word's parts. Of a very long word only the n-grams of its first and last 64 characters."""
+    """Buckets of a word's parts."""
     w = f"<{plain(word)}>"
     found = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
-    for piece in [w] if len(w) <= 128 else [w[:64], w[-64:]]:
-        for n in (3, 4, 5):
-            found += [zlib.crc32(piece[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(piece) - n + 1)]
+    for n in (3, 4, 5):
+        found += [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(w) - n + 1)]
     return found
 
 

@@ -12,6 +12,7 @@ Null texts count as empty and give no ids. Texts of any length are taken whole.
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 from array import array
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text whose pretokens are held in memory at once.
-BLOCK_BYTES = 500_000
+BLOCK_BYTES = 1_000_000
 #: Known pretokens a task keeps before it starts afresh.
-KNOWN_PRETOKENS = 200_000
+KNOWN_PRETOKENS = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -34,44 +35,60 @@ class MergeReplay:
     """Encodes sets of pretokens by replaying all merges over them in rank order."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
+
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        self.made: dict[tuple[int, int], int] = {}  # of pairs seen, emptied when there are too many
+        self.shift = max(ranks.values()).bit_length()
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.pairs = np.full(65536, -1, np.int64)  # of two bytes
+        for b, r in ranks.items():
+            if len(b) == 2:
+                self.pairs[b[0] << 8 | b[1]] = r
+        self.start = {ranks[b[:1]] << self.shift | ranks[b[1:]]: r for b, r in ranks.items() if len(b) == 2}
+        self.made = dict(self.start)  # by pair of tokens, what it makes or -1; started afresh when too large
 
-    def rank_of(self, pair: tuple[int, int]) -> int:
+    def rank_of(self, left: int, right: int) -> int:
         """The token a pair makes, or -1."""
-        found = self.ranks.get(self.bytes_of[pair[0]] + self.bytes_of[pair[1]], -1)
-        self.made[pair] = found
+        found = self.made[left << self.shift | right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return found
 
+    def _index(self, raw: list[bytes]):
+        """Tokens of the pretokens end to end, each followed by -1; the start of each; and the positions of all
+        mergeable pairs of bytes by the rank of what they make."""
+        import numpy as np
+
+        data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+        ends = np.cumsum(np.array([len(b) + 1 for b in raw], np.int64))
+        tokens = self.single[data]
+        tokens[ends - 1] = -1
+        found = self.pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
+        found[ends[:-1] - 1] = -1  # the pair that starts at an end
+        found[ends - 2] = -1  # and the one that runs into it
+        at = np.flatnonzero(found >= 0)
+        rank = found[at]
+        order = np.argsort(rank, kind="stable")
+        rank, at = rank[order], at[order]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        index = dict(zip(rank[np.concatenate([[0], cuts])].tolist(), (x.tolist() for x in np.split(at, cuts)), strict=True)) if len(rank) else {}
+        return tokens.tolist(), [0, *ends[:-1].tolist()], index
+
     def encode(self, pretokens: list[str]) -> list[bytes]:
         """For each pretoken its ids as little-endian unsigned 32-bit integers."""
         if len(self.made) > KNOWN_PRETOKENS:
-            self.made.clear()
-        raw = [p.encode("utf-8", "surrogatepass") for p in pretokens]
-        ranks, single, made, rank_of = self.ranks, self.single, self.made, self.rank_of
-        done: list[bytes | None] = [None] * len(raw)
-        tokens: list[int] = []
-        starts: list[tuple[int, int, int]] = []
-        for i, b in enumerate(raw):
-            if (whole := ranks.get(b)) is not None:
-                done[i] = whole.to_bytes(4, "little")
-            else:
-                starts.append((i, len(tokens), len(b)))
-                tokens.extend([single[x] for x in b])
-                tokens.append(-1)
+            self.made = dict(self.start)
+        encoded = [p.encode("utf-8", "surrogatepass") for p in pretokens]
+        whole = [self.ranks.get(b) for b in encoded]
+        done = [r.to_bytes(4, "little") if r is not None else b"" for r in whole]
+        rest = [i for i, r in enumerate(whole) if r is None and encoded[i]]
+        if not rest:
+            return done
+        raw = [encoded[i] for i in rest]
+        tokens, starts, index = self._index(raw)
+        made, rank_of, shift = self.made, self.rank_of, self.shift
         n = len(tokens)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for at in range(n - 1):
-            left, right = tokens[at], tokens[at + 1]
-            if left >= 0 and right >= 0:
-                pair = (left, right)
-                r = made[pair] if pair in made else rank_of(pair)
-                if r >= 0:
-                    index.setdefault(r, []).append(at)
         heap = list(index)
         heapq.heapify(heap)
         early: list[int] = []  # positions where a pair appeared that should have gone first
@@ -83,27 +100,29 @@ class MergeReplay:
             at_rank.sort()
             for at in at_rank:
                 left = tokens[at]
-                if left < 0 or (next_at := after[at]) >= n or (right := tokens[next_at]) < 0 or made.get((left, right), -1) != rank:
+                next_at = after[at]
+                if left < 0 or (right := tokens[next_at]) < 0 or made.get(left << shift | right, -1) != rank:
                     continue
                 tokens[at] = rank
                 tokens[next_at] = -2
                 after[at] = far = after[next_at]
-                if far < n:
-                    before[far] = at
-                    if tokens[far] >= 0:
-                        pair = (rank, tokens[far])
-                        r = made[pair] if pair in made else rank_of(pair)
-                        if r >= 0:
-                            if r < rank:
-                                early.append(at)
-                            if r in index:
-                                index[r].append(at)
-                            else:
-                                index[r] = [at]
-                                heapq.heappush(heap, r)
-                if (near := before[at]) >= 0 and tokens[near] >= 0:
-                    pair = (tokens[near], rank)
-                    r = made[pair] if pair in made else rank_of(pair)
+                before[far] = at
+                if (right := tokens[far]) >= 0:
+                    r = made.get(rank << shift | right)
+                    if r is None:
+                        r = rank_of(rank, right)
+                    if r >= 0:
+                        if r < rank:
+                            early.append(at)
+                        if r in index:
+                            index[r].append(at)
+                        else:
+                            index[r] = [at]
+                            heapq.heappush(heap, r)
+                if (near := before[at]) >= 0 and (left := tokens[near]) >= 0:
+                    r = made.get(left << shift | rank)
+                    if r is None:
+                        r = rank_of(left, rank)
                     if r >= 0:
                         if r < rank:
                             early.append(at)
@@ -112,16 +131,25 @@ class MergeReplay:
                         else:
                             index[r] = [near]
                             heapq.heappush(heap, r)
-        for i, start, size in starts:
-            done[i] = array("I", [t for t in tokens[start : start + size] if t >= 0]).tobytes()
-        if early:
-            import bisect
-
-            firsts = [s for _, s, _ in starts]
-            for i in {starts[bisect.bisect_right(firsts, at) - 1][0] for at in early}:
-                done[i] = self.encode_alone(raw[i])
+        self._collect(tokens, starts, rest, done)
+        for k in {bisect.bisect_right(starts, at) - 1 for at in early}:
+            done[rest[k]] = self.encode_alone(raw[k])
         return done
 
+    @staticmethod
+    def _collect(tokens: list[int], starts: list[int], rest: list[int], done: list[bytes]) -> None:
+        """The tokens that are left of each pretoken, packed."""
+        import numpy as np
+
+        final = np.array(tokens, np.int64)
+        kept = final >= 0
+        packed = final[kept].astype("<u4").tobytes()
+        bounds = np.concatenate([np.cumsum(kept)[np.array(starts) - 1], [int(kept.sum())]]) * 4
+        bounds[0] = 0
+        edges = bounds.tolist()
+        for k, i in enumerate(rest):
+            done[i] = packed[edges[k] : edges[k + 1]]
+
     def encode_alone(self, raw: bytes) -> bytes:
         """One pretoken, the lowest rank first and leftmost among equals; for the rare pretokens where
         a merge makes a pair of lower rank than its own."""

@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from chaptermill.llm.common import GAP
 
 BUDGET, HISTORY = 512, 128
+#: Turn numbers that one task sorts together.
+STRETCH = 1024
 CONTROL = r"(INST\]|/INST\]|s>|/s>)"
 
 
@@ -49,46 +51,59 @@ def tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(text, GAP), lambda w: w != "")) + 2
 
 
+def in_order(turns: DataFrame) -> DataFrame:
+    """The turns with their conversation's key, pos (from 1), begin and end (prefix sums of tokens), target and
+    header (the first system turn). Turns are sorted in stretches of turn numbers; only one row a stretch goes
+    through the window of the whole conversation."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = turns.select(
+        key.alias("conv"), "conv_id", F.coalesce(F.expr(f"turn div {STRETCH}"), F.lit(-(1 << 63))).alias("stretch"), "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens(text).cast("long").alias("size")
+    )
+    is_system = F.col("role") == "system"
+    facts = cut.groupBy("conv", "stretch").agg(F.count("*").alias("n"), F.sum("size").alias("sum"), F.max(is_system).alias("has_system"))
+    before = Window.partitionBy("conv").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    told = facts.select(
+        "conv",
+        "stretch",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"),
+        F.min(F.when(F.col("has_system"), F.col("stretch"))).over(Window.partitionBy("conv")).alias("system_stretch"),
+    )
+    own = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    near = cut.select("*", F.row_number().over(own).alias("row"), F.sum("size").over(upto).alias("upto"), F.sum(is_system.cast("int")).over(upto).alias("systems"))
+    end = F.col("sum_before") + F.col("upto")
+    header = is_system & (F.col("systems") == 1) & (F.col("stretch") == F.col("system_stretch"))
+    return near.join(told, ["conv", "stretch"]).select(
+        "conv", "conv_id", "role", "text", (F.col("rows_before") + F.col("row")).alias("pos"), (end - F.col("size")).alias("begin"), end.alias("end"), (F.col("role") == "assistant").alias("target"), F.coalesce(header, F.lit(False)).alias("header")
+    )
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row a window: conv_id, window, formatted, repeated (pieces repeated at the start) and mask,
+    """One row a window: conv_id, window (rising along the conversation), formatted, repeated (pieces repeated at the start) and mask,
     an array of (start, length) in code points of ``formatted`` where the loss holds."""
     stride = max(1, budget // 2)
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = base.select(
-        "*",
-        F.row_number().over(in_order).alias("pos"),
-        (F.col("role") == "assistant").alias("target"),
-        tokens(F.col("text")).alias("size"),
-    )
+    placed = in_order(turns)
     body = F.concat(escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")))
     piece = F.when(F.col("target"), F.concat(F.lit("<s>"), body, F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), body, F.lit("[/INST]")))
-    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    first_system = F.min(F.when(F.col("role") == "system", F.col("pos"))).over(Window.partitionBy("conv_id"))
-    summed = (
-        marked.select("conv_id", "turn", "role", "text", "pos", "target", "size", piece.alias("piece"), (F.length(escape(F.col("text")))).alias("text_chars"))
-        .withColumn("end", F.sum("size").over(upto).cast("long"))
-        .withColumn("header", F.coalesce(F.col("pos") == first_system, F.lit(False)))
-        .withColumn("cell", F.floor((F.col("end") - 1) / stride))
+    spans = placed.select(
+        "conv", "conv_id", "pos", "target", "header", "begin", "end", piece.alias("piece"), F.length(escape(F.col("text"))).alias("text_chars"), (F.expr(f"(end - 1) div {stride}") + 1).alias("window")
     )
-    new_cell = F.coalesce(F.col("cell") != F.lag("cell").over(in_order), F.lit(True)).cast("int")
-    spans = summed.withColumn("new_cell", new_cell).withColumn("window", F.sum("new_cell").over(upto).cast("int"))
-    spans = spans.select("conv_id", "window", "pos", "piece", "target", "text_chars", "header", "end", "size")
-
-    # A turn can be repeated in few later spans only: their starts lie at least a stride apart, one aside.
-    reach = history // stride + 2
-    starts = spans.groupBy("conv_id", "window").agg(F.min(F.col("end") - F.col("size")).alias("start"))
+    starts = spans.groupBy("conv", "window").agg(F.min("begin").alias("start"))
     own = spans.select("conv_id", "window", "pos", "piece", "target", "text_chars", F.lit(2).alias("part"))
-    later = spans.filter("NOT header").withColumn("to", F.explode(F.sequence(F.col("window") + 1, F.col("window") + reach)))
+    # A turn is repeated where a span starts at its end or later, at most ``history`` after its start.
+    near = spans.filter(f"NOT header AND end - begin <= {history}")
+    near = near.withColumn("cell", F.explode(F.sequence(F.expr(f"end div {stride}"), F.expr(f"(begin + {history}) div {stride}"))))
     repeated = (
-        later.alias("t")
-        .join(starts.alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.to") == F.col("s.window")))
-        .filter(F.col("start") - (F.col("end") - F.col("size")) <= history)
-        .select("t.conv_id", F.col("to").alias("window"), "pos", "piece", F.lit(False).alias("target"), "text_chars", F.lit(1).alias("part"))
+        near.alias("t")
+        .join(starts.withColumn("cell", F.expr(f"start div {stride}")).alias("s"), ["conv", "cell"])
+        .filter(F.col("start").between(F.col("t.end"), F.col("t.begin") + history))
+        .select("t.conv_id", "s.window", "pos", "piece", F.lit(False).alias("target"), "text_chars", F.lit(1).alias("part"))
     )
     system = (
         spans.filter("header").alias("t")
-        .join(starts.alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.window") < F.col("s.window")))
+        .join(starts.alias("s"), (F.col("t.conv") == F.col("s.conv")) & (F.col("t.window") < F.col("s.window")))
         .select("t.conv_id", "s.window", "pos", "piece", F.lit(False).alias("target"), "text_chars", F.lit(0).alias("part"))
     )
     parts = own.unionByName(repeated).unionByName(system)

@@ -25,6 +25,8 @@ BUCKETS = 1 << 14
 #: Bound of the labelled documents that the target model is fitted on.
 TARGET_ROWS = 20_000
 SEED = 29
+#: Rows around the k-th key that one task ranks.
+RANKED = 100_000
 
 
 def _features(hasher: WordHasher, texts: list[bytes]):
@@ -98,21 +100,29 @@ def _ratios(counts: DataFrame):
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+def top_k(scored: DataFrame, k: int, ranked: int = RANKED) -> DataFrame:
     """``scored`` (doc_id, key) with kept: the k rows of largest key, the lower doc_id first among equals.
 
-    A quantile sketch brackets the k-th key; rows above the bracket are kept, those below not, and
-    only the rows inside, about 1 in 2,000, are ranked.
+    A quantile sketch brackets the k-th key; rows above the bracket are kept, those below not. While more
+    than ``ranked`` rows lie inside, a sketch of these alone narrows the bracket, each time to about 1
+    in 2,500; only what is left is ranked.
     """
     n = scored.count()
     if k <= 0 or k >= n:
         return scored.withColumn("kept", F.lit(k > 0))
     accuracy = 10_000
-    middle = 1 - k / n
-    low, high = scored.select(F.percentile_approx("key", [max(0.0, middle - 2 / accuracy), min(1.0, middle + 2 / accuracy)], accuracy)).first()[0]
-    above = scored.filter(F.col("key") > high).count()
+    inside, left, low, high, above = scored, n, None, None, 0
+    while left > ranked or low is None:
+        middle = 1 - (k - above) / left
+        ends = inside.select(F.percentile_approx("key", [max(0.0, middle - 2 / accuracy), min(1.0, middle + 2 / accuracy)], accuracy)).first()[0]
+        if ends == [low, high]:
+            break  # what is left has one key, or as good as
+        low, high = ends
+        above += inside.filter(F.col("key") > high).count()
+        inside = inside.filter(F.col("key").between(low, high))
+        left = inside.count()
     place = Window.orderBy(F.desc("key"), F.asc("doc_id"))
-    inside = scored.filter(F.col("key").between(low, high)).withColumn("kept", F.row_number().over(place) <= k - above)
+    inside = inside.withColumn("kept", F.row_number().over(place) <= k - above)
     return inside.unionByName(scored.filter(F.col("key") > high).withColumn("kept", F.lit(True))).unionByName(scored.filter(F.col("key") < low).withColumn("kept", F.lit(False)))
 
 

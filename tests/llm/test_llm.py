@@ -158,6 +158,19 @@ def test_chat_round_trip(spark):
     assert chat.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_stretches_equal_one_window(spark, monkeypatch):
+    """Short stretches, with ties, nulls, negative turns and very long turns, give what one long stretch gives."""
+    roles = ["user", "assistant", "system", "assistant", None]
+    rows = [(c, t // 2 - 3 if t % 11 else None, roles[(t * (c or 0) + t) % 5], f"w{t} " * (90 if t % 17 == 0 else t % 7)) for c in (1, 2, None) for t in range(60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = []
+    for width in (3, 10_000):
+        monkeypatch.setattr(chat, "STRETCH", width)
+        found.append(sorted((str(w.conv_id), w.window, w.formatted, w.repeated, w.mask) for w in chat.windows(turns, budget=64, history=24).collect()))
+    assert found[0] == found[1]
+    assert any(w[3] > 1 for w in found[0])
+
+
 # 4. Jaccard join
 
 
@@ -357,6 +370,9 @@ def test_top_k_is_exact(spark):
     for k in (0, 1, 700, 2999, 3000, 4000):
         want = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
         assert {r.doc_id for r in resampling.top_k(scored, k).filter("kept").collect()} == want
+    spread = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.xxhash64("id") / 1e9).alias("key"))
+    want = {r.doc_id for r in spread.orderBy(F.desc("key")).limit(15_000).collect()}
+    assert {r.doc_id for r in resampling.top_k(spread, 15_000, ranked=3).filter("kept").collect()} == want
 
 
 def test_resampling_separates(spark, documents, sf_dir, odd):

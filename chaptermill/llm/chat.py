@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chaptermill.llm.common import GAP
+from chaptermill.llm.common import GAP, written
 
 BUDGET, HISTORY = 512, 128
 #: Turn numbers that one task sorts together.
@@ -90,6 +90,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     spans = placed.select(
         "conv", "conv_id", "pos", "target", "header", "begin", "end", piece.alias("piece"), F.length(escape(F.col("text"))).alias("text_chars"), (F.expr(f"(end - 1) div {stride}") + 1).alias("window")
     )
+    spans = written(spans, "chat-spans")  # read four times, each time other columns
     starts = spans.groupBy("conv", "window").agg(F.min("begin").alias("start"))
     own = spans.select("conv_id", "window", "pos", "piece", "target", "text_chars", F.lit(2).alias("part"))
     # A turn is repeated where a span starts at its end or later, at most ``history`` after its start.

@@ -48,6 +48,24 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bin_size: int
     return met.filter(overlaps(F.col("l_start_byte"), F.col("l_end_byte"), F.col("r_start_byte"), F.col("r_end_byte")) & (F.col("_bin") == later)).drop("_bin")
 
 
+def any_overlap(ranges: DataFrame, others: DataFrame, by: list[str], width: int = 1 << 22) -> DataFrame:
+    """``ranges`` that overlap one of ``others`` or more, in the sense of :func:`overlaps`, so empty and reversed ranges
+    count where it says so. One does if the ranges of ``others`` that start before its end reach beyond its start;
+    a key is swept in stretches of ``width``, each of which is told how far earlier ones reach. No pairs are made."""
+    own = [c for c in ranges.columns if c not in by]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (*by, "start_byte", "end_byte"))
+    asked = ranges.filter(known).select(*by, F.col("end_byte").alias("_at"), F.lit(0).alias("_kind"), F.struct(*own).alias("_range"))
+    opened = others.filter(known).select(*by, F.col("start_byte").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(asked.schema["_range"].dataType).alias("_range"), F.col("end_byte").alias("_reach"))
+    events = opened.unionByName(asked.withColumn("_reach", F.lit(None).cast("long"))).withColumn("_stretch", F.floor(F.col("_at") / width))
+    key = [*by, "_stretch"]
+    # At one place ends come before starts: a range that starts where another ends doesn't overlap it.
+    near = F.max("_reach").over(Window.partitionBy(*key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reached = events.groupBy(*key).agg(F.max("_reach").alias("_end")).select(*key, F.max("_end").over(earlier).alias("_far"))
+    swept = events.withColumn("_near", near).filter("_kind = 0").join(reached, key)
+    return swept.filter(F.greatest("_near", "_far") > F.col("_range.start_byte")).select(*by, "_range.*")
+
+
 def subtract(ranges: DataFrame, holes: DataFrame, by: list[str], bin_size: int = 1 << 16) -> DataFrame:
     """``ranges`` cut by the islands of ``holes``: one row a fragment, with the other columns of its range."""
     own = [c for c in ranges.columns if c not in (*by, "start_byte", "end_byte")]

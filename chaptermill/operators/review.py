@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chaptermill.operators.intervals import islands, subtract
+from chaptermill.operators.intervals import any_overlap, islands, subtract
 from chaptermill.operators.ordered import along, running_total
 
 
@@ -71,8 +71,8 @@ def range_faults(chapters: DataFrame, unassigned: DataFrame, books: DataFrame) -
         "order": F.coalesce(F.col("_at") < F.col("_before"), F.lit(False)),
     }
     own = placed.select("book_id", "ord", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(k)) for k, bad in tests.items()]))).alias("fault"))
-    u, c = unassigned.alias("u"), chapters.alias("c")
-    met = c.join(u, "book_id").filter(((F.col("u.start_byte") < F.col("content_end")) & (F.col("content_start") < F.col("u.end_byte"))) | ((F.col("u.start_byte") < F.col("heading_end")) & (F.col("heading_start") < F.col("u.end_byte"))))
+    asked = F.array(*[F.struct(F.col(f"{k}_start").alias("start_byte"), F.col(f"{k}_end").alias("end_byte")) for k in ("content", "heading")])
+    met = any_overlap(chapters.select("book_id", "ord", F.inline(asked)), unassigned, ["book_id"])
     return own.unionByName(met.select("book_id", "ord", F.lit("unassigned").alias("fault")).distinct())
 
 

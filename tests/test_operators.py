@@ -333,3 +333,22 @@ def test_add_recognition(spark):
     done, _ = run(22, None, None, None, None)
     assert spans(done) == [(1, 0, 2, 2, 10), (2, 12, 14, 14, 22), (3, None, None, 22, 25)]
     assert spans(run(12, 12, 14, 15, "Again")[0]) == spans(chapters)
+
+
+def test_range_faults_make_no_pairs(spark):
+    rng = random.Random(5)
+    chapters = [(b, i + 1, f"{b}{i}", *([None, None] if rng.random() < 0.3 else [rng.randint(0, 90), rng.randint(0, 90)]), rng.randint(0, 90), rng.randint(0, 90)) for b in "ab" for i in range(60)]
+    chapters += [("c", 1, "c1", None, None, 5, 5), ("c", 2, "c2", None, None, 9, 9), ("c", 3, "c3", None, None, 20, 30), ("c", 4, "c4", None, None, 31, 40)]
+    holes = [(b, rng.randint(0, 90), rng.randint(0, 90)) for b in "ab" for _ in range(3)] + [("c", 3, 9), ("c", 25, 25), ("c", 40, 41), ("c", 10, 20)]
+    met = lambda s, e, u, v: None not in (s, e) and u < e and s < v
+    want = {(c[0], c[1]) for c in chapters for b, u, v in holes if b == c[0] and (met(c[5], c[6], u, v) or met(c[3], c[4], u, v))}
+    assert {("c", 1), ("c", 3)} <= want and not {("c", 2), ("c", 4)} & want
+    ranges = frame(spark, holes, "book_id string, start_byte long, end_byte long")
+    found = review.range_faults(frame(spark, chapters, CHAPTERS), ranges, frame(spark, [(b, 100) for b in "abc"], "book_id string, total long"))
+    assert sorted((r.book_id, r.ord) for r in found.filter("fault = 'unassigned'").collect()) == sorted(want)
+    # No join may compare ranges: within one book it would make every pair.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "start_byte" in line and " < " in line]
+    content = frame(spark, [(c[0], c[1], c[5], c[6]) for c in chapters], "book_id string, ord int, start_byte long, end_byte long")
+    got = intervals.any_overlap(content, ranges, ["book_id"], 16).collect()
+    assert sorted((r.book_id, r.ord) for r in got) == sorted({(c[0], c[1]) for c in chapters for b, u, v in holes if b == c[0] and met(c[5], c[6], u, v)})

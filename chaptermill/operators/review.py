@@ -3,7 +3,6 @@ content_start, content_end, accepted) and unassigned ranges (book_id, start_byte
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,57 +184,35 @@ def shifted_boundaries(chapters: DataFrame, lines: DataFrame, steps: int) -> Dat
     return target.filter((F.col("new_end") >= F.col("content_start")) & (F.col("new_end") <= F.coalesce("_guard", "new_end"))).select("book_id", "ord", "new_end")
 
 
-EDIT_RESULT = "book_id string, ord int, heading_start long, heading_end long, content_start long, content_end long"
-
-
 def boundary_edits(chapters: DataFrame, edits: DataFrame) -> DataFrame:
     """Chapters after a sequence of boundary edits (book_id, seq, ord, side, at), in order of seq.
 
     A chapter remembers the range the user asked for; its neighbours' later edits clamp it, and it gets back to
     what was asked for once they make room. An edit of ``start`` moves the end of the chapter before it, one of
-    ``end`` the start of the chapter after it, so the side edited last wins. Edits depend on the ones before
-    them, so those of one book run in one task; books are spread.
+    ``end`` the start of the chapter after it, so the side edited last wins. Only the last edit of a side counts
+    and a boundary is clamped by its two chapters alone, so no book is gathered in one task.
     """
-
-    def fold(key, chaps: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
-        chaps = chaps.sort_values("ord").reset_index(drop=True)
-        if not len(chaps):
-            return pd.DataFrame(columns=["book_id", "ord", "heading_start", "heading_end", "content_start", "content_end"])
-        headed = chaps["heading_start"].notna()
-        asked_start = chaps["heading_start"].where(headed, chaps["content_start"]).astype("int64").tolist()
-        asked_end = chaps["content_end"].astype("int64").tolist()
-        wins = {}
-        place = {int(o): i for i, o in enumerate(chaps["ord"])}
-        for move in moves.rename(columns=lambda c: c.rstrip("_")).sort_values("seq").itertuples():
-            i = place.get(int(move.ord))
-            if i is None:
-                continue
-            if move.side == "start":
-                asked_start[i] = int(move.at)
-                wins[i - 1] = "after"
-            else:
-                asked_end[i] = int(move.at)
-                wins[i] = "before"
-        start, end = list(asked_start), list(asked_end)
-        for i in range(len(chaps) - 1):
-            if end[i] > start[i + 1]:
-                if wins.get(i) == "before":
-                    start[i + 1] = end[i]
-                else:
-                    end[i] = start[i + 1]
-        rows = []
-        for i, c in enumerate(chaps.itertuples()):
-            s, e = start[i], max(start[i], end[i])
-            if headed[i]:
-                he = max(int(c.heading_end), s)
-                rows.append((key[0], int(c.ord), s, he, max(int(c.content_start), he), max(e, he)))
-            else:
-                rows.append((key[0], int(c.ord), None, None, s, e))
-        out = pd.DataFrame(rows, columns=["book_id", "ord", "heading_start", "heading_end", "content_start", "content_end"])
-        return out.astype({"heading_start": "Int64", "heading_end": "Int64"})
-
-    moves = edits.select(*[F.col(c).alias(f"{c}_") for c in ("book_id", "seq", "ord", "side", "at")])
-    return chapters.groupBy("book_id").cogroup(moves.groupBy("book_id_")).applyInPandas(fold, EDIT_RESULT)
+    starts = F.col("side").eqNullSafe("start")
+    book = F.struct("book_id").alias("_book")  # joins as a struct, so chapters without a book_id stay
+    last = lambda side, what: F.max_by(what, F.when(side, F.col("seq")))
+    asked = edits.groupBy(book, "ord").agg(
+        last(starts, "at").alias("_to_start"), F.max(F.when(starts, F.col("seq"))).alias("_start_seq"),
+        last(~starts, "at").alias("_to_end"), F.max(F.when(~starts, F.col("seq"))).alias("_end_seq"),
+    )
+    own = chapters.select(book, "ord", *[F.col(c).cast("long").alias(c) for c in ("heading_start", "heading_end", "content_start", "content_end")])
+    wanted = own.join(asked, ["_book", "ord"], "left").withColumns({"_start": F.coalesce("_to_start", "heading_start", "content_start"), "_end": F.coalesce("_to_end", "content_end")})
+    placed = along(wanted, ["_book"], "ord", before={"_before": "_end", "_before_seq": "_end_seq"}, after={"_after": "_start", "_after_seq": "_start_seq"})
+    # Of two edits of a boundary the later one wins; without any, the chapter after it does.
+    later = lambda end, start: F.coalesce(end > start, end.isNotNull())
+    start = F.when((F.col("_before") > F.col("_start")) & later(F.col("_before_seq"), F.col("_start_seq")), F.col("_before")).otherwise(F.col("_start"))
+    end = F.when((F.col("_end") > F.col("_after")) & ~later(F.col("_end_seq"), F.col("_after_seq")), F.col("_after")).otherwise(F.col("_end"))
+    clamped = placed.withColumns({"_start": start, "_end": end})
+    headed = F.col("heading_start").isNotNull()
+    heading_end = F.when(headed, F.greatest("heading_end", "_start"))
+    return clamped.select(
+        "_book.book_id", F.col("ord").cast("int").alias("ord"), F.when(headed, F.col("_start")).alias("heading_start"), heading_end.alias("heading_end"),
+        F.when(headed, F.greatest(F.col("content_start"), heading_end)).otherwise(F.col("_start")).alias("content_start"), F.greatest(F.col("_end"), F.col("_start"), heading_end).alias("content_end"),
+    )
 
 
 def unused_draft_id(ids: DataFrame) -> DataFrame:

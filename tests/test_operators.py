@@ -352,3 +352,47 @@ def test_range_faults_make_no_pairs(spark):
     content = frame(spark, [(c[0], c[1], c[5], c[6]) for c in chapters], "book_id string, ord int, start_byte long, end_byte long")
     got = intervals.any_overlap(content, ranges, ["book_id"], 16).collect()
     assert sorted((r.book_id, r.ord) for r in got) == sorted({(c[0], c[1]) for c in chapters for b, u, v in holes if b == c[0] and met(c[5], c[6], u, v)})
+
+
+def _edited_one_by_one(chapters, edits):
+    """What boundary_edits gives, edit by edit on lists."""
+    out = {}
+    for book in {c[0] for c in chapters}:
+        rows = sorted((c for c in chapters if c[0] == book), key=lambda c: c[1])
+        at, wins = {c[1]: i for i, c in enumerate(rows)}, {}
+        start, end = [c[5] if c[3] is None else c[3] for c in rows], [c[6] for c in rows]
+        for _, _, o, side, to in sorted((e for e in edits if e[0] == book and e[2] in at), key=lambda e: e[1]):
+            i = at[o]
+            if side == "start":
+                start[i], wins[i - 1] = to, "after"
+            else:
+                end[i], wins[i] = to, "before"
+        for i in range(len(rows) - 1):
+            if end[i] > start[i + 1]:
+                if wins.get(i) == "before":
+                    start[i + 1] = end[i]
+                else:
+                    end[i] = start[i + 1]
+        for i, c in enumerate(rows):
+            s, e = start[i], max(start[i], end[i])
+            he = None if c[3] is None else max(c[4], s)
+            out[book, c[1]] = (None, None, s, e) if he is None else (s, he, max(c[5], he), max(e, he))
+    return out
+
+
+def test_boundary_edits_on_spark_like_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ordered.along, "__defaults__", (8, None, None, None))
+    rng = random.Random(11)
+    chapters, edits = [], []
+    for book in ("a", "b", "c", None):
+        for i in range(40):
+            chapters.append((book, 3 * i + 1, f"{book}{i}", *([10 * i, 10 * i + 2] if rng.random() < 0.7 else [None, None]), 10 * i + 2, 10 * i + rng.randint(4, 10)))
+    for seq in range(150):
+        i = rng.randint(0, 41)
+        edits.append((rng.choice(["a", "b", "d", None]), seq, 3 * i + 1, rng.choice(["start", "end"]), 10 * i + rng.randint(-12, 20)))
+    rng.shuffle(edits)
+    found = review.boundary_edits(frame(spark, chapters, CHAPTERS), frame(spark, edits, "book_id string, seq int, ord int, side string, at long"))
+    got = {(r.book_id, r.ord): (r.heading_start, r.heading_end, r.content_start, r.content_end) for r in found.collect()}
+    assert got == _edited_one_by_one(chapters, edits)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan

@@ -16,9 +16,11 @@ shingles, of two at least; a pair just at the threshold misses all of these with
 *Join.* Documents with one set are one class; classes meet in the buckets of equal sketches. Each
 bucket first joins its members to its smallest one, verified on the sets; what is linked becomes
 one component. Buckets torn between components then join theirs to a member drawn by hash, and
-those still torn give the pairs across components. Of torn buckets of more than ``COLD`` classes,
-members that have enough parts outside such buckets to meet every partner there are left out,
-which loses nothing. Pairs are checked against the sizes and parity sketches of the whole sets,
+those still torn give the pairs across components. Torn buckets of more than ``COLD`` classes make no
+pairs: members that have enough parts outside such buckets meet every partner there, and the others
+(texts that share a long passage) meet each other by their rarest shingles, as in prefix filtering: of sets
+a <= b that link, one of the a // 7 + 1 rarest shingles of a is among the b // 4 + 1 rarest of b, and a
+passage isn't rare. Neither loses a pair. Pairs are checked against the sizes and parity sketches of the whole sets,
 four bits or more to a shingle, whose Hamming distance never exceeds the number of shingles that
 differ, before the sets themselves decide.
 
@@ -207,10 +209,9 @@ def may_link(a: str, b: str) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m) & (7 * widely <= n + m)
 
 
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys whose sets link. While the documents in question are few their ids are
+def _sets_of(wanted: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and tokens of the classes ``wanted`` (key). While the documents in question are few their ids are
     sent to the texts; beyond that texts are shuffled to them. After that only the sets in question move."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = written(wanted.join(known.select("key", "doc_id"), "key"), "jaccard-wanted")
     if wanted.count() <= IDS_TO_SEND:
         wanted = F.broadcast(wanted)
@@ -226,7 +227,12 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
                 out = [(k, t.view(np.int64)) for k, t in zip(keys, shingle_sets(hasher, texts), strict=True) if len(t) and set_key(t) == k]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    fetched = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "text").mapInArrow(sets, "key long, tokens array<long>"), "jaccard-sets")
+    return written(docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "text").mapInArrow(sets, "key long, tokens array<long>"), "jaccard-sets")
+
+
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class keys whose sets link."""
+    fetched = _sets_of(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), known, docs)
     joined = pairs.join(fetched.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(fetched.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return joined.filter(100 * shared >= 75 * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -265,17 +271,34 @@ def _from_leaders(rows: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(known.alias("p"), F.col("a") == F.col("p.key")).join(known.alias("q"), F.col("b") == F.col("q.key")).filter(may_link("p", "q")).select("a", "b")
 
 
-def _across(torn: DataFrame, known: DataFrame) -> DataFrame:
+def _by_rare_shingles(bound: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the classes ``bound`` (key, root), of different roots, that share a shingle that is rare among
+    them: all that link, and no others for a shingle that many have unless nearly all of a set is common."""
+    shingles = written(_sets_of(bound.select("key"), known, docs).join(bound, "key").select("key", "root", F.explode("tokens").alias("token")).distinct(), "jaccard-shingles")
+    counts = shingles.groupBy("token").agg(F.count("*").alias("count"), (F.min("root") != F.max("root")).alias("torn"))
+    ordered = shingles.join(counts, "token").groupBy("key", "root").agg(F.sort_array(F.collect_list(F.struct("count", "token", "torn"))).alias("rare"), F.count("*").alias("n"))
+    first = lambda share: F.filter(F.slice("rare", 1, F.floor(F.col("n") / share).cast("int") + 1), lambda t: t["torn"])["token"]
+    ordered = written(ordered.select("key", "root", "n", first(7).alias("few"), first(4).alias("more")), "jaccard-rare")
+    small, large = (ordered.select("key", "root", "n", F.explode(c).alias("token")) for c in ("few", "more"))
+    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    sizes = (4 * p("n") >= 3 * q("n")) & ((p("n") < q("n")) | ((p("n") == q("n")) & (p("key") < q("key"))))
+    met = small.alias("p").join(large.alias("q"), "token").filter(sizes & (p("root") != q("root")))
+    return met.select(F.least(p("key"), q("key")).alias("a"), F.greatest(p("key"), q("key")).alias("b")).distinct()
+
+
+def _across(torn: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys of different roots in one torn bucket that may link."""
-    # In large buckets a class stays only if too many of its parts lie in such buckets.
+    # A class of large buckets need not be paired there unless too many of its parts lie in such buckets.
     hot = torn.filter(f"size > {COLD}")
-    bound = hot.groupBy("key", "aux").count().filter(F.col("count") > F.col("aux").bitwiseAND(F.lit(0xFFFF))).select("key", "aux")
-    stay = torn.filter(f"size <= {COLD}").unionByName(hot.join(bound, ["key", "aux"], "left_semi")).select("sketch", "key", "root")
-    whole = Window.partitionBy("sketch")
-    stay = stay.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).filter("lo <> hi").drop("lo", "hi")
-    told = stay.join(known.drop("doc_id"), "key")
+    many = hot.groupBy("key", "root", "aux").count().filter(F.col("count") > F.col("aux").bitwiseAND(F.lit(0xFFFF)))
+    bound = written(many.select("key", "root").distinct(), "jaccard-bound")
+    told = torn.filter(f"size <= {COLD}").select("sketch", "key", "root").join(known.drop("doc_id"), "key")
     met = told.alias("p").join(told.alias("q"), "sketch").filter((F.col("p.key") < F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & may_link("p", "q"))
-    return met.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
+    pairs = met.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
+    if bound.isEmpty():
+        return pairs
+    rare = _by_rare_shingles(bound, known, docs).join(known.alias("p"), F.col("a") == F.col("p.key")).join(known.alias("q"), F.col("b") == F.col("q.key"))
+    return pairs.unionByName(rare.filter(may_link("p", "q")).select("a", "b")).distinct()
 
 
 def join_groups(docs: DataFrame) -> DataFrame:
@@ -300,7 +323,7 @@ def join_groups(docs: DataFrame) -> DataFrame:
     links = links.unionByName(linked(_from_leaders(leading, known)))
     roots = written(components(links), "jaccard-roots")
 
-    more = linked(_across(_torn(bucketed, roots), known))
+    more = linked(_across(_torn(bucketed, roots), known, docs))
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)), "jaccard-roots")
 

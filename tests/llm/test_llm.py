@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import struct
 from collections import Counter
@@ -219,6 +220,43 @@ def test_jaccard_against_all_pairs(spark):
     assert got == want
 
 
+def test_jaccard_does_not_pair_texts_of_one_passage(spark, monkeypatch):
+    rng = random.Random(23)
+    passage = [f"common{i}" for i in range(50)]  # 46 shingles of 76
+    bodies = [[f"w{rng.randrange(10**9)}" for _ in range(30)] for _ in range(300)]
+    rows = [(i, " ".join(passage + b)) for i, b in enumerate(bodies)]
+    rows += [(1000 + i, " ".join(passage + bodies[i][:-rng.randint(1, 14)] + ["x"] * (i % 3))) for i in range(0, 300, 6)]
+    rows += [(2000 + i, " ".join(passage + ["y"] * (i % 2) + bodies[i][: rng.randint(0, 29)])) for i in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, across = [], jaccard._across
+    with_all = lambda a, b: F.lit(True)
+
+    def counted(*args):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, "may_link", with_all)
+            met = across(*args)
+        seen.append(met.count())
+        return met
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.join_groups(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert got == {i: top(i) for i in sets}
+    assert len(seen) == 1 and seen[0] < 8000, seen  # of 77,000 pairs
+
+
 def test_jaccard_odd(spark, odd):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_groups(odd.withColumn("key", F.lit(0))).collect()]
     assert len(got) == len(ODD)

@@ -277,14 +277,16 @@ def _by_rare_shingles(bound: DataFrame, known: DataFrame, docs: DataFrame) -> Da
     shingles = written(_sets_of(bound.select("key"), known, docs).join(bound, "key").select("key", "root", F.explode("tokens").alias("token")).distinct(), "jaccard-shingles")
     counts = shingles.groupBy("token").agg(F.count("*").alias("count"), (F.min("root") != F.max("root")).alias("torn"))
     ordered = shingles.join(counts, "token").groupBy("key", "root").agg(F.sort_array(F.collect_list(F.struct("count", "token", "torn"))).alias("rare"), F.count("*").alias("n"))
-    ordered = written(ordered.select("key", "root", "n", F.slice("rare", 1, F.floor(F.col("n") / 4).cast("int") + 1).alias("rare")), "jaccard-rare")
-    large = ordered.select("key", "root", "n", F.posexplode("rare").alias("at", "r")).filter("r.torn").select("key", "root", "n", "at", "r.token")
+    bits = [f"s{i}" for i in range(4)]
+    ordered = written(ordered.join(known.select("key", *bits), "key").select("key", "root", "n", *bits, F.slice("rare", 1, F.floor(F.col("n") / 4).cast("int") + 1).alias("rare")), "jaccard-rare")
+    large = ordered.select("key", "root", "n", *bits, F.posexplode("rare").alias("at", "r")).filter("r.torn").select("key", "root", "n", *bits, "at", "r.token")
     small = large.filter(F.col("at") <= F.floor(F.col("n") / 7))
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
     sizes = (4 * p("n") >= 3 * q("n")) & ((p("n") < q("n")) | ((p("n") == q("n")) & (p("key") < q("key"))))
     # Of the shingles a linked pair shares, the rarest has all others after it in both sets.
     enough = 7 * F.least(p("n") - p("at"), q("n") - q("at")) >= 3 * (p("n") + q("n"))
-    met = small.alias("p").join(large.alias("q"), "token").filter(sizes & enough & (p("root") != q("root")))
+    near = 7 * sum((F.bit_count(p(c).bitwiseXOR(q(c))) for c in bits[1:]), F.bit_count(p("s0").bitwiseXOR(q("s0")))) <= p("n") + q("n")
+    met = small.alias("p").join(large.alias("q"), "token").filter(sizes & enough & near & (p("root") != q("root")))
     return met.select(F.least(p("key"), q("key")).alias("a"), F.greatest(p("key"), q("key")).alias("b")).distinct()
 
 

@@ -220,26 +220,8 @@ def test_jaccard_against_all_pairs(spark):
     assert got == want
 
 
-def test_jaccard_does_not_pair_texts_of_one_passage(spark, monkeypatch):
-    rng = random.Random(23)
-    passage = [f"common{i}" for i in range(50)]  # 46 shingles of 76
-    bodies = [[f"w{rng.randrange(10**9)}" for _ in range(30)] for _ in range(300)]
-    rows = [(i, " ".join(passage + b)) for i, b in enumerate(bodies)]
-    rows += [(1000 + i, " ".join(passage + bodies[i][:-rng.randint(1, 14)] + ["x"] * (i % 3))) for i in range(0, 300, 6)]
-    rows += [(2000 + i, " ".join(passage + ["y"] * (i % 2) + bodies[i][: rng.randint(0, 29)])) for i in range(0, 300, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    seen, across = [], jaccard._across
-    with_all = lambda a, b: F.lit(True)
-
-    def counted(*args):
-        with monkeypatch.context() as m:
-            m.setattr(jaccard, "may_link", with_all)
-            met = across(*args)
-        seen.append(met.count())
-        return met
-
-    monkeypatch.setattr(jaccard, "_across", counted)
-    got = {r.doc_id: r.component_id for r in jaccard.join_groups(docs).collect()}
+def linked_sets(rows):
+    """Component of every id by all pairs that share a shingle."""
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     root = {i: i for i in sets}
 
@@ -250,21 +232,110 @@ def test_jaccard_does_not_pair_texts_of_one_passage(spark, monkeypatch):
 
     for i in sets:
         for j in sets:
-            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    assert got == {i: top(i) for i in sets}
-    assert len(seen) == 1 and seen[0] < 8000, seen  # of 77,000 pairs
+            if i < j and 4 * min(len(sets[i]), len(sets[j])) >= 3 * max(len(sets[i]), len(sets[j])):
+                shared = len(sets[i] & sets[j])
+                if 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
+                    a, b = sorted((top(i), top(j)))
+                    root[b] = a
+    return {i: top(i) for i in sets}
+
+
+@pytest.fixture
+def pairs_seen(monkeypatch):
+    """The number of pairs that each step of the join compares in full."""
+    seen, linked = [], jaccard._Join.linked
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        return linked(self, pairs)
+
+    monkeypatch.setattr(jaccard._Join, "linked", counted)
+    return seen
+
+
+def test_jaccard_does_not_pair_texts_of_one_passage(spark, pairs_seen):
+    rng = random.Random(23)
+    passage = [f"common{i}" for i in range(50)]  # 46 shingles of 76
+    bodies = [[f"w{rng.randrange(10**9)}" for _ in range(30)] for _ in range(300)]
+    rows = [(i, " ".join(passage + b)) for i, b in enumerate(bodies)]
+    rows += [(1000 + i, " ".join(passage + bodies[i][: -rng.randint(1, 14)] + ["x"] * (i % 3))) for i in range(0, 300, 6)]
+    rows += [(2000 + i, " ".join(passage + ["y"] * (i % 2) + bodies[i][: rng.randint(0, 29)])) for i in range(0, 300, 7)]
+    got = {r.doc_id: r.component_id for r in jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_sets(rows)
+    assert sum(pairs_seen) < 2000, pairs_seen  # of 77,000 pairs
+
+
+@pytest.mark.parametrize("words", [110, 700])
+def test_jaccard_pairs_of_copies_grow_with_the_copies(spark, pairs_seen, words):
+    """Copies with up to a twelfth of their words replaced, and texts that only share a passage of a third of their words
+    with them; the sets of 700 words and more are larger than those whose filled parts are all sent."""
+    rng = random.Random(7)
+    text = [f"t{rng.randrange(10**9)}" for _ in range(words)]
+    passage = text[: words // 3]
+
+    def edited():
+        out = list(text)
+        for _ in range(rng.randrange(0, words // 55)):
+            out[rng.randrange(words)] = f"e{rng.randrange(10**9)}"
+        return out
+
+    met = []
+    for copies in (150, 300):
+        rows = [(i, " ".join(edited())) for i in range(copies)]
+        rows += [(1000 + i, " ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(words - len(passage))])) for i in range(copies // 2)]
+        del pairs_seen[:]
+        got = {r.doc_id: r.component_id for r in jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if copies == 150:
+            assert got == linked_sets(rows)
+        met.append(sum(pairs_seen))
+    assert met[1] < 3 * met[0] and met[1] < 30 * 450, met
+
+
+def test_jaccard_large_sets_at_the_threshold(spark):
+    """Pairs of 300 to 2,000 shingles that just link or just don't, all with one passage that many share."""
+    rng = random.Random(11)
+    passage = [f"hot{i}" for i in range(90)]
+    rows, want = [], {}
+    for g, n in enumerate([300, 420, 700, 1024, 1100, 1500, 2000] * 3):
+        base = passage + [f"g{g}w{i}" for i in range(n - 86)]  # n shingles
+        for k, cut in enumerate((n - n // 4, n - n // 4 - 1 - n % 4)):  # 75 hundredths of the shingles, and fewer
+            rows.append((10 * g + k, " ".join(base[: cut + 4])))
+        rows.append((10 * g + 2, " ".join(base)))
+        rows.append((10 * g + 3, " ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(n)])))
+    got = {r.doc_id: r.component_id for r in jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_sets(rows)
+
+
+def test_jaccard_dealt_sketches(spark, monkeypatch):
+    """Sketches that are dealt to many groups of rows still meet those that are not."""
+    monkeypatch.setattr(jaccard, "OFTEN", 2)
+    rng = random.Random(5)
+    line = [f"b{i}" for i in range(12)]
+    rows = [(i, " ".join(line + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(2, 40))])) for i in range(150)]
+    rows += [(200 + i, t + " end" * (i % 3)) for i, t in rows[::3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.component_id for r in jaccard.join_groups(docs).collect()} == linked_sets(rows)
 
 
 def test_jaccard_odd(spark, odd):
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_groups(odd.withColumn("key", F.lit(0))).collect()]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_groups(odd.withColumn("key", F.lit(0)).withColumn("place", F.lit(0))).collect()]
     assert len(got) == len(ODD)
     by_id = {g[0]: g for g in got}
     assert by_id[2] == (2, 0, 2) and by_id[1] == (1, 0, 1) and by_id[4] == (4, 1, 4) and by_id[6][2] == 5 and by_id[7] == (7, 1, 7)
     assert jaccard.join_groups(odd.limit(0)).count() == 0
 
 
+def test_jaccard_without_or_with_repeated_ids(spark):
+    text = [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    rows = [(None, text[0] + " more"), (None, text[0]), (5, text[1]), (5, text[2]), (5, text[2]), (3, text[1] + " more"), (None, text[2] + " more")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, key int, place string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.join_groups(docs).collect()) == [(0, 0), (0, 0), (0, 5), (3, 3), (5, 3), (5, 5), (5, 5)]
+    once = jaccard.first_of_groups(docs)
+    assert once.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in once.collect())
+    assert got[1:] == [(3, text[1] + " more"), (5, text[2])] and got[0][0] == 0 and got[0][1].startswith("a0 ") and len(got) == 3
+
+
 def test_parity_sketch_bounds_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -275,24 +346,15 @@ def test_parity_sketch_bounds_difference():
 
 
 def test_bands_always_spare_parts():
-    """In bands up to 256 more parts are filled than a linked pair can differ in."""
+    """Every set has more filled parts than it can differ in from any partner of the band."""
     rng = np.random.default_rng(2)
-    for n in [*range(1, 40), 64, 65, 97, 128, 129, 193, 200, 256]:
-        for _ in range(20):
-            for sketch, aux in jaccard.band_sketches(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))):
-                if aux >> 16 <= 8:
-                    assert len(sketch) >= n // 3 + 1 and aux & 0xFFFF == len(sketch) - n // 3 - 1
-
-
-def test_larger_sets_hardly_ever_miss():
-    """The chance that a pair at the threshold agrees in none of the sampled parts, over sizes in a band."""
-    for top in (512, 4096, 65536):
-        parts = jaccard.parts_of(top)
-        for a in np.linspace(0.375 * top, top, 60):
-            b = min(a / 0.75, top)
-            apart, shared = (a + b) / 7 / parts, 3 * (a + b) / 7 / parts
-            agree = np.exp(-apart) * (1 - np.exp(-shared) * (1 + shared))
-            assert (1 - agree) ** jaccard.SAMPLED_PARTS < 1e-12
+    for n in [*range(1, 40), 64, 65, 97, 128, 129, 193, 200, 256, 257, 300, 500, 768, 769, 1000, 1024, 1025, 3000, 4096, 4097, 9000, 16384, 20000]:
+        for _ in range(20 if n < 3000 else 4):
+            for sketch, spare in jaccard.band_sketches(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))):
+                band = int(sketch[0]) & 15
+                assert all(int(x) & 15 == band for x in sketch)
+                most = max((n + m) // 7 for m in range((3 * n + 3) // 4, 4 * n // 3 + 1) if max(n, m) <= 4**band)
+                assert len(sketch) - spare == most + 1 and spare >= min(24, n // 2 - 2)
 
 
 # 5. SimHash

@@ -15,6 +15,9 @@ HEADING_START = (
     rf"|番外(?:[{JS_SPACE}]*[0-9〇零一二三四五六七八九十百千万两]+)?|chapter[{JS_SPACE}]+(?:[0-9]+|[ivxlcdm]+)"
 )
 HEADING_SUFFIX = rf"[{JS_SPACE}:：.．·\-—]"
+# A line of normalized text that starts as a heading, with its end; spaces in it don't reach over the line end.
+_IN_LINE = lambda pattern: pattern.replace(JS_SPACE, JS_SPACE.replace(r"\n", ""))
+HEADING_LINE = rf"(?i)(?<![^\n]){_IN_LINE(f'[{JS_SPACE}]*+(?>{HEADING_START})')}(?=\n|\z|{_IN_LINE(HEADING_SUFFIX)})[^\n]*+(?:\n|\z)"
 HEADING_MAX = 120
 # Limits of slices, of previews and of counted matches.
 SLICE_BYTES = 262_144
@@ -46,6 +49,25 @@ def heading_title(line: Column) -> Column:
     return F.regexp_replace(trim(line), "[\t \u3000]+", " ")
 
 
+def around_headings(text: Column) -> Column:
+    """Normalized text as an array of struct(piece, line): the text up to a line that starts as a heading, and that line
+    with its end; null after the last piece."""
+    return F.arrays_zip(F.split(text, HEADING_LINE).alias("piece"), F.regexp_extract_all(text, F.lit(HEADING_LINE), F.lit(0)).alias("line"))
+
+
+def running_starts(sizes: Column, block: int = 128) -> Column:
+    """The sum of the numbers before each in an array. Sums are made by blocks and then carried on, so the array
+    under way stays short."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
+    nothing = F.array().cast("array<bigint>")
+    start = lambda at: F.struct(at.alias("at"), nothing.alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    zero = F.lit(0).cast("bigint")
+    sums = F.aggregate(blocks, start(zero), lambda a, b: step(a, F.aggregate(b, zero, lambda t, x: t + x)), lambda a: a["out"])
+    carried = F.zip_with(blocks, sums, lambda b, at: F.aggregate(b, start(at), step, lambda a: a["out"]))
+    return F.when(F.size(sizes) == 0, nothing).otherwise(F.flatten(carried))
+
+
 def scan_lines(text: Column) -> Column:
     """Lines ended by CRLF, CR or LF; nothing after the last end is no line."""
     pieces = F.split(text, "\r\n?|\n")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chaptermill.functions import text as T
+from chaptermill.operators import structure
 from chaptermill.operators.ordered import WIDTH, along
+from chaptermill.operators.stored import stored
 
 # Fences and thresholds of an unusual length.
 IQR_FENCE, MAD_SCALE, MAD_THRESHOLD, LEAST_RATIO, LEAST_SAMPLE, RADIUS = 1.5, 1.4826, 3, 1.75, 4, 5
@@ -93,17 +95,10 @@ def reason(kind: Column, length: Column) -> Column:
     return F.when(kind == "empty", "无正文").when(kind == "short", F.concat(F.lit("偏短 · "), number)).when(kind == "long", F.concat(F.lit("偏长 · "), number))
 
 
-def line_lengths(lines: DataFrame) -> DataFrame:
-    """Lines (with body) with their visible code points."""
-    return lines.withColumn("visible", T.visible_length(F.col("body")).cast("long"))
-
-
-def body_lengths(chapters: DataFrame, lines: DataFrame) -> DataFrame:
-    """Visible code points of each chapter outside its heading; 0 for chapters without any. Chapters from
-    headings start and end at line starts, so lines are dealt to them by an as-of join over the headings."""
-    from chaptermill.operators.intervals import owner_of
-
-    spans = chapters.select("book_id", F.col("content_start").alias("start_byte"), F.col("content_end").alias("end_byte"), F.col("ord").alias("owner"))
-    dealt = owner_of(line_lengths(lines).select("book_id", F.col("start_byte").alias("at"), "visible"), spans, ["book_id"]).filter("inside")
-    sums = dealt.groupBy("book_id", F.col("owner").alias("ord")).agg(F.sum("visible").alias("length"))
-    return chapters.join(sums, ["book_id", "ord"], "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
+def body_lengths(parts: DataFrame) -> DataFrame:
+    """The chapters of books with length, the visible code points of their text outside the heading. They are counted
+    where texts are read; only counts by heading and part move. What comes before a book's first heading has no chapter."""
+    laid = stored(structure.layout(parts, measure=True), "measured")
+    counts = laid.select("book_id", "before", F.explode("visible").alias("v")).select("book_id", (F.col("before") + F.col("v.k")).cast("int").alias("ord"), "v.n")
+    sums = counts.filter("ord > 0").groupBy("book_id", "ord").agg(F.sum("n").alias("length"))
+    return structure.chapters_of(laid).join(sums, ["book_id", "ord"])

@@ -38,40 +38,46 @@ def book_sizes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("book_id").agg(F.sum(_closed(T.normalize(F.coalesce("text", F.lit(""))))).alias("total"))
 
 
-def lines(parts: DataFrame, keep_text: bool = False) -> DataFrame:
-    """book_id, part, pos, start_byte, body_end_byte, end_byte (and body) of every line of the normalized text."""
+def lines(parts: DataFrame) -> DataFrame:
+    """book_id, part, pos, start_byte, body_end_byte and end_byte of every line of the normalized text.
+
+    A part's line sizes move as one array and become rows after the last shuffle."""
     clean = parts.select("book_id", "part", T.normalize(F.coalesce("text", F.lit(""))).alias("text"))
-    starts = part_starts(clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"))).select("book_id", "part", "base", "bytes")
-    rows = clean.select("book_id", "part", F.posexplode(T.scan_lines(F.col("text"))).alias("pos", "body"))
-    sized = rows.withColumn("size", F.octet_length("body").cast("long"))
-    if not keep_text:
-        sized = sized.drop("body")
-    within = Window.partitionBy("book_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("at", F.coalesce(F.sum(F.col("size") + 1).over(within), F.lit(0))).join(starts, ["book_id", "part"])
-    start = F.col("base") + F.col("at")
-    return placed.select(
-        "book_id", "part", "pos", start.alias("start_byte"), (start + F.col("size")).alias("body_end_byte"),
-        (start + F.col("size") + 1).alias("end_byte"), *(["body"] if keep_text else []),
-    )
+    sizes = F.transform(T.scan_lines(F.col("text")), lambda x: F.octet_length(x)).alias("sizes")
+    rows = part_starts(clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), sizes)).filter("size(sizes) > 0")
+    starts = rows.select("book_id", "part", "base", "sizes", T.running_starts(F.transform("sizes", lambda n: (n + 1).cast("bigint"))).alias("starts"))
+    placed = starts.select("book_id", "part", "base", F.posexplode(F.arrays_zip("sizes", "starts")).alias("pos", "x"))
+    start = F.col("base") + F.col("x.starts")
+    return placed.select("book_id", "part", "pos", start.alias("start_byte"), (start + F.col("x.sizes")).alias("body_end_byte"), (start + F.col("x.sizes") + 1).alias("end_byte"))
 
 
-def layout(parts: DataFrame) -> DataFrame:
+def layout(parts: DataFrame, measure: bool = False) -> DataFrame:
     """One row a part: base (where it starts in the book), bytes, before (headings before it), found (its
     headings: title, line_start, heading_start, heading_end, line_end, counted from the part's start),
-    next_start (the first heading after it) and total (the book's bytes).
-
-    Texts are read once; what is no heading line goes on as its size only.
-    """
-    clean = parts.select("book_id", "part", F.posexplode(T.scan_lines(T.normalize(F.coalesce("text", F.lit(""))))).alias("pos", "body"))
-    rows = clean.select("book_id", "part", "pos", F.octet_length("body").cast("long").alias("size"), F.when(T.is_heading(F.col("body")), F.col("body")).alias("body"))
-    within = Window.partitionBy("book_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("at", F.coalesce(F.sum(F.col("size") + 1).over(within), F.lit(0)))
+    next_start (the first heading after it) and total (the book's bytes); where asked to ``measure``, also visible,
+    (k, n) for the n visible code points that follow k of its headings and are no heading.
+
+    Texts are read once and cut at headings; what moves is a row a heading and a part."""
+    clean = parts.select("book_id", "part", T.normalize(F.coalesce("text", F.lit(""))).alias("text"))
+    pieces = clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), F.posexplode(T.around_headings(F.col("text"))).alias("i", "x"))
+    line = F.rtrim(F.col("x.line"), F.lit("\n"))
+    heads = F.coalesce(T.is_heading(line), F.lit(False))
+    counted = F.coalesce(T.visible_length(F.col("x.piece")), F.lit(0)) + F.when(heads | F.col("x.line").isNull(), 0).otherwise(T.visible_length(line))
+    rows = pieces.select(
+        "book_id", "part", "bytes", "i", F.coalesce(F.octet_length("x.piece"), F.lit(0)).cast("long").alias("gap"), F.coalesce(F.octet_length(line), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.octet_length("x.line"), F.lit(0)).alias("taken"), F.when(heads, line).alias("body"), *([counted.cast("long").alias("n")] if measure else []),
+    )
+    within = Window.partitionBy("book_id", "part").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.col("gap") + F.coalesce(F.sum(F.col("gap") + F.col("taken")).over(within), F.lit(0)))
+    if measure:
+        placed = placed.withColumn("k", F.count("body").over(within))
     start = F.col("at") + F.octet_length(T.leading(F.col("body")))
     heading = F.struct(
         F.col("at").alias("line_start"), start.alias("heading_start"), (start + F.octet_length(T.trim(F.col("body")))).alias("heading_end"),
         (F.col("at") + F.col("size") + 1).alias("line_end"), T.heading_title(F.col("body")).alias("title"),
     )
-    sized = placed.groupBy("book_id", "part").agg(F.sum(F.col("size") + 1).alias("bytes"), F.sort_array(F.collect_list(F.when(F.col("body").isNotNull(), heading))).alias("found"))
+    visible = [F.collect_list(F.struct("k", "n")).alias("visible")] if measure else []
+    sized = placed.groupBy("book_id", "part").agg(F.max("bytes").alias("bytes"), F.sort_array(F.collect_list(F.when(F.col("body").isNotNull(), heading))).alias("found"), *visible)
 
     # Bases, counts and the next heading, in stretches of parts: only one row a stretch meets the whole book's.
     cut = sized.withColumn("stretch", F.floor(F.col("part") / WIDTH))
@@ -88,13 +94,18 @@ def layout(parts: DataFrame) -> DataFrame:
     joined = inner.join(stretches.select("book_id", "stretch", "offset", "counted", "far", "total"), ["book_id", "stretch"])
     return joined.select(
         "book_id", "part", (F.col("base") + F.col("offset")).alias("base"), "bytes", (F.col("before") + F.col("counted")).alias("before"), "found",
-        F.coalesce(F.col("near") + F.col("offset"), F.col("far")).alias("next_start"), "total",
+        F.coalesce(F.col("near") + F.col("offset"), F.col("far")).alias("next_start"), "total", *(["visible"] if measure else []),
     )
 
 
 def chapters(parts: DataFrame) -> DataFrame:
     """book_id, ord, title, heading and content ranges and the book's total bytes; one row a heading."""
-    rows = layout(parts).select("*", F.posexplode("found").alias("i", "h"))
+    return chapters_of(layout(parts))
+
+
+def chapters_of(laid: DataFrame) -> DataFrame:
+    """As :func:`chapters`, of what :func:`layout` gave."""
+    rows = laid.select("*", F.posexplode("found").alias("i", "h"))
     following = F.coalesce(F.col("base") + F.get("found", F.col("i") + 1)["line_start"], F.col("next_start"), F.col("total"))
     at = lambda name: F.col("base") + F.col(f"h.{name}")
     return rows.select(

@@ -88,13 +88,13 @@ def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def body_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = books.parts(spark, sf_dir)
-    return lengths.body_lengths(structure.chapters(parts), structure.lines(parts, keep_text=True)).select("book_id", *_long("ord", "length"))
+    return lengths.body_lengths(parts).select("book_id", *_long("ord", "length"))
 
 
 @query
 def length_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = books.parts(spark, sf_dir)
-    found = lengths.body_lengths(structure.chapters(parts), structure.lines(parts, keep_text=True)).select("book_id", "ord", "length", (F.col("ord") % 7 == 0).alias("accepted"))
+    found = lengths.body_lengths(parts).select("book_id", "ord", "length", (F.col("ord") % 7 == 0).alias("accepted"))
     found = stored(found, "lengths")
     return lengths.anomalies(found, "book_id", "ord").select("book_id", *_long("ord", "length"), "kind", lengths.reason(F.col("kind"), F.col("length")).alias("reason"))
 

@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymize(docs).drop("pii")
+    done = pii.pseudonymize(docs, pii.key_of(spark)).drop("pii")
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 

@@ -1,27 +1,31 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
-E-mail addresses, IPv4 addresses, dates, phone numbers, social security numbers, payment cards and
-hexadecimal secrets are found by pattern, validated (octets, calendar, Luhn sum, number ranges)
-and keyed-permuted within their format by an eight-round Feistel network whose round function
-is SHA-512. The permutation depends on the key alone, so equal values get equal pseudonyms in all
-documents and different values different ones. What doesn't validate is left as it is.
-
-* e-mail: in the local part letters, accented letters and digits each among their own; marks, case and
-  the domain stay
-* IPv4: the two halves of the address; the result is an address
+E-mail addresses, IP addresses, dates, phone numbers, social security numbers, payment cards, bank account
+numbers, access keys and hexadecimal secrets are found by pattern, validated (octets, calendar, Luhn and
+97 sums, number ranges) and keyed-permuted within their format by an eight-round Feistel network whose
+round function is SHA-512. The permutation depends on the key alone, so equal values get equal pseudonyms
+in all documents and different values different ones. What doesn't validate is left as it is.
+
+* e-mail: in the local part letters of each alphabet and digits each among their own; marks, ß, ς, case and
+  the domain stay; a local part with letters of other scripts is replaced whole, by 20 digits of its keyed digest
+* IPv4: the two halves of the address; the result is an address. IPv6: the hexadecimal digits in their places
 * date: within its century, days 1-28 among each other, 29-31 among each other, 29 February among
   leap years; ``yyyy-mm-dd``, ``dd/mm/yyyy`` or ``dd.mm.yyyy``; an unpadded day may gain a digit
-* phone, social security number: the digits after a country code; the number stays in its range
+* phone, social security number: the digits after a country code; numbers in the valid range (area and exchange
+  from 200; area neither 000, 666 nor 9xx) among each other, and other phone numbers among each other. A number that
+  starts with + and isn't grouped 3-3-4 keeps its country code (the first group, or two digits)
 * card: all digits but the last, which becomes the new Luhn digit; separators stay
+* bank account: letters and digits after the check digits, which become those of the new number; country and spaces stay
+* access key: letters and digits after the issuer's mark, each among their own; case stays
 * secret: 32 or more hexadecimal digits, at least one of them 0-9, within its case
 
-Null texts stay null, empty ones empty; texts of any length are taken whole. Repeated rows each
-get the same result.
+Null texts stay null, empty ones empty; texts and values of any length are taken whole. Repeated rows each
+get the same result. Other columns are carried along, but for one named pii.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaptermill.llm.common import let
@@ -30,19 +34,34 @@ KEY = "chaptermill-demo-key"
 ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,200}[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"
+_NAME = r"\p{L}\p{M}\p{N}"
+EMAIL = rf"(?<![{_NAME}._%+\-])[{_NAME}._%+\-]++@[{_NAME}\-]++(?:\.[{_NAME}\-]++)+"
+TOKEN = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)(?=[A-Z]*+[0-9])[0-9A-Z]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)(?=[A-Za-z_\-]*+[0-9])[0-9A-Za-z_\-]{20,})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*?::)(?![0-9A-Fa-f:]*?::[0-9A-Fa-f:]*?::)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9\-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])"
-DMY_DATE = r"(?<![0-9/.])(?:0?[1-9]|[12][0-9]|3[01])([/.])(?:0?[1-9]|1[0-2])\1(?:19|20)[0-9]{2}(?![0-9/])"
+DMY_DATE = r"(?<![0-9/.])(?:0?[1-9]|[12][0-9]|3[01])(?<mark>[/.])(?:0?[1-9]|1[0-2])\k<mark>(?:19|20)[0-9]{2}(?![0-9/])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
+ABROAD = r"(?<![0-9A-Za-z+])\+(?=[1-9](?:[ .\-/()]{0,2}[0-9]){8,14}(?![0-9]))[1-9][0-9]*+(?:[ .\-/()]{1,2}[0-9]++)*+"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
-FOUND = "|".join([EMAIL, SECRET, IPV4, ISO_DATE, DMY_DATE, SSN, PHONE, CARD])
+FOUND = "|".join([EMAIL, TOKEN, SECRET, IBAN, IPV6, IPV4, ISO_DATE, DMY_DATE, SSN, PHONE, ABROAD, CARD])
 
 DIGITS = "0123456789"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþœ"
+HEX = "0123456789abcdef"
+
+
+def _small(*ranges: tuple[int, int]) -> str:
+    """The small letters of code point ranges that have one capital each."""
+    letters = [chr(c) for first, last in ranges for c in range(first, last + 1)]
+    return "".join(c for c in letters if c.islower() and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c)
+
+
+#: Permuted each among its own: digits, Latin, Latin-1 and Latin Extended-A, Greek, Cyrillic.
+ALPHABETS = {"digits": DIGITS, "letters": LETTERS, "accented": _small((0xE0, 0xFE), (0x101, 0x17F)), "greek": _small((0x3AC, 0x3CE)), "cyrillic": _small((0x430, 0x45F), (0x48B, 0x4BF))}
 
 
 def _draw(key: str, kind: str, number: Column, seen: Column) -> Column:
@@ -65,16 +84,20 @@ def _rotated(s: Column, drawn: Column, alphabet: str) -> Column:
 
 def feistel(s: Column, alphabet: str, kind: str, key: str) -> Column:
     """A keyed permutation of the strings over ``alphabet`` of one length."""
-    n = F.length(s)
-    half = F.floor(n / 2).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, n).alias("r"))
-    done = F.aggregate(
-        F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
-        start,
-        lambda a, i: F.struct(a["r"].alias("l"), _rotated(a["l"], _draw(key, kind, i, a["r"]), alphabet).alias("r")),
-        lambda a: F.concat(a["l"], a["r"]),
-    )
-    return F.when(n < 2, _rotated(s, _draw(key, kind, F.lit(ROUNDS), F.lit("")), alphabet)).otherwise(done)
+
+    def of(s: Column) -> Column:
+        n = F.length(s)
+        half = F.floor(n / 2).cast("int")
+        start = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, n).alias("r"))
+        done = F.aggregate(
+            F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
+            start,
+            lambda a, i: F.struct(a["r"].alias("l"), _rotated(a["l"], _draw(key, kind, i, a["r"]), alphabet).alias("r")),
+            lambda a: F.concat(a["l"], a["r"]),
+        )
+        return F.when(n < 2, _rotated(s, _draw(key, kind, F.lit(ROUNDS), F.lit("")), alphabet)).otherwise(done)
+
+    return let(s, of)
 
 
 def _pair(left: Column, right: Column, m: int | Column, n: int | Column, kind: str, key: str) -> Column:
@@ -102,8 +125,12 @@ def _put_back(s: Column, symbols: Column, alphabet: str) -> Column:
 
 def _permuted(s: Column, alphabet: str, kind: str, key: str) -> Column:
     """``s`` with its characters of the alphabet permuted and all others in place."""
-    inside = F.array_join(F.filter(F.split(F.lower(s), ""), lambda c: (c != "") & (F.instr(F.lit(alphabet), c) > 0)), "")
-    return let(feistel(inside, alphabet, kind, key), lambda p: _put_back(s, p, alphabet))
+
+    def of(s: Column) -> Column:
+        inside = F.array_join(F.filter(F.split(F.lower(s), ""), lambda c: (c != "") & (F.instr(F.lit(alphabet), c) > 0)), "")
+        return let(feistel(inside, alphabet, kind, key), lambda p: _put_back(s, p, alphabet))
+
+    return let(s, of)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -131,16 +158,64 @@ def _ipv4(m: Column, key: str) -> Column:
     return let(moved, text)
 
 
+def _within(m: Column, valid, once) -> Column:
+    """``once`` repeated until the result is valid again: a permutation of the valid values."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), once(m), lambda a, i: F.when(valid(a), a).otherwise(once(a)))
+
+
 def _ssn(m: Column, key: str) -> Column:
     valid = lambda s: ~s.rlike("^(?:000|666|9)|-00-|-0000$")
-    once = lambda s: _permuted(s, DIGITS, "ssn", key)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), once(m), lambda a, i: F.when(valid(a), a).otherwise(once(a)))
-    return F.when(valid(m), walked).otherwise(m)
+    return F.when(valid(m), _within(m, valid, lambda s: _permuted(s, DIGITS, "ssn", key))).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
     country = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .\-]?)?(?=[(0-9])", 1)
-    return let(country, lambda c: F.concat(c, _permuted(F.substring(m, F.length(c) + 1, F.length(m)), DIGITS, "phone", key)))
+    valid = lambda s: s.rlike(r"^\(?[2-9][0-9]{2}\)?[ .\-]?[2-9]")
+    once = lambda s: _permuted(s, DIGITS, "phone", key)
+
+    def moved(c: Column) -> Column:
+        rest = F.substring(m, F.length(c) + 1, F.length(m))
+        return let(rest, lambda r: F.concat(c, F.when(valid(r), _within(r, valid, once)).otherwise(_within(r, lambda s: ~valid(s), once))))
+
+    return let(country, moved)
+
+
+def _abroad(m: Column, key: str) -> Column:
+    country = F.regexp_extract(m, r"^(\+(?:[0-9]{1,3}(?=[^0-9])|[17]|[0-9]{2}))", 1)
+    return let(country, lambda c: F.concat(c, _permuted(F.substring(m, F.length(c) + 1, F.length(m)), DIGITS, "abroad", key)))
+
+
+def _sum97(s: Column) -> Column:
+    """The remainder by 97 of digits and capitals, A standing for 10."""
+
+    def step(a: Column, c: Column) -> Column:
+        at = F.instr(F.lit(DIGITS + LETTERS.upper()), c) - 1
+        return F.pmod(F.when(at < 10, a * 10 + at).otherwise(a * 100 + at), F.lit(97))
+
+    return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(m: Column, key: str) -> Column:
+    def checked(s: Column) -> Column:
+        digits = F.lpad((98 - _sum97(F.concat(F.substring(s, 5, 40), F.substring(s, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(F.substring(s, 1, 2), digits, F.substring(s, 5, 40))
+
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    own = lambda p: F.lower(F.substring(p, 5, 40))
+    moved = lambda p: _permuted(_permuted(own(p), DIGITS, "iban", key), LETTERS, "iban letters", key)
+    new = let(plain, lambda p: let(F.concat(F.substring(p, 1, 4), F.upper(moved(p))), checked))
+    valid = let(plain, lambda p: F.length(p).between(15, 34) & (_sum97(F.concat(F.substring(p, 5, 40), F.substring(p, 1, 4))) == 1))
+    spaced = let(new, lambda n: F.when(F.instr(m, " ") > 0, F.rtrim(F.regexp_replace(n, "(.{4})", F.lit("$1 ")))).otherwise(n))
+    return F.when(valid, spaced).otherwise(m)
+
+
+def _ipv6(m: Column, key: str) -> Column:
+    return _permuted(m, HEX, "ipv6", key)
+
+
+def _token(m: Column, key: str) -> Column:
+    mark = F.regexp_extract(m, r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)", 0)
+    return let(mark, lambda k: F.concat(k, _permuted(_permuted(F.substring(m, F.length(k) + 1, F.length(m)), DIGITS, "token", key), LETTERS, "token letters", key)))
 
 
 #: Month and day of the days after the 28th that every year has.
@@ -185,20 +260,27 @@ def _date(m: Column, key: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     moved = local
-    for alphabet, kind in ((LETTERS, "letters"), (ACCENTED, "accented"), (DIGITS, "digits")):
+    for kind, alphabet in ALPHABETS.items():
         moved = _permuted(moved, alphabet, kind, key)
-    return F.concat(moved, F.substring(m, F.length(local) + 1, F.length(m)))
+    told = "".join(ALPHABETS.values())
+    other = F.exists(F.split(F.lower(local), ""), lambda c: c.rlike(r"[\p{L}\p{N}]") & ~c.isin("ß", "ς") & (F.instr(F.lit(told), c) == 0))
+    whole = F.substring(_draw(key, "address", F.lit(0), local), F.lit(1), F.lit(20))
+    return F.concat(F.when(other, whole).otherwise(moved), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def kind_of(m: Column) -> Column:
     return (
         F.when(F.instr(m, "@") > 0, "email")
+        .when(m.rlike(f"^{TOKEN}$"), "token")
         .when(m.rlike("^[0-9A-Fa-f]{32,}$"), "secret")
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z ]+$"), "iban")
+        .when(F.instr(m, ":") > 0, "ipv6")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ipv4")
         .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}$"), "date")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(F.length(F.regexp_replace(m, "[^0-9]", "")) >= 13, F.when(m.rlike(r"^[0-9 \-]+$"), "card").otherwise("phone"))
-        .otherwise("phone")
+        .when(m.rlike(f"^{PHONE}$"), "phone")
+        .when(m.rlike(r"^\+"), "abroad")
+        .otherwise("card")
     )
 
 
@@ -206,14 +288,21 @@ def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value; the value itself where it doesn't validate."""
 
     def of_kind(k: Column) -> Column:
-        secret = F.when(F.lower(m) == m, feistel(m, "0123456789abcdef", "secret", key)).otherwise(F.upper(feistel(F.lower(m), "0123456789abcdef", "secret", key)))
-        return (
-            F.when(k == "email", _email(m, key)).when(k == "secret", secret).when(k == "ipv4", _ipv4(m, key)).when(k == "date", _date(m, key)).when(k == "ssn", _ssn(m, key)).when(k == "card", _card(m, key)).otherwise(_phone(m, key))
-        )
+        secret = F.when(F.lower(m) == m, feistel(m, HEX, "secret", key)).otherwise(F.upper(feistel(F.lower(m), HEX, "secret", key)))
+        kinds = {"email": _email, "token": _token, "iban": _iban, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "abroad": _abroad}
+        found = F.when(k == "secret", secret)
+        for kind, of in kinds.items():
+            found = found.when(k == kind, of(m, key))
+        return found
 
     return let(kind_of(m), of_kind)
 
 
+def key_of(spark: SparkSession) -> str:
+    """The secret that the session names in spark.chaptermill.piiKey; the demonstration key where it names none."""
+    return spark.conf.get("spark.chaptermill.piiKey", KEY)
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with the values in ``text`` replaced and column pii: (kind, n) of what was, by kind."""
     own = [c for c in docs.columns if c != "pii"]
@@ -238,5 +327,5 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 
 def pseudonyms(docs: DataFrame) -> DataFrame:
     """Every document with its pseudonymized text and how many values were replaced, in all and by kind."""
-    done = pseudonymize(docs.select("doc_id", "text"))
+    done = pseudonymize(docs.select("doc_id", "text"), key_of(docs.sparkSession))
     return done.select("doc_id", "text", F.aggregate("pii", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("n_replaced"), "pii")

@@ -109,7 +109,8 @@ def edited(docs: DataFrame) -> DataFrame:
     wanted = following(docs).join(sizes, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n") / 3).cast("int").alias("third"))
     heads = texts.join(wanted, "doc_id").select(F.col("for_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("left(text, third)").alias("head"))
     rest = F.expr("left(text, CAST(length(text) - floor(length(text) / 3) AS INT))")
-    return texts.join(heads, "doc_id").select("doc_id", "text", "next_id", F.length("text").cast("long").alias("n_chars"), F.concat(rest, "head").alias("edited"))
+    changed = F.concat(rest, F.expr("left(head, CAST(floor(length(text) / 3) AS INT))")).alias("edited")
+    return texts.join(heads, "doc_id").select("doc_id", "text", "next_id", F.length("text").cast("long").alias("n_chars"), changed)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def digests(docs: DataFrame) -> DataFrame:
     are left out.
     """
     versions = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t"))))
-    both = edited(docs.select("doc_id", "text")).select("doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), versions.alias("x"))
-    key = ["doc_id", "next_id", "n_chars", "sha"]
+    both = edited(docs.select("doc_id", "text")).select("doc_id", "next_id", "n_chars", F.xxhash64("text").alias("place"), F.unhex(F.sha2("edited", 256)).alias("sha"), versions.alias("x"))
+    key = ["doc_id", "next_id", "n_chars", "place", "sha"]
     bits = fingerprints(both.select(*key, "x.v", "x.t"), [*key, "v"], "t")
     each = lambda v: F.max(F.when(F.col("v") == v, F.col("bits")))
     prints = written(bits.groupBy(*key).agg(each(0).alias("bits"), each(1).alias("edited_bits")), "simhash-prints")

@@ -8,7 +8,9 @@ documents in epochs, each in its own seeded order: full epochs first, of the las
 prefix whose tokens fit.
 
 Tokens are words. Null domains, languages and sources are leaves of their own, named ``unknown``.
-Documents without words are never selected. Rows that repeat a document are selected one by one.
+Documents without words are never selected. Rows of one doc_id stand together in the order, by a hash of
+their texts; rows that repeat both are selected one by one, so no leaf gives more than its budget. Rows without
+doc_id are placed by their texts. Other columns are carried along, but for mix_domain, mix_epoch and mix_tokens.
 
 No order is ever held in one task: tokens are summed by leaf and the first three digits of the
 seeded key, and only the bucket in which a leaf's budget ends, 1/4096 of the leaf, is sorted.
@@ -27,6 +29,8 @@ from chaptermill.llm.common import WORD, written
 LEVELS = ["domain", "lang", "source"]
 #: Leaves up to this number are sent to every task (about 100 bytes each); beyond, they are joined.
 LEAVES_TO_SEND = 50_000
+#: Stands for no doc_id where rows are ordered.
+LOWEST = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -84,32 +88,34 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return _shared(low, ["domain", "lang"], "source").select(*LEVELS, "tokens", "give")
 
 
-def _seeded(mix: Mix) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+def _seeded(mix: Mix, whole: Column, doc_id: Column, place: Column) -> Column:
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), place.cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), whole.cast("string"), name).cast("binary"))
 
 
 def plan(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
-    """One row a leaf: whole (full epochs), and cut_key and cut_id up to which the next epoch is selected."""
+    """One row a leaf: whole (full epochs), cut (the seeded key, doc_id and text hash up to which rows are in the next
+    epoch), and part (the key, doc_id and text hash of repeated rows of which the next epoch has n)."""
     leaf = leaf_columns(docs, domain)
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    base = written(docs.select("doc_id", *[c.alias(k) for k, c in leaf.items()], tokens.alias("n_tokens")).filter("n_tokens > 0"), "mix-tokens")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("place"), *[c.alias(k) for k, c in leaf.items()], tokens.alias("n_tokens"))
+    base = written(base.filter("n_tokens > 0"), "mix-tokens")
     given = written(budgets(base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), mix), "mix-budgets")
     leaves = given.select(*LEVELS, "tokens", "give", F.expr("give div tokens").alias("whole"), F.expr("give % tokens").alias("rest"))
-    keyed = with_leaves(base, leaves).withColumn("key", _seeded(mix)).withColumn("bucket", F.substring("key", 1, 3))
+    keyed = with_leaves(base, leaves).withColumn("key", _seeded(mix, F.col("whole"), F.col("doc_id"), F.col("place"))).withColumn("bucket", F.substring("key", 1, 3))
     order = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("upto", F.sum("n").over(order))
     # The first bucket that doesn't fit whole; a leaf whose buckets all fit has none.
     ends = sums.filter("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("room"))).alias("end"))
     ends = ends.select(*LEVELS, F.col("end.bucket").alias("bucket"), F.col("end.room").alias("room"))
-    last = keyed.join(ends, [*LEVELS, "bucket"])
-    within = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = last.withColumn("sum", F.sum("n_tokens").over(within)).filter("sum <= room")
-    cuts = fits.groupBy(*LEVELS).agg(F.max(F.struct("key", "doc_id")).alias("cut"))
-    return (
-        leaves.join(ends, LEVELS, "left")
-        .join(cuts, LEVELS, "left")
-        .select(*LEVELS, "whole", F.coalesce("cut.key", "bucket", F.lit("")).alias("cut_key"), F.coalesce("cut.doc_id", F.lit(-(1 << 63))).alias("cut_id"))
-    )
+    row = F.struct("key", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "place").alias("row")
+    last = keyed.join(ends, [*LEVELS, "bucket"]).groupBy(*LEVELS, "room", row).agg(F.max("n_tokens").alias("one"), F.sum("n_tokens").alias("n"))
+    within = Window.partitionBy(*LEVELS).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("room") - (F.col("sum") - F.col("n"))
+    placed = last.withColumn("sum", F.sum("n").over(within)).withColumn("times", F.when((left > 0) & (left < F.col("n")), F.floor(left / F.col("one"))))
+    cuts = placed.groupBy(*LEVELS).agg(F.max(F.when(F.col("sum") <= F.col("room"), F.col("row"))).alias("cut"), F.max(F.when(F.col("times") > 0, F.struct("row", "times"))).alias("part"))
+    start = F.struct(F.coalesce("bucket", F.lit("")).alias("key"), F.lit(LOWEST).alias("doc_id"), F.lit(LOWEST).alias("place"))
+    return leaves.join(ends, LEVELS, "left").join(cuts, LEVELS, "left").select(*LEVELS, "whole", F.coalesce("cut", start).alias("cut"), "part")
 
 
 def with_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -124,14 +130,19 @@ def select(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None) -> D
     docs = docs.select(*own)
     leaves = written(plan(docs, mix, domain), "mix-plan")
     names = {k: f"_mix_{k}" for k in LEVELS}
-    renamed = leaves.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("whole"), F.col("cut_key").alias("_cut_key"), F.col("cut_id").alias("_cut_id"))
+    renamed = leaves.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
     few = leaves.limit(LEAVES_TO_SEND + 1).count() <= LEAVES_TO_SEND
     clash = docs.select(F.struct(*own).alias("_doc"), *[c.alias(names[k]) for k, c in leaf_columns(docs, domain).items()], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("mix_tokens"))
     joined = clash.filter("mix_tokens > 0").join(F.broadcast(renamed) if few else renamed, list(names.values()))
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.col("_doc.doc_id").cast("string")).cast("binary"))
-    more = (key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & (F.col("_doc.doc_id") <= F.col("_cut_id")))
-    copies = F.col("whole") + F.when(more, 1).otherwise(0)
-    chosen = joined.withColumn("_n", copies).filter("_n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
+    doc_id, place = F.col("_doc.doc_id").cast("bigint"), F.xxhash64("_doc.text")
+    row = F.struct(_seeded(mix, F.col("_whole"), doc_id, place).alias("key"), F.coalesce(doc_id, F.lit(LOWEST)).alias("doc_id"), place.alias("place"))
+    joined = joined.withColumn("_row", row).withColumn("_n", F.col("_whole") + (F.col("_row") <= F.col("_cut")).cast("int"))
+    if not leaves.filter("part IS NOT NULL").isEmpty():
+        # Of rows that repeat doc_id and text only some fit; only those rows are numbered.
+        repeated = F.coalesce(F.col("_row") == F.col("_part.row"), F.lit(False))
+        some = joined.filter(repeated).withColumn("_at", F.row_number().over(Window.partitionBy(*names.values()).orderBy("_row")))
+        joined = joined.filter(~repeated).unionByName(some.withColumn("_n", F.col("_n") + (F.col("_at") <= F.col("_part.times")).cast("int")).drop("_at"))
+    chosen = joined.filter("_n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
     return chosen.select("_doc.*", F.col(names["domain"]).alias("mix_domain"), "mix_epoch", "mix_tokens")
 
 

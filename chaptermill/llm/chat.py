@@ -24,6 +24,8 @@ from chaptermill.llm.common import GAP, written
 BUDGET, HISTORY = 512, 128
 #: Turn numbers that one task sorts together.
 STRETCH = 1024
+#: Windows of a conversation that one task gives the system turn to.
+BLOCK = 256
 CONTROL = r"(INST\]|/INST\]|s>|/s>)"
 
 
@@ -102,9 +104,13 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         .filter(F.col("start").between(F.col("t.end"), F.col("t.begin") + history))
         .select("t.conv_id", "s.window", "pos", "piece", F.lit(False).alias("target"), "text_chars", F.lit(1).alias("part"))
     )
+    # The system turn meets the windows in blocks, so a long conversation is spread over tasks.
+    blocks = starts.groupBy("conv").agg(F.expr(f"max(window) div {BLOCK}").alias("last"))
+    headers = spans.filter("header").join(blocks, "conv").withColumn("block", F.explode(F.sequence(F.expr(f"window div {BLOCK}"), "last")))
     system = (
-        spans.filter("header").alias("t")
-        .join(starts.alias("s"), (F.col("t.conv") == F.col("s.conv")) & (F.col("t.window") < F.col("s.window")))
+        headers.alias("t")
+        .join(starts.withColumn("block", F.expr(f"window div {BLOCK}")).alias("s"), ["conv", "block"])
+        .filter(F.col("t.window") < F.col("s.window"))
         .select("t.conv_id", "s.window", "pos", "piece", F.lit(False).alias("target"), "text_chars", F.lit(0).alias("part"))
     )
     parts = own.unionByName(repeated).unionByName(system)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chaptermill.llm.common import written
+
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 8
 ROWS_PER_CLASS, TRAIN_CHARS = 1_500, 20_000
 EPOCHS, BATCH, RATE, SEED = 4, 2_048, 0.5, 5
@@ -223,13 +225,18 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, train_chars: int = TRAIN_CHARS) -> dict:
-    """A model from labelled rows outside the held-out fold."""
+    """A model from labelled rows outside the held-out fold: of each class ``rows_per_class`` documents of at most
+    ``train_chars`` characters. Of a doc_id with several such texts one is taken."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    few = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
+    # One place a labelled document of fitting length; texts are fetched for the chosen only.
+    fitting = docs.filter(F.length("text") <= train_chars).select("doc_id", F.xxhash64("text").alias("place")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("place").alias("place"))
+    fitting = written(fitting, "toxicity-labelled")
+    few = [fitting.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
     # At most twice rows_per_class ids are broadcast, and as many texts of train_chars fetched.
-    chosen = F.broadcast(few[0].unionByName(few[1]))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= train_chars).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+    chosen = F.broadcast(few[0].unionByName(few[1])).alias("c")
+    met = (F.col("d.doc_id") == F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("place"))
+    rows = docs.select("doc_id", "text").alias("d").join(chosen, met).select("d.doc_id", "text", "toxic").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
 

@@ -100,8 +100,21 @@ def _ratios(counts: DataFrame):
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
+def _of_equals(scored: DataFrame, k: int, inside: DataFrame, high: float, low: float, above: int) -> DataFrame:
+    """The last step of :func:`top_k` where a great many rows have one key, or as good as: their places are
+    counted over ranges of (key, doc_id), so no task holds them all."""
+    rank = F.struct(-F.col("key"), F.col("doc_id").isNull(), F.col("doc_id"))
+    dealt = written(inside.withColumn("_rank", rank).repartitionByRange("_rank").withColumn("_part", F.spark_partition_id()), "resampling-equals")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_rank")) + F.col("before")
+    judged = dealt.join(F.broadcast(before), "_part").withColumn("kept", place <= k - above).drop("_rank", "_part", "n", "before")
+    return judged.unionByName(scored.filter(F.col("key") > high).withColumn("kept", F.lit(True))).unionByName(scored.filter(F.col("key") < low).withColumn("kept", F.lit(False)))
+
+
 def top_k(scored: DataFrame, k: int, ranked: int = RANKED) -> DataFrame:
-    """``scored`` (doc_id, key) with kept: the k rows of largest key, the lower doc_id first among equals.
+    """``scored`` (doc_id, key) with kept: the k rows of largest key, the lower doc_id first among equals, and rows
+    without one last.
 
     A quantile sketch brackets the k-th key; rows above the bracket are kept, those below not. While more
     than ``ranked`` rows lie inside, a sketch of these alone narrows the bracket, each time to about 1
@@ -116,12 +129,12 @@ def top_k(scored: DataFrame, k: int, ranked: int = RANKED) -> DataFrame:
         middle = 1 - (k - above) / left
         ends = inside.select(F.percentile_approx("key", [max(0.0, middle - 2 / accuracy), min(1.0, middle + 2 / accuracy)], accuracy)).first()[0]
         if ends == [low, high]:
-            break  # what is left has one key, or as good as
+            return _of_equals(scored, k, inside, high, low, above)
         low, high = ends
         above += inside.filter(F.col("key") > high).count()
         inside = inside.filter(F.col("key").between(low, high))
         left = inside.count()
-    place = Window.orderBy(F.desc("key"), F.asc("doc_id"))
+    place = Window.orderBy(F.desc("key"), F.asc_nulls_last("doc_id"))
     inside = inside.withColumn("kept", F.row_number().over(place) <= k - above)
     return inside.unionByName(scored.filter(F.col("key") > high).withColumn("kept", F.lit(True))).unionByName(scored.filter(F.col("key") < low).withColumn("kept", F.lit(False)))
 

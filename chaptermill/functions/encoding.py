@@ -64,7 +64,8 @@ def probe(data: Column) -> Column:
     mark = bom(data)
     by_mark = F.when(mark == "utf-8", data).otherwise(F.lit(None))
     valid = F.is_valid_utf8(data.cast("string"))
-    wide = decode(data, mark)
+    # Python gets the bytes of UTF-16 candidates only.
+    wide = decode(F.when(mark.isin("utf-16le", "utf-16be"), data), mark)
     text = F.when(mark == "utf-8", F.when(valid, F.regexp_replace(by_mark.cast("string"), "^\ufeff", ""))).otherwise(wide)
     say = lambda status, encoding=None, method=None, reason=None: F.struct(
         *[F.lit(v).cast("string").alias(k) if not isinstance(v, Column) else v.alias(k) for k, v in (("status", status), ("encoding", encoding), ("method", method), ("reason", reason))]
@@ -79,7 +80,7 @@ def probe(data: Column) -> Column:
         .when(mark.isNotNull(), say("confirmed", mark, "bom"))
         .when(~valid, say("selection-required"))
         .when(~has_nul, say("confirmed", "utf-8", "strict-utf8"))
-        .when(plausible_utf16(data), say("selection-required"))
+        .when(plausible_utf16(F.when(mark.isNull() & valid & has_nul, data)), say("selection-required"))
         .otherwise(say("rejected", reason="binary-nul"))
     )
 
@@ -89,7 +90,8 @@ def decode_choice(data: Column, choice: Column, chosen_hash: Column) -> Column:
     found = probe(data)
     bound = chosen_hash == F.sha2(data, 256)
     encoding = F.when(choice.isNotNull(), choice).otherwise(found["encoding"])
-    text = decode(data, encoding)
+    plain = F.when(F.is_valid_utf8(data.cast("string")), F.regexp_replace(data.cast("string"), "^\ufeff", ""))
+    text = F.when(encoding == "utf-8", plain).otherwise(decode(F.when(encoding != "utf-8", data), encoding))
     error = (
         F.when(choice.isNotNull() & ~F.coalesce(bound, F.lit(False)), "source-changed")
         .when(choice.isNotNull() & ~choice.isin([*CHOICES, "utf-8"]), "encoding-not-allowed")

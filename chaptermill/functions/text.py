@@ -74,11 +74,6 @@ def scan_lines(text: Column) -> Column:
     return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
-def editor_lines(text: Column) -> Column:
-    """As :func:`scan_lines`, but with the last line, even an empty one."""
-    return F.split(text, "\r\n?|\n")
-
-
 def line_ends(text: Column) -> Column:
     """How many lines are complete; CR, LF and CRLF end one each."""
     return F.regexp_count(text, F.lit("\r\n?|\n"))
@@ -133,40 +128,46 @@ def count_text(current: Column, total: Column, limited: Column) -> Column:
     return F.concat(F.format_number(current, 0), F.lit(" / "), F.format_number(total, 0), F.when(limited, "+").otherwise(""))
 
 
-@F.pandas_udf(LongType())
-def utf16_to_byte(text: pd.Series, at: pd.Series) -> pd.Series:
-    """UTF-8 byte offset of a UTF-16 offset; null inside a surrogate pair or out of range."""
+def utf16_length(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
-    def one(t, n):
-        if t is None or n is None or n < 0:
-            return None
-        data = t.encode("utf-16-le")
-        if 2 * n > len(data):
-            return None
-        try:
-            return len(data[: 2 * int(n)].decode("utf-16-le").encode())
-        except UnicodeDecodeError:
-            return None
 
-    return pd.Series([one(t, n) for t, n in zip(text, at, strict=True)], dtype="Int64")
+def utf16_prefix(text: Column, at: Column) -> Column:
+    """The text up to a UTF-16 offset; null inside a surrogate pair or out of range."""
+    data = F.encode(text, "UTF-16BE")
+    pair = F.coalesce(F.hex(F.substring(data, 2 * at + 1, F.lit(1))).between("DC", "DF"), F.lit(False))
+    return F.when((at >= 0) & (2 * at <= F.octet_length(data)) & ~pair, F.decode(F.substring(data, F.lit(1), (2 * at).cast("int")), "UTF-16BE"))
+
+
+def utf16_to_byte(text: Column, at: Column) -> Column:
+    """UTF-8 byte offset of a UTF-16 offset; null inside a surrogate pair or out of range."""
+    return F.octet_length(utf16_prefix(text, at)).cast("long")
 
 
-@F.pandas_udf(LongType())
-def byte_to_utf16(text: pd.Series, at: pd.Series) -> pd.Series:
+def byte_to_utf16(text: Column, at: Column) -> Column:
     """UTF-16 offset of a UTF-8 byte offset; null inside a character or out of range."""
+    data = text.cast("binary")
+    return F.when((at >= 0) & (at <= F.octet_length(data)) & is_boundary(data, at), utf16_length(F.substring(data, F.lit(1), at.cast("int")).cast("string")))
+
+
+def to_editor(text: Column, at: Column) -> Column:
+    """The UTF-16 offset in the text with \\n for every CRLF, of an offset in the text itself; one inside a CRLF is the
+    place after it. Null inside a surrogate pair or out of range."""
+    before = utf16_prefix(text, at)
+    return at - F.regexp_count(before, F.lit("\r\n")).cast("long")
+
+
+def from_editor(text: Column, at: Column) -> Column:
+    """The UTF-16 offset in the text of an offset in the text with \\n for every CRLF; null out of range."""
+    pieces = F.split(text, "\r\n")
+    ends = F.slice(running_starts(F.transform(pieces, lambda p: utf16_length(p) + 1)), 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.when((at >= 0) & (at <= utf16_length(text) - F.size(pieces) + 1), at + F.size(F.filter(ends, lambda e: e <= at)))
+
 
-    def one(t, n):
-        if t is None or n is None or n < 0:
-            return None
-        data = t.encode()
-        if n > len(data):
-            return None
-        try:
-            return len(data[: int(n)].decode().encode("utf-16-le")) // 2
-        except UnicodeDecodeError:
-            return None
-
-    return pd.Series([one(t, n) for t, n in zip(text, at, strict=True)], dtype="Int64")
+def prefill(text: Column, start: Column, end: Column) -> Column:
+    """What a selection of code points puts into the search field: its text, if it isn't empty and lies in one line."""
+    found = F.substring(text, start + 1, end - start)
+    return F.when((end > start) & (found != "") & ~found.rlike("[\r\n]"), found)
 
 
 @F.pandas_udf(StructType([StructField("prefix", LongType()), StructField("suffix", LongType())]))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``; rows of a key are combined before they are shuffled."""
+    """The first row of each key in ``order``."""
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
 

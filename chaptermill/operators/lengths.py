@@ -15,14 +15,6 @@ from chaptermill.operators.stored import stored
 IQR_FENCE, MAD_SCALE, MAD_THRESHOLD, LEAST_RATIO, LEAST_SAMPLE, RADIUS = 1.5, 1.4826, 3, 1.75, 4, 5
 
 
-def quantile(ordered: Column, share: float) -> Column:
-    """The quantile of a sorted array at rank (n + 1) * share, interpolated and clamped to the ends."""
-    rank = (F.size(ordered) + 1) * F.lit(share)
-    at = F.floor(rank).cast("int")
-    low, high = F.get(ordered, at - 1), F.get(ordered, at)
-    return F.when(F.size(ordered) == 0, F.lit(None)).when(rank <= 1, F.get(ordered, F.lit(0))).when(rank >= F.size(ordered), F.element_at(ordered, -1)).otherwise(low + (rank - at) * (high - low))
-
-
 def median(values: Column) -> Column:
     """The middle of an array, the mean of the middle two of an even one."""
     ordered = F.sort_array(values)

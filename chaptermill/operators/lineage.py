@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chaptermill.operators.catalog import latest
+
 
 def affected(dependencies: DataFrame, revisions: DataFrame, producers: DataFrame) -> DataFrame:
     """Current revisions that depend on one of ``producers`` (producer_revision_id), one hop only."""
@@ -61,13 +63,8 @@ def conflicts(commands: DataFrame, active: DataFrame) -> DataFrame:
     return commands.join(held, "key", "left").filter(~F.coalesce(F.col("baseline_revision") == F.col("active_baseline"), F.lit(False)))
 
 
-def usable_previews(previews: DataFrame, now) -> DataFrame:
-    """Previews neither expired nor consumed, the last of each command. ``now`` is a timestamp column."""
+def usable_previews(previews: DataFrame, now, command: tuple[str, ...] = ("command_hash",)) -> DataFrame:
+    """Previews neither expired nor consumed, the last of each ``command``, of equal times the one of the smallest id. ``now``
+    is a timestamp column."""
     open_ones = previews.filter(F.col("consumed_at").isNull() & (F.col("expires_at") > now))
-    newest = F.row_number().over(Window.partitionBy("command_hash").orderBy(F.desc("created_at"), F.asc("preview_id")))
-    return open_ones.withColumn("_n", newest).filter("_n = 1").drop("_n")
-
-
-def prune_previews(previews: DataFrame, now) -> DataFrame:
-    """What is left when expired and consumed previews are deleted."""
-    return previews.filter(F.col("consumed_at").isNull() & (F.col("expires_at") > now))
+    return latest(open_ones, [*command], [F.desc("created_at"), F.asc("preview_id")])

@@ -23,12 +23,14 @@ def along(
     after: dict[str, str] | None = None,
 ) -> DataFrame:
     """``df`` with, by new name: ``totals``, sums of expressions over the rows before each row in its group;
-    ``before`` and ``after``, columns of the row before and after it, null at the ends of a group."""
+    ``before`` and ``after``, columns of the row before and after it, null at the ends of a group. Rows without
+    an order stand first in their group; rows without a group (a null in ``by``) are left out. Rows of one order stand
+    in no certain order."""
     totals, before, after = totals or {}, before or {}, after or {}
     key = [*by, "_stretch"]
     cut = df.select(
         "*",
-        F.floor(F.col(order) / width).alias("_stretch"),
+        F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))).alias("_stretch"),
         *[c.alias(f"_v_{n}") for n, c in totals.items()],
         *([F.struct(*[F.col(c).alias(n) for n, c in before.items()]).alias("_b")] if before else []),
         *([F.struct(*[F.col(c).alias(n) for n, c in after.items()]).alias("_a")] if after else []),
@@ -54,3 +56,12 @@ def along(
 def running_total(df: DataFrame, by: list[str], order: str, value: Column, into: str, width: int = WIDTH) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows before each row in its group."""
     return along(df, by, order, width, totals={into: value})
+
+
+def cyclic(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``df`` with next_value and previous_value, ``value`` of the row after and before in its group; after the last row
+    comes the first."""
+    placed = along(df, by, order, before={"_before": value}, after={"_after": value})
+    ends = df.groupBy(*by).agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    joined = placed.join(ends, by)
+    return joined.select(*df.columns, F.coalesce("_after", "_first").alias("next_value"), F.coalesce("_before", "_last").alias("previous_value"))

@@ -50,15 +50,6 @@ def adjust(chapters: DataFrame, adjustments: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ranges else F.col(c) for c in chapters.columns], F.lit("pending").alias("review_status"))
 
 
-def confirm(chapters: DataFrame) -> DataFrame:
-    """All chapters approved; books without chapters have nothing to confirm."""
-    return chapters.withColumn("review_status", F.lit("approved"))
-
-
-def unknown_adjustments(chapters: DataFrame, adjustments: DataFrame) -> DataFrame:
-    return adjustments.join(chapters.select("chapter_id"), "chapter_id", "left_anti")
-
-
 def range_faults(chapters: DataFrame, unassigned: DataFrame, books: DataFrame) -> DataFrame:
     """What makes chapters and unassigned ranges invalid: bounds, order, a heading that isn't before its content,
     overlap with unassigned ranges."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chaptermill.functions.encoding import CHOICES
+
 # The pages and the stage each belongs to.
 PAGE_STAGE = {
     "text-extraction": "01", "chapter-splitting": "01", "proofreading": "02", "script-management": "03", "character-extraction": "04",
@@ -67,6 +69,41 @@ def routed(events: DataFrame, windows: DataFrame) -> DataFrame:
     return events.join(windows, ["project_id", "session_id"])
 
 
+def newest(responses: DataFrame, key: list[str], generation: str) -> DataFrame:
+    """Responses of the last generation asked for by each key; earlier ones came late and are dropped."""
+    last = responses.groupBy(*key).agg(F.max(generation).alias(generation))
+    return responses.join(last, [*key, generation], "left_semi")
+
+
+def stored_input(json: Column) -> Column:
+    """struct(encoding, error) of a task's stored input: a null or absent encoding is ``automatic``; what is no object or
+    names an encoding that can't be chosen can't be retried."""
+    parsed = F.try_parse_json(json)
+    name = F.try_variant_get(parsed, "$.sourceEncoding", "string")
+    named = F.array_contains(F.json_object_keys(json), "sourceEncoding") & name.isNotNull()
+    broken = parsed.isNull() | ~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    error = F.when(broken, "input-broken").when(named & ~name.isin(*CHOICES, "utf-8"), "encoding-broken")
+    return F.struct(F.when(error.isNull(), F.when(named, name).otherwise("automatic")).alias("encoding"), error.alias("error"))
+
+
+def first_pages(stage: Column) -> Column:
+    """The first page of a stage, null where it has none."""
+    firsts = {}
+    for page, own in PAGE_STAGE.items():
+        if own:
+            firsts.setdefault(own, page)
+    found = F.lit(None).cast("string")
+    for own, page in firsts.items():
+        found = F.when(stage == own, page).otherwise(found)
+    return found
+
+
+def status_groups(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(application, project) items of a status bar (region, order, key), these by rising, those by falling order."""
+    region = lambda name: items.filter(F.col("region") == name)
+    return region("application").orderBy(F.asc("order"), F.asc("key")), region("project").orderBy(F.desc("order"), F.asc("key"))
+
+
 def stages(projects: DataFrame) -> DataFrame:
     """The 11 stages of each project (has_task, completed, reviewable)."""
     rows = projects.withColumn("stage", F.explode(F.sequence(F.lit(1), F.lit(11))))

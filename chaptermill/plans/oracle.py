@@ -104,6 +104,25 @@ _DEPENDENCIES = """items AS (
     CASE WHEN status = 'O' THEN 'current' ELSE 'superseded' END AS validity_status FROM items
 )"""
 _BASELINES = "b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS baseline_revision FROM orders)"
+_COMMANDS = (
+    _DEPENDENCIES
+    + ", "
+    + _BASELINES
+    + """, c AS (
+  SELECT o_custkey AS key, o_orderkey, baseline_revision AS held, baseline_revision - CASE WHEN o_custkey % 4 = 1 THEN 1 ELSE 0 END AS asked FROM b QUALIFY baseline_revision = max(baseline_revision) OVER (PARTITION BY o_custkey)
+), n AS (
+  SELECT c.*, count(r.revision_id) AS n, key % 3 <> 0 AND key % 7 <> 0 AND key % 50 > 10 AS opened FROM c LEFT JOIN revisions r ON r.l_orderkey = c.o_orderkey AND validity_status = 'current' GROUP BY ALL
+), outcomes AS (
+  -- The older preview, of nothing, is the last one left where the other expired or was consumed.
+  SELECT *, CASE WHEN asked <> held THEN 'conflict' WHEN key % 3 <> 0 AND (n = 0 OR (opened AND key % 5 <> 2)) THEN 'applied' ELSE 'preview-required' END AS outcome FROM n
+)"""
+)
+_LEGACY = (
+    "[" + ", ".join(f"['{n}', {repr(t) if t else 'NULL'}, {repr(e) if e else 'NULL'}]" for n, t, e in [
+        ("gb2312", "启程", None), ("gbk", "第一章", None), ("gbk", None, "decode-failed"), ("gb18030", "😀", None), ("gb18030", "第一章#", None), ("big5", "第一章", None), ("big5", None, "decode-failed"),
+        ("gb2312", None, "decode-failed"), ("shift_jis", None, "encoding-not-allowed"), ("gbk", None, "binary-nul"), ("utf-16le", "第一", None), ("utf-16be", "第一", None),
+    ]) + "]"
+).replace("第一章#'", "第一章' || chr(10)")
 _TASKS = """ev AS (
   SELECT user_id AS task_id, user_id % 10 AS project_id, event_id + 1 AS sequence, epoch_us(ts) // 1000000 AS occurred_at, CAST(floor(value) AS BIGINT) AS completed,
     CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' END AS state FROM events
@@ -226,7 +245,36 @@ SQL: dict[str, str] = {
     "accept_anomaly": f"WITH {_CHAPTERS} SELECT book_id, ord, ord % 2 = 0 AS accepted FROM chapters",
     "adjust_boundaries": f"WITH {_LOOSE} SELECT book_id, ord, heading_start, CASE WHEN ord % 6 = 0 THEN content_end - 1 ELSE content_end END AS content_end, 'pending' AS review_status FROM loose",
     "range_faults": f"WITH {_LOOSE} SELECT DISTINCT l.book_id, ord, 'unassigned' AS fault FROM loose l JOIN holes h ON h.book_id = l.book_id AND ((s < content_end AND content_start < e) OR (s < heading_end AND heading_start < e))",
-    "insert_linebreaks": r"SELECT doc_id, sha256(text[1:10] || chr(10) || text[11:20] || chr(10) || text[21:30] || chr(10) || text[31:]) AS sha256, CAST(27 AS BIGINT) AS after, CAST(25 AS BIGINT) AS before FROM documents WHERE regexp_full_match(text, '(?s)[\x00-\x7F]{40}[\x00-\x7F]*')",
+    "insert_linebreaks": r"""WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL
+    ), p AS (
+      SELECT doc_id, t, strlen(t) AS n, [strlen(t[1:30]), strlen(t[1:10]), strlen(t[1:20])] AS q, [least(30, length(t)), least(10, length(t)), least(20, length(t))] AS k,
+        list_filter(range(2, 6), lambda i: strlen(t[1:i]) = 5 AND i <= length(t))[1] AS five, doc_id % 4 = 0 AS more FROM d
+    ), f AS (
+      SELECT doc_id, t, n, CASE WHEN more THEN list_append(q, 5) ELSE q END AS points, CASE WHEN more AND five IS NOT NULL AND n >= 5 THEN list_append(k, five) ELSE k END AS places, more, five FROM p
+    ), g AS (
+      SELECT *, more AND n < 5 AS f1, len(list_distinct(points)) < len(points) AS f2, more AND n >= 5 AND five IS NULL AS f3,
+        len(list_filter(places, lambda i: (i > 0 AND t[i:i] IN (chr(10), chr(13))) OR t[i + 1:i + 1] IN (chr(10), chr(13)))) > 0 AS f4 FROM f
+    ), h AS (
+      SELECT *, concat_ws(',', CASE WHEN f1 THEN 'bounds' END, CASE WHEN f2 THEN 'repeated' END, CASE WHEN f3 THEN 'inside' END, CASE WHEN f4 THEN 'newline' END) AS faults, list_sort(places) AS z FROM g
+    ) SELECT doc_id, faults, CASE WHEN faults = '' THEN sha256(t[1:z[1]] || chr(10) || t[z[1] + 1:z[2]] || chr(10) || t[z[2] + 1:z[3]] || chr(10) || CASE WHEN more THEN t[z[3] + 1:z[4]] || chr(10) || t[z[4] + 1:] ELSE t[z[3] + 1:] END) END AS sha256,
+      n + len(list_filter(points, lambda x: x < n)) AS after, n + 1 - len(list_filter(list_sort(points), lambda x, i: x + i - 1 < n + 1)) AS before FROM h""",
+    "structure_faults": f"""WITH {_LOOSE}, p AS (
+      SELECT book_id, ord, CASE WHEN ord % 5 = 0 THEN NULL WHEN ord % 7 = 0 THEN book_id || '-1' WHEN ord % 11 = 0 THEN 'nobody' ELSE chapter_id END AS id, ord % 2 = 0 AND ord % 3 <> 0 AS ok FROM loose
+    ), j AS (
+      SELECT p.*, l.ord AS held, min(p.ord) OVER (PARTITION BY p.book_id, id) AS first FROM p LEFT JOIN loose l ON l.book_id = p.book_id AND l.chapter_id = id WHERE id IS NOT NULL
+    ) SELECT book_id, ord, 'unknown' AS fault FROM j WHERE held IS NULL UNION ALL SELECT book_id, ord, 'repeated' FROM j WHERE held IS NOT NULL AND ord > first
+      UNION ALL SELECT book_id, ord, 'acceptance' FROM j WHERE held % 2 = 0 AND NOT ok""",
+    "adjustment_faults": f"WITH {_LOOSE} SELECT book_id, chapter_id, 'repeated' AS fault FROM loose WHERE ord % 6 = 0 UNION ALL SELECT book_id, book_id || '-' || (max(ord) + 1), 'unknown' FROM loose GROUP BY book_id",
+    "structure_update": f"""WITH {_LOOSE} SELECT book_id, ord, CASE WHEN ord % 5 = 0 THEN 'chapter-' || left(sha256(book_id || ':' || ord), 32) WHEN ord % 7 = 0 THEN book_id || '-1' WHEN ord % 11 = 0 THEN 'nobody' ELSE chapter_id END AS chapter_id,
+      CASE WHEN ord % 5 = 0 THEN '未命名章节' ELSE title END AS title, 'pending' AS review_status FROM loose""",
+    "confirm_review": f"""WITH {_LOOSE} SELECT book_id, CASE WHEN book_id = 'src2' OR count(*) = 1 THEN 'refused' ELSE 'approved' END AS review_status,
+      CASE WHEN book_id = 'src2' THEN 0 ELSE count(*) - 1 END AS n_chapters FROM loose GROUP BY book_id""",
+    "leading_range": f"""WITH {_LOOSE}, m AS (
+      SELECT book_id, max(heading_start) FILTER (ord = 2) AS old, count(*) AS n FROM loose GROUP BY book_id HAVING old IS NOT NULL
+    ), u AS (
+      SELECT book_id AS user_id, s, e FROM holes UNION ALL SELECT book_id, 0, CASE WHEN n % 2 = 0 THEN old + 3 ELSE greatest(old - 20, 0) END FROM m
+    ) SELECT user_id AS book_id, s AS start_byte, e AS end_byte FROM ({_islands('u')})""",
     "fold_ranges": f"""WITH {_CHAPTERS}, i AS (
       SELECT c.book_id, ord, min(line) AS a, max(line) AS z FROM chapters c JOIN lines l ON l.book_id = c.book_id AND l.start_byte >= content_start AND l.start_byte < content_end GROUP BY ALL
     ) SELECT book_id, ord, a + 5 AS start_line, z - 5 AS end_line, z - a + 1 - 10 AS line_count FROM i WHERE z - a + 1 > 10""",
@@ -261,6 +309,17 @@ SQL: dict[str, str] = {
     "active_revision": f"WITH {_BASELINES} SELECT * FROM b QUALIFY baseline_revision = max(baseline_revision) OVER (PARTITION BY o_custkey)",
     "without_one_active": "SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS n_active FROM orders GROUP BY 1 HAVING n_active <> 1",
     "revision_history": "SELECT o_custkey, count(*) + 1 AS n, CAST(1 AS BIGINT) AS n_active, count(*) + 1 AS last FROM orders GROUP BY 1",
+    "review_outcomes": f"WITH {_COMMANDS} SELECT key, outcome, CASE WHEN outcome = 'applied' THEN CASE WHEN opened THEN key ELSE -key END END AS preview_id, n > 0 AS requires_confirmation, n AS n_affected, CASE WHEN outcome = 'applied' THEN asked + 1 END AS next_baseline FROM outcomes",
+    "review_commit": f"WITH {_COMMANDS} SELECT r.revision_id AS consumer_revision_id, l_orderkey AS previous_producer_revision_id, 'active' AS status FROM outcomes o JOIN revisions r ON r.l_orderkey = o.o_orderkey WHERE outcome = 'applied' AND validity_status = 'current'",
+    "stage_pages": f"""WITH {_FLAGS} SELECT project_id, lpad(CAST(n AS VARCHAR), 2, '0') AS stage_id, ['text-extraction', 'proofreading', 'script-management', 'character-extraction', 'crowd-voice-pool', NULL, 'chapter-parameters', 'asr-review', 'loudness-consistency', 'timeline-alignment', 'chapter-summary'][n] AS page FROM flags, range(1, 12) AS r(n)""",
+    "status_groups": "SELECT ['application', 'project'][s_suppkey % 3 + 1] AS region, s_nationkey AS \"order\", s_name AS key FROM supplier WHERE s_suppkey % 3 < 2",
+    "late_responses": "SELECT user_id, event_id, day(ts) AS generation FROM events QUALIFY day(ts) = max(day(ts)) OVER (PARTITION BY user_id)",
+    "stored_inputs": "SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'automatic' WHEN 2 THEN 'automatic' WHEN 3 THEN 'gbk' END AS encoding, CASE event_id % 6 WHEN 0 THEN 'input-broken' WHEN 5 THEN 'input-broken' WHEN 4 THEN 'encoding-broken' END AS error FROM events",
+    "probe_overview": f"""WITH {_TASKS}, {_BASELINES}, t AS (
+      SELECT task_id % 300 AS project_id, task_id, state FROM latest WHERE state <> 'succeeded' QUALIFY row_number() OVER (PARTITION BY task_id % 300 ORDER BY occurred_at DESC, task_id) = 1
+    ), a AS (SELECT o_custkey, o_orderkey FROM b QUALIFY baseline_revision = max(baseline_revision) OVER (PARTITION BY o_custkey))
+    SELECT c_custkey AS project_id, task_id, state, o_orderkey AS revision_id FROM customer LEFT JOIN t ON t.project_id = c_custkey LEFT JOIN a ON a.o_custkey = c_custkey""",
+    "cyclic_neighbours": "SELECT s_nationkey, s_suppkey, coalesce(lead(s_suppkey) OVER w, min(s_suppkey) OVER (PARTITION BY s_nationkey)) AS next_value, coalesce(lag(s_suppkey) OVER w, max(s_suppkey) OVER (PARTITION BY s_nationkey)) AS previous_value FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)",
     "task_latest_state": f"WITH {_TASKS} SELECT task_id, state, attempt, sequence, occurred_at FROM latest",
     "task_summary": f"WITH {_TASKS} SELECT task_id, state, least(300, greatest(0, completed)) AS completed, CAST(300 AS BIGINT) AS total, CAST(floor(least(300, greatest(0, completed)) / 300 * 100 + 0.5) AS BIGINT) AS percent, state IN ('pending', 'running') AS can_cancel, state IN ('failed', 'canceled') AS can_retry FROM latest",
     "task_recovery": f"WITH {_TASKS} SELECT task_id, CASE WHEN state IN ('pending', 'running') THEN 'failed' ELSE state END AS state, CASE WHEN state IN ('pending', 'running') THEN 'retryable' ELSE 'none' END AS recovery FROM latest",
@@ -281,7 +340,12 @@ SQL: dict[str, str] = {
     "closed_range_filter": "SELECT s_suppkey FROM supplier WHERE least(s_acctbal, 3000.0) <= 4000 AND greatest(s_acctbal, 3500.0) >= 2000 AND s_acctbal > 0",
     "encoding_probe": """SELECT doc_id, CASE doc_id % 8 WHEN 4 THEN 'rejected' WHEN 5 THEN 'rejected' WHEN 6 THEN 'selection-required' WHEN 7 THEN 'rejected' ELSE 'confirmed' END AS status,
       CASE doc_id % 8 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'utf-16be' END AS encoding, CASE doc_id % 8 WHEN 0 THEN 'strict-utf8' WHEN 1 THEN 'bom' WHEN 2 THEN 'bom' WHEN 3 THEN 'bom' END AS method,
-      CASE doc_id % 8 WHEN 4 THEN 'empty' WHEN 5 THEN 'utf-32' WHEN 7 THEN 'binary-nul' END AS reason FROM documents WHERE doc_id IS NOT NULL AND text <> ''""",
+      CASE doc_id % 8 WHEN 4 THEN 'empty' WHEN 5 THEN 'utf-32' WHEN 7 THEN 'binary-nul' END AS reason FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+      UNION ALL SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN 'selection-required' ELSE 'rejected' END, NULL, NULL, CASE doc_id % 8 WHEN 5 THEN 'utf-32' WHEN 6 THEN NULL WHEN 7 THEN 'binary-nul' ELSE 'empty' END FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = ''""",
+    "editor_positions": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS t FROM documents WHERE length(text) >= 50)
+      SELECT doc_id, 50 - CAST(len(regexp_extract_all(t[1:50], '\r\n')) AS BIGINT) AS editor, CAST(CASE WHEN t[50:51] = chr(13) || chr(10) THEN 51 ELSE 50 END AS BIGINT) AS back FROM t""",
+    "search_prefill": r"SELECT doc_id, CASE WHEN coalesce(text, '')[21:60] <> '' AND NOT regexp_matches(text[21:60], '[\r\n]') THEN text[21:60] END AS prefill FROM documents",
+    "legacy_samples": "SELECT doc_id, s[1] AS choice, s[2] AS text, s[3] AS error FROM (SELECT doc_id, " + _LEGACY + "[doc_id % 12 + 1] AS s FROM documents WHERE doc_id IS NOT NULL)",
     "utf16_offsets": "SELECT doc_id, strlen(substr(text, 1, 10)) AS at, CAST(10 AS BIGINT) AS back FROM documents WHERE length(text) >= 10",
     "source_names": f"WITH n AS (SELECT doc_id, doc_id % 8 AS k FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, k NOT IN (2, 3, 6) AS text, k NOT IN (4, 5, 6) AS safe, k NOT IN (5, 6) AS inside FROM n",
     "json_keys": "SELECT event_id, event_id % 9 <> 0 AS valid, CASE WHEN event_id % 9 = 1 THEN 'z' END AS unknown FROM events WHERE event_id % 9 IN (0, 1)",

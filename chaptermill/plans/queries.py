@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from chaptermill.functions import encoding, hashing
 from chaptermill.functions import text as T
-from chaptermill.operators import catalog, intervals, lengths, lineage, review, structure, tasks
+from chaptermill.operators import catalog, commands, intervals, lengths, lineage, review, structure, tasks
+from chaptermill.operators.ordered import cyclic
 from chaptermill.operators.stored import stored
 from chaptermill.sources import books
 from chaptermill.sources import text_files as files
@@ -298,11 +299,65 @@ def range_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def insert_linebreaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line breaks put into ASCII texts at three places, and where an offset goes and comes from."""
-    ascii_only = _table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]{40,}\z"))
-    data, points = F.col("text").cast("binary"), F.array(F.lit(30), F.lit(10), F.lit(20))
-    ordered = F.sort_array(points)
-    return ascii_only.select("doc_id", F.sha2(review.with_breaks(data, points).cast("binary"), 256).alias("sha256"), review.after_insertions(F.lit(25), ordered).cast("long").alias("after"), review.before_insertions(F.lit(27), points).cast("long").alias("before"))
+    """Line breaks put in after 10, 20 and 30 characters, in every fourth text also at byte 5: what is wrong with the places,
+    the text with the breaks if nothing is, and where its last byte goes and comes from."""
+    text = F.coalesce("text", F.lit(""))
+    after = [F.octet_length(F.left(text, F.lit(n))) for n in (30, 10, 20)]
+    points = F.when(F.col("doc_id") % 4 == 0, F.array(*after, F.lit(5))).otherwise(F.array(*after))
+    rows = _table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", text.cast("binary").alias("data"), points.alias("points"))
+    checked = rows.withColumn("faults", commands.insertion_faults(F.col("data"), F.col("points")))
+    end, ordered = F.octet_length("data"), F.sort_array("points")
+    return checked.select(
+        "doc_id", F.array_join("faults", ",").alias("faults"), F.when(F.size("faults") == 0, F.sha2(review.with_breaks(F.col("data"), F.col("points")).cast("binary"), 256)).alias("sha256"),
+        review.after_insertions(end, ordered).cast("long").alias("after"), review.before_insertions(end + 1, F.col("points")).cast("long").alias("before"),
+    )
+
+
+def _proposals(found: DataFrame) -> DataFrame:
+    """Chapters proposed anew: every fifth a new one without a heading, some under another chapter's or an unknown id."""
+    number = F.col("ord")
+    own = F.when(number % 7 == 0, F.concat("book_id", F.lit("-1"))).when(number % 11 == 0, "nobody").otherwise(F.col("chapter_id"))
+    asked = found.select("book_id", "ord", F.when(number % 5 != 0, own).alias("existing_id"), "title", F.when(number % 5 == 0, "missing").otherwise("source").alias("heading_kind"), ((number % 2 == 0) & (number % 3 != 0)).alias("accepted"))
+    return asked.withColumn("revision_id", F.col("book_id"))
+
+
+@query
+def structure_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _reviewed(spark, sf_dir).withColumn("accepted", F.col("ord") % 2 == 0)
+    return commands.structure_faults(found, _proposals(found)).select("book_id", *_long("ord"), "fault")
+
+
+@query
+def adjustment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjustments of every third chapter, of every sixth twice, and of one after the last."""
+    found = _reviewed(spark, sf_dir)
+    asked = found.filter("ord % 3 = 0").select("book_id", "chapter_id")
+    beyond = found.groupBy("book_id").agg(F.max("ord").alias("last")).select("book_id", F.concat_ws("-", "book_id", (F.col("last") + 1).cast("string")).alias("chapter_id"))
+    return commands.adjustment_faults(found, asked.unionByName(found.filter("ord % 6 = 0").select("book_id", "chapter_id")).unionByName(beyond))
+
+
+@query
+def structure_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.restructured(_proposals(_reviewed(spark, sf_dir))).select("book_id", *_long("ord"), "chapter_id", "title", "review_status")
+
+
+@query
+def confirm_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books confirmed, by their chapters but for the first; those of one chapter are refused."""
+    found = _reviewed(spark, sf_dir)
+    approved, refused = commands.confirmed(found.filter("ord > 1 AND book_id <> 'src2'"), _books(found))
+    counts = approved.groupBy("book_id", "review_status").agg(F.count("*").alias("n_chapters"))
+    return counts.unionByName(refused.select("book_id", F.lit("refused").alias("review_status"), F.lit(0).cast("long").alias("n_chapters")))
+
+
+@query
+def leading_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books whose first chapter isn't recognized: what is unassigned once the heading of the second has moved."""
+    found = _reviewed(spark, sf_dir)
+    facts = found.groupBy("book_id").agg(F.max(F.when(F.col("ord") == 2, F.col("heading_start"))).alias("old_start"), F.count("*").alias("n")).filter("old_start IS NOT NULL")
+    moved = facts.select("book_id", "old_start", F.when(F.col("n") % 2 == 0, F.col("old_start") + 3).otherwise(F.greatest(F.col("old_start") - 20, F.lit(0))).alias("new_start"))
+    leading = facts.select("book_id", F.lit(0).cast("long").alias("start_byte"), F.col("old_start").alias("end_byte"))
+    return commands.reconcile_leading(moved, _unassigned(found).unionByName(leading)).select("book_id", *_long("start_byte", "end_byte"))
 
 
 @query
@@ -441,6 +496,42 @@ def revision_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("key").alias("o_custkey"), *[c.cast("long").alias(n) for n, c in (("n", F.size("history")), ("n_active", F.size(F.filter("history", lambda h: h["active"]))), ("last", F.element_at("history", -1)["baseline_revision"]))])
 
 
+def _commands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commands with what they affect, active revisions, previews held): a customer commands its last order to be replaced, one
+    in four on an old baseline; two in three have looked at a preview, some of them long ago, used it, or saw something else."""
+    edges, revisions, _ = _dependencies(spark, sf_dir)
+    active = lineage.activate(_revisions(spark, sf_dir), ["o_custkey"]).filter("active").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("revision_id"), "baseline_revision")
+    number = F.col("key")
+    asked = active.select("key", "revision_id", (F.col("baseline_revision") - (number % 4 == 1).cast("int")).alias("baseline_revision"), F.concat(F.lit("command-"), number.cast("string")).alias("command_hash"))
+    hit = lineage.affected(edges, revisions, asked.select(F.col("revision_id").alias("producer_revision_id")))
+    told = stored(commands.previews(asked, hit), "commands")
+    nothing = F.array().cast("array<string>")
+    seen = told.filter("key % 3 <> 0").select(
+        number.alias("preview_id"), "baseline_revision", "command_hash", F.when(number % 5 != 2, F.col("affected")).otherwise(nothing).alias("affected"),
+        (number % 50).alias("created_at"), (number % 50 + 300).alias("expires_at"), F.when(number % 7 == 0, number % 50).alias("consumed_at"),
+    )
+    older = seen.select((-F.col("preview_id")).alias("preview_id"), "baseline_revision", "command_hash", nothing.alias("affected"), F.lit(-1).cast("long").alias("created_at"), F.lit(400).cast("long").alias("expires_at"), F.lit(None).cast("long").alias("consumed_at"))
+    return told, active, seen.unionByName(older)
+
+
+@query
+def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, active, held = _commands(spark, sf_dir)
+    done = commands.outcomes(told, active, held, F.lit(310))
+    following = F.when(F.col("outcome") == "applied", F.col("baseline_revision") + 1)
+    return done.select("key", "outcome", "preview_id", "requires_confirmation", F.size("affected").cast("long").alias("n_affected"), following.alias("next_baseline"))
+
+
+@query
+def review_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions that became stale by the commands that were applied."""
+    told, active, held = _commands(spark, sf_dir)
+    applied = commands.outcomes(told, active, held, F.lit(310)).filter("outcome = 'applied'")
+    edges, revisions, _ = _dependencies(spark, sf_dir)
+    replaced = applied.select(F.col("revision_id").alias("producer_revision_id"), (-F.col("revision_id")).alias("current_revision_id"))
+    return lineage.propagate(edges, revisions, replaced)[1].select("consumer_revision_id", "previous_producer_revision_id", "status")
+
+
 # Tasks
 
 _STATES = {"signup": "pending", "view": "running", "click": "running", "purchase": "succeeded", "error": "failed"}
@@ -519,6 +610,53 @@ def entry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("project_id", tasks.entry_page(F.col("has_task"), F.lit(False), last, F.col("reviewable"), F.col("completed")).alias("page"))
 
 
+@query
+def stage_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each stage of each project."""
+    found = tasks.stages(_flags(spark, sf_dir))
+    return found.select("project_id", "stage_id", tasks.first_pages(F.col("stage_id")).alias("page"))
+
+
+@query
+def status_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as items of a status bar."""
+    region = F.element_at(F.array(F.lit("application"), F.lit("project"), F.lit("other")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    groups = tasks.status_groups(_table(spark, sf_dir, "supplier").select(region.alias("region"), F.col("s_nationkey").alias("order"), F.col("s_name").alias("key")))
+    return groups[0].unionByName(groups[1])
+
+
+@query
+def late_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as responses to requests of a day, each day a new generation; the last day's count."""
+    asked = _table(spark, sf_dir, "events").select("user_id", "event_id", F.dayofmonth("ts").alias("generation"))
+    return tasks.newest(asked, ["user_id"], "generation").select("user_id", "event_id", *_long("generation"))
+
+
+@query
+def stored_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = ["{bad", '{"sourceEncoding":null}', "{}", '{"sourceEncoding":"gbk"}', '{"sourceEncoding":"latin"}', "[1]"]
+    json = F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select("event_id", json.alias("json"))
+    return rows.select("event_id", tasks.stored_input(F.col("json")).alias("x")).select("event_id", "x.*")
+
+
+@query
+def probe_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's active revision and the last of its tasks that isn't done."""
+    held = tasks.latest_state(_task_events(spark, sf_dir)).filter("state <> 'succeeded'").withColumn("project_id", F.col("task_id") % 300)
+    task = catalog.latest(held, ["project_id"], [F.desc("occurred_at"), F.asc("task_id")]).select("project_id", "task_id", "state")
+    active = lineage.activate(_revisions(spark, sf_dir), ["o_custkey"]).filter("active").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("revision_id"))
+    projects = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    return projects.join(task, "project_id", "left").join(active, "project_id", "left")
+
+
+@query
+def cyclic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next and previous supplier of a nation, around the end."""
+    found = cyclic(_table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], "s_suppkey", "s_suppkey")
+    return found.select("s_nationkey", "s_suppkey", "next_value", "previous_value")
+
+
 # Catalog and facets
 
 
@@ -580,7 +718,7 @@ def encoding_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(kind == 0, text.cast("binary")).when(kind == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), text.cast("binary"))).when(kind == 2, F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode(text, "UTF-16LE")))
     data = data.when(kind == 3, F.concat(F.lit(bytearray(b"\xfe\xff")), F.encode(text, "UTF-16BE"))).when(kind == 4, F.lit(bytearray(b""))).when(kind == 5, F.concat(F.lit(bytearray(b"\xff\xfe\x00\x00")), text.cast("binary")))
     data = data.when(kind == 6, F.concat(F.lit(bytearray(b"a\xff")), text.cast("binary"))).otherwise(F.concat(text.cast("binary"), F.lit(bytearray(b"\x00\x00"))))
-    rows = _table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", data.alias("data"))
+    rows = _table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", data.alias("data"))
     return rows.select("doc_id", encoding.probe(F.col("data")).alias("p")).select("doc_id", "p.*")
 
 
@@ -602,6 +740,38 @@ def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "at", T.byte_to_utf16(F.col("text"), F.col("at")).alias("back"))
 
 
+@query
+def editor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fiftieth character of texts with CRLF for every second one's line ends, in an editor and back."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    rows = _table(spark, sf_dir, "documents").filter("length(text) >= 50").select("doc_id", text.alias("text"))
+    moved = rows.withColumn("editor", T.to_editor(F.col("text"), F.lit(50)))
+    return moved.select("doc_id", "editor", T.from_editor(F.col("text"), F.col("editor")).cast("long").alias("back"))
+
+
+@query
+def search_prefill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What characters 20 to 60 of a text put into the search field."""
+    return _table(spark, sf_dir, "documents").select("doc_id", T.prefill(F.coalesce("text", F.lit("")), F.lit(20), F.lit(60)).alias("prefill"))
+
+
+# Bytes in legacy encodings, the text they stand for, and what can't be decoded.
+LEGACY = [
+    ("gb2312", "C6F4B3CC", "启程", None), ("gbk", "B5DAD2BBD5C2", "第一章", None), ("gbk", "814081", None, "decode-failed"), ("gb18030", "9439FC36", "😀", None),
+    ("gb18030", "B5DAD2BBD5C20A", "第一章\n", None), ("big5", "B2C4A440B3B9", "第一章", None), ("big5", "A4", None, "decode-failed"), ("gb2312", "B5DAFF", None, "decode-failed"),
+    ("shift_jis", "91E688EA", None, "encoding-not-allowed"), ("gbk", "B5DA00B5DA", None, "binary-nul"), ("utf-16le", "2C7B004E", "第一", None), ("utf-16be", "7B2C4E00", "第一", None),
+]
+
+
+@query
+def legacy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sample, by doc_id, decoded as its reader chose."""
+    sample = F.element_at(F.array(*[F.struct(F.lit(n).alias("choice"), F.lit(x).alias("hex")) for n, x, _, _ in LEGACY]), (F.col("doc_id") % len(LEGACY) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", sample.alias("s")).select("doc_id", "s.choice", F.unhex("s.hex").alias("data"))
+    done = rows.select("doc_id", "choice", encoding.decode_choice(F.col("data"), F.col("choice"), F.sha2("data", 256)).alias("d"))
+    return done.select("doc_id", "choice", F.col("d.text").alias("text"), F.col("d.error").alias("error"))
+
+
 @query
 def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which made-up file names and paths are accepted."""

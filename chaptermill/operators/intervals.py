@@ -9,10 +9,6 @@ from pyspark.sql.window import Window
 from chaptermill.operators.ordered import along
 
 
-def valid_range(start: Column, end: Column, total: Column) -> Column:
-    return (start >= 0) & (start <= end) & (end <= total)
-
-
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start < b_end) & (b_start < a_end)
 
@@ -66,22 +62,25 @@ def any_overlap(ranges: DataFrame, others: DataFrame, by: list[str], width: int
     return swept.filter(F.greatest("_near", "_far") > F.col("_range.start_byte")).select(*by, "_range.*")
 
 
-def subtract(ranges: DataFrame, holes: DataFrame, by: list[str], bin_size: int = 1 << 16) -> DataFrame:
-    """``ranges`` cut by the islands of ``holes``: one row a fragment, with the other columns of its range."""
+def subtract(ranges: DataFrame, holes: DataFrame, by: list[str], bin_size: int = 1 << 16, width: int = 1 << 22) -> DataFrame:
+    """``ranges`` cut by the islands of ``holes``: one row a fragment, with the other columns of its range. Each hole
+    knows its neighbours, so a pair of a range and a hole tells by itself the fragments at the hole's sides and
+    no range gathers its holes."""
     own = [c for c in ranges.columns if c not in (*by, "start_byte", "end_byte")]
-    solid = islands(holes, by)
+    solid = along(islands(holes, by, width), by, "start_byte", width, before={"before": "end_byte"}, after={"after": "start_byte"})
     met = overlap_join(ranges, solid, by, bin_size)
-    whole = [F.col(f"l_{c}") for c in ("start_byte", "end_byte", *own)]
-    cuts = met.groupBy(*by, *whole).agg(F.sort_array(F.collect_list(F.struct(F.col("r_start_byte").alias("s"), F.col("r_end_byte").alias("e")))).alias("cuts"))
-    starts = F.concat(F.array("l_start_byte"), F.transform("cuts", lambda c: F.greatest(c["e"], F.col("l_start_byte"))))
-    ends = F.concat(F.transform("cuts", lambda c: F.least(c["s"], F.col("l_end_byte"))), F.array("l_end_byte"))
-    pieces = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start_byte"), e.alias("end_byte"))), lambda p: p["start_byte"] < p["end_byte"])
-    cut = cuts.withColumn("p", F.explode(pieces)).select(*by, F.col("p.start_byte"), F.col("p.end_byte"), *[F.col(f"l_{c}").alias(c) for c in own])
+    first = F.col("r_before").isNull() | (F.col("r_before") <= F.col("l_start_byte"))
+    sides = F.array(
+        F.struct(F.when(first, F.col("l_start_byte")).alias("start_byte"), F.col("r_start_byte").alias("end_byte")),
+        F.struct(F.col("r_end_byte").alias("start_byte"), F.least("r_after", "l_end_byte").alias("end_byte")),
+    )
+    cut = met.withColumn("p", F.explode(sides)).filter("p.start_byte < p.end_byte").select(*by, "p.start_byte", "p.end_byte", *[F.col(f"l_{c}").alias(c) for c in own])
+    cuts = met.select(*by, *[F.col(f"l_{c}") for c in ("start_byte", "end_byte", *own)]).distinct()
     same = [F.col(f"u.{c}").eqNullSafe(F.col(f"c.{'l_' + c if c not in by else c}")) for c in (*by, "start_byte", "end_byte", *own)]
     condition = same[0]
     for s in same[1:]:
         condition = condition & s
-    whole_ones = ranges.filter("start_byte < end_byte").alias("u").join(cuts.drop("cuts").alias("c"), condition, "left_anti")
+    whole_ones = ranges.filter("start_byte < end_byte").alias("u").join(cuts.alias("c"), condition, "left_anti")
     return cut.unionByName(whole_ones.select(*by, "start_byte", "end_byte", *own))
 
 

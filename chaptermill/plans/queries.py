@@ -231,14 +231,14 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def range_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.islands(_ranges(spark, sf_dir), ["user_id"]).select("user_id", *_long("start_byte", "end_byte"))
+    return intervals.islands(_ranges(spark, sf_dir), ["user_id"], 86_400).select("user_id", *_long("start_byte", "end_byte"))
 
 
 @query
 def range_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ranges(spark, sf_dir)
     own = rows.filter("event_type = 'click'").drop("event_type")
-    return intervals.subtract(own, rows.filter("event_type = 'error'"), ["user_id"]).select("user_id", "event_id", *_long("start_byte", "end_byte"))
+    return intervals.subtract(own, rows.filter("event_type = 'error'"), ["user_id"], 3600, 86_400).select("user_id", "event_id", *_long("start_byte", "end_byte"))
 
 
 @query

@@ -16,7 +16,7 @@ HEADING_START = (
 )
 HEADING_SUFFIX = rf"[{JS_SPACE}:：.．·\-—]"
 # A line of normalized text that starts as a heading, with its end; spaces in it don't reach over the line end.
-_IN_LINE = lambda pattern: pattern.replace(JS_SPACE, JS_SPACE.replace(r"\n", ""))
+_IN_LINE = lambda pattern: pattern.replace(f"[{JS_SPACE}", "[" + JS_SPACE.replace(r"\n", ""))
 HEADING_LINE = rf"(?i)(?<![^\n]){_IN_LINE(f'[{JS_SPACE}]*+(?>{HEADING_START})')}(?=\n|\z|{_IN_LINE(HEADING_SUFFIX)})[^\n]*+(?:\n|\z)"
 HEADING_MAX = 120
 # Limits of slices, of previews and of counted matches.

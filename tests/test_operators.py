@@ -396,3 +396,72 @@ def test_boundary_edits_on_spark_like_one_by_one(spark, monkeypatch):
     assert got == _edited_one_by_one(chapters, edits)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_catalog_inserts_and_defaults(spark):
+    held = frame(spark, [(1, "a")], "id long, name string")
+    both = catalog.insert_missing(held, frame(spark, [(1, "b"), (2, "c")], "id long, name string"), ["id"])
+    assert sorted((r.id, r.name) for r in both.collect()) == [(1, "a"), (2, "c")]
+    assert [r.kind for r in catalog.with_default(held, "kind", "txt").collect()] == ["txt"]
+    assert sorted(r.kind for r in catalog.with_default(frame(spark, [(1, None), (2, "md")], "id long, kind string"), "kind", "txt").collect()) == ["md", "txt"]
+
+
+def test_routing_and_assets(spark):
+    events = frame(spark, [(1, "s1", 7), (1, "s2", 8), (2, "s1", 9)], "project_id long, session_id string, sequence long")
+    windows = frame(spark, [(1, "s1", "w")], "project_id long, session_id string, window string")
+    assert [(r.sequence, r.window) for r in tasks.routed(events, windows).collect()] == [(7, "w")]
+    manifest = frame(spark, [(str(i), (str(i), 5, "h")) for i in range(4)], "projectId string, sourceAsset struct<id:string,byteLength:long,sha256:string>")
+    stored = frame(spark, [("0", 5, "h"), ("1", 6, "h"), ("2", 5, "x")], "id string, byte_length long, sha256 string")
+    assert {r.id: r.fault for r in files.unmatched_assets(manifest, stored).collect()} == {"1": "length", "2": "hash", "3": "missing"}
+    names = frame(spark, [("　 a b ﻿",), ("a\x07",), ("  ",), (None,)], "n string")
+    assert [r.d for r in names.select(files.display_name(F.col("n")).alias("d")).collect()] == ["a b", None, None, None]
+
+
+def test_first_starts_in_a_stream(spark, tmp_path):
+    from chaptermill.streaming import tasks as streaming
+
+    schema = "project_id long, input_fingerprint string, occurred_at timestamp"
+    rows = frame(spark, [(1, "f", "2024-01-01 00:00:00"), (1, "f", "2024-01-01 01:00:00"), (1, "g", "2024-01-01 02:00:00"), (2, "f", "2024-01-01 03:00:00")], "project_id long, input_fingerprint string, at string")
+    rows.select("project_id", "input_fingerprint", F.to_timestamp("at").alias("occurred_at")).write.parquet(str(tmp_path / "in"))
+    firsts = streaming.first_starts(streaming.event_stream(spark, str(tmp_path / "in"), schema))
+    firsts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.project_id, r.input_fingerprint) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "f"), (1, "g"), (2, "f")]
+
+
+def test_editor_positions_against_lists(spark):
+    text = "a\r\nb😀\r\r\n\nc\r\n"
+    units = text.encode("utf-16-be")
+    low = [i for i in range(len(units) // 2) if 0xDC <= units[2 * i] <= 0xDF]
+    rows = frame(spark, [(i, text) for i in range(-1, len(units) // 2 + 2)], "i int, t string")
+    got = {r.i: (r.e, r.b) for r in rows.select("i", T.to_editor(F.col("t"), F.col("i")).alias("e"), T.from_editor(F.col("t"), T.to_editor(F.col("t"), F.col("i"))).alias("b")).collect()}
+    for i in range(-1, len(units) // 2 + 2):
+        if i < 0 or i > len(units) // 2 or i in low:
+            assert got[i][0] is None
+        else:
+            assert got[i][0] == i - units[: 2 * i].decode("utf-16-be").count("\r\n")
+            inside = units[2 * i - 2 : 2 * i + 2] == "\r\n".encode("utf-16-be")
+            assert got[i][1] == i + inside
+
+
+def test_running_starts(spark):
+    for n in (0, 1, 2, 127, 128, 129, 400):
+        values = [(7 * i) % 11 for i in range(n)]
+        row = frame(spark, [(values,)], "v array<bigint>").select(T.running_starts(F.col("v")).alias("s")).first()
+        assert row.s == [sum(values[:i]) for i in range(n)]
+
+
+def test_headings_cut_like_lines(spark):
+    """Cutting at headings finds the lines that the line rules call headings."""
+    lines = [a for a, _ in HEADINGS] * 2 + ["番外", "三 x", "chapter", "12 y", "  序章", "x 序章", "第一章\x0b", "终章：z", "第" + "甲" * 30 + "章"]
+    random.Random(3).shuffle(lines)
+    for text in ("\n".join(lines), "\n".join(lines) + "\n", "\n\n".join(lines)):
+        row = frame(spark, [(text,)], "t string").select(T.around_headings(T.normalize(F.col("t"))).alias("p")).first()
+        assert "".join((p.piece or "") + (p.line or "") for p in row.p) == text.replace(" ", " ")
+        found = frame(spark, [(p.line.rstrip("\n"),) for p in row.p if p.line], "l string").filter(T.is_heading(F.col("l"))).collect()
+        want = frame(spark, [(x,) for x in text.split("\n")], "l string").filter(T.is_heading(F.col("l"))).collect()
+        assert [r.l for r in found] == [r.l for r in want]
+
+
+def test_neighbours_keep_rows_without_an_order(spark):
+    rows = frame(spark, [("a", None), ("a", 1), ("a", 5000)], "g string, o long")
+    assert sorted(((r.o, r.next_value, r.previous_value) for r in ordered.cyclic(rows, ["g"], "o", "o").collect()), key=str) == sorted([(None, 1, 5000), (1, 5000, 5000), (5000, 1, 1)], key=str)

@@ -7,16 +7,26 @@ and read again, so a lost executor costs the stage at hand only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaptermill.llm import bpe, jaccard, mixing, pii, quality
-from chaptermill.llm.common import table, written
+from chaptermill.llm.common import table, unused, written
 
 #: Three quarters of the tokens that reach the mix, of any leaf at most two epochs.
 MIX = mixing.Mix(share=(3, 4), epochs=2)
 
 
+def _beside(docs: DataFrame, made: Callable[[DataFrame], DataFrame], *own: str) -> DataFrame:
+    """What ``made`` gives of ``docs``, with the columns of ``docs``: those that bear a name of the operator's ``own``
+    step aside meanwhile."""
+    aside = {c: unused(docs, f"{c}_") for c in docs.columns if c in own}
+    out = made(docs.withColumnsRenamed(aside)).drop(*own)
+    return out.withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep_good(docs)
@@ -29,13 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymize(docs, pii.key_of(spark)).drop("pii")
+    done = _beside(docs, lambda d: pii.pseudonymize(d, pii.key_of(spark)), "pii")
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix selects them: a row for each epoch."""
-    return mixing.select(docs, MIX).select(*docs.columns)
+    return _beside(docs, lambda d: mixing.select(d, MIX), "mix_domain", "mix_epoch", "mix_tokens")
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ loss mask has the assistant texts of the span itself; repeated ones are masked o
 
 Null texts and roles count as empty. Turns are ordered by turn, then role, then text, so ties
 and repeated rows have one order; each row is a turn of its own. A null conv_id is a
-conversation like any other. A turn longer than the budget is kept whole in its span.
+conversation like any other. A turn is never cut: a window has at most half the budget, the history, the system turn
+and what the span's last turn adds, so it fits the budget where the system turn and the largest turn have no more
+than half of it less the history; one beyond that is kept whole and its window is longer.
 """
 
 from __future__ import annotations

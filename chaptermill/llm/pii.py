@@ -7,7 +7,8 @@ round function is SHA-512. The permutation depends on the key alone, so equal va
 in all documents and different values different ones. What doesn't validate is left as it is.
 
 * e-mail: in the local part letters of each alphabet and digits each among their own; marks, ß, ς, case and
-  the domain stay; a local part with letters of other scripts is replaced whole, by 20 digits of its keyed digest
+  the domain stay; a local part with letters of other scripts, or of more than 256 characters, is replaced whole, by
+  20 digits of its keyed digest
 * IPv4: the two halves of the address; the result is an address. IPv6: the hexadecimal digits in their places
 * date: within its century, days 1-28 among each other, 29-31 among each other, 29 February among
   leap years; ``yyyy-mm-dd``, ``dd/mm/yyyy`` or ``dd.mm.yyyy``; an unpadded day may gain a digit
@@ -16,7 +17,7 @@ in all documents and different values different ones. What doesn't validate is l
   starts with + and isn't grouped 3-3-4 keeps its country code (the first group, or two digits)
 * card: all digits but the last, which becomes the new Luhn digit; separators stay
 * bank account: letters and digits after the check digits, which become those of the new number; country and spaces stay
-* access key: letters and digits after the issuer's mark, each among their own; case stays
+* access key: letters and digits after the issuer's mark (20 to 255 characters), each among their own; case stays
 * secret: 32 or more hexadecimal digits, at least one of them 0-9, within its case
 
 Null texts stay null, empty ones empty; texts and values of any length are taken whole. Repeated rows each
@@ -32,11 +33,13 @@ from chaptermill.llm.common import let
 
 KEY = "chaptermill-demo-key"
 ROUNDS = 8
+#: Letters of a local part that are permuted in place; no valid address has more than 64.
+LONG = 256
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{L}\p{M}\p{N}"
-EMAIL = rf"(?<![{_NAME}._%+\-])[{_NAME}._%+\-]++@[{_NAME}\-]++(?:\.[{_NAME}\-]++)+"
-TOKEN = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)(?=[A-Z]*+[0-9])[0-9A-Z]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)(?=[A-Za-z_\-]*+[0-9])[0-9A-Za-z_\-]{20,})(?![0-9A-Za-z])"
+EMAIL = rf"(?<![{_NAME}._%+\-])[{_NAME}._%+\-]++@[{_NAME}\-]++(?:\.[{_NAME}\-]++)++"
+TOKEN = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)(?=[A-Z]*+[0-9])[0-9A-Z]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)(?=[A-Za-z_\-]*+[0-9])[0-9A-Za-z_\-]{20,255})(?![0-9A-Za-z_\-])"
 SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])"
 IPV6 = r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*?::)(?![0-9A-Fa-f:]*?::[0-9A-Fa-f:]*?::)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
@@ -45,7 +48,7 @@ ISO_DATE = r"(?<![0-9\-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]
 DMY_DATE = r"(?<![0-9/.])(?:0?[1-9]|[12][0-9]|3[01])(?<mark>[/.])(?:0?[1-9]|1[0-2])\k<mark>(?:19|20)[0-9]{2}(?![0-9/])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
-ABROAD = r"(?<![0-9A-Za-z+])\+(?=[1-9](?:[ .\-/()]{0,2}[0-9]){8,14}(?![0-9]))[1-9][0-9]*+(?:[ .\-/()]{1,2}[0-9]++)*+"
+ABROAD = r"(?<![0-9A-Za-z+])\+[1-9](?:[ .\-/()]{0,2}[0-9]){8,14}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
 FOUND = "|".join([EMAIL, TOKEN, SECRET, IBAN, IPV6, IPV4, ISO_DATE, DMY_DATE, SSN, PHONE, ABROAD, CARD])
 
@@ -265,7 +268,7 @@ def _email(m: Column, key: str) -> Column:
     told = "".join(ALPHABETS.values())
     other = F.exists(F.split(F.lower(local), ""), lambda c: c.rlike(r"[\p{L}\p{N}]") & ~c.isin("ß", "ς") & (F.instr(F.lit(told), c) == 0))
     whole = F.substring(_draw(key, "address", F.lit(0), local), F.lit(1), F.lit(20))
-    return F.concat(F.when(other, whole).otherwise(moved), F.substring(m, F.length(local) + 1, F.length(m)))
+    return F.concat(F.when((F.length(local) > LONG) | other, whole).otherwise(moved), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def kind_of(m: Column) -> Column:

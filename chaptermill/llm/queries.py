@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chaptermill.llm import bpe, chat, jaccard, mixing, pii, quality, resampling, simhash, toxicity, url_rules
+from chaptermill.llm import alignment, bpe, chat, jaccard, mixing, pii, quality, resampling, simhash, topk, toxicity, url_rules, whitening
 from chaptermill.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_url_rules": op2_url_rules,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_resampling": op8_resampling,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_topk": op12_topk,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_windows": chat.SQL,
     "op6_mixing": mixing.SQL,
     "op7_quality_rules": quality.SQL,
+    "op12_topk": topk.SQL,
 }

@@ -24,7 +24,7 @@ no rows. A column of the documents that bears the name of an output is replaced
 from __future__ import annotations
 
 import re
-from itertools import accumulate, chain
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,9 @@ from chaptermill.llm.common import Scratch, written
 #: Bytes of text whose groups share a dictionary.
 BLOCK_BYTES = 8_000_000
 #: Distinct stretches a task remembers before it starts afresh.
-KNOWN = 400_000
+KNOWN = 300_000
+#: Stretches that are encoded at once.
+ENCODED = 20_000
 #: Shares a pair of ids is dealt into when its count goes back to the groups that hold it.
 SALTS = 16
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -81,22 +83,9 @@ class Tokenizers:
         a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return zip([x.ids for x in a], self.b.encode(texts, num_threads=1), strict=True)
 
-    def exact(self, text: str, a: list[int], b: list[int]) -> bool:
-        want = (" " + text).encode("utf-8", "surrogatepass")
-        return b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
-
-    def groups(self, a: list[int], b: list[int]) -> list[str]:
-        """Tokens of equal bytes cut where both sides end: `a1,a2|b1` each."""
-        if len(a) == 1 or len(b) == 1:
-            return [f"{','.join(map(str, a))}|{','.join(map(str, b))}"]
-        a_ends, b_ends = accumulate(map(self.a_size.__getitem__, a)), accumulate(map(self.b_size.__getitem__, b))
-        after_a, after_b = {e: i for i, e in enumerate(a_ends, 1)}, {e: i for i, e in enumerate(b_ends, 1)}
-        found, i, j = [], 0, 0
-        for end, to in after_a.items():
-            if end in after_b:
-                found.append(f"{','.join(map(str, a[i:to]))}|{','.join(map(str, b[j : after_b[end]]))}")
-                i, j = to, after_b[end]
-        return found
+    def joined(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+        """The bytes of the tokens of A and of B."""
+        return b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
 
     def links(self, group: str) -> dict[tuple[int, int], int]:
         """How often each pair of ids is linked in a group."""
@@ -121,34 +110,66 @@ class _Interned:
     """Stretches and groups that a task has met, each with a number."""
 
     def __init__(self, tokenizers: Tokenizers):
+        import numpy as np
+
         self.tokenizers = tokenizers
+        self.a_size, self.b_size = (np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64) for size in (tokenizers.a_size, tokenizers.b_size))
         self.clear()
 
     def clear(self) -> None:
+        import numpy as np
+
         self.stretch: dict[str, int] = {}
-        self.written: list[str | None] = []  # the groups of a stretch, joined; None: bytes differ
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, of B, groups
-        self.members: list[list[int]] = []  # numbers of its groups
-        self.group: dict[str, int] = {}
+        self.sizes = np.zeros((0, 3), np.int64)  # of a stretch: tokens of A, of B, groups; no groups where bytes differ
+        self.starts = np.zeros(1, np.int64)  # where its groups start in
+        self.members = np.zeros(0, np.int32)  # the numbers of all groups
+        self.group: dict[bytes, int] = {}
         self.names: list[str] = []
 
+    def _flat(self, encoded: list):
+        """For A and for B: how many tokens each text has, all tokens end to end, and the bytes up to each one's end."""
+        import numpy as np
+
+        for side, size in ((0, self.a_size), (1, self.b_size)):
+            n = np.array([len(e[side]) for e in encoded], np.int64)
+            tokens = np.fromiter(chain.from_iterable([e[side] for e in encoded]), np.int32, int(n.sum()))
+            yield n, tokens, np.cumsum(size[tokens])
+
+    def _exact(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of A and B, none for a text that the tokens of either side don't give back."""
+        import numpy as np
+
+        encoded = list(self.tokenizers.encode(texts))
+        want = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(w) for w in want])
+        sides = self._flat(encoded)
+        if all(len(up_to) and (np.concatenate([[0], up_to])[np.cumsum(n)] == ends).all() for n, _, up_to in sides):
+            if set(self.tokenizers.joined(chain.from_iterable(a for a, _ in encoded), chain.from_iterable(b for _, b in encoded))) == {b"".join(want)}:
+                return encoded
+        return [e if set(self.tokenizers.joined(*e)) == {w} else ([], []) for e, w in zip(encoded, want, strict=True)]
+
     def learn(self, new: list[str]) -> None:
-        number = self.group
-        for text, (a, b) in zip(new, self.tokenizers.encode(new), strict=True):
-            self.stretch[text] = len(self.written)
-            if not self.tokenizers.exact(text, a, b):
-                self.written.append(None)
-                self.sizes.append((0, 0, 0))
-                self.members.append([])
-                continue
-            groups = self.tokenizers.groups(a, b)
-            for g in groups:
-                if g not in number:
-                    number[g] = len(number)
-                    self.names.append(g)
-            self.written.append(";".join(groups))
-            self.sizes.append((len(a), len(b), len(groups)))
-            self.members.append([number[g] for g in groups])
+        """Encode stretches and cut them into groups: token ends of both sides laid end to end, where they agree."""
+        import numpy as np
+
+        (n_a, a, a_ends), (n_b, b, b_ends) = self._flat(self._exact(new))
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_cuts, b_cuts = ([0, *(4 * (np.searchsorted(ends, both) + 1)).tolist()] for ends in (a_ends, b_ends))
+        a_raw, b_raw, number = a.tobytes(), b.tobytes(), self.group
+        members = np.empty(len(both), np.int32)
+        for k in range(len(both)):
+            i, j, m, n = a_cuts[k], a_cuts[k + 1], b_cuts[k], b_cuts[k + 1]
+            key = b"%d:" % (j - i) + a_raw[i:j] + b_raw[m:n]
+            found = number.get(key)
+            if found is None:
+                found = number[key] = len(number)
+                self.names.append(f"{','.join(map(str, a[i // 4 : j // 4].tolist()))}|{','.join(map(str, b[m // 4 : n // 4].tolist()))}")
+            members[k] = found
+        groups_to = np.searchsorted(both, np.concatenate([[0], a_ends])[np.cumsum(n_a)], side="right")
+        self.stretch.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, np.diff(groups_to, prepend=0)], axis=1)])
+        self.starts = np.concatenate([self.starts, len(self.members) + groups_to])
+        self.members = np.concatenate([self.members, members])
 
     def block(self, texts: list[str | None]):
         """For the documents of a block: tokens of A, of B and groups (a matrix), hexadecimal digests, and the numbers
@@ -157,25 +178,31 @@ class _Interned:
 
         import numpy as np
 
-        if len(self.written) > KNOWN:
+        if len(self.stretch) > KNOWN:
             self.clear()
         cut = [stretches(t) if t else [] for t in texts]
-        self.learn(list({s for doc in cut for s in doc} - self.stretch.keys()))
-        number, written_of = self.stretch, self.written
-        at = [[number[s] for s in doc] for doc in cut]
-        at = [doc if doc and all(written_of[i] is not None for i in doc) else [] for doc in at]
-        digests = [hashlib.sha256(";".join([written_of[i] for i in doc]).encode()).hexdigest() if doc else "" for doc in at]
+        new = list(set(chain.from_iterable(cut)).difference(self.stretch))
+        for i in range(0, len(new), ENCODED):
+            self.learn(new[i : i + ENCODED])
+        lengths = np.array([len(doc) for doc in cut], np.int64)
+        at = np.fromiter(map(self.stretch.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
+        del cut
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        bad = np.zeros(len(texts), bool)
+        bad[doc[self.sizes[at, 2] == 0]] = True
+        at, doc = at[~bad[doc]], doc[~bad[doc]]
         sizes = np.zeros((len(texts), 3), np.int64)
-        codes, times, ends = [], [], [0]
-        for k, doc in enumerate(at):
-            if doc:
-                sizes[k] = np.sum([self.sizes[i] for i in doc], axis=0)
-                some, n = np.unique(np.fromiter(chain.from_iterable([self.members[i] for i in doc]), np.int32), return_counts=True)
-                codes.append(some)
-                times.append(n)
-            ends.append(ends[-1] + (len(some) if doc else 0))
-        empty = np.zeros(0, np.int32)
-        return sizes, digests, np.concatenate([empty, *codes]), np.concatenate([empty, *times]).astype(np.int32), ends
+        for side in range(3):
+            sizes[:, side] = np.bincount(doc, weights=self.sizes[at, side], minlength=len(texts))
+        n = self.sizes[at, 2]
+        into = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(int(n.sum()))
+        codes = self.members[into]
+        ends = np.concatenate([[0], np.cumsum(sizes[:, 2])]).tolist()
+        names = self.names
+        digests = [hashlib.sha256(";".join([names[g] for g in codes[i:j].tolist()]).encode()).hexdigest() if j > i else "" for i, j in zip(ends, ends[1:], strict=False)]
+        keyed, times = np.unique(np.repeat(np.arange(len(texts)), sizes[:, 2]) * len(names) + codes, return_counts=True)
+        of = keyed // max(len(names), 1)
+        return sizes, digests, (keyed - of * len(names)).astype(np.int32), times.astype(np.int32), np.searchsorted(of, np.arange(len(texts) + 1))
 
 
 def _blocks(batch, column: str):

@@ -209,6 +209,8 @@ SQL: dict[str, str] = {
       SELECT doc_id, (e - 1) // 1000 AS page, ch, i, e FROM o
     ) SELECT doc_id, page, CAST(min(e - strlen(ch)) AS BIGINT) AS start_byte, max(e) AS end_byte, sha256(string_agg(ch, '' ORDER BY i)) AS sha256, true AS done FROM p GROUP BY doc_id, page""",
     "line_preview_pages": f"WITH {_LINES} SELECT book_id, (line - 1) // 200 AS page, min(start_byte) AS start_byte, max(start_byte + strlen(body) + 1) AS end_byte, count(*) AS n_lines FROM lines GROUP BY ALL",
+    "windowed_scan": f"""WITH {_CHAPTERS} SELECT t.book_id, total AS n_bytes, (SELECT count(*) FROM lines l WHERE l.book_id = t.book_id) AS n_lines,
+      (SELECT count(*) FROM chapters c WHERE c.book_id = t.book_id) AS n_chapters, true AS tiled FROM totals t""",
     "search_counts": """WITH n AS (
       SELECT doc_id, len(regexp_extract_all(t, '(?i)the')) AS plain, len(regexp_extract_all(t, 'The')) AS cased,
         CAST(len(list_filter(regexp_extract_all(t, '[\\p{L}\\p{N}_]+'), lambda w: lower(w) = 'on')) AS BIGINT) AS word, len(regexp_extract_all(t, '(?i)[aeiou]n[dt]')) AS re

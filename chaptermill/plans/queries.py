@@ -7,6 +7,7 @@ Books are constructed from ``documents`` (see :mod:`chaptermill.sources.books`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,8 @@ from chaptermill.functions import encoding, hashing
 from chaptermill.functions import text as T
 from chaptermill.operators import catalog, commands, intervals, lengths, lineage, review, structure, tasks
 from chaptermill.operators.ordered import cyclic
-from chaptermill.operators.stored import stored
-from chaptermill.sources import books
+from chaptermill.operators.stored import shared_folder, stored
+from chaptermill.sources import books, windows
 from chaptermill.sources import text_files as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +139,29 @@ def line_preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("book_id", F.floor(F.col("line") / 200).alias("page")).agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.count("*").alias("n_lines")).select("book_id", *_long("page", "start_byte", "end_byte", "n_lines"))
 
 
+@query
+def windowed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written as text files and read in windows of 256 KiB: their bytes, lines and chapters, and whether each
+    file is tiled by windows no larger, that end with lines, and was hashed."""
+    path = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    text = F.regexp_replace(T.normalize(F.col("text")), r"\n\z", "")
+    books.parts(spark, sf_dir).select("book_id", text.alias("value")).write.partitionBy("book_id").text(path)
+    book = F.url_decode(F.replace(F.regexp_extract("path", "/book_id=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))).alias("book_id")
+    found = stored(windows.windows(spark, path, 1 << 18, 3 << 16), "windows")
+    parts = windows.parts(found)
+    sizes = found.groupBy("path").agg(
+        F.max("byte_length").alias("byte_length"), F.sum(F.octet_length("bytes")).alias("n_bytes"), F.max(F.octet_length("bytes")).alias("widest"),
+        (F.min("start_byte") == 0).alias("opens"), F.max("end_byte").alias("reaches"), F.bool_and("closed").alias("closed"),
+    )
+    lines = structure.lines(parts).groupBy(F.col("book_id").alias("path")).agg(F.count("*").alias("n_lines"), F.max("end_byte").alias("last_byte"))
+    chapters = structure.chapters(parts).groupBy(F.col("book_id").alias("path")).agg(F.count("*").alias("n_chapters"))
+    hashed = windows.hashes(spark, path).select("path", F.col("byte_length").alias("hashed_bytes"), "stable")
+    joined = sizes.join(lines, "path", "left").join(chapters, "path", "left").join(hashed, "path", "left")
+    n = F.col("byte_length")
+    tiled = F.col("opens") & F.col("closed") & (F.col("widest") <= 1 << 18) & (F.col("n_bytes") == n) & (F.col("reaches") == n) & (F.col("last_byte") == n) & F.col("stable") & (F.col("hashed_bytes") == n)
+    return joined.groupBy(book).agg(*[F.sum(c).cast("long").alias(c) for c in ("n_bytes", "n_lines", "n_chapters")], F.bool_and(F.coalesce(tiled, F.lit(False))).alias("tiled"))
+
+
 SEARCHES = {"plain": T.match_pattern("the"), "case": T.match_pattern("The", case=True), "word": T.match_pattern("on", whole_word=True), "regexp": T.match_pattern("[aeiou]n[dt]", regexp=True)}
 
 

@@ -55,6 +55,25 @@ _CHAPTERS = (
   FROM found f JOIN totals t ON t.book_id = f.book_id WINDOW w AS (PARTITION BY f.book_id ORDER BY line_start)
 )"""
 )
+_UNITS = lambda x: f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+def _places(pattern: str, texts: str) -> str:
+    """hits: where a pattern stands in ``texts`` (book_id, part, text, base, base16), and the text on both sides of it."""
+    return f"""cut AS (
+  SELECT book_id, part, base, base16, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM ({texts})
+), pieces AS (
+  SELECT book_id, part, base, base16, i, p[i] AS piece, p[i + 1] AS follows, m[i] AS hit FROM cut, unnest(range(1, len(p))) AS u(i)
+), hits AS (
+  SELECT book_id, piece, follows, CAST(base + sum(strlen(piece) + strlen(hit)) OVER w AS BIGINT) AS e, strlen(hit) AS n,
+    CAST(base16 + sum({_UNITS('piece')} + {_UNITS('hit')}) OVER w AS BIGINT) AS e16, {_UNITS('hit')} AS n16 FROM pieces WINDOW w AS (PARTITION BY book_id, part ORDER BY i)
+)"""
+
+
+_BASED = f"""SELECT *, coalesce(sum(strlen(text)) OVER w, 0) AS base, coalesce(sum({_UNITS('text')}) OVER w, 0) AS base16
+  FROM parts WINDOW w AS (PARTITION BY book_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_PLACED = "book_id, row_number() OVER o AS number, e - n AS start_byte, e AS end_byte, e16 - n16 AS start_utf16, e16 AS end_utf16, count(*) OVER (PARTITION BY book_id) AS total"
+_ORDERED = "WINDOW o AS (PARTITION BY book_id ORDER BY e)"
 _LOOSE = (
     _CHAPTERS
     + """, loose AS (
@@ -218,6 +237,19 @@ SQL: dict[str, str] = {
     ) SELECT doc_id, least(plain, 99) AS n_plain, least(cased, 99) AS n_case, least(word, 99) AS n_word, least(re, 99) AS n_regexp,
       plain > 99 AS more_plain, cased > 99 AS more_case, word > 99 AS more_word, re > 99 AS more_regexp,
       least(plain, 1) || ' / ' || least(plain, 99) || CASE WHEN plain > 99 THEN '+' ELSE '' END AS shown FROM n""",
+    "search_places": f"""WITH {_RAW}, {_places('(?i)the', _BASED)}, word AS (
+      SELECT * FROM hits WHERE NOT regexp_matches(piece, '[\\p{{L}}\\p{{N}}_]$') AND NOT regexp_matches(follows, '^[\\p{{L}}\\p{{N}}_]')
+        AND NOT (piece = '' AND e - n > 0) AND follows <> ''
+    ), placed AS (SELECT {_PLACED} FROM word {_ORDERED})
+    SELECT *, coalesce(lead(start_byte) OVER o, min(start_byte) OVER b) AS next_start, coalesce(lag(start_byte) OVER o, max(start_byte) OVER b) AS previous_start,
+      format('{{:,}}', number) || ' / ' || format('{{:,}}', least(total, 99)) || CASE WHEN total > 99 THEN '+' ELSE '' END AS shown
+    FROM placed WINDOW o AS (PARTITION BY book_id ORDER BY number), b AS (PARTITION BY book_id)""",
+    "search_over_parts": f"""WITH {_RAW}, {_places('(?i)\nchapter ', "SELECT book_id, 0 AS part, 0 AS base, 0 AS base16, string_agg(text, '' ORDER BY part) AS text FROM parts GROUP BY book_id")}
+      SELECT {_PLACED} FROM hits {_ORDERED}""",
+    "search_from_places": f"""WITH {_CHAPTERS}, {_places('(?i)[aeiou]nd[ ,.]', _BASED).replace('pieces AS', 'shares AS').replace('FROM pieces', 'FROM shares')}
+      SELECT c.book_id, c.ord, c.heading_start AS at, coalesce(min(e - n) FILTER (e - n >= c.heading_start), min(e - n)) AS next_start,
+        coalesce(max(e - n) FILTER (e <= c.heading_start), max(e - n)) AS previous_start
+      FROM chapters c LEFT JOIN hits h ON h.book_id = c.book_id GROUP BY c.book_id, c.ord, c.heading_start""",
     "heading_rules": f"WITH l AS (SELECT doc_id, {_choose(_FORMS)} AS line FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, line, {_is_heading('line')} AS heading, CASE WHEN {_is_heading('line')} THEN regexp_replace({_trim('line')}, '[\\t \\x{{3000}}]+', ' ', 'g') END AS title FROM l",
     "coverage_implicit": f"WITH {_LOOSE} SELECT book_id, 'chapter' AS classification, s AS start_byte, e AS end_byte, chapter_id, reason FROM implicit WHERE s < e",
     "coverage_explicit": f"WITH {_EXPLICIT} SELECT book_id, classification, start_byte, end_byte, chapter_id, reason FROM explicit",

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from chaptermill.functions import encoding, hashing
 from chaptermill.functions import text as T
-from chaptermill.operators import catalog, commands, intervals, lengths, lineage, review, structure, tasks
+from chaptermill.operators import catalog, commands, intervals, lengths, lineage, review, search, structure, tasks
 from chaptermill.operators.ordered import cyclic
 from chaptermill.operators.stored import shared_folder, stored
 from chaptermill.sources import books, windows
@@ -173,6 +173,29 @@ def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(f"n_{k}") for k, (c, _) in counted.items()], *[m.alias(f"more_{k}") for k, (_, m) in counted.items()], T.count_text(shown, *counted["plain"]).alias("shown"))
 
 
+@query
+def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a word stands in the books, and the way to the next and to the previous match, around the end."""
+    found = search.matches(books.parts(spark, sf_dir), T.match_pattern("the", whole_word=True))
+    near = search.neighbours(stored(found, "matches"))
+    return near.select("book_id", "number", "start_byte", "end_byte", "start_utf16", "end_utf16", "total", "next_start", "previous_start", search.status(F.col("total"), F.col("number"), limit=99).alias("shown"))
+
+
+@query
+def search_over_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that begin in one part of a book and end in the next: a line end and the start of a heading."""
+    found = search.matches(books.parts(spark, sf_dir), T.match_pattern("\nchapter "), 9)
+    return found.select("book_id", "number", "start_byte", "end_byte", "start_utf16", "end_utf16", "total")
+
+
+@query
+def search_from_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every heading, the next and the previous match of a regular expression that its book has."""
+    found = stored(search.matches(books.parts(spark, sf_dir), T.match_pattern("[aeiou]nd[ ,.]", regexp=True)), "matches")
+    places = _chapters(spark, sf_dir).select("book_id", "ord", F.col("heading_start").alias("at"))
+    return search.from_places(found, places).select("book_id", *_long("ord", "at"), "next_start", "previous_start")
+
+
 @query
 def heading_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every form near the rule's edges."""

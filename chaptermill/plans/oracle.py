@@ -201,6 +201,33 @@ _MERGED = """, runs AS (
   SELECT *, sum(CASE WHEN ord = 1 OR ord % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM loose
 )"""
 
+#: Edits of every chapter with what is wrong with each, and which of a chapter's were applied.
+_VERDICTS = (
+    _LOOSE
+    + """, near AS (
+  SELECT *, lag(content_start) OVER w AS before_start, coalesce(lag(content_end) OVER w < heading_start, false) AS gap_before, lag(chapter_id) OVER w AS before_id,
+    lead(heading_start) OVER w AS following, lead(heading_end) OVER w AS following_end, lead(ord) OVER w IS NULL AS is_last
+  FROM loose WINDOW w AS (PARTITION BY book_id ORDER BY ord)
+), edits AS (
+  SELECT *, ord * 10 AS seq, ord AS of, 'start' AS side, heading_start - 5 AS place FROM near
+  UNION ALL SELECT *, ord * 10 + 1, ord, 'end', content_end + 3 FROM near
+  UNION ALL SELECT *, ord * 10 + 2, ord, 'start', heading_start + 2 FROM near
+  UNION ALL SELECT *, ord * 10 + 3, ord, 'end', content_end - 4 FROM near
+  UNION ALL SELECT *, ord * 10 + 4, ord, 'start', -1 FROM near WHERE ord % 7 = 0
+  UNION ALL SELECT *, ord * 10 + 4, ord + 1000000, 'end', content_end FROM near WHERE ord % 7 = 1
+), verdicts AS (
+  SELECT *, CASE WHEN of > 1000000 THEN 'chapter' WHEN place < 0 OR place > total THEN 'bounds'
+    WHEN side = 'start' THEN CASE WHEN place > heading_start OR place >= heading_end THEN 'heading' WHEN place < before_start THEN 'order' WHEN place < heading_start AND gap_before THEN 'unassigned' END
+    ELSE CASE WHEN place > following OR place >= following_end THEN 'heading' WHEN place < content_start THEN 'order' WHEN place > content_end AND content_end < following THEN 'unassigned' END END AS fault
+  FROM edits
+), applied AS (
+  SELECT book_id, ord, max(place) FILTER (seq % 10 = 0) AS opens, arg_max(place, seq) FILTER (side = 'end') AS closes FROM verdicts WHERE fault IS NULL GROUP BY ALL
+), edited AS (
+  SELECT n.*, coalesce(a.opens, heading_start) AS opens, a.opens IS NOT NULL AS opened, coalesce(a.closes, content_end) AS closes, a.closes IS NOT NULL AS closed
+  FROM near n LEFT JOIN applied a ON a.book_id = n.book_id AND a.ord = n.ord
+)"""
+)
+
 SQL: dict[str, str] = {
     "normalize_text": f"WITH {_RAW} SELECT book_id, part, strlen(text) AS n_bytes, length(text) AS n_code_points, CAST(len(regexp_extract_all(raw, '\\r\\n?|\\n')) AS BIGINT) AS n_line_ends, sha256(text) AS sha256 FROM parts",
     "line_offsets": f"WITH {_LINES} SELECT book_id, part, pos, start_byte, start_byte + strlen(body) AS body_end_byte, start_byte + strlen(body) + 1 AS end_byte FROM lines",
@@ -336,6 +363,19 @@ SQL: dict[str, str] = {
       SELECT *, CASE WHEN ord % 3 = 0 THEN content_end + 3 ELSE content_end END AS want, lead(heading_start) OVER w AS following FROM loose WINDOW w AS (PARTITION BY book_id ORDER BY ord)
     ), n AS (SELECT *, greatest(heading_start, coalesce(CASE WHEN lag(ord) OVER w % 3 = 0 THEN lag(want) OVER w END, 0)) AS start FROM m WINDOW w AS (PARTITION BY book_id ORDER BY ord))
     SELECT book_id, ord, start AS heading_start, CASE WHEN ord % 3 = 0 THEN greatest(want, heading_end, start) ELSE greatest(least(want, coalesce(following, want)), heading_end, start) END AS content_end FROM n""",
+    "edit_verdicts": f"WITH {_VERDICTS} SELECT book_id, seq, of AS ord, side, place AS at, fault FROM verdicts",
+    "protected_edits": f"""WITH {_VERDICTS} SELECT book_id, ord, opens AS heading_start,
+      greatest(CASE WHEN lead(opened) OVER w THEN least(closes, lead(opens) OVER w) ELSE closes END, opens, heading_end) AS content_end FROM edited WINDOW w AS (PARTITION BY book_id ORDER BY ord)""",
+    "kept_priorities": f"""WITH {_VERDICTS} SELECT * FROM (
+      SELECT book_id, before_id AS previous_id, chapter_id AS next_id, CASE WHEN opened THEN 'next-chapter-start' WHEN lag(closed) OVER w THEN 'previous-content-end' END AS side
+      FROM edited WINDOW w AS (PARTITION BY book_id ORDER BY ord) QUALIFY ord > 1 AND (ord - 1 = 1 OR (ord - 1) % 5 <> 2) AND ord % 5 <> 2
+    ) WHERE side IS NOT NULL""",
+    "merge_verdicts": f"""WITH {_VERDICTS} SELECT book_id, ord, 'previous' AS direction, CASE WHEN ord = 1 THEN 'edge' WHEN gap_before THEN 'unassigned' END AS fault FROM near
+      UNION ALL SELECT book_id, ord, 'next', CASE WHEN is_last THEN 'edge' END FROM near""",
+    "merge_next": f"""WITH {_VERDICTS} SELECT book_id, chapter_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS ord, content_end FROM (SELECT ord, book_id, chapter_id, content_end FROM near WHERE ord % 3 <> 1 OR is_last)""",
+    "draft_changes": f"""WITH {_VERDICTS} SELECT book_id, chapter_id, CASE WHEN ord % 3 = 1 AND NOT is_last THEN 'removed' ELSE 'moved' END AS change,
+      CASE WHEN ord % 3 = 1 AND NOT is_last THEN NULL ELSE heading_start END AS heading_start, CASE WHEN ord % 3 = 1 AND NOT is_last THEN NULL ELSE content_end - 1 END AS content_end
+      FROM near WHERE ord % 6 = 0 OR (ord % 3 = 1 AND NOT is_last)""",
     "affected_artifacts": f"WITH {_DEPENDENCIES} SELECT artifact_type, artifact_id, revision_id AS consumer_revision_id, l_orderkey AS producer_revision_id, 'text' AS dependency_type FROM revisions JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 3 AND validity_status = 'current'",
     "stale_propagation": f"WITH {_DEPENDENCIES} SELECT revision_id, artifact_id, CASE WHEN o_orderkey IS NOT NULL AND validity_status = 'current' THEN 'stale' ELSE validity_status END AS validity_status FROM revisions LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3) ON o_orderkey = l_orderkey",
     "stale_causes": f"WITH {_DEPENDENCIES} SELECT revision_id AS consumer_revision_id, l_orderkey AS previous_producer_revision_id, -l_orderkey AS current_producer_revision_id, 'text' AS dependency_type, 'active' AS status FROM revisions JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 3 AND validity_status = 'current'",

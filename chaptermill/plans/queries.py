@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from chaptermill.functions import encoding, hashing
 from chaptermill.functions import text as T
-from chaptermill.operators import catalog, commands, intervals, lengths, lineage, review, search, structure, tasks
+from chaptermill.operators import catalog, commands, drafts, intervals, lengths, lineage, ordered, review, search, structure, tasks
 from chaptermill.operators.ordered import cyclic
 from chaptermill.operators.stored import shared_folder, stored
 from chaptermill.sources import books, windows
@@ -478,6 +478,68 @@ def boundary_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.boundary_edits(found, edits).select("book_id", *_long("ord", "heading_start", "content_end"))
 
 
+def _gaps(chapters: DataFrame) -> DataFrame:
+    """What lies between the chapters, as ranges that belong to none."""
+    near = ordered.along(chapters, ["book_id"], "ord", after={"_next": "heading_start"})
+    return near.filter("content_end < _next").select("book_id", F.col("content_end").alias("start_byte"), F.col("_next").alias("end_byte"))
+
+
+def _edits(chapters: DataFrame) -> DataFrame:
+    """Edits of both sides of every chapter, of which some may not be applied."""
+    edit = lambda j, side, at, of=F.col("ord"): F.struct((F.col("ord") * 10 + j).alias("seq"), of.alias("ord"), F.lit(side).alias("side"), at.cast("long").alias("at"))
+    start, end = F.col("heading_start"), F.col("content_end")
+    asked = [edit(0, "start", start - 5), edit(1, "end", end + 3), edit(2, "start", start + 2), edit(3, "end", end - 4)]
+    asked += [F.when(F.col("ord") % 7 == 0, edit(4, "start", F.lit(-1))), F.when(F.col("ord") % 7 == 1, edit(4, "end", end, F.col("ord") + 1_000_000))]
+    return chapters.select("book_id", F.inline(F.array_compact(F.array(*asked))))
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    return drafts.edit_faults(found, _gaps(found), _books(found), _edits(found))
+
+
+@query
+def edit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which edits of chapter boundaries are refused, and why."""
+    return _judged(_reviewed(spark, sf_dir)).select("book_id", *_long("seq", "ord"), "side", "at", "fault")
+
+
+@query
+def protected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters after the edits of both sides that may be applied."""
+    found = _reviewed(spark, sf_dir)
+    return review.boundary_edits(found, _judged(found).filter("fault IS NULL")).select("book_id", *_long("ord", "heading_start", "content_end"))
+
+
+@query
+def kept_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which side was edited last at each boundary, of chapters that are still neighbours once some are merged."""
+    found = _reviewed(spark, sf_dir)
+    held = drafts.priorities(found, _books(found), _judged(found).filter("fault IS NULL").drop("fault"))
+    return drafts.retained(held, review.merge_into_previous(found, found.filter("ord % 5 = 2"))).select("book_id", "previous_id", "next_id", "side")
+
+
+@query
+def merge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _reviewed(spark, sf_dir)
+    which = found.select("book_id", "ord", F.explode(F.array(F.lit("previous"), F.lit("next"))).alias("direction"))
+    return drafts.merge_faults(found, _gaps(found), which).select("book_id", *_long("ord"), "direction", "fault")
+
+
+@query
+def merge_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _reviewed(spark, sf_dir)
+    return drafts.merge_into_next(found, found.filter("ord % 3 = 1")).select("book_id", "chapter_id", *_long("ord", "content_end"))
+
+
+@query
+def draft_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a command has to say of a draft in which some chapters ended earlier, and some were merged."""
+    found = _reviewed(spark, sf_dir)
+    moved = found.withColumn("content_end", F.when(F.col("ord") % 6 == 0, F.col("content_end") - 1).otherwise(F.col("content_end")))
+    later = drafts.merge_into_next(moved, moved.filter("ord % 3 = 1"))
+    return drafts.changes(found, later).select("book_id", "chapter_id", "change", "heading_start", "content_end")
+
+
 # Revisions
 
 

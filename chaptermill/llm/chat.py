@@ -2,17 +2,18 @@
 
 Turns are marked as ``[INST]role\ntext[/INST]``, assistant turns as ``<s>role\ntext</s>``. In
 roles and texts each control string gets a backslash after its first character (one more where
-there are some), which is undone exactly when read back. Prefix sums of turn tokens cut a
-conversation into turn-aligned spans: a span holds the turns whose running total ends in one
-stride of half the budget. A span's window starts with the conversation's first system turn,
-repeats the turns that lie within ``history`` tokens before the span, then gives the span. The
-loss mask has the assistant texts of the span itself; repeated ones are masked out.
+there are some), which is undone exactly when read back. Prefix sums of turn tokens deal a
+conversation into cells of ``CELL`` budgets; in each, spans are filled with turns up to the budget less
+the history and the system turn. A span's window starts with the conversation's first system turn, if
+that came before, repeats the turns that lie within ``history`` tokens before the span, as far as the
+budget leaves room, then gives the span. The loss mask has the assistant texts of the span itself;
+repeated ones are masked out.
 
 Null texts and roles count as empty. Turns are ordered by turn, then role, then text, so ties
 and repeated rows have one order; each row is a turn of its own. A null conv_id is a
-conversation like any other. A turn is never cut: a window has at most half the budget, the history, the system turn
-and what the span's last turn adds, so it fits the budget where the system turn and the largest turn have no more
-than half of it less the history; one beyond that is kept whole and its window is longer.
+conversation like any other. A turn is never cut, so no window is longer than the budget, unless the system turn
+and a single turn are: that turn then has a window of its own, with nothing repeated but the system turn. An
+empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql.window import Window
 from chaptermill.llm.common import GAP, written
 
 BUDGET, HISTORY = 512, 128
+#: Budgets of tokens whose turns are dealt into spans together; a span ends with its cell.
+CELL = 8
 #: Turn numbers that one task sorts together.
 STRETCH = 1024
 #: Windows of a conversation that one task gives the system turn to.
@@ -56,8 +59,8 @@ def tokens(text: Column) -> Column:
 
 
 def in_order(turns: DataFrame) -> DataFrame:
-    """The turns with their conversation's key, pos (from 1), begin and end (prefix sums of tokens), target and
-    header (the first system turn). Turns are sorted in stretches of turn numbers; only one row a stretch goes
+    """The turns with their conversation's key, pos (from 1), begin and end (prefix sums of tokens), target, header
+    (the first system turn), and its header_pos and header_size (0 without one). Turns are sorted in stretches of turn numbers; only one row a stretch goes
     through the window of the whole conversation."""
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -65,45 +68,71 @@ def in_order(turns: DataFrame) -> DataFrame:
         key.alias("conv"), "conv_id", F.coalesce(F.expr(f"turn div {STRETCH}"), F.lit(-(1 << 63))).alias("stretch"), "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens(text).cast("long").alias("size")
     )
     is_system = F.col("role") == "system"
-    facts = cut.groupBy("conv", "stretch").agg(F.count("*").alias("n"), F.sum("size").alias("sum"), F.max(is_system).alias("has_system"))
+    own = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    near = cut.select("*", F.row_number().over(own).alias("row"), F.sum("size").over(upto).alias("upto"), F.sum(is_system.cast("int")).over(upto).alias("systems"))
+    first = F.when(is_system & (F.col("systems") == 1), F.struct("row", "size"))
+    facts = near.groupBy("conv", "stretch").agg(F.count("*").alias("n"), F.sum("size").alias("sum"), F.max(first).alias("system"))
     before = Window.partitionBy("conv").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     told = facts.select(
         "conv",
         "stretch",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
         F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"),
-        F.min(F.when(F.col("has_system"), F.col("stretch"))).over(Window.partitionBy("conv")).alias("system_stretch"),
+        F.col("system"),
     )
-    own = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    near = cut.select("*", F.row_number().over(own).alias("row"), F.sum("size").over(upto).alias("upto"), F.sum(is_system.cast("int")).over(upto).alias("systems"))
+    placed = F.when(F.col("system").isNotNull(), F.struct((F.col("rows_before") + F.col("system.row")).alias("pos"), F.col("system.size").alias("size")))
+    told = told.withColumn("found", F.min(placed).over(Window.partitionBy("conv"))).drop("system")
     end = F.col("sum_before") + F.col("upto")
-    header = is_system & (F.col("systems") == 1) & (F.col("stretch") == F.col("system_stretch"))
+    pos = F.col("rows_before") + F.col("row")
     return near.join(told, ["conv", "stretch"]).select(
-        "conv", "conv_id", "role", "text", (F.col("rows_before") + F.col("row")).alias("pos"), (end - F.col("size")).alias("begin"), end.alias("end"), (F.col("role") == "assistant").alias("target"), F.coalesce(header, F.lit(False)).alias("header")
-    )
+        "conv", "conv_id", "role", "text", pos.alias("pos"), (end - F.col("size")).alias("begin"), end.alias("end"), (F.col("role") == "assistant").alias("target"),
+        F.coalesce(pos == F.col("found.pos"), F.lit(False)).alias("header"), F.coalesce("found.pos", F.lit(0)).alias("header_pos"), F.coalesce("found.size", F.lit(0)).alias("header_size"),
+    )
+
+
+def cuts(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """conv, cell and opens: the pos of every turn that opens a span in a cell. A cell has a bounded number of tokens, so of turns."""
+    room = budget - history
+    turns = F.sort_array(F.collect_list(F.struct("pos", (F.col("end") - F.col("begin")).alias("size"), "header_pos", "header_size")))
+    zero = F.struct(F.lit(0).cast("long").alias("fill"), F.array().cast("array<long>").alias("opens"))
+
+    def step(acc: Column, t: Column) -> Column:
+        fresh = (F.size(acc["opens"]) == 0) | (acc["fill"] + t["size"] > room)
+        before = F.when(~_behind_header(t), 0).otherwise(t["header_size"])
+        fill = F.when(fresh, before + t["size"]).otherwise(acc["fill"] + t["size"])
+        return F.struct(fill.cast("long").alias("fill"), F.when(fresh, F.array_append(acc["opens"], t["pos"].cast("long"))).otherwise(acc["opens"]).alias("opens"))
+
+    return placed.groupBy("conv", "cell").agg(F.aggregate(turns, zero, step)["opens"].alias("opens"))
+
+
+def _behind_header(t) -> Column:
+    return (t["header_pos"] > 0) & (t["pos"] > t["header_pos"])
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row a window: conv_id, window (rising along the conversation), formatted, repeated (pieces repeated at the start) and mask,
     an array of (start, length) in code points of ``formatted`` where the loss holds."""
-    stride = max(1, budget // 2)
-    placed = in_order(turns)
+    placed = in_order(turns).withColumn("cell", F.expr(f"begin div {CELL * budget}"))
+    placed = placed.join(cuts(placed, budget, history), ["conv", "cell"])
     body = F.concat(escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")))
     piece = F.when(F.col("target"), F.concat(F.lit("<s>"), body, F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), body, F.lit("[/INST]")))
     spans = placed.select(
-        "conv", "conv_id", "pos", "target", "header", "begin", "end", piece.alias("piece"), F.length(escape(F.col("text"))).alias("text_chars"), (F.expr(f"(end - 1) div {stride}") + 1).alias("window")
-    )
+        "conv", "conv_id", "pos", "target", "header", "begin", "end", piece.alias("piece"), F.length(escape(F.col("text"))).alias("text_chars"),
+        F.array_max(F.filter("opens", lambda at: at <= F.col("pos"))).alias("window"), "header_pos", "header_size",
+    )
     spans = written(spans, "chat-spans")  # read four times, each time other columns
-    starts = spans.groupBy("conv", "window").agg(F.min("begin").alias("start"))
+    # A window is numbered by the turn that opens its span. What the span and the system turn leave is for history.
+    spent = F.max("end") - F.min("begin") + F.max(F.when((F.col("header_pos") > 0) & (F.col("window") > F.col("header_pos")), F.col("header_size")).otherwise(0))
+    starts = spans.groupBy("conv", "window").agg(F.min("begin").alias("start"), F.greatest(F.lit(0), F.least(F.lit(history), budget - spent)).alias("left"))
     own = spans.select("conv_id", "window", "pos", "piece", "target", "text_chars", F.lit(2).alias("part"))
     # A turn is repeated where a span starts at its end or later, at most ``history`` after its start.
     near = spans.filter(f"NOT header AND end - begin <= {history}")
-    near = near.withColumn("cell", F.explode(F.sequence(F.expr(f"end div {stride}"), F.expr(f"(begin + {history}) div {stride}"))))
+    near = near.withColumn("cell", F.explode(F.sequence(F.expr(f"end div {budget}"), F.expr(f"(begin + {history}) div {budget}"))))
     repeated = (
         near.alias("t")
-        .join(starts.withColumn("cell", F.expr(f"start div {stride}")).alias("s"), ["conv", "cell"])
-        .filter(F.col("start").between(F.col("t.end"), F.col("t.begin") + history))
+        .join(starts.withColumn("cell", F.expr(f"start div {budget}")).alias("s"), ["conv", "cell"])
+        .filter(F.col("start").between(F.col("t.end"), F.col("t.begin") + F.col("left")))
         .select("t.conv_id", "s.window", "pos", "piece", F.lit(False).alias("target"), "text_chars", F.lit(1).alias("part"))
     )
     # The system turn meets the windows in blocks, so a long conversation is spread over tasks.
@@ -187,7 +216,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
@@ -196,16 +225,23 @@ WITH c AS (
     length(regexp_replace(role || chr(10) || text, '([\[<])(\\*)(INST\]|/INST\]|s>|/s>)', '\1\\\2\3', 'g'))
       + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END AS chars
   FROM c
-), e AS (
+), h AS (
   SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY pos) AS tail,
-    coalesce(pos = min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id), false) AS header FROM t
-), g AS (SELECT *, (tail - 1) // 256 AS cell FROM e),
-n AS (SELECT *, CASE WHEN cell = lag(cell) OVER (PARTITION BY conv_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM g),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM n),
-starts AS (SELECT conv_id, win, min(tail - size) AS start FROM s GROUP BY ALL),
-again AS (
+    coalesce(min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id), 9000000000) AS hp FROM t
+), e AS (
+  SELECT *, pos = hp AS header, coalesce(max(CASE WHEN pos = hp THEN size END) OVER (PARTITION BY conv_id), 0) AS hs, (tail - size) // 4096 AS cell FROM h
+), walk AS (
+  SELECT conv_id, pos, cell, size AS fill, pos AS win FROM e WHERE pos = 1
+  UNION ALL
+  SELECT e.conv_id, e.pos, e.cell, CASE WHEN e.cell <> w.cell OR w.fill + e.size > 384 THEN CASE WHEN e.pos > hp THEN hs ELSE 0 END + e.size ELSE w.fill + e.size END,
+    CASE WHEN e.cell <> w.cell OR w.fill + e.size > 384 THEN e.pos ELSE w.win END
+  FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.pos = w.pos + 1
+), s AS (SELECT e.*, win FROM e JOIN walk w ON w.conv_id = e.conv_id AND w.pos = e.pos),
+starts AS (
+  SELECT conv_id, win, min(tail - size) AS start, greatest(0, least(128, 512 - (max(tail) - min(tail - size)) - max(CASE WHEN win > hp THEN hs ELSE 0 END))) AS room FROM s GROUP BY ALL
+), again AS (
   SELECT s.conv_id, sum(chars) AS more FROM s JOIN starts w ON w.conv_id = s.conv_id AND w.win > s.win
-  WHERE header OR (w.win <= s.win + 2 AND start - (tail - size) <= 128) GROUP BY s.conv_id
+  WHERE header OR start - (tail - size) <= room GROUP BY s.conv_id
 )
 SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,

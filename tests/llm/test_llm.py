@@ -310,6 +310,30 @@ def test_chat_stretches_equal_one_window(spark, monkeypatch):
     assert any(w[3] > 1 for w in found[0])
 
 
+def window_sizes(turns, budget, history):
+    """(tokens of a window, of its system turn and its largest other turn, turns repeated) of every window."""
+    count = lambda piece: len(words(piece.split("\n", 1)[1])) + 2
+    found = []
+    for w in chat.windows(turns, budget, history).collect():
+        pieces = re.findall(r"(?s)(?:\[INST\]|<s>)(.*?)(?:\[/INST\]|</s>)", w.formatted)
+        sizes = [count(p) for p in pieces]
+        header = sizes[0] if w.repeated and pieces[0].startswith("system\n") else 0
+        found.append((sum(sizes), header, max(sizes[w.repeated :]), w.repeated))
+    return found
+
+
+def test_chat_windows_keep_the_budget(spark, sf_dir):
+    found = window_sizes(spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/conversations.parquet"), chat.BUDGET, chat.HISTORY)
+    assert len(found) > 500 and max(f[0] for f in found) <= chat.BUDGET
+    assert sum(f[3] > 1 for f in found) > 50  # history is repeated
+    rng = random.Random(8)
+    rows = []
+    for conv in range(12):
+        rows += [(conv, t, "system" if t == conv % 3 or t == 9 else rng.choice(["user", "assistant"]), "w " * rng.choice([0, 1, 5, 9, 20, 30, 60, 70, 200])) for t in range(80)]
+    for size, header, largest, repeated in window_sizes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 64, 24):
+        assert size <= 64 or (size == header + largest and repeated <= 1)
+
+
 # 4. Jaccard join
 
 

@@ -363,6 +363,19 @@ SQL: dict[str, str] = {
       SELECT *, CASE WHEN ord % 3 = 0 THEN content_end + 3 ELSE content_end END AS want, lead(heading_start) OVER w AS following FROM loose WINDOW w AS (PARTITION BY book_id ORDER BY ord)
     ), n AS (SELECT *, greatest(heading_start, coalesce(CASE WHEN lag(ord) OVER w % 3 = 0 THEN lag(want) OVER w END, 0)) AS start FROM m WINDOW w AS (PARTITION BY book_id ORDER BY ord))
     SELECT book_id, ord, start AS heading_start, CASE WHEN ord % 3 = 0 THEN greatest(want, heading_end, start) ELSE greatest(least(want, coalesce(following, want)), heading_end, start) END AS content_end FROM n""",
+    "event_numbers": """WITH e AS (
+      SELECT event_id // 30 % 10 AS project_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, ts, epoch_us(ts) // 1000 AS ms,
+        CASE event_type WHEN 'click' THEN 'token-opened' WHEN 'view' THEN 'token-consumed' ELSE event_type END AS event_type,
+        event_id // 50 - CASE WHEN event_id % 13 = 0 THEN 2 ELSE 0 END AS generation, 't' || event_id // 3 AS token FROM events
+    ), kept AS (
+      SELECT * FROM e QUALIFY generation >= coalesce(max(generation) OVER (PARTITION BY project_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), generation)
+    ), t AS (
+      SELECT *, lead(ms) OVER (PARTITION BY project_id, token ORDER BY ts, event_id) AS following FROM kept WHERE event_type IN ('token-opened', 'token-consumed')
+    ), every AS (
+      SELECT project_id, event_id, ms, epoch_us(ts) AS us, event_type, generation FROM kept
+      UNION ALL SELECT project_id, 'expired-' || token || '-' || ms, ms + 300000, (ms + 300000) * 1000, 'token-expired', NULL FROM t
+        WHERE event_type = 'token-opened' AND (following IS NULL OR following >= ms + 300000)
+    ) SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY us, event_id) AS sequence, event_id, ms AS at_ms, event_type, generation FROM every""",
     "edit_verdicts": f"WITH {_VERDICTS} SELECT book_id, seq, of AS ord, side, place AS at, fault FROM verdicts",
     "protected_edits": f"""WITH {_VERDICTS} SELECT book_id, ord, opens AS heading_start,
       greatest(CASE WHEN lead(opened) OVER w THEN least(closes, lead(opens) OVER w) ELSE closes END, opens, heading_end) AS content_end FROM edited WINDOW w AS (PARTITION BY book_id ORDER BY ord)""",

@@ -21,6 +21,7 @@ from chaptermill.operators.ordered import cyclic
 from chaptermill.operators.stored import shared_folder, stored
 from chaptermill.sources import books, windows
 from chaptermill.sources import text_files as files
+from chaptermill.streaming import sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -655,6 +656,20 @@ def _task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), (F.col("user_id") % 10).alias("project_id"), (F.col("event_id") + 1).alias("sequence"), kind.alias("state"), F.floor("value").cast("long").alias("completed"), F.lit(300).cast("long").alias("total"), seconds.alias("occurred_at"), seconds.alias("updated_at"))
 
 
+@query
+def event_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a project numbered without gaps: late ones dropped, tokens that nothing consumes expired. Clicks open a
+    token and views consume one."""
+    n = F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", sequences.OPENED).when(F.col("event_type") == "view", sequences.CONSUMED).otherwise(F.col("event_type"))
+    generation = F.expr("event_id div 50") - F.when(n % 13 == 0, 2).otherwise(0)
+    events = _table(spark, sf_dir, "events").select(
+        F.expr("event_id div 30 % 10").cast("long").alias("project_id"), F.lpad(n.cast("string"), 12, "0").alias("event_id"), F.col("ts").cast("timestamp").alias("occurred_at"), kind.alias("event_type"),
+        generation.cast("long").alias("generation"), F.concat(F.lit("t"), F.expr("event_id div 3").cast("string")).alias("token"),
+    )
+    return sequences.numbered(events).select("project_id", "sequence", "event_id", F.unix_millis("occurred_at").alias("at_ms"), "event_type", "generation")
+
+
 @query
 def task_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.latest_state(tasks.valid_events(_task_events(spark, sf_dir))).select("task_id", "state", *_long("attempt", "sequence", "occurred_at"))

@@ -363,6 +363,16 @@ SQL: dict[str, str] = {
       SELECT *, CASE WHEN ord % 3 = 0 THEN content_end + 3 ELSE content_end END AS want, lead(heading_start) OVER w AS following FROM loose WINDOW w AS (PARTITION BY book_id ORDER BY ord)
     ), n AS (SELECT *, greatest(heading_start, coalesce(CASE WHEN lag(ord) OVER w % 3 = 0 THEN lag(want) OVER w END, 0)) AS start FROM m WINDOW w AS (PARTITION BY book_id ORDER BY ord))
     SELECT book_id, ord, start AS heading_start, CASE WHEN ord % 3 = 0 THEN greatest(want, heading_end, start) ELSE greatest(least(want, coalesce(following, want)), heading_end, start) END AS content_end FROM n""",
+    "canonical_json": r"""SELECT o_orderkey, c AS canonical, sha256(c) AS hash FROM (
+      SELECT o_orderkey, '{"10":true,"9":false,"items":{"A":null,"z":[1.5,{"date":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '","price":'
+        || regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), '\.?0+$', '') || '},0,1000]},"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS c FROM orders)""",
+    "stored_previews": """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'broken' WHEN 2 THEN 'requiresConfirmation' WHEN 5 THEN 'no-object' END AS fault,
+      CASE WHEN o_orderkey % 7 = 4 THEN 'extra' ELSE '' END AS unknown, o_orderkey % 7 IN (0, 6) AS same FROM orders""",
+    "stored_snapshots": """WITH c AS (
+      SELECT l_orderkey, l_partkey % 50 = 0 OR l_suppkey % 40 = 0 OR (l_linenumber - 1) * 10 + CASE WHEN l_orderkey % 23 = 0 THEN 90 ELSE 10 END > 75 AS bad,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)
+    ) SELECT l_orderkey AS o_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 'reviewStatus' WHEN bool_or(bad) THEN 'chapter-' || min(i) FILTER (bad) END AS fault FROM c GROUP BY l_orderkey""",
     "event_numbers": """WITH e AS (
       SELECT event_id // 30 % 10 AS project_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, ts, epoch_us(ts) // 1000 AS ms,
         CASE event_type WHEN 'click' THEN 'token-opened' WHEN 'view' THEN 'token-consumed' ELSE event_type END AS event_type,

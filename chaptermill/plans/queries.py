@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chaptermill.functions import encoding, hashing
+from chaptermill.functions import encoding, hashing, stored_json
 from chaptermill.functions import text as T
 from chaptermill.operators import catalog, commands, drafts, intervals, lengths, lineage, ordered, review, search, structure, tasks
 from chaptermill.operators.ordered import cyclic
@@ -541,6 +541,60 @@ def draft_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.changes(found, later).select("book_id", "chapter_id", "change", "heading_start", "content_end")
 
 
+# Stored JSON
+
+
+@query
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested JSON, written with their keys in another order and other forms of their numbers."""
+    inner = F.concat(F.lit('{"z" : [1.50, {"price": '), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(', "date": "'), F.col("o_orderdate").cast("date").cast("string"), F.lit('"}, -0.0, 1e3], "A": null}'))
+    text = F.concat(F.lit('{"status": "'), F.col("o_orderstatus"), F.lit('",\n "key" :'), F.col("o_orderkey").cast("string"), F.lit(', "items":'), inner, F.lit(', "10": true, "9": false}'))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", stored_json.canonical(text).alias("canonical"), stored_json.canonical_hash(text).alias("hash"))
+
+
+def _stored_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preview of each order as it should be and as it was stored: as it is, in another order, broken, of another kind, or of
+    another revision."""
+    key = F.col("o_orderkey").cast("string")
+    good = F.concat(F.lit('{"baselineRevision":'), key, F.lit(',"commandType":"confirm-review","affected":[{"artifactId":"a'), key, F.lit('","selector":{"b":1,"a":2}}],"requiresConfirmation":true}'))
+    turned = F.concat(F.lit('{"requiresConfirmation": true, "affected": [{"selector": {"a": 2, "b": 1.0}, "artifactId": "a'), key, F.lit('"}], "commandType": "confirm-review", "baselineRevision": '), key, F.lit("}"))
+    n = F.col("o_orderkey") % 7
+    stored_as = (
+        F.when(n == 0, turned).when(n == 1, F.substring(good, F.lit(1), F.length(good) - 1)).when(n == 2, F.replace(good, F.lit("true"), F.lit('"true"')))
+        .when(n == 3, F.replace(good, F.lit('"a":2'), F.lit('"a":3'))).when(n == 4, F.concat(F.substring(good, F.lit(1), F.length(good) - 1), F.lit(',"extra":0}'))).when(n == 5, F.concat(F.lit("["), good, F.lit("]"))).otherwise(good)
+    )
+    return _table(spark, sf_dir, "orders").select("o_orderkey", good.alias("expected"), stored_as.alias("stored"))
+
+
+@query
+def stored_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, expected = F.col("stored"), F.col("expected")
+    unknown = F.array_join(stored_json.unknown_keys(kept, stored_json.PREVIEW), ",")
+    return _stored_previews(spark, sf_dir).select("o_orderkey", stored_json.preview_fault(kept).alias("fault"), unknown.alias("unknown"), stored_json.same_preview(kept, expected).alias("same"))
+
+
+@query
+def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of orders, their line items as chapters, of which some are not valid."""
+    unit = F.lit("utf8-byte").alias("offsetUnit")
+    number = F.col("l_linenumber").cast("long")
+    start = (number - 1) * 10
+    chapter = F.struct(
+        number.alias("order"),
+        F.struct(
+            F.concat(F.lit("c"), number.cast("string")).alias("chapterId"), number.alias("order"), F.when(F.col("l_partkey") % 50 == 0, "").otherwise("title").alias("title"), F.when(F.col("l_partkey") % 3 == 0, "missing").alias("headingKind"),
+            F.when(F.col("l_suppkey") % 40 == 0, "open").otherwise("pending").alias("reviewStatus"), F.struct(unit, start.alias("startByte"), (start + F.when(F.col("l_orderkey") % 23 == 0, 90).otherwise(10)).alias("endByte")).alias("contentRange"),
+        ).alias("chapter"),
+    )
+    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    rows = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(chapter)).alias("c"))
+    text = F.to_json(F.struct(
+        F.lit("r").alias("revisionId"), F.col("l_orderkey").alias("baselineRevision"), F.struct(F.lit(1).alias("id")).alias("source"), F.lit("utf-8").alias("encoding"), F.lit("bom").alias("encodingMethod"), F.lit(75).alias("textByteLength"),
+        F.col("c.chapter").alias("chapters"), F.struct(F.lit(1).alias("total")).alias("coverage"), F.array(F.lit(1)).alias("revisionHistory"), F.when(F.col("l_orderkey") % 11 != 0, "pending").alias("reviewStatus"), F.lit("2024").alias("createdAt"),
+    ))
+    return rows.select(F.col("l_orderkey").alias("o_orderkey"), stored_json.snapshot_fault(text).alias("fault"))
+
+
 # Revisions
 
 

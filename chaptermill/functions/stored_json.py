@@ -90,11 +90,9 @@ def canonical_hash(text: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """absent (a null column), null, boolean, number, string, array or object, of a VARIANT."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), "absent").when(name == "VOID", "null").when(name == "BOOLEAN", "boolean").when(name == "STRING", "string")
-        .when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").otherwise("number")
-    )
+    kinds = {"": "absent", "VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit("")), "^[A-Z]*", 0)), F.lit("number"))
 
 
 def field(value: Column, name: str) -> Column:
@@ -104,7 +102,7 @@ def field(value: Column, name: str) -> Column:
 def safe_integer(value: Column) -> Column:
     """A VARIANT as a long, if it is a number that JavaScript holds exactly as an integer."""
     number = F.when(kind(value) == "number", F.try_variant_get(value, "$", "double"))
-    return F.when((number == F.floor(number)) & (F.abs(number) <= SAFE), number.cast("long"))
+    return _let(number, lambda n: F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long")))
 
 
 def _is(value: Column, want) -> Column:
@@ -133,9 +131,9 @@ def unknown_keys(text: Column, rules: dict) -> Column:
 
 
 def _range_fits(value: Column, most: Column, empty: bool) -> Column:
-    start, end = safe_integer(field(value, "startByte")), safe_integer(field(value, "endByte"))
-    ordered = end >= start if empty else end > start
-    return F.coalesce(_is(field(value, "offsetUnit"), (UNIT,)) & (start >= 0) & ordered & (end <= most), F.lit(False))
+    ends = F.struct(safe_integer(field(value, "startByte")).alias("start"), safe_integer(field(value, "endByte")).alias("end"))
+    ordered = lambda r: (r["start"] >= 0) & (r["end"] >= r["start"] if empty else r["end"] > r["start"]) & (r["end"] <= most)
+    return F.coalesce(_is(field(value, "offsetUnit"), (UNIT,)) & _let(ends, ordered), F.lit(False))
 
 
 def _chapter_fits(chapter: Column, most: Column) -> Column:
@@ -163,9 +161,9 @@ def snapshot_fault(text: Column) -> Column:
     """As :func:`fault`, and ``chapter-N`` for the first chapter (from 0) that isn't valid in a snapshot that else is."""
 
     def of(value: Column) -> Column:
-        most = safe_integer(field(value, "textByteLength"))
+        fit = lambda c, most: F.coalesce(_chapter_fits(c, most), F.lit(False))
         chapters = F.try_variant_get(value, "$.chapters", "array<variant>")
-        bad = F.array_position(F.transform(chapters, lambda c: F.coalesce(_chapter_fits(c, most), F.lit(False))), F.lit(False))
-        return F.when(bad > 0, F.concat(F.lit("chapter-"), (bad - 1).cast("string")))
+        bad = _let(safe_integer(field(value, "textByteLength")), lambda most: F.array_position(F.transform(chapters, lambda c: fit(c, most)), F.lit(False)))
+        return _let(bad, lambda n: F.when(n > 0, F.concat(F.lit("chapter-"), (n - 1).cast("string"))))
 
     return F.coalesce(fault(text, SNAPSHOT), _let(parsed(text), of))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 # Byte order marks in the order they are tested, and encodings a user may choose.
 BOMS = [("utf-32be", "0000FEFF"), ("utf-32le", "FFFE0000"), ("utf-8", "EFBBBF"), ("utf-16le", "FFFE"), ("utf-16be", "FEFF")]
-CHOICES = ["gb2312", "gbk", "gb18030", "big5", "utf-16le", "utf-16be"]
+LEGACY = ["gb2312", "gbk", "gb18030", "big5"]
+CHOICES = [*LEGACY, "utf-16le", "utf-16be"]
 
 _CODEC = {"utf-8": "utf-8", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "gb2312": "gb2312", "gbk": "gbk", "gb18030": "gb18030", "big5": "big5"}
 
@@ -23,40 +24,76 @@ def bom(data: Column) -> Column:
     return found
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and give it to ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Units of UTF-16 as hexadecimal digits: high bytes of high and of low surrogates.
+_HIGH, _LOW = "D[89AB]", "D[C-F]"
+
+
+def _rest(data: Column, unit: str) -> Column:
+    """What is left of the bytes, as hexadecimal digits, once leading stretches of ``unit`` are taken off. Each match starts
+    where the one before ended, so units stay aligned; stretches are bounded, so no match goes deep."""
+    return F.regexp_replace(F.hex(data), rf"\G(?:{unit}){{1,256}}", "")
+
+
+def _units(little: bool) -> str:
+    """A character of valid UTF-16: a unit that is no surrogate, or a pair of them."""
+    byte = "[0-9A-F]{2}"
+    order = (lambda high: byte + high) if little else (lambda high: high + byte)
+    return f"{order(f'(?!D[89A-F]){byte}')}|{order(_HIGH)}{order(_LOW)}"
+
+
+def valid_utf16(data: Column, little: bool) -> Column:
+    """Whether the bytes are whole units without a lone surrogate."""
+    return (F.octet_length(data) % 2 == 0) & (_rest(data, _units(little)) == "")
+
+
+def _utf16(data: Column, little: bool) -> Column:
+    return F.when(valid_utf16(data, little), F.decode(data, "UTF-16LE" if little else "UTF-16BE"))
+
+
 @F.pandas_udf(StringType())
-def decode(data: pd.Series, encoding: pd.Series) -> pd.Series:
-    """Text of ``data``, strictly decoded, without a leading byte order mark; null where it can't be."""
+def _legacy(data: pd.Series, encoding: pd.Series) -> pd.Series:
+    """Text of ``data`` in a codec of Python's, strictly decoded; null where it can't be."""
 
     def one(b, name):
-        if b is None or name not in _CODEC:
+        if b is None or name not in LEGACY:
             return None
         try:
-            text = bytes(b).decode(_CODEC[name], "strict")
+            return bytes(b).decode(name, "strict")
         except UnicodeDecodeError:
             return None
-        if any(0xD800 <= ord(c) < 0xE000 for c in text):
-            return None
-        return text[1:] if name.startswith("utf") and text[:1] == "\ufeff" else text
 
     return pd.Series([one(b, n) for b, n in zip(data, encoding, strict=True)], dtype="object")
 
 
-@F.pandas_udf(BooleanType())
-def plausible_utf16(data: pd.Series) -> pd.Series:
-    """Even length, NULs at one parity only, and a strict decoding without NUL."""
+def decode_unicode(data: Column, encoding: Column) -> Column:
+    """As :func:`decode`, of UTF-8 and UTF-16 only, by built-in functions."""
+    text = (
+        F.when(encoding == "utf-8", F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")))
+        .when(encoding == "utf-16le", _utf16(data, True)).when(encoding == "utf-16be", _utf16(data, False))
+    )
+    return F.regexp_replace(text, "^\ufeff", "")
 
-    def one(b):
-        b = bytes(b or b"")
-        even, odd = b"\0" in b[::2], b"\0" in b[1::2]
-        if not b or len(b) % 2 or even == odd:
-            return False
-        try:
-            text = b.decode("utf-16-le" if odd else "utf-16-be", "strict")
-        except UnicodeDecodeError:
-            return False
-        return "\0" not in text and text not in ("", "\ufeff")
 
-    return pd.Series([one(b) for b in data])
+def decode(data: Column, encoding: Column) -> Column:
+    """Text of ``data``, strictly decoded, without a leading byte order mark; null where it can't be. Python gets the bytes of
+    legacy encodings only."""
+    old = encoding.isin(*LEGACY)
+    return F.when(old, _legacy(F.when(old, data), encoding)).otherwise(decode_unicode(data, encoding))
+
+
+def plausible_utf16(data: Column) -> Column:
+    """Even length, NULs at one parity only, and a strict decoding without NUL."""
+    byte = "[0-9A-F]{2}"
+    first, second = _rest(data, f"(?!00){byte}{byte}") != "", _rest(data, f"{byte}(?!00){byte}") != ""
+    shaped = (F.octet_length(data) > 0) & (F.octet_length(data) % 2 == 0)
+    plain = lambda text: ~F.contains(text, F.lit("\0")) & ~text.isin("", "\ufeff")
+    by_parity = lambda nul: F.when(nul["first"] != nul["second"], _let(F.when(nul["second"], _utf16(data, True)).otherwise(_utf16(data, False)), plain))
+    return F.coalesce(F.when(shaped, _let(F.struct(first.alias("first"), second.alias("second")), by_parity)), F.lit(False))
 
 
 def probe(data: Column) -> Column:
@@ -64,42 +101,48 @@ def probe(data: Column) -> Column:
     mark = bom(data)
     by_mark = F.when(mark == "utf-8", data).otherwise(F.lit(None))
     valid = F.is_valid_utf8(data.cast("string"))
-    # Python gets the bytes of UTF-16 candidates only.
-    wide = decode(F.when(mark.isin("utf-16le", "utf-16be"), data), mark)
+    wide = decode_unicode(F.when(mark.isin("utf-16le", "utf-16be"), data), mark)
     text = F.when(mark == "utf-8", F.when(valid, F.regexp_replace(by_mark.cast("string"), "^\ufeff", ""))).otherwise(wide)
     say = lambda status, encoding=None, method=None, reason=None: F.struct(
         *[F.lit(v).cast("string").alias(k) if not isinstance(v, Column) else v.alias(k) for k, v in (("status", status), ("encoding", encoding), ("method", method), ("reason", reason))]
     )
     has_nul = F.contains(data, F.lit(bytearray(b"\0")))
+    marked = lambda text: (
+        F.when(text.isNull(), say("rejected", reason="decode-failed")).when(text == "", say("rejected", reason="empty"))
+        .when(F.contains(text, F.lit("\0")), say("rejected", reason="binary-nul")).otherwise(say("confirmed", mark, "bom"))
+    )
     return (
         F.when(F.octet_length(data) == 0, say("rejected", reason="empty"))
         .when(mark.startswith("utf-32"), say("rejected", reason="utf-32"))
-        .when(mark.isNotNull() & text.isNull(), say("rejected", reason="decode-failed"))
-        .when(mark.isNotNull() & (text == ""), say("rejected", reason="empty"))
-        .when(mark.isNotNull() & F.contains(text, F.lit("\0")), say("rejected", reason="binary-nul"))
-        .when(mark.isNotNull(), say("confirmed", mark, "bom"))
+        .when(mark.isNotNull(), _let(text, marked))
         .when(~valid, say("selection-required"))
         .when(~has_nul, say("confirmed", "utf-8", "strict-utf8"))
-        .when(plausible_utf16(F.when(mark.isNull() & valid & has_nul, data)), say("selection-required"))
+        .when(plausible_utf16(data), say("selection-required"))
         .otherwise(say("rejected", reason="binary-nul"))
     )
 
 
 def decode_choice(data: Column, choice: Column, chosen_hash: Column) -> Column:
     """struct(text, encoding, method, error): decoded as probed, or as chosen for exactly this data."""
-    found = probe(data)
-    bound = chosen_hash == F.sha2(data, 256)
-    encoding = F.when(choice.isNotNull(), choice).otherwise(found["encoding"])
-    plain = F.when(F.is_valid_utf8(data.cast("string")), F.regexp_replace(data.cast("string"), "^\ufeff", ""))
-    text = F.when(encoding == "utf-8", plain).otherwise(decode(F.when(encoding != "utf-8", data), encoding))
-    error = (
-        F.when(choice.isNotNull() & ~F.coalesce(bound, F.lit(False)), "source-changed")
-        .when(choice.isNotNull() & ~choice.isin([*CHOICES, "utf-8"]), "encoding-not-allowed")
-        .when((found["status"] == "rejected") & (choice.isNull() | found["reason"].isin("empty", "utf-32")), found["reason"])
-        .when(choice.isNull() & (found["status"] == "selection-required"), "selection-required")
-        .when(text.isNull(), "decode-failed")
-        .when(text == "", "empty")
-        .when(F.contains(text, F.lit("\0")), "binary-nul")
-    )
-    method = F.when(choice.isNotNull() & ~F.coalesce(choice == found["encoding"], F.lit(False)), "user").otherwise(found["method"])
-    return F.struct(F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), encoding).alias("encoding"), F.when(error.isNull(), method).alias("method"), error.alias("error"))
+    bound = F.coalesce(chosen_hash == F.sha2(data, 256), F.lit(False))
+    old = choice.isin(*LEGACY)
+
+    def decoded(x: Column) -> Column:
+        encoding = F.coalesce(choice, x["found"]["encoding"])
+        text = F.when(old, x["old"]).otherwise(decode_unicode(data, encoding))
+        return _let(F.struct(x["found"].alias("found"), encoding.alias("encoding"), text.alias("text")), judged)
+
+    def judged(x: Column) -> Column:
+        found, text = x["found"], x["text"]
+        error = (
+            F.when(choice.isNotNull() & ~bound, "source-changed")
+            .when(choice.isNotNull() & ~choice.isin([*CHOICES, "utf-8"]), "encoding-not-allowed")
+            .when((found["status"] == "rejected") & (choice.isNull() | found["reason"].isin("empty", "utf-32")), found["reason"])
+            .when(choice.isNull() & (found["status"] == "selection-required"), "selection-required")
+            .when(text.isNull(), "decode-failed").when(text == "", "empty").when(F.contains(text, F.lit("\0")), "binary-nul")
+        )
+        method = F.when(choice.isNotNull() & ~F.coalesce(choice == found["encoding"], F.lit(False)), "user").otherwise(found["method"])
+        done = lambda e: F.struct(F.when(e.isNull(), text).alias("text"), F.when(e.isNull(), x["encoding"]).alias("encoding"), F.when(e.isNull(), method).alias("method"), e.alias("error"))
+        return _let(error, done)
+
+    return _let(F.struct(probe(data).alias("found"), _legacy(F.when(old, data), choice).alias("old")), decoded)

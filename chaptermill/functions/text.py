@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 # The characters that a line is trimmed of, as a character class.
 JS_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -170,24 +168,70 @@ def prefill(text: Column, start: Column, end: Column) -> Column:
     return F.when((end > start) & (found != "") & ~found.rlike("[\r\n]"), found)
 
 
-@F.pandas_udf(StructType([StructField("prefix", LongType()), StructField("suffix", LongType())]))
-def common_ends(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """UTF-16 lengths of the common prefix and suffix of two texts; neither splits a surrogate pair."""
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and give it to ``body``."""
+    return F.transform(F.array(value), body)[0]
 
-    def units(t):
-        data = t.encode("utf-16-le", "surrogatepass")
-        return [int.from_bytes(data[i : i + 2], "little") for i in range(0, len(data), 2)]
 
-    def one(a, b):
-        p, q = units(a or ""), units(b or "")
-        n = min(len(p), len(q))
-        prefix = next((i for i in range(n) if p[i] != q[i]), n)
-        if 0 < prefix and 0xD800 <= p[prefix - 1] < 0xDC00:
-            prefix -= 1
-        most = n - prefix
-        suffix = next((i for i in range(most) if p[-1 - i] != q[-1 - i]), most)
-        if 0 < suffix and 0xDC00 <= p[len(p) - suffix] < 0xE000:
-            suffix -= 1
-        return prefix, suffix
+def _bisected(most: Column, same) -> Column:
+    """The largest n up to ``most`` for which ``same(k, n)``, that what lies between the first k and n is equal, holds all along."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
 
-    return pd.DataFrame([one(a, b) for a, b in zip(old, new, strict=True)], columns=["prefix", "suffix"])
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"] + 1) / 2).cast("int")
+        equal = same(acc["low"], middle)
+        return F.struct(F.when(equal, middle).otherwise(acc["low"]).alias("low"), F.when(equal, acc["high"]).otherwise(F.greatest(acc["low"], middle - 1)).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), most.alias("high")), step)["low"]
+
+
+def _half(char: Column, last: bool) -> Column:
+    """One of the two UTF-16 units of a character that has two; null of any other."""
+    data = F.encode(char, "UTF-16BE")
+    return F.when(F.octet_length(data) == 4, F.substring(data, 3 if last else 1, 2))
+
+
+def common_ends(old: Column, new: Column) -> Column:
+    """struct(prefix, suffix): UTF-16 lengths of the common ends of two texts (null counts as empty). They don't overlap, where
+    also halves of surrogate pairs count as common, and neither splits a pair of the old text."""
+
+    def ends(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        most = F.least(F.char_length(a), F.char_length(b))
+        front = _bisected(most, lambda k, n: F.substring(a, k + 1, n - k) == F.substring(b, k + 1, n - k))
+        back = _bisected(most, lambda k, n: F.substring(a, F.char_length(a) - n + 1, n - k) == F.substring(b, F.char_length(b) - n + 1, n - k))
+        return _let(F.struct(a.alias("a"), b.alias("b"), front.alias("front"), back.alias("back")), halves)
+
+    def halves(t: Column) -> Column:
+        a, b, front, back = t["a"], t["b"], t["front"], t["back"]
+        at = lambda x, i: F.when(i > 0, F.substring(x, i, F.lit(1)))
+        share = lambda x, y, last: F.coalesce((_half(x, last) == _half(y, last)).cast("int"), F.lit(0))
+        prefix = utf16_length(F.substring(a, F.lit(1), front))
+        raw = prefix + share(at(a, front + 1), at(b, front + 1), False)
+        behind = utf16_length(F.substring(a, F.char_length(a) - back + 1, back)) + share(at(a, F.char_length(a) - back), at(b, F.char_length(b) - back), True)
+        suffix = F.least(behind, F.least(utf16_length(a), utf16_length(b)) - raw)
+        return _let(F.struct(a.alias("a"), prefix.alias("prefix"), suffix.alias("suffix")), guarded)
+
+    def guarded(t: Column) -> Column:
+        data = F.encode(t["a"], "UTF-16BE")
+        first = F.hex(F.substring(data, (F.octet_length(data) - 2 * t["suffix"] + 1).cast("int"), F.lit(1)))
+        split = (t["suffix"] > 0) & F.coalesce(first.between("DC", "DF"), F.lit(False))
+        return F.struct(t["prefix"].alias("prefix"), (t["suffix"] - split.cast("int")).alias("suffix"))
+
+    return _let(F.struct(F.coalesce(old, F.lit("")).alias("a"), F.coalesce(new, F.lit("")).alias("b")), ends)
+
+
+def minimal_change(old: Column, new: Column) -> Column:
+    """struct(start, end, insert): the UTF-16 range of the old text that has to be replaced, and by what, to give the new one."""
+    length = utf16_length(F.coalesce(old, F.lit("")))
+    data = F.encode(F.coalesce(new, F.lit("")), "UTF-16BE")
+    inserted = lambda e: F.decode(F.substring(data, (2 * e["prefix"] + 1).cast("int"), (F.octet_length(data) - 2 * (e["prefix"] + e["suffix"])).cast("int")), "UTF-16BE")
+    return _let(common_ends(old, new), lambda e: F.struct(e["prefix"].alias("start"), (length - e["suffix"]).alias("end"), inserted(e).alias("insert")))
+
+
+def map_position(at: Column, change: Column, after: bool) -> Column:
+    """Where a UTF-16 position lies once ``change`` is made; inside what was replaced, before the insertion or ``after`` it."""
+    start, end, grown = change["start"], change["end"], utf16_length(change["insert"])
+    moved = at + grown - (end - start)
+    inside = start + grown if after else start
+    return F.when(at < start, at).when((start == end) & (at == start), inside).when(at == start, start).when(at < end, inside).otherwise(moved)

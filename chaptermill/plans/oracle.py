@@ -439,11 +439,26 @@ SQL: dict[str, str] = {
       CASE doc_id % 8 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'utf-16be' END AS encoding, CASE doc_id % 8 WHEN 0 THEN 'strict-utf8' WHEN 1 THEN 'bom' WHEN 2 THEN 'bom' WHEN 3 THEN 'bom' END AS method,
       CASE doc_id % 8 WHEN 4 THEN 'empty' WHEN 5 THEN 'utf-32' WHEN 7 THEN 'binary-nul' END AS reason FROM documents WHERE doc_id IS NOT NULL AND text <> ''
       UNION ALL SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN 'selection-required' ELSE 'rejected' END, NULL, NULL, CASE doc_id % 8 WHEN 5 THEN 'utf-32' WHEN 6 THEN NULL WHEN 7 THEN 'binary-nul' ELSE 'empty' END FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = ''""",
-    "editor_positions": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS t FROM documents WHERE length(text) >= 50)
-      SELECT doc_id, 50 - CAST(len(regexp_extract_all(t[1:50], '\r\n')) AS BIGINT) AS editor, CAST(CASE WHEN t[50:51] = chr(13) || chr(10) THEN 51 ELSE 50 END AS BIGINT) AS back FROM t""",
+    "editor_positions": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS t FROM documents)
+      SELECT doc_id, CASE WHEN length(t) >= 50 THEN 50 - CAST(len(regexp_extract_all(t[1:50], '\r\n')) AS BIGINT) END AS editor, CAST(CASE WHEN length(t) < 50 THEN NULL WHEN t[50:51] = chr(13) || chr(10) THEN 51 ELSE 50 END AS BIGINT) AS back FROM t""",
     "search_prefill": r"SELECT doc_id, CASE WHEN coalesce(text, '')[21:60] <> '' AND NOT regexp_matches(text[21:60], '[\r\n]') THEN text[21:60] END AS prefill FROM documents",
     "legacy_samples": "SELECT doc_id, s[1] AS choice, s[2] AS text, s[3] AS error FROM (SELECT doc_id, " + _LEGACY + "[doc_id % 12 + 1] AS s FROM documents WHERE doc_id IS NOT NULL)",
-    "utf16_offsets": "SELECT doc_id, strlen(substr(text, 1, 10)) AS at, CAST(10 AS BIGINT) AS back FROM documents WHERE length(text) >= 10",
+    "utf16_offsets": "SELECT doc_id, CASE WHEN length(text) >= 10 THEN strlen(substr(text, 1, 10)) END AS at, CAST(CASE WHEN length(text) >= 10 THEN 10 END AS BIGINT) AS back FROM documents",
+    "decode_legacy": """SELECT doc_id, CASE WHEN error IS NULL THEN 'user' END AS method, error, CASE WHEN error IS NULL THEN true END AS exact
+      FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'source-changed' WHEN coalesce(text, '') = '' THEN 'empty' END AS error FROM documents)""",
+    "minimal_changes": f"""WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS a, CAST(length(coalesce(text, '')) // 2 AS BIGINT) AS half FROM documents
+    ), n AS (
+      SELECT *, a[1:half] || CASE doc_id % 3 WHEN 0 THEN chr(128512) WHEN 1 THEN repeat(substr(a, greatest(half, 1), 2), 2) ELSE '' END || substr(a, half + 4) AS b FROM d
+    ), l AS (
+      SELECT *, string_split(a, '') AS x, string_split(b, '') AS y, least(length(a), length(b)) AS m FROM n
+    ), p AS (
+      SELECT *, coalesce(list_position(list_transform(list_zip(x[1:m], y[1:m]), lambda q: q[1] = q[2]), false) - 1, m) AS front,
+        coalesce(list_position(list_transform(list_zip(list_reverse(x)[1:m], list_reverse(y)[1:m]), lambda q: q[1] = q[2]), false) - 1, m) AS back FROM l
+    ), e AS (SELECT *, least(back, m - front) AS tail FROM p),
+    c AS (
+      SELECT doc_id, half, {_UNITS("a[1:front]")} AS s, {_UNITS("a[1:length(a) - tail]")} AS e, substr(b, front + 1, length(b) - tail - front) AS inserted, {_UNITS("substr(b, front + 1, length(b) - tail - front)")} AS g FROM e
+    ) SELECT doc_id, s AS start_unit, e AS end_unit, inserted, {', '.join(f"CASE WHEN half + {i} < s THEN half + {i} WHEN s = e AND half + {i} = s THEN {side} WHEN half + {i} = s THEN s WHEN half + {i} < e THEN {side} ELSE half + {i} + g - (e - s) END AS {name}_{i}" for i in (0, 2, 9) for name, side in (('before', 's'), ('after', 's + g')))} FROM c""",
     "source_names": f"WITH n AS (SELECT doc_id, doc_id % 8 AS k FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, k NOT IN (2, 3, 6) AS text, k NOT IN (4, 5, 6) AS safe, k NOT IN (5, 6) AS inside FROM n",
     "json_keys": "SELECT event_id, event_id % 9 <> 0 AS valid, CASE WHEN event_id % 9 = 1 THEN 'z' END AS unknown FROM events WHERE event_id % 9 IN (0, 1)",
     "duplicate_names": "SELECT p_name, p_brand, p_size, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1",

@@ -906,7 +906,7 @@ def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     data = F.encode(text, "UTF-16LE")
     hashed = F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2(F.col("data"), 256))
-    rows = _table(spark, sf_dir, "documents").filter(F.col("doc_id").isNotNull() & (text != "")).select("doc_id", data.alias("data"), F.sha2(text.cast("binary"), 256).alias("expected"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), F.sha2(text.cast("binary"), 256).alias("expected"))
     done = rows.select("doc_id", "expected", encoding.decode_choice(F.col("data"), F.lit("utf-16le"), hashed).alias("d"))
     return done.select("doc_id", F.col("d.method").alias("method"), F.col("d.error").alias("error"), (F.sha2(F.col("d.text").cast("binary"), 256) == F.col("expected")).alias("exact"))
 
@@ -914,7 +914,7 @@ def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte of the tenth UTF-16 unit and back again."""
-    rows = _table(spark, sf_dir, "documents").filter("length(text) >= 10").select("doc_id", "text", T.utf16_to_byte(F.col("text"), F.lit(10)).alias("at"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", T.utf16_to_byte(F.col("text"), F.lit(10)).alias("at"))
     return rows.select("doc_id", "at", T.byte_to_utf16(F.col("text"), F.col("at")).alias("back"))
 
 
@@ -922,11 +922,23 @@ def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def editor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fiftieth character of texts with CRLF for every second one's line ends, in an editor and back."""
     text = F.when(F.col("doc_id") % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    rows = _table(spark, sf_dir, "documents").filter("length(text) >= 50").select("doc_id", text.alias("text"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     moved = rows.withColumn("editor", T.to_editor(F.col("text"), F.lit(50)))
     return moved.select("doc_id", "editor", T.from_editor(F.col("text"), F.col("editor")).cast("long").alias("back"))
 
 
+@query
+def minimal_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with some characters in their middle replaced: the least change that makes the new text of the old one, and where
+    positions lie after it."""
+    old = F.coalesce("text", F.lit(""))
+    half = F.expr("char_length(coalesce(text, '')) div 2")
+    new = F.concat(F.substring(old, F.lit(1), half), F.when(F.col("doc_id") % 3 == 0, "\U0001f600").when(F.col("doc_id") % 3 == 1, F.repeat(F.substring(old, half, F.lit(2)), F.lit(2))).otherwise(""), F.substring(old, half + 4, F.char_length(old)))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", half.cast("long").alias("half"), T.minimal_change(old, new).alias("c"))
+    places = [T.map_position(F.col("half") + i, F.col("c"), after).alias(f"{n}_{i}") for i in (0, 2, 9) for n, after in (("before", False), ("after", True))]
+    return rows.select("doc_id", F.col("c.start").alias("start_unit"), F.col("c.end").alias("end_unit"), F.col("c.insert").alias("inserted"), *places)
+
+
 @query
 def search_prefill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What characters 20 to 60 of a text put into the search field."""

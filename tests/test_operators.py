@@ -185,9 +185,35 @@ def test_slices(spark):
     assert cut(9, 9) == (True, "", 9, True)
 
 
+def ends_of_units(old, new):
+    """(prefix, suffix) by lists of UTF-16 units."""
+    units = lambda t: [int.from_bytes(t.encode("utf-16-be")[i : i + 2]) for i in range(0, 2 * (len(t.encode("utf-16-be")) // 2), 2)]
+    p, q = units(old), units(new)
+    split = lambda at: 0 < at < len(p) and 0xD800 <= p[at - 1] < 0xDC00 <= p[at] < 0xE000
+    n = min(len(p), len(q))
+    prefix = next((i for i in range(n) if p[i] != q[i]), n)
+    suffix = next((i for i in range(n - prefix) if p[-1 - i] != q[-1 - i]), n - prefix)
+    return prefix - split(prefix), suffix - (suffix > 0 and split(len(p) - suffix))
+
+
 def test_common_ends(spark):
-    rows = frame(spark, [("abcXdef", "abcYYdef"), ("same", "same"), ("😀", "😁"), ("", "x")], "a string, b string")
-    assert [tuple(r.c) for r in rows.select(T.common_ends(F.col("a"), F.col("b")).alias("c")).collect()] == [(3, 3), (4, 0), (0, 0), (0, 0)]
+    rng = random.Random(3)
+    pairs = [("abcXdef", "abcYYdef"), ("same", "same"), ("😀", "😁"), ("", "x"), (None, "x"), ("😀", "😁😀"), ("a🀀", "a😀"), ("x" * 5000 + "a" + "y" * 7000, "x" * 5000 + "b" + "y" * 7000)]
+    pairs += [tuple("".join(rng.choices("ab😀😁🀀é", k=rng.randrange(0, 7))) for _ in "ab") for _ in range(400)]
+    rows = frame(spark, [(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", T.common_ends(F.col("a"), F.col("b")).alias("c"), T.minimal_change(F.col("a"), F.col("b")).alias("m"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    for r in rows.collect():
+        old, new = (x or "" for x in pairs[r.i])
+        assert tuple(r.c) == ends_of_units(old, new), pairs[r.i]
+        raw = old.encode("utf-16-be")
+        assert (raw[: 2 * r.m.start] + r.m.insert.encode("utf-16-be") + raw[2 * r.m.end :]).decode("utf-16-be") == new
+
+
+def test_positions_through_a_change(spark):
+    change = F.struct(F.lit(3).alias("start"), F.lit(6).alias("end"), F.lit("x😀").alias("insert"))
+    insertion = F.struct(F.lit(3).alias("start"), F.lit(3).alias("end"), F.lit("xy").alias("insert"))
+    places = spark.range(8).select("id", *[T.map_position(F.col("id"), c, after) for c in (change, insertion) for after in (False, True)]).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in places] == [(0, 0, 0, 0), (1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 3, 5), (3, 6, 6, 6), (3, 6, 7, 7), (6, 6, 8, 8), (7, 7, 9, 9)]
 
 
 def test_search(spark):

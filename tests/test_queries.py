@@ -39,8 +39,3 @@ def test_query(spark, sf_dir, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_decode_legacy(spark, sf_dir):
-    rows = QUERIES["decode_legacy"](spark, sf_dir).collect()
-    assert rows and all((r.error == "source-changed") if r.doc_id % 5 == 0 else (r.exact and r.method == "user") for r in rows)

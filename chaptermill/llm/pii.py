@@ -7,20 +7,21 @@ round function is SHA-512. The permutation depends on the key alone, so equal va
 in all documents and different values different ones. What doesn't validate is left as it is.
 
 * e-mail: in the local part letters of each alphabet and digits each among their own; marks, ß, ς, case and
-  the domain stay; a local part with letters of other scripts, or of more than 256 characters, is replaced whole, by
-  20 digits of its keyed digest
-* IPv4: the two halves of the address; the result is an address. IPv6: the hexadecimal digits in their places
+  the domain stay; a local part with letters of other scripts becomes ``xn--`` and its UTF-8 bytes, in
+  hexadecimal digits that are permuted
+* IPv4: the two halves of the address; the result is an address. IPv6: the 32 hexadecimal digits of the address,
+  so short and long spellings stay linked; zeros in front of groups are written where the value had all of them
 * date: within its century, days 1-28 among each other, 29-31 among each other, 29 February among
   leap years; ``yyyy-mm-dd``, ``dd/mm/yyyy`` or ``dd.mm.yyyy``; an unpadded day may gain a digit
-* phone, social security number: the digits after a country code; numbers in the valid range (area and exchange
-  from 200; area neither 000, 666 nor 9xx) among each other, and other phone numbers among each other. A number that
-  starts with + and isn't grouped 3-3-4 keeps its country code (the first group, or two digits)
+* phone: the digits after the country code, whatever their grouping and with or without a trunk 0 in brackets; of
+  ten digits those in the valid range (area and exchange from 200) among each other, and the others among each other
+* social security number: valid ones (area neither 000, 666 nor 9xx) among each other
 * card: all digits but the last, which becomes the new Luhn digit; separators stay
 * bank account: letters and digits after the check digits, which become those of the new number; country and spaces stay
-* access key: letters and digits after the issuer's mark (20 to 255 characters), each among their own; case stays
+* access key: letters and digits after the issuer's mark (20 characters and more), each among their own; case stays
 * secret: 32 or more hexadecimal digits, at least one of them 0-9, within its case
 
-Null texts stay null, empty ones empty; texts and values of any length are taken whole. Repeated rows each
+Letters and digits of values of more than ``SLICE`` characters are permuted slice by slice. Null texts stay null, empty ones empty; texts and values of any length are taken whole. Repeated rows each
 get the same result. Other columns are carried along, but for one named pii.
 """
 
@@ -33,13 +34,13 @@ from chaptermill.llm.common import let
 
 KEY = "chaptermill-demo-key"
 ROUNDS = 8
-#: Letters of a local part that are permuted in place; no valid address has more than 64.
-LONG = 256
+#: Characters of a local part or an access key that are permuted together; no valid address has more than 64.
+SLICE = 256
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{L}\p{M}\p{N}"
 EMAIL = rf"(?<![{_NAME}._%+\-])[{_NAME}._%+\-]++@[{_NAME}\-]++(?:\.[{_NAME}\-]++)++"
-TOKEN = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)(?=[A-Z]*+[0-9])[0-9A-Z]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)(?=[A-Za-z_\-]*+[0-9])[0-9A-Za-z_\-]{20,255})(?![0-9A-Za-z_\-])"
+TOKEN = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)(?=[A-Z]*+[0-9])[0-9A-Z]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)(?=[A-Za-z_\-]*+[0-9])[0-9A-Za-z_\-]{20,}+)(?![0-9A-Za-z_\-])"
 SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])"
 IPV6 = r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*?::)(?![0-9A-Fa-f:]*?::[0-9A-Fa-f:]*?::)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
@@ -136,6 +137,12 @@ def _permuted(s: Column, alphabet: str, kind: str, key: str) -> Column:
     return let(s, of)
 
 
+def _sliced(s: Column, permuted) -> Column:
+    """``permuted`` of each slice of ``s``: a permutation of the strings of any length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(SLICE))
+    return F.array_join(F.transform(starts, lambda at: let(F.substring(s, at, F.lit(SLICE)), permuted)), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     def step(a: Column, i: Column) -> Column:
         d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int")
@@ -171,23 +178,23 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid(m), _within(m, valid, lambda s: _permuted(s, DIGITS, "ssn", key))).otherwise(m)
 
 
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
+
+
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .\-]?)?(?=[(0-9])", 1)
-    valid = lambda s: s.rlike(r"^\(?[2-9][0-9]{2}\)?[ .\-]?[2-9]")
+    country = F.regexp_extract(m, rf"^(?:{COUNTRY}(?:[ .\-/]{{0,2}}\(0\))?)?", 0)
+    valid = lambda s: s.rlike(r"^[^0-9]*[2-9](?:[^0-9]*[0-9]){2}[^0-9]*[2-9]")
     once = lambda s: _permuted(s, DIGITS, "phone", key)
 
     def moved(c: Column) -> Column:
         rest = F.substring(m, F.length(c) + 1, F.length(m))
-        return let(rest, lambda r: F.concat(c, F.when(valid(r), _within(r, valid, once)).otherwise(_within(r, lambda s: ~valid(s), once))))
+        ten = lambda r: F.when(valid(r), _within(r, valid, once)).otherwise(_within(r, lambda s: ~valid(s), once))
+        return let(rest, lambda r: F.concat(c, F.when(F.regexp_count(r, F.lit("[0-9]")) == 10, ten(r)).otherwise(_permuted(r, DIGITS, "abroad", key))))
 
     return let(country, moved)
 
 
-def _abroad(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^(\+(?:[0-9]{1,3}(?=[^0-9])|[17]|[0-9]{2}))", 1)
-    return let(country, lambda c: F.concat(c, _permuted(F.substring(m, F.length(c) + 1, F.length(m)), DIGITS, "abroad", key)))
-
-
 def _sum97(s: Column) -> Column:
     """The remainder by 97 of digits and capitals, A standing for 10."""
 
@@ -213,12 +220,25 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _ipv6(m: Column, key: str) -> Column:
-    return _permuted(m, HEX, "ipv6", key)
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(m, "::", 1)), groups(F.when(F.instr(m, "::") > 0, F.substring_index(m, "::", -1)).otherwise(""))
+    whole = let(F.struct(left.alias("l"), right.alias("r")), lambda x: F.concat(x["l"], F.array_repeat(F.lit("0"), 8 - F.size(x["l"]) - F.size(x["r"])), x["r"]))
+    digits = F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    padded, capitals = m.rlike("^[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{4}){7}$"), m.rlike("[A-F]")
+
+    def text(d: Column) -> Column:
+        new = F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda at: F.substring(d, at, F.lit(4)))
+        short = F.transform(new, lambda g: F.regexp_replace(g, "^0{1,3}", ""))
+        spelled = F.array_join(F.when(padded, new).otherwise(short), ":")
+        return F.when(capitals, F.upper(spelled)).otherwise(spelled)
+
+    return let(feistel(digits, HEX, "ipv6", key), text)
 
 
 def _token(m: Column, key: str) -> Column:
     mark = F.regexp_extract(m, r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|AIza|[sr]k[-_](?:live_|test_|proj-)?)", 0)
-    return let(mark, lambda k: F.concat(k, _permuted(_permuted(F.substring(m, F.length(k) + 1, F.length(m)), DIGITS, "token", key), LETTERS, "token letters", key)))
+    moved = lambda s: _permuted(_permuted(s, DIGITS, "token", key), LETTERS, "token letters", key)
+    return let(mark, lambda k: F.concat(k, _sliced(F.substring(m, F.length(k) + 1, F.length(m)), moved)))
 
 
 #: Month and day of the days after the 28th that every year has.
@@ -262,13 +282,16 @@ def _date(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    moved = local
-    for kind, alphabet in ALPHABETS.items():
-        moved = _permuted(moved, alphabet, kind, key)
+
+    def moved(s: Column) -> Column:
+        for kind, alphabet in ALPHABETS.items():
+            s = _permuted(s, alphabet, kind, key)
+        return s
+
     told = "".join(ALPHABETS.values())
     other = F.exists(F.split(F.lower(local), ""), lambda c: c.rlike(r"[\p{L}\p{N}]") & ~c.isin("ß", "ς") & (F.instr(F.lit(told), c) == 0))
-    whole = F.substring(_draw(key, "address", F.lit(0), local), F.lit(1), F.lit(20))
-    return F.concat(F.when((F.length(local) > LONG) | other, whole).otherwise(moved), F.substring(m, F.length(local) + 1, F.length(m)))
+    whole = F.concat(F.lit("xn--"), _sliced(F.lower(F.hex(F.encode(local, "UTF-8"))), lambda s: feistel(s, HEX, "address", key)))
+    return F.concat(F.when(other, whole).otherwise(_sliced(local, moved)), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def kind_of(m: Column) -> Column:
@@ -292,7 +315,7 @@ def pseudonym(m: Column, key: str) -> Column:
 
     def of_kind(k: Column) -> Column:
         secret = F.when(F.lower(m) == m, feistel(m, HEX, "secret", key)).otherwise(F.upper(feistel(F.lower(m), HEX, "secret", key)))
-        kinds = {"email": _email, "token": _token, "iban": _iban, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "abroad": _abroad}
+        kinds = {"email": _email, "token": _token, "iban": _iban, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "abroad": _phone}
         found = F.when(k == "secret", secret)
         for kind, of in kinds.items():
             found = found.when(k == kind, of(m, key))

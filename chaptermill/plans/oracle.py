@@ -201,6 +201,21 @@ _MERGED = """, runs AS (
   SELECT *, sum(CASE WHEN ord = 1 OR ord % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM loose
 )"""
 
+#: Line items as segments of orders, broken in one way each, and what each order reports of them.
+_SEGMENTS = """items AS (
+  SELECT l_orderkey AS book_id, CAST(l_linenumber AS BIGINT) AS pos, CAST(max(l_quantity) AS BIGINT) AS size, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL
+), placed AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY book_id ORDER BY pos) AS BIGINT) AS e, e - size AS s, CASE flag WHEN 'R' THEN 'unknown' WHEN 'A' THEN 'chapter' ELSE 'noise' END AS kind, book_id % 11 AS m FROM items
+), segments AS (
+  SELECT book_id, pos, s, e, CASE WHEN m = 2 AND s = 0 THEN 'prose' ELSE kind END AS class, kind = 'chapter' AND m <> 3 AS known, kind = 'chapter' AS has_id, m = 7 AND kind = 'noise' AS has_reason
+  FROM placed WHERE NOT (m = 1 AND s = 0)
+), uncovered AS (
+  SELECT book_id, pos, s + CASE WHEN m = 5 THEN 1 ELSE 0 END AS s, e FROM placed WHERE kind = 'unknown'
+  UNION ALL SELECT book_id, 1000, 0, 1 FROM placed WHERE m = 6 AND s = 0
+), reports AS (
+  SELECT book_id, CAST(sum(size) + CASE WHEN book_id % 11 = 8 THEN 1 ELSE 0 END AS BIGINT) AS total, CAST(coalesce(sum(size) FILTER (kind <> 'unknown'), 0) AS BIGINT) AS classified,
+    CAST(coalesce(sum(size) FILTER (kind = 'unknown'), 0) AS BIGINT) AS unclassified, (coalesce(sum(size) FILTER (kind = 'unknown'), 0) = 0) <> (book_id % 11 = 4) AS complete FROM placed GROUP BY book_id
+)"""
 #: Edits of every chapter with what is wrong with each, and which of a chapter's were applied.
 _VERDICTS = (
     _LOOSE
@@ -373,6 +388,36 @@ SQL: dict[str, str] = {
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i
         FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)
     ) SELECT l_orderkey AS o_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 'reviewStatus' WHEN bool_or(bad) THEN 'chapter-' || min(i) FILTER (bad) END AS fault FROM c GROUP BY l_orderkey""",
+    "coverage_validation": f"""WITH {_SEGMENTS}, r AS (
+      SELECT *, coalesce(lag(e) OVER w, 0) AS reach, CASE WHEN class = 'unknown' THEN sum(CAST(class = 'unknown' AS INTEGER)) OVER w END AS k FROM segments WINDOW w AS (PARTITION BY book_id ORDER BY pos)
+    ), u AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS k FROM uncovered),
+    t AS (
+      SELECT p.*, coalesce(last, 0) AS last, coalesce(c, 0) AS c, coalesce(n, 0) AS n FROM reports p LEFT JOIN (
+        SELECT book_id, arg_max(e, pos) AS last, sum(e - s) FILTER (class <> 'unknown') AS c, sum(e - s) FILTER (class = 'unknown') AS n FROM segments GROUP BY book_id) q ON q.book_id = p.book_id
+    )
+    SELECT r.book_id, pos AS at, 'range' AS fault FROM r JOIN reports p ON p.book_id = r.book_id WHERE s >= e OR e > total
+    UNION ALL SELECT book_id, pos, 'contiguity' FROM r WHERE s <> reach
+    UNION ALL SELECT book_id, pos, 'classification' FROM r WHERE class = 'prose'
+    UNION ALL SELECT book_id, pos, 'chapter' FROM r WHERE CASE WHEN class = 'chapter' THEN NOT known ELSE has_id OR has_reason END
+    UNION ALL SELECT coalesce(x.book_id, u.book_id), CAST(coalesce(x.k, u.k) AS BIGINT), 'uncovered' FROM (SELECT * FROM r WHERE class = 'unknown') x FULL JOIN u ON u.book_id = x.book_id AND u.k = x.k
+      WHERE x.s IS DISTINCT FROM u.s OR x.e IS DISTINCT FROM u.e
+    UNION ALL SELECT book_id, NULL, 'end' FROM t WHERE last <> total
+    UNION ALL SELECT book_id, NULL, 'classified' FROM t WHERE c <> classified
+    UNION ALL SELECT book_id, NULL, 'unclassified' FROM t WHERE n <> unclassified
+    UNION ALL SELECT book_id, NULL, 'complete' FROM t WHERE complete <> (n = 0 AND c = total)""",
+    "unassigned_validation": f"""WITH {_SEGMENTS}, headed AS (SELECT DISTINCT book_id FROM segments WHERE class = 'chapter'),
+    r AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY book_id ORDER BY pos), 0) AS reach, book_id NOT IN (SELECT book_id FROM headed) AS bare FROM uncovered)
+    SELECT book_id, pos AS at, 'order' AS fault FROM r WHERE s < reach
+    UNION ALL SELECT r.book_id, pos, 'range' FROM r JOIN reports p ON p.book_id = r.book_id WHERE s >= e OR e > total
+    UNION ALL SELECT book_id, pos, 'coverage' FROM r WHERE bare AND s > reach
+    UNION ALL SELECT p.book_id, NULL, 'coverage' FROM reports p LEFT JOIN (SELECT book_id, arg_max(e, pos) AS last FROM uncovered GROUP BY book_id) q ON q.book_id = p.book_id
+      WHERE p.book_id NOT IN (SELECT book_id FROM headed) AND coalesce(last, 0) <> total""",
+    "record_validation": """SELECT CASE WHEN k = -2 THEN -c_custkey ELSE c_custkey END AS id, fault FROM (
+      SELECT c_custkey, c_custkey % 7 AS k, 'missing' AS fault FROM customer WHERE c_custkey % 7 IN (1, 2)
+      UNION ALL SELECT c_custkey, -2, 'orphan' FROM customer WHERE c_custkey % 7 = 2
+      UNION ALL SELECT c_custkey, 3, 'name' FROM customer WHERE c_custkey % 7 = 3 AND c_name <> upper(c_name)
+      UNION ALL SELECT c_custkey, 4, 'nation' FROM customer WHERE c_custkey % 7 = 4
+      UNION ALL SELECT c_custkey, 5, 'balance' FROM customer WHERE c_custkey % 7 = 5 AND c_custkey % 6 <> 0)""",
     "event_numbers": """WITH e AS (
       SELECT event_id // 30 % 10 AS project_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, ts, epoch_us(ts) // 1000 AS ms,
         CASE event_type WHEN 'click' THEN 'token-opened' WHEN 'view' THEN 'token-consumed' ELSE event_type END AS event_type,

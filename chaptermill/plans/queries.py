@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from chaptermill.functions import encoding, hashing, stored_json
 from chaptermill.functions import text as T
-from chaptermill.operators import catalog, commands, drafts, intervals, lengths, lineage, ordered, review, search, structure, tasks
+from chaptermill.operators import catalog, commands, drafts, intervals, lengths, lineage, ordered, review, search, structure, tasks, validation
 from chaptermill.operators.ordered import cyclic
 from chaptermill.operators.stored import shared_folder, stored
 from chaptermill.sources import books, windows
@@ -263,6 +263,56 @@ def coverage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.tiling_faults(own, _books(found)).select("book_id", *_long("at"), "fault")
 
 
+def _order_coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(segments, uncovered ranges, reports, chapters) of orders, their line items as segments; many are broken, each in one way."""
+    items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("pos"))
+    rows = items.agg(F.max("l_quantity").cast("long").alias("size"), F.min("l_returnflag").alias("flag"))
+    placed = ordered.along(rows, ["book_id"], "pos", totals={"start_byte": F.col("size")}).withColumn("end_byte", F.col("start_byte") + F.col("size"))
+    kind = F.when(F.col("flag") == "R", "unknown").when(F.col("flag") == "A", "chapter").otherwise("noise")
+    placed = placed.withColumns({"classification": kind, "m": F.col("book_id") % 11})
+    name = F.when(F.col("classification") == "chapter", F.concat(F.lit("c"), F.col("pos").cast("string")))
+    first = F.col("start_byte") == 0
+    segments = placed.filter(~((F.col("m") == 1) & first)).select(
+        "book_id", "pos", "start_byte", "end_byte", F.when((F.col("m") == 2) & first, "prose").otherwise(F.col("classification")).alias("classification"),
+        F.when(F.col("m") == 3, F.concat(name, F.lit("x"))).otherwise(name).alias("chapter_id"), F.when((F.col("m") == 7) & (F.col("classification") == "noise"), "uncovered-to-last").alias("reason"),
+    )
+    unknown = placed.filter("classification = 'unknown'").select("book_id", "pos", (F.col("start_byte") + (F.col("m") == 5).cast("long")).alias("start_byte"), "end_byte")
+    extra = placed.filter((F.col("m") == 6) & first).select("book_id", F.lit(1000).cast("long").alias("pos"), F.lit(0).cast("long").alias("start_byte"), F.lit(1).cast("long").alias("end_byte"))
+    size = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
+    sums = placed.groupBy("book_id").agg(F.sum("size").alias("all"), size(F.col("classification") != "unknown").alias("classified"), size(F.col("classification") == "unknown").alias("unclassified"))
+    m = F.col("book_id") % 11
+    reports = sums.select("book_id", (F.col("all") + (m == 8).cast("long")).alias("total"), "classified", "unclassified", ((F.col("unclassified") == 0) != (m == 4)).alias("complete"))
+    chapters = placed.select("book_id", F.concat(F.lit("c"), F.col("pos").cast("string")).alias("chapter_id"))
+    return segments, unknown.unionByName(extra), reports, chapters
+
+
+@query
+def coverage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with reported coverages, segment by segment and as a whole."""
+    return validation.coverage_faults(*_order_coverage(spark, sf_dir)).select("book_id", *_long("at"), "fault")
+
+
+@query
+def unassigned_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncovered ranges as unassigned ones, of orders with chapters and without."""
+    segments, uncovered, reports, _ = _order_coverage(spark, sf_dir)
+    chapters = segments.filter("classification = 'chapter'").select("book_id")
+    return validation.unassigned_faults(uncovered, chapters, reports).select("book_id", *_long("at"), "fault")
+
+
+@query
+def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as manifests against records of them, of which some are gone, changed, or of nobody."""
+    fields = ["name", "nation", "balance"]
+    key = F.col("c_custkey")
+    manifests = _table(spark, sf_dir, "customer").select(key.alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"), F.when(key % 6 != 0, F.col("c_acctbal")).alias("balance"))
+    records = manifests.filter("id % 7 <> 1").select(
+        F.when(F.col("id") % 7 == 2, -F.col("id")).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 7 == 3, F.upper("name")).otherwise(F.col("name")).alias("name"),
+        F.when(F.col("id") % 7 == 4, F.col("nation") + 1).otherwise(F.col("nation")).alias("nation"), F.when(F.col("id") % 7 != 5, F.col("balance")).alias("balance"),
+    )
+    return validation.record_faults(manifests, records, "id", fields)
+
+
 # Ranges
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# This name and version, and the names and the order of the fields that are hashed below.
 #: Name and version of the processor in fingerprints; pass those of another system to match its fingerprints.
 PROCESSOR_ID, PROCESSOR_VERSION = "chaptermill.txt-import", "2"
 

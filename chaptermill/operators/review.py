@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 
 from chaptermill.operators.intervals import any_overlap, islands, subtract
 from chaptermill.operators.ordered import along, running_total
+from chaptermill.operators.structure import line_at, start_of
+
+# Fixed value: the title of chapters without one.
+UNNAMED = "未命名章节"
 
 
 def renumbered(chapters: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def add_recognition(chapters: DataFrame, unassigned: DataFrame, books: DataFrame
     made = known.withColumn("owns", owns).withColumn("to", to).filter((F.coalesce("taken", F.lit(0)) == 0) & (F.col("from") <= F.col("to")))
     cut = chapters.join(made.filter("owns").select("book_id", F.col("prev.ord").alias("ord"), F.col("split").alias("_split")), ["book_id", "ord"], "left").withColumn("content_end", F.coalesce("_split", "content_end"))
     heading = lambda name: F.when(F.col("new_title").isNotNull(), F.col(name)).cast("long")
-    values = {"ord": F.coalesce("prev.ord", F.lit(0)) + 0.5, "title": F.coalesce("new_title", F.lit("未命名章节")), "heading_kind": F.when(F.col("new_title").isNotNull(), "source").otherwise("missing"), "heading_start": heading("line_start"), "heading_end": heading("line_body_end"), "content_start": F.col("from"), "content_end": F.col("to"), "accepted": F.lit(False), "book_id": F.col("book_id"), "total": F.col("_total"), "chapter_id": F.concat(F.lit("draft-"), F.col("split").cast("string"))}
+    values = {"ord": F.coalesce("prev.ord", F.lit(0)) + 0.5, "title": F.coalesce("new_title", F.lit(UNNAMED)), "heading_kind": F.when(F.col("new_title").isNotNull(), "source").otherwise("missing"), "heading_start": heading("line_start"), "heading_end": heading("line_body_end"), "content_start": F.col("from"), "content_end": F.col("to"), "accepted": F.lit(False), "book_id": F.col("book_id"), "total": F.col("_total"), "chapter_id": F.concat(F.lit("draft-"), F.col("split").cast("string"))}
     new = made.select(*[values.get(k, F.lit(None)).alias(k) for k in chapters.columns])
     both = cut.select(*chapters.columns).withColumn("ord", F.col("ord") + F.lit(0.0)).unionByName(new)
     numbered = along(both, ["book_id"], "ord", totals={"_place": F.lit(1)})
@@ -131,48 +135,43 @@ def add_recognition(chapters: DataFrame, unassigned: DataFrame, books: DataFrame
     return numbered.withColumn("ord", (F.col("_place") + 1).cast("int")).select(*chapters.columns), subtract(unassigned, holes, ["book_id"])
 
 
-def layouts(chapters: DataFrame, lines: DataFrame) -> DataFrame:
+def layouts(chapters: DataFrame, index: DataFrame) -> DataFrame:
     """book_id, ord, anchor_line (where the chapter starts), heading_last_line (null without a heading) and
-    content_line. Lines: book_id, line, start_byte, end_byte."""
-    from chaptermill.operators.intervals import owner_of
-
-    spans = lines.select("book_id", "start_byte", "end_byte", F.col("line").alias("owner"))
+    content_line, from 0. ``index`` is :func:`chaptermill.operators.structure.line_index`."""
     asked = F.array(
         F.struct(F.lit("anchor_line").alias("what"), F.coalesce("heading_start", "content_start").alias("at")),
         F.struct(F.lit("heading_last_line").alias("what"), (F.col("heading_end") - 1).alias("at")),
         F.struct(F.lit("content_line").alias("what"), F.col("content_start").alias("at")),
     )
     points = chapters.select("book_id", "ord", F.explode(asked).alias("a")).select("book_id", "ord", "a.what", "a.at").filter("at IS NOT NULL")
-    found = owner_of(points, spans, ["book_id"])
-    return found.groupBy("book_id", "ord").agg(*[F.max(F.when(F.col("what") == k, F.col("owner"))).alias(k) for k in ("anchor_line", "heading_last_line", "content_line")])
+    line = F.col("before") - 1 + F.col("opens").cast("int")
+    return line_at(index, points).groupBy("book_id", "ord").agg(*[F.max(F.when(F.col("what") == k, line)).alias(k) for k in ("anchor_line", "heading_last_line", "content_line")])
 
 
 def display_titles(chapters: DataFrame) -> DataFrame:
     """Chapters with the title to show: unnamed ones are counted."""
     counted = running_total(chapters, ["book_id"], "ord", (F.col("heading_kind") == "missing").cast("int"), "_before")
     number = F.greatest(F.col("_before") + 1, F.lit(1)).cast("string")
-    return counted.withColumn("display_title", F.when(F.col("heading_kind") == "source", F.col("title")).otherwise(F.concat(F.lit("未命名章节 "), number))).drop("_before")
-
+    return counted.withColumn("display_title", F.when(F.col("heading_kind") == "source", F.col("title")).otherwise(F.concat(F.lit(f"{UNNAMED} "), number))).drop("_before")
 
-def hidden_folds(chapters: DataFrame, lines: DataFrame, context: int = 5) -> DataFrame:
-    """book_id, ord, start_line, end_line and line_count of the content lines folded away: all but the first and
-    last ``context`` of chapters with more than twice as many. Lines: book_id, line, start_byte."""
-    from chaptermill.operators.intervals import owner_of
 
-    spans = chapters.select("book_id", F.col("content_start").alias("start_byte"), F.col("content_end").alias("end_byte"), F.col("ord").alias("owner"))
-    inside = owner_of(lines.select("book_id", F.col("start_byte").alias("at"), "line"), spans, ["book_id"]).filter("inside")
-    grouped = inside.groupBy("book_id", F.col("owner").alias("ord")).agg(F.min("line").alias("first"), F.max("line").alias("last"))
+def hidden_folds(chapters: DataFrame, index: DataFrame, context: int = 5) -> DataFrame:
+    """book_id, ord, start_line, end_line (from 1) and line_count of the content lines folded away: all but the first and
+    last ``context`` of chapters with more than twice as many. ``index`` is that of lines."""
+    ends = F.array(F.struct(F.lit("first").alias("what"), F.col("content_start").alias("at")), F.struct(F.lit("last").alias("what"), F.col("content_end").alias("at")))
+    points = chapters.select("book_id", "ord", F.explode(ends).alias("a")).select("book_id", "ord", "a.what", "a.at")
+    ranked = line_at(index, points).groupBy("book_id", "ord").agg(F.max(F.when(F.col("what") == "first", F.col("before") + 1)).alias("first"), F.max(F.when(F.col("what") == "last", F.col("before"))).alias("last"))
     size = F.col("last") - F.col("first") + 1
-    return grouped.filter(size > 2 * context).select("book_id", "ord", (F.col("first") + context).alias("start_line"), (F.col("last") - context).alias("end_line"), (size - 2 * context).alias("line_count"))
+    return ranked.filter(size > 2 * context).select("book_id", "ord", (F.col("first") + context).alias("start_line"), (F.col("last") - context).alias("end_line"), (size - 2 * context).alias("line_count"))
 
 
-def shifted_boundaries(chapters: DataFrame, lines: DataFrame, steps: int) -> DataFrame:
+def shifted_boundaries(chapters: DataFrame, index: DataFrame, steps: int) -> DataFrame:
     """book_id, ord and new_end: the content end of each chapter moved by ``steps`` lines, where it stays inside
-    the chapter and doesn't pass the next heading. Lines: book_id, line, start_byte."""
+    the chapter and doesn't pass the next heading. ``index`` is that of lines."""
     ends = along(chapters, ["book_id"], "ord", after={"_guard": "heading_start", "_next": "ord"}).filter("_next IS NOT NULL")
-    at = ends.join(lines.select("book_id", F.col("start_byte").alias("content_end"), "line"), ["book_id", "content_end"])
-    target = at.withColumn("line", F.col("line") + steps).join(lines.select("book_id", "line", F.col("start_byte").alias("new_end")), ["book_id", "line"])
-    return target.filter((F.col("new_end") >= F.col("content_start")) & (F.col("new_end") <= F.coalesce("_guard", "new_end"))).select("book_id", "ord", "new_end")
+    at = line_at(index, ends.select("book_id", "ord", "content_start", "_guard", F.col("content_end").alias("at"))).filter("opens")
+    moved = start_of(index, at.select("book_id", "ord", "content_start", "_guard", (F.col("before") + steps).alias("line"))).withColumnRenamed("start_byte", "new_end")
+    return moved.filter((F.col("new_end") >= F.col("content_start")) & (F.col("new_end") <= F.coalesce("_guard", "new_end"))).select("book_id", "ord", "new_end")
 
 
 def boundary_edits(chapters: DataFrame, edits: DataFrame) -> DataFrame:

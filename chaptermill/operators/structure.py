@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from chaptermill.functions import text as T
 from chaptermill.functions.hashing import stable_id
-from chaptermill.operators.ordered import WIDTH, running_total
+from chaptermill.operators.intervals import owner_of
+from chaptermill.operators.ordered import WIDTH, along, running_total
 
 #: Bytes of a book in one stretch of its order.
 BYTES = 1 << 22
@@ -38,17 +39,41 @@ def book_sizes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("book_id").agg(F.sum(_closed(T.normalize(F.coalesce("text", F.lit(""))))).alias("total"))
 
 
-def lines(parts: DataFrame) -> DataFrame:
-    """book_id, part, pos, start_byte, body_end_byte and end_byte of every line of the normalized text.
-
-    A part's line sizes move as one array and become rows after the last shuffle."""
+def line_index(parts: DataFrame) -> DataFrame:
+    """One row a part: base (where it starts in the book), first_line (lines before it), sizes (bytes of its lines without
+    their ends) and starts (where they start in the part). A part's lines move as arrays, never as rows."""
     clean = parts.select("book_id", "part", T.normalize(F.coalesce("text", F.lit(""))).alias("text"))
     sizes = F.transform(T.scan_lines(F.col("text")), lambda x: F.octet_length(x)).alias("sizes")
-    rows = part_starts(clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), sizes)).filter("size(sizes) > 0")
-    starts = rows.select("book_id", "part", "base", "sizes", T.running_starts(F.transform("sizes", lambda n: (n + 1).cast("bigint"))).alias("starts"))
-    placed = starts.select("book_id", "part", "base", F.posexplode(F.arrays_zip("sizes", "starts")).alias("pos", "x"))
+    sized = clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), sizes)
+    placed = along(sized, ["book_id"], "part", totals={"base": F.col("bytes"), "first_line": F.size("sizes")}).filter("size(sizes) > 0")
+    return placed.select("book_id", "part", "base", "bytes", "first_line", "sizes", T.running_starts(F.transform("sizes", lambda n: (n + 1).cast("bigint"))).alias("starts"))
+
+
+def lines(parts: DataFrame) -> DataFrame:
+    """book_id, part, pos, line (from 0 in the book), start_byte, body_end_byte and end_byte of every line of the normalized
+    text; rows are made after the last shuffle."""
+    placed = line_index(parts).select("book_id", "part", "base", "first_line", F.posexplode(F.arrays_zip("sizes", "starts")).alias("pos", "x"))
     start = F.col("base") + F.col("x.starts")
-    return placed.select("book_id", "part", "pos", start.alias("start_byte"), (start + F.col("x.sizes")).alias("body_end_byte"), (start + F.col("x.sizes") + 1).alias("end_byte"))
+    return placed.select("book_id", "part", "pos", (F.col("first_line") + F.col("pos")).alias("line"), start.alias("start_byte"), (start + F.col("x.sizes")).alias("body_end_byte"), (start + F.col("x.sizes") + 1).alias("end_byte"))
+
+
+def line_at(index: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` (book_id, at: a byte, and more) with before (how many lines of the book start before it) and opens
+    (whether one starts at it). A point meets the part that holds it, and is ranked in that part's row."""
+    ranges = index.select("book_id", F.col("base").alias("start_byte"), (F.col("base") + F.col("bytes")).alias("end_byte"), F.col("part").alias("owner"))
+    placed = owner_of(points.withColumn("_at", F.col("at")), ranges, ["book_id"]).withColumnRenamed("owner", "part").drop("inside")
+    met = placed.join(index.select("book_id", "part", "base", "first_line", "starts"), ["book_id", "part"], "left")
+    near = F.col("_at") - F.col("base")
+    before = F.coalesce(F.col("first_line") + F.size(F.filter("starts", lambda s: s < near)), F.lit(0)).cast("long")
+    return met.select("book_id", *[c for c in points.columns if c not in ("book_id", "at")], F.col("_at").alias("at"), before.alias("before"), F.coalesce(F.array_contains("starts", near), F.lit(False)).alias("opens"))
+
+
+def start_of(index: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` (book_id, line, and more) with start_byte, where that line of the book starts; without those of no line."""
+    ranges = index.select("book_id", F.col("first_line").alias("start_byte"), (F.col("first_line") + F.size("starts")).alias("end_byte"), F.col("part").alias("owner"))
+    placed = owner_of(points.withColumn("at", F.col("line")), ranges, ["book_id"], WIDTH).filter("inside").withColumnRenamed("owner", "part")
+    met = placed.join(index.select("book_id", "part", "base", "first_line", "starts"), ["book_id", "part"])
+    return met.select("book_id", *[c for c in points.columns if c != "book_id"], (F.col("base") + F.get("starts", (F.col("line") - F.col("first_line")).cast("int"))).alias("start_byte"))
 
 
 def layout(parts: DataFrame, measure: bool = False) -> DataFrame:

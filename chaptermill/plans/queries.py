@@ -133,11 +133,7 @@ def text_slice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def line_preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books in pages of 200 lines: which bytes each page has."""
-    placed = structure.lines(books.parts(spark, sf_dir))
-    from chaptermill.operators.ordered import running_total
-
-    numbered = running_total(placed, ["book_id"], "start_byte", F.lit(1), "line", structure.BYTES)
-    return numbered.groupBy("book_id", F.floor(F.col("line") / 200).alias("page")).agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.count("*").alias("n_lines")).select("book_id", *_long("page", "start_byte", "end_byte", "n_lines"))
+    return structure.lines(books.parts(spark, sf_dir)).groupBy("book_id", F.floor(F.col("line") / 200).alias("page")).agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.count("*").alias("n_lines")).select("book_id", *_long("page", "start_byte", "end_byte", "n_lines"))
 
 
 @query
@@ -460,21 +456,15 @@ def leading_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fold_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chaptermill.operators.ordered import running_total
-
     parts = books.parts(spark, sf_dir)
-    numbered = running_total(structure.lines(parts), ["book_id"], "start_byte", F.lit(1), "before", structure.BYTES).withColumn("line", F.col("before") + 1)
-    return review.hidden_folds(structure.chapters(parts), numbered).select("book_id", *_long("ord", "start_line", "end_line", "line_count"))
+    return review.hidden_folds(structure.chapters(parts), structure.line_index(parts)).select("book_id", *_long("ord", "start_line", "end_line", "line_count"))
 
 
 @query
 def boundary_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content ends moved back by one line."""
-    from chaptermill.operators.ordered import running_total
-
     parts = books.parts(spark, sf_dir)
-    numbered = running_total(structure.lines(parts), ["book_id"], "start_byte", F.lit(1), "line", structure.BYTES)
-    return review.shifted_boundaries(structure.chapters(parts), numbered, -1).select("book_id", *_long("ord", "new_end"))
+    return review.shifted_boundaries(structure.chapters(parts), structure.line_index(parts), -1).select("book_id", *_long("ord", "new_end"))
 
 
 @query
@@ -495,11 +485,8 @@ def gap_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chapter_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chaptermill.operators.ordered import running_total
-
     parts = books.parts(spark, sf_dir)
-    numbered = running_total(structure.lines(parts), ["book_id"], "start_byte", F.lit(1), "line", structure.BYTES)
-    return review.layouts(structure.chapters(parts), numbered).select("book_id", *_long("ord", "anchor_line", "heading_last_line", "content_line"))
+    return review.layouts(structure.chapters(parts), structure.line_index(parts)).select("book_id", *_long("ord", "anchor_line", "heading_last_line", "content_line"))
 
 
 @query

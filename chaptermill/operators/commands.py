@@ -12,9 +12,7 @@ from pyspark.sql.window import Window
 from chaptermill.functions import text as T
 from chaptermill.operators import lineage
 from chaptermill.operators.intervals import islands, subtract
-
-# Fixed value: the title of a chapter without a heading.
-UNNAMED = "未命名章节"
+from chaptermill.operators.review import UNNAMED
 
 
 def adjustment_faults(chapters: DataFrame, adjustments: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def resample(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS,
     flagged = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
     ratios = spark.sparkContext.broadcast(_ratios(feature_counts(flagged, "_target")))
     weighed = log_weights(docs.select("doc_id", "text"), ratios)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / F.lit(float(1 << 53))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 12) + 0.5) / F.lit(float(1 << 52))  # below 1, exactly
     scored = written(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "resampling-keys")
     return top_k(scored, round(scored.count() * (1.0 if share is None else share)))
 

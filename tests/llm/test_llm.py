@@ -734,7 +734,7 @@ def test_resampling_weights_against_brute_force(spark, documents, sf_dir):
     for r in resampling.resample(documents, labels).collect():
         weight = sum(np.log(share(target, b) / share(raw, b)) for b in features[r.doc_id])
         drawn = xxhash.xxh64(r.doc_id.to_bytes(8, "little"), seed=xxhash.xxh64(resampling.SEED.to_bytes(4, "little"), seed=42).intdigest()).intdigest()
-        key = weight - np.log(-np.log(((drawn >> 11) + 0.5) / 2**53))
+        key = weight - np.log(-np.log(((drawn >> 12) + 0.5) / 2**52))
         assert r.n_features == len(features[r.doc_id]) and abs(r.log_weight - weight) < 1e-6 and abs(r.key - key) < 1e-6
 
 

@@ -126,6 +126,26 @@ def test_subtract_and_islands_against_a_mask(spark):
     assert pairs == {(i, p, q) for b, s, e, i in ranges for k, p, q in holes if k == b and s < q and p < e and s < e and p < q}
 
 
+def test_overlap_join_of_wide_ranges(spark):
+    """One range over 2^40 bytes, others of every width and on both sides of zero, against 100,000 short ones; a range makes
+    rows by the logarithm of its bins, whatever it covers."""
+    rng = random.Random(4)
+    wide = [("a", 0, 1 << 40, 0), ("a", 7, 1 << 30, 1), ("a", -900, 900, 2), ("b", 5, 5, 3), ("b", 1 << 20, (1 << 20) + 1, 4), *[("b", s, s + (1 << k) + rng.randint(-1, 1), 5 + k) for k in range(1, 38) for s in [rng.randint(-(1 << k), 1 << 38)]]]
+    short = [("ab"[i % 2], s, s + rng.randint(0, 300), i) for i in range(100_000) for s in [rng.randint(-5000, (1 << 40) - 1) if i % 3 else rng.randint(-2000, 2000)]]
+    schema = "book_id string, start_byte long, end_byte long, id int"
+    w, n = frame(spark, wide, schema), frame(spark, short, schema)
+    for first, second, l, r in ((w, n, wide, short), (n, w, short, wide)):
+        got = [(x.l_id, x.r_id) for x in intervals.overlap_join(first, second, ["book_id"], 256).collect()]
+        assert sorted(got) == sorted((x[3], y[3]) for x in l for y in r if x[0] == y[0] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
+    bins = [(0, 0), (0, (1 << 32) - 1), (1, (1 << 32) - 2), (-5, 4), (-3, 1 << 50), (-(1 << 40), -7)]
+    cut = frame(spark, bins, "f long, l long").select("f", "l", intervals.nodes(F.col("f"), F.col("l")).alias("n")).collect()
+    for c in cut:
+        blocks = sorted((x.node << x.level, (x.node + 1) << x.level) for x in c.n)
+        assert blocks[0][0] == c.f and blocks[-1][1] == c.l + 1 and all(p[1] == q[0] for p, q in zip(blocks, blocks[1:], strict=False))
+        assert len(blocks) <= 2 * (c.l - c.f + 1).bit_length()
+    assert intervals.overlap_join(w.limit(0), n, ["book_id"], 256).count() == intervals.overlap_join(n, w.limit(0), ["book_id"], 256).count() == 0
+
+
 def test_along_equals_plain_windows(spark):
     rng = random.Random(2)
     rows = [(g, o, rng.randint(0, 9)) for g in "pq" for o in rng.sample(range(-500, 5000), 200)]

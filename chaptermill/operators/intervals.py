@@ -30,53 +30,50 @@ def islands(ranges: DataFrame, by: list[str], width: int = 1 << 22) -> DataFrame
     return placed.groupBy(*by, F.coalesce("_island", "_carried").alias("start_byte")).agg(F.max("end_byte").alias("end_byte"))
 
 
-# Wide nodes are dealt into so many parts, so that a node's starts meet in more tasks than one.
+# A range of so many bins or fewer is held by its bins; wider blocks are dealt into so many parts, so that the starts in one
+# meet in more tasks than one.
 SALTS = 16
 
 
-def nodes(first: Column, last: Column) -> Column:
-    """The bins first..last as the fewest aligned blocks of 2^level bins, two a level at most: an array of (level, node), where
-    a block of that level begins at bin node * 2^level."""
-    height = F.floor(F.log2(last - first + 1)).cast("int")
-    rise = lambda k: -F.call_function("shiftright", -first, k)
-    fall = lambda k: F.call_function("shiftright", last + 1, k)
-    node = lambda k, at, taken: F.when((rise(k) < fall(k)) & (F.call_function("getbit", at, F.lit(0)) == 1), F.struct(k.alias("level"), taken.alias("node")))
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), height), lambda k: F.array(node(k, rise(k), rise(k)), node(k, fall(k), fall(k) - 1)))))
+def nodes(first: str, last: str) -> str:
+    """SQL for the bins first..last as the fewest aligned blocks of 2^level bins, two a level at most: an array of (level,
+    node), where a block of that level begins at bin node * 2^level."""
+    rise, fall = f"(-shiftright(-{first}, k))", f"shiftright({last} + 1, k)"
+    ends = f"IF({rise} % 2 <> 0, struct(k AS level, {rise} AS node), NULL), IF({fall} % 2 <> 0, struct(k AS level, {fall} - 1 AS node), NULL)"
+    return f"array_compact(flatten(transform(sequence(0, int(floor(log2({last} - {first} + 1)))), k -> IF({rise} < {fall}, array({ends}), array()))))"
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bin_size: int) -> DataFrame:
     """Pairs of overlapping non-empty ranges of one key, with the columns of ``left`` after ``l_`` and those of ``right`` after
     ``r_``. Of two that overlap one starts within the other, so each pair is met once: where the later start, which
-    has a row for every level in use, meets the one of the other's :func:`nodes` that holds it. A range makes rows
-    in proportion to the logarithm of its bins."""
+    has a row for every level in use, meets the bin or the one of the other's :func:`nodes` that holds it. A range
+    makes rows in proportion to the logarithm of its bins."""
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.filter("start_byte < end_byte").select(*by, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in by])
-
-    def blocks(prefix: str) -> Column:
-        return nodes(F.floor(F.col(f"{prefix}_start_byte") / bin_size), F.floor((F.col(f"{prefix}_end_byte") - 1) / bin_size))
-
-    salts = lambda level: F.least(F.call_function("shiftleft", F.lit(1), F.least(level, F.lit(8))), F.lit(SALTS))
-
-    def levels(df: DataFrame, prefix: str) -> Column:
-        """The levels in use, as bits of one number."""
-        bits = df.select(F.explode(F.transform(blocks(prefix), lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n["level"]))).alias("bit"))
-        return F.coalesce(bits.agg(F.bit_or("bit")).scalar(), F.lit(0).cast("long"))
-
-    def keyed(df: DataFrame, prefix: str, used: Column, covers: int) -> DataFrame:
-        """Rows of a side: one a node and salt for where it covers, one a level for where its start is covered."""
-        start = F.floor(F.col(f"{prefix}_start_byte") / bin_size)
-        key = lambda kind, level, node, salt: F.struct(F.lit(kind).alias("kind"), level.alias("level"), node.alias("node"), salt.cast("int").alias("salt"))
-        held = F.flatten(F.transform(blocks(prefix), lambda n: F.transform(F.sequence(F.lit(0), salts(n["level"]) - 1), lambda s: key(covers, n["level"], n["node"], s))))
-        told = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("getbit", F.col("_used"), k) == 1)
-        starts = F.transform(told, lambda k: key(1 - covers, k, F.call_function("shiftright", start, k), F.pmod(start, salts(k))))
-        return df.withColumn("_used", used).withColumn("_at", F.explode(F.concat(held, starts))).select(*df.columns, "_at.*")
+        bins = F.floor(F.col("start_byte") / bin_size).alias("_first"), F.floor((F.col("end_byte") - 1) / bin_size).alias("_last")
+        return df.filter("start_byte < end_byte").select(*by, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in by], *bins)
+
+    wide, blocks = f"_last - _first >= {SALTS}", nodes("_first", "_last")
+
+    def levels(df: DataFrame) -> Column:
+        """The levels in use, as bits of one number; 0 always is."""
+        bits = df.filter(wide).selectExpr(f"explode({blocks}) AS n").agg(F.expr("coalesce(bit_or(shiftleft(1L, n.level)), 0L) | 1L"))
+        return bits.scalar()
+
+    def keyed(df: DataFrame, used: Column, covers: int) -> DataFrame:
+        """Rows of a side: one a node and salt for where it covers, one a level for where its start is covered. One side covers
+        with kind 0 and is covered with kind 1, the other the other way round. Level 0 has no salts."""
+        key = lambda kind, level, node, salt: f"struct(({level} * {SALTS} + {salt}) * 2 + {kind} AS _slot, {node} AS _node)"
+        salted = f"flatten(transform({blocks}, n -> transform(sequence(0, IF(n.level > 0, {SALTS - 1}, 0)), s -> {key(covers, 'n.level', 'n.node', 's')})))"
+        held = f"IF({wide}, {salted}, transform(sequence(_first, _last), b -> {key(covers, 0, 'b', 0)}))"
+        told = key(1 - covers, "k", "shiftright(_first, k)", f"IF(k > 0, int(pmod(_first, {SALTS})), 0)")
+        starts = f"IF(_used = 1, array({key(1 - covers, 0, '_first', 0)}), transform(filter(sequence(0, 62), k -> getbit(_used, k) = 1), k -> {told}))"
+        return df.withColumn("_used", used).selectExpr("*", f"inline(concat({held}, {starts}))").drop("_used", "_first", "_last")
 
     one, two = named(left, "l"), named(right, "r")
-    met = keyed(one, "l", levels(two, "r"), 0).join(keyed(two, "r", levels(one, "l"), 1), [*by, "kind", "level", "node", "salt"])
-    l_start, r_start = F.col("l_start_byte"), F.col("r_start_byte")
-    within = F.when(F.col("kind") == 0, (l_start <= r_start) & (r_start < F.col("l_end_byte"))).otherwise((r_start < l_start) & (l_start < F.col("r_end_byte")))
-    return met.filter(within).drop("kind", "level", "node", "salt")
+    met = keyed(one, levels(two), 0).join(keyed(two, levels(one), 1), [*by, "_slot", "_node"])
+    within = "IF(_slot % 2 = 0, l_start_byte <= r_start_byte AND r_start_byte < l_end_byte, r_start_byte < l_start_byte AND l_start_byte < r_end_byte)"
+    return met.filter(within).drop("_slot", "_node")
 
 
 def any_overlap(ranges: DataFrame, others: DataFrame, by: list[str], width: int = 1 << 22) -> DataFrame:

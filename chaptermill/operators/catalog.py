@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``."""
+    """The first row of each key in ``order``. Spark limits each task's rows to one a key before it shuffles (a window group limit), so
+    a key with very many rows sends no more than one a task."""
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
 

@@ -70,12 +70,24 @@ def reconcile_leading(moved: DataFrame, unassigned: DataFrame) -> DataFrame:
     return islands(subtract(unassigned, taken, ["book_id"]).select("book_id", "start_byte", "end_byte").unionByName(given), ["book_id"])
 
 
+def impact(affected: DataFrame) -> DataFrame:
+    """For each producer_revision_id, as ``affected``, what :func:`lineage.affected` found of it: how many distinct consumers, and
+    the sum and the exclusive or of their hashes, equal for equal sets. The rows stay the list; no set is gathered."""
+    hashed = affected.select("producer_revision_id", "consumer_revision_id").distinct().withColumn("h", F.xxhash64("consumer_revision_id"))
+    digest = F.struct(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).cast("decimal(38,0)").alias("total"), F.bit_xor("h").alias("mixed"))
+    return hashed.groupBy("producer_revision_id").agg(digest.alias("affected"))
+
+
+def no_impact() -> Column:
+    return F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("total"), F.lit(0).cast("long").alias("mixed"))
+
+
 def previews(commands: DataFrame, affected: DataFrame) -> DataFrame:
-    """``commands`` (key, revision_id and more) with affected, the sorted artifacts their revision's replacement makes stale,
-    and requires_confirmation."""
-    by = affected.groupBy(F.col("producer_revision_id").alias("revision_id")).agg(F.sort_array(F.collect_set("consumer_revision_id")).alias("affected"))
-    joined = commands.join(by, "revision_id", "left").withColumn("affected", F.coalesce("affected", F.array().cast("array<string>")))
-    return joined.withColumn("requires_confirmation", F.size("affected") > 0)
+    """``commands`` (key, revision_id and more) with affected, the :func:`impact` of their revision's replacement, and
+    requires_confirmation."""
+    by = impact(affected).withColumnRenamed("producer_revision_id", "revision_id")
+    joined = commands.join(by, "revision_id", "left").withColumn("affected", F.coalesce("affected", no_impact()))
+    return joined.withColumn("requires_confirmation", F.col("affected.n") > 0)
 
 
 def outcomes(commands: DataFrame, active: DataFrame, held: DataFrame, now: Column) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chaptermill.functions.encoding import CHOICES
+from chaptermill.operators.ordered import along
 
 # The pages and the stage each belongs to.
 PAGE_STAGE = {
@@ -98,10 +100,15 @@ def first_pages(stage: Column) -> Column:
     return found
 
 
-def status_groups(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(application, project) items of a status bar (region, order, key), these by rising, those by falling order."""
-    region = lambda name: items.filter(F.col("region") == name)
-    return region("application").orderBy(F.asc("order"), F.asc("key")), region("project").orderBy(F.desc("order"), F.asc("key"))
+def status_groups(items: DataFrame) -> DataFrame:
+    """Application and project items of status bars (region, order, key) with their place in their region from 1: these by
+    rising, those by falling order, of equal order by key; those without an
+    order are first. Items are counted by order; only equal ones are sorted together."""
+    known = items.filter(F.col("region").isin("application", "project")).withColumn("_rank", F.coalesce(F.when(F.col("region") == "application", F.col("order")).otherwise(-F.col("order")), F.lit(-(1 << 62))))
+    counts = known.groupBy("region", "_rank").count()
+    before = along(counts, ["region"], "_rank", totals={"_before": F.col("count")}).drop("count")
+    among = F.row_number().over(Window.partitionBy("region", "_rank").orderBy("key"))
+    return known.withColumn("_among", among).join(before, ["region", "_rank"]).withColumn("place", F.col("_before") + F.col("_among")).drop("_rank", "_before", "_among")
 
 
 def stages(projects: DataFrame) -> DataFrame:

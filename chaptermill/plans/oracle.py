@@ -454,7 +454,7 @@ SQL: dict[str, str] = {
     "review_outcomes": f"WITH {_COMMANDS} SELECT key, outcome, CASE WHEN outcome = 'applied' THEN CASE WHEN opened THEN key ELSE -key END END AS preview_id, n > 0 AS requires_confirmation, n AS n_affected, CASE WHEN outcome = 'applied' THEN asked + 1 END AS next_baseline FROM outcomes",
     "review_commit": f"WITH {_COMMANDS} SELECT r.revision_id AS consumer_revision_id, l_orderkey AS previous_producer_revision_id, 'active' AS status FROM outcomes o JOIN revisions r ON r.l_orderkey = o.o_orderkey WHERE outcome = 'applied' AND validity_status = 'current'",
     "stage_pages": f"""WITH {_FLAGS} SELECT project_id, lpad(CAST(n AS VARCHAR), 2, '0') AS stage_id, ['text-extraction', 'proofreading', 'script-management', 'character-extraction', 'crowd-voice-pool', NULL, 'chapter-parameters', 'asr-review', 'loudness-consistency', 'timeline-alignment', 'chapter-summary'][n] AS page FROM flags, range(1, 12) AS r(n)""",
-    "status_groups": "SELECT ['application', 'project'][s_suppkey % 3 + 1] AS region, s_nationkey AS \"order\", s_name AS key FROM supplier WHERE s_suppkey % 3 < 2",
+    "status_groups": "SELECT ['application', 'project'][s_suppkey % 3 + 1] AS region, s_nationkey AS \"order\", s_name AS key, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY CASE s_suppkey % 3 WHEN 0 THEN s_nationkey ELSE -s_nationkey END, s_name) AS place FROM supplier WHERE s_suppkey % 3 < 2",
     "late_responses": "SELECT user_id, event_id, day(ts) AS generation FROM events QUALIFY day(ts) = max(day(ts)) OVER (PARTITION BY user_id)",
     "stored_inputs": "SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'automatic' WHEN 2 THEN 'automatic' WHEN 3 THEN 'gbk' END AS encoding, CASE event_id % 6 WHEN 0 THEN 'input-broken' WHEN 5 THEN 'input-broken' WHEN 4 THEN 'encoding-broken' END AS error FROM events",
     "probe_overview": f"""WITH {_TASKS}, {_BASELINES}, t AS (

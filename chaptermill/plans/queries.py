@@ -706,7 +706,7 @@ def _commands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     asked = active.select("key", "revision_id", (F.col("baseline_revision") - (number % 4 == 1).cast("int")).alias("baseline_revision"), F.concat(F.lit("command-"), number.cast("string")).alias("command_hash"))
     hit = lineage.affected(edges, revisions, asked.select(F.col("revision_id").alias("producer_revision_id")))
     told = stored(commands.previews(asked, hit), "commands")
-    nothing = F.array().cast("array<string>")
+    nothing = commands.no_impact()
     seen = told.filter("key % 3 <> 0").select(
         number.alias("preview_id"), "baseline_revision", "command_hash", F.when(number % 5 != 2, F.col("affected")).otherwise(nothing).alias("affected"),
         (number % 50).alias("created_at"), (number % 50 + 300).alias("expires_at"), F.when(number % 7 == 0, number % 50).alias("consumed_at"),
@@ -720,7 +720,7 @@ def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     told, active, held = _commands(spark, sf_dir)
     done = commands.outcomes(told, active, held, F.lit(310))
     following = F.when(F.col("outcome") == "applied", F.col("baseline_revision") + 1)
-    return done.select("key", "outcome", "preview_id", "requires_confirmation", F.size("affected").cast("long").alias("n_affected"), following.alias("next_baseline"))
+    return done.select("key", "outcome", "preview_id", "requires_confirmation", F.col("affected.n").alias("n_affected"), following.alias("next_baseline"))
 
 
 @query
@@ -836,8 +836,7 @@ def stage_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as items of a status bar."""
     region = F.element_at(F.array(F.lit("application"), F.lit("project"), F.lit("other")), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    groups = tasks.status_groups(_table(spark, sf_dir, "supplier").select(region.alias("region"), F.col("s_nationkey").alias("order"), F.col("s_name").alias("key")))
-    return groups[0].unionByName(groups[1])
+    return tasks.status_groups(_table(spark, sf_dir, "supplier").select(region.alias("region"), F.col("s_nationkey").alias("order"), F.col("s_name").alias("key")))
 
 
 @query

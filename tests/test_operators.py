@@ -5,7 +5,7 @@ import random
 import pytest
 from chaptermill.functions import encoding, hashing
 from chaptermill.functions import text as T
-from chaptermill.operators import catalog, intervals, lengths, lineage, ordered, review, structure, tasks
+from chaptermill.operators import catalog, commands, intervals, lengths, lineage, ordered, review, structure, tasks
 from chaptermill.sources import text_files as files
 from pyspark.sql import functions as F
 
@@ -138,7 +138,7 @@ def test_overlap_join_of_wide_ranges(spark):
         got = [(x.l_id, x.r_id) for x in intervals.overlap_join(first, second, ["book_id"], 256).collect()]
         assert sorted(got) == sorted((x[3], y[3]) for x in l for y in r if x[0] == y[0] and x[1] < x[2] and y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
     bins = [(0, 0), (0, (1 << 32) - 1), (1, (1 << 32) - 2), (-5, 4), (-3, 1 << 50), (-(1 << 40), -7)]
-    cut = frame(spark, bins, "f long, l long").select("f", "l", intervals.nodes(F.col("f"), F.col("l")).alias("n")).collect()
+    cut = frame(spark, bins, "f long, l long").select("f", "l", F.expr(intervals.nodes("f", "l")).alias("n")).collect()
     for c in cut:
         blocks = sorted((x.node << x.level, (x.node + 1) << x.level) for x in c.n)
         assert blocks[0][0] == c.f and blocks[-1][1] == c.l + 1 and all(p[1] == q[0] for p, q in zip(blocks, blocks[1:], strict=False))
@@ -146,6 +146,24 @@ def test_overlap_join_of_wide_ranges(spark):
     assert intervals.overlap_join(w.limit(0), n, ["book_id"], 256).count() == intervals.overlap_join(n, w.limit(0), ["book_id"], 256).count() == 0
 
 
+def test_impact_tells_sets_apart(spark):
+    """Equal sets in any order and with repeats give equal impacts, others don't; a revision nobody depends on has none."""
+    edges = [(1, "a"), (1, "b"), (1, "b"), (2, "b"), (2, "a"), (3, "a"), (4, "c"), (4, "a"), *[(5, f"r{i}") for i in range(3000)], *[(6, f"r{i}") for i in range(2999, -1, -1)]]
+    hit = frame(spark, edges, "producer_revision_id long, consumer_revision_id string")
+    asked = frame(spark, [(k, k) for k in range(1, 8)], "key long, revision_id long")
+    got = {r.key: (r.affected, r.requires_confirmation) for r in commands.previews(asked, hit).collect()}
+    assert got[1] == got[2] and got[5] == got[6] and len({got[k][0] for k in (1, 3, 4, 5, 7)}) == 5
+    assert [got[k][0].n for k in (1, 3, 5, 7)] == [2, 1, 3000, 0] and [got[k][1] for k in (1, 7)] == [True, False]
+    assert spark.range(1).select(commands.no_impact().alias("x")).first().x == got[7][0]
+
+
+def test_latest_limits_before_it_shuffles(spark):
+    rows = frame(spark, [(i % 3, i // 9, i % 9) for i in range(900)], "k long, t long, n long")
+    first = catalog.latest(rows.repartition(5), ["k"], [F.desc("t"), F.asc("n")])
+    assert sorted((r.k, r.t, r.n) for r in first.collect()) == [(0, 99, 0), (1, 99, 1), (2, 99, 2)]
+    assert "WindowGroupLimit" in first._jdf.queryExecution().toString()
+
+
 def test_along_equals_plain_windows(spark):
     rng = random.Random(2)
     rows = [(g, o, rng.randint(0, 9)) for g in "pq" for o in rng.sample(range(-500, 5000), 200)]

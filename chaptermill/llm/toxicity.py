@@ -7,8 +7,9 @@ softmax are trained together, so a misspelling that was never seen shares most p
 that were. A document is as toxic as its worst window, over the whole text; a last step on
 training rows that the embeddings have not seen places the threshold.
 
-Training uses at most ``rows_per_class`` labelled rows of each class, those of smallest hash, of
-texts up to ``train_chars`` characters; scoring takes every whole text. Null and empty texts, and
+Training uses at most ``rows_per_class`` labelled rows of each class, those of smallest hash, and of
+a text of more than ``train_chars`` characters ten stretches spread over it, together of that
+length; scoring takes every whole text. Null and empty texts, and
 texts without words, get the score of an empty window. Repeated rows are scored alike.
 """
 
@@ -17,14 +18,14 @@ from __future__ import annotations
 import string
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chaptermill.llm.common import written
 
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 8
-ROWS_PER_CLASS, TRAIN_CHARS = 1_500, 20_000
+ROWS_PER_CLASS, TRAIN_CHARS, STRETCHES = 1_500, 20_000, 10
 EPOCHS, BATCH, RATE, SEED = 4, 2_048, 0.5, 5
 KNOWN_WORDS = 500_000
 _MARKS = string.punctuation + "«»“”„‘’…–—"
@@ -224,19 +225,28 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
+def excerpt(text: str, train_chars: int = TRAIN_CHARS) -> Column:
+    """The column ``text``; of one longer than ``train_chars`` that many characters, in stretches from its begin to its end without
+    the words that their edges cut."""
+    each = max(1, train_chars // STRETCHES)
+    piece = f"substring({text}, 1 + int((length({text}) - {each}) * i / {STRETCHES - 1}), {each})"
+    whole = F.expr(rf"transform(sequence(0, {STRETCHES - 1}), i -> regexp_replace({piece}, r'^\S+(?=\s)|(?<=\s)\S+$', ''))")
+    return F.when(F.length(text) > train_chars, F.array_join(whole, " ")).otherwise(F.col(text))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, train_chars: int = TRAIN_CHARS) -> dict:
-    """A model from labelled rows outside the held-out fold: of each class ``rows_per_class`` documents of at most
-    ``train_chars`` characters. Of a doc_id with several such texts one is taken."""
+    """A model from labelled rows outside the held-out fold: of each class ``rows_per_class`` documents, by
+    :func:`excerpt`. Of a doc_id with several texts one is taken, and those without a text aren't."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    # One place a labelled document of fitting length; texts are fetched for the chosen only.
-    fitting = docs.filter(F.length("text") <= train_chars).select("doc_id", F.xxhash64("text").alias("place")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("place").alias("place"))
-    fitting = written(fitting, "toxicity-labelled")
-    few = [fitting.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
-    # At most twice rows_per_class ids are broadcast, and as many texts of train_chars fetched.
+    # One place a labelled document; texts are fetched for the chosen only.
+    placed = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("place")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("place").alias("place"))
+    placed = written(placed, "toxicity-labelled")
+    few = [placed.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
+    # At most twice rows_per_class ids are broadcast, and as many excerpts of train_chars fetched.
     chosen = F.broadcast(few[0].unionByName(few[1])).alias("c")
     met = (F.col("d.doc_id") == F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("place"))
-    rows = docs.select("doc_id", "text").alias("d").join(chosen, met).select("d.doc_id", "text", "toxic").distinct().collect()
+    rows = docs.select("doc_id", "text").alias("d").join(chosen, met).select("d.doc_id", excerpt("text", train_chars).alias("text"), "toxic").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
 

@@ -808,21 +808,6 @@ def test_toxicity_held_out_recall(spark):
     assert share[1] > 2 / 3 and share[0] < 0.02
 
 
-def test_toxicity_learns_from_long_texts(spark):
-    """Stretches from begin to end, of whole words, within the bound; a corpus of long texts only is learned from."""
-    long = " ".join(f"w{i:05d}" for i in range(20_000))
-    got = spark.createDataFrame([(long,), ("a short one",), ("x" * 900,), (None,)], "text string").select(toxicity.excerpt("text", 500).alias("t")).collect()
-    words = got[0].t.split()
-    assert len(got[0].t) <= 520 and set(words) <= set(long.split()) and words[0] < "w00020" and words[-1] > "w19980" and words == sorted(words)
-    assert got[1].t == "a short one" and set(got[2].t) == {"x", " "} and got[3].t is None
-    rng = np.random.default_rng(3)
-    fine = ["".join(rng.choice(list("abcdehiklmnoprstu"), int(rng.integers(3, 9)))) for _ in range(300)]
-    rows = [(i, " ".join(w for _ in range(30) for w in [*rng.choice(fine, 12).tolist(), *(["grumblewort"] if i % 2 else [])]), i % 2) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    scored = toxicity.score_documents(docs, spark.sparkContext.broadcast(toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), train_chars=500)))
-    assert all((r.toxic_score >= 0.5) == bool(r.toxic) for r in scored.collect())
-
-
 def test_toxicity_odd(spark, odd, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = toxicity.scores(odd.withColumn("toxic", F.lit(1)), labels).collect()

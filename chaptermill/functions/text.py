@@ -15,7 +15,7 @@ HEADING_START = (
 HEADING_SUFFIX = rf"[{JS_SPACE}:：.．·\-—]"
 # A line of normalized text that starts as a heading, with its end; spaces in it don't reach over the line end.
 _IN_LINE = lambda pattern: pattern.replace(f"[{JS_SPACE}", "[" + JS_SPACE.replace(r"\n", ""))
-HEADING_LINE = rf"(?i)(?<![^\n]){_IN_LINE(f'[{JS_SPACE}]*+(?>{HEADING_START})')}(?=\n|\z|{_IN_LINE(HEADING_SUFFIX)})[^\n]*+(?:\n|\z)"
+HEADING_LINE = rf"(?idm)^{_IN_LINE(f'[{JS_SPACE}]*+(?>{HEADING_START})')}(?=\n|\z|{_IN_LINE(HEADING_SUFFIX)})[^\n]*+(?:\n|\z)"
 HEADING_MAX = 120
 # Limits of slices, of previews and of counted matches.
 SLICE_BYTES = 262_144
@@ -23,9 +23,17 @@ PREVIEW_BYTES, PREVIEW_LINES = 262_144, 1_000
 MATCH_LIMIT = 19_999
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and give it to ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(text: Column) -> Column:
     """Line ends to \\n, no-break spaces to spaces."""
-    return F.translate(F.regexp_replace(text, "\r\n?", "\n"), "\u00a0", " ")
+    clean = F.make_valid_utf8(text)
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\u00a0", " ")):
+        clean = F.replace(clean, F.lit(old), F.lit(new))
+    return clean
 
 
 def trim(line: Column) -> Column:
@@ -53,17 +61,21 @@ def around_headings(text: Column) -> Column:
     return F.arrays_zip(F.split(text, HEADING_LINE).alias("piece"), F.regexp_extract_all(text, F.lit(HEADING_LINE), F.lit(0)).alias("line"))
 
 
-def running_starts(sizes: Column, block: int = 128) -> Column:
+def running_starts(sizes: Column, block: int = 64) -> Column:
     """The sum of the numbers before each in an array. Sums are made by blocks and then carried on, so the array
-    under way stays short."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
-    nothing = F.array().cast("array<bigint>")
+    under way stays short; ``sizes`` is evaluated once."""
+    nothing, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
     start = lambda at: F.struct(at.alias("at"), nothing.alias("out"))
     step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
-    zero = F.lit(0).cast("bigint")
-    sums = F.aggregate(blocks, start(zero), lambda a, b: step(a, F.aggregate(b, zero, lambda t, x: t + x)), lambda a: a["out"])
-    carried = F.zip_with(blocks, sums, lambda b, at: F.aggregate(b, start(at), step, lambda a: a["out"]))
-    return F.when(F.size(sizes) == 0, nothing).otherwise(F.flatten(carried))
+
+    def by_blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: F.slice(x, b * block + 1, block))
+
+    def carried(blocks: Column) -> Column:
+        sums = F.aggregate(blocks, start(zero), lambda a, b: step(a, F.aggregate(b, zero, lambda t, x: t + x)), lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, sums, lambda b, at: F.aggregate(b, start(at), step, lambda a: a["out"])))
+
+    return let(sizes, lambda x: F.when(F.size(x) == 0, nothing).otherwise(let(by_blocks(x), carried)))
 
 
 def scan_lines(text: Column) -> Column:
@@ -168,11 +180,6 @@ def prefill(text: Column, start: Column, end: Column) -> Column:
     return F.when((end > start) & (found != "") & ~found.rlike("[\r\n]"), found)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and give it to ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _bisected(most: Column, same) -> Column:
     """The largest n up to ``most`` for which ``same(k, n)``, that what lies between the first k and n is equal, holds all along."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
@@ -200,7 +207,7 @@ def common_ends(old: Column, new: Column) -> Column:
         most = F.least(F.char_length(a), F.char_length(b))
         front = _bisected(most, lambda k, n: F.substring(a, k + 1, n - k) == F.substring(b, k + 1, n - k))
         back = _bisected(most, lambda k, n: F.substring(a, F.char_length(a) - n + 1, n - k) == F.substring(b, F.char_length(b) - n + 1, n - k))
-        return _let(F.struct(a.alias("a"), b.alias("b"), front.alias("front"), back.alias("back")), halves)
+        return let(F.struct(a.alias("a"), b.alias("b"), front.alias("front"), back.alias("back")), halves)
 
     def halves(t: Column) -> Column:
         a, b, front, back = t["a"], t["b"], t["front"], t["back"]
@@ -210,7 +217,7 @@ def common_ends(old: Column, new: Column) -> Column:
         raw = prefix + share(at(a, front + 1), at(b, front + 1), False)
         behind = utf16_length(F.substring(a, F.char_length(a) - back + 1, back)) + share(at(a, F.char_length(a) - back), at(b, F.char_length(b) - back), True)
         suffix = F.least(behind, F.least(utf16_length(a), utf16_length(b)) - raw)
-        return _let(F.struct(a.alias("a"), prefix.alias("prefix"), suffix.alias("suffix")), guarded)
+        return let(F.struct(a.alias("a"), prefix.alias("prefix"), suffix.alias("suffix")), guarded)
 
     def guarded(t: Column) -> Column:
         data = F.encode(t["a"], "UTF-16BE")
@@ -218,7 +225,7 @@ def common_ends(old: Column, new: Column) -> Column:
         split = (t["suffix"] > 0) & F.coalesce(first.between("DC", "DF"), F.lit(False))
         return F.struct(t["prefix"].alias("prefix"), (t["suffix"] - split.cast("int")).alias("suffix"))
 
-    return _let(F.struct(F.coalesce(old, F.lit("")).alias("a"), F.coalesce(new, F.lit("")).alias("b")), ends)
+    return let(F.struct(F.coalesce(old, F.lit("")).alias("a"), F.coalesce(new, F.lit("")).alias("b")), ends)
 
 
 def minimal_change(old: Column, new: Column) -> Column:
@@ -226,7 +233,7 @@ def minimal_change(old: Column, new: Column) -> Column:
     length = utf16_length(F.coalesce(old, F.lit("")))
     data = F.encode(F.coalesce(new, F.lit("")), "UTF-16BE")
     inserted = lambda e: F.decode(F.substring(data, (2 * e["prefix"] + 1).cast("int"), (F.octet_length(data) - 2 * (e["prefix"] + e["suffix"])).cast("int")), "UTF-16BE")
-    return _let(common_ends(old, new), lambda e: F.struct(e["prefix"].alias("start"), (length - e["suffix"]).alias("end"), inserted(e).alias("insert")))
+    return let(common_ends(old, new), lambda e: F.struct(e["prefix"].alias("start"), (length - e["suffix"]).alias("end"), inserted(e).alias("insert")))
 
 
 def map_position(at: Column, change: Column, after: bool) -> Column:

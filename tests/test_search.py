@@ -62,3 +62,20 @@ def test_states_of_a_search(spark):
     assert [search.state(spark, *a) for a in [("",), ("[",), ("[", True), ("a*", True), ("a+", True)]] == ["empty", "ready", "invalid", "blank", "ready"]
     shown = spark.range(1).select(search.status(F.lit(20_001), F.lit(1)), search.status(F.lit(0), F.lit(0)), search.status(F.lit(0), F.lit(0), "invalid"), search.status(F.lit(2), F.lit(2)), search.status(F.lit(0), F.lit(0), "empty")).first()
     assert tuple(shown) == ("1 / 19,999+", "无结果", "无效正则", "2 / 2", "")
+
+
+def test_texts_are_searched_twice_and_stay_where_they_are(spark):
+    """However many matches there are: once for what lies between them and once for what they are."""
+    frame = spark.createDataFrame([("b", 0, "ab " * 300), ("b", 1, "ab")], SCHEMA)
+    plan = frame.select(search._found(F.col("text"), "ab").alias("found"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == plan.count("regexp_extract_all(") == 1
+    files = search.matches(frame, T.match_pattern("ab")).inputFiles()
+    assert files and "text" not in spark.read.parquet(*files).columns
+
+
+@pytest.mark.parametrize("query, regexp", [("b\na", False), ("a\nba", False), (r"(?<=a[ab\n]{3})b\n[ab]", True)])
+def test_ends_of_long_parts_are_searched_with_what_follows(spark, query, regexp):
+    rng = random.Random(7)
+    parts = ["".join(rng.choices("aab😀\n", k=rng.randrange(80, 200))) + rng.choice(["\n", "b\n", "a\nb\n", "😀b\n"]) for _ in range(30)]
+    core = query if regexp else re.escape(query)
+    assert found(spark, parts, T.match_pattern(query, regexp=regexp), 4) == places("".join(parts), core)

@@ -14,6 +14,7 @@ from chaptermill.functions import text as T
 from chaptermill.functions.hashing import stable_id
 from chaptermill.operators.intervals import owner_of
 from chaptermill.operators.ordered import WIDTH, along, running_total
+from chaptermill.operators.stored import stored
 
 #: Bytes of a book in one stretch of its order.
 BYTES = 1 << 22
@@ -41,12 +42,14 @@ def book_sizes(parts: DataFrame) -> DataFrame:
 
 def line_index(parts: DataFrame) -> DataFrame:
     """One row a part: base (where it starts in the book), first_line (lines before it), sizes (bytes of its lines without
-    their ends) and starts (where they start in the part). A part's lines move as arrays, never as rows."""
+    their ends) and starts (where they start in the part). A part's lines move as arrays, never as rows. Texts are read
+    once; the index is stored, as it is used several times."""
     clean = parts.select("book_id", "part", T.normalize(F.coalesce("text", F.lit(""))).alias("text"))
-    sizes = F.transform(T.scan_lines(F.col("text")), lambda x: F.octet_length(x)).alias("sizes")
-    sized = clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), sizes)
+    whole = lambda n: F.when(F.element_at(n, -1) == 0, F.slice(n, 1, F.size(n) - 1)).otherwise(n)
+    sizes = T.let(F.transform(F.split("text", "\n"), lambda x: F.octet_length(x)), whole).alias("sizes")
+    sized = stored(clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), sizes), "sizes")
     placed = along(sized, ["book_id"], "part", totals={"base": F.col("bytes"), "first_line": F.size("sizes")}).filter("size(sizes) > 0")
-    return placed.select("book_id", "part", "base", "bytes", "first_line", "sizes", T.running_starts(F.transform("sizes", lambda n: (n + 1).cast("bigint"))).alias("starts"))
+    return stored(placed.select("book_id", "part", "base", "bytes", "first_line", "sizes", T.running_starts(F.transform("sizes", lambda n: (n + 1).cast("bigint"))).alias("starts")), "lines")
 
 
 def lines(parts: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def layout(parts: DataFrame, measure: bool = False) -> DataFrame:
     next_start (the first heading after it) and total (the book's bytes); where asked to ``measure``, also visible,
     (k, n) for the n visible code points that follow k of its headings and are no heading.
 
-    Texts are read once and cut at headings; what moves is a row a heading and a part."""
+    Texts are read once and cut at headings; what moves, and what is stored, is a row a heading and a part."""
     clean = parts.select("book_id", "part", T.normalize(F.coalesce("text", F.lit(""))).alias("text"))
     pieces = clean.select("book_id", "part", _closed(F.col("text")).alias("bytes"), F.posexplode(T.around_headings(F.col("text"))).alias("i", "x"))
     line = F.rtrim(F.col("x.line"), F.lit("\n"))
@@ -103,6 +106,7 @@ def layout(parts: DataFrame, measure: bool = False) -> DataFrame:
     )
     visible = [F.collect_list(F.struct("k", "n")).alias("visible")] if measure else []
     sized = placed.groupBy("book_id", "part").agg(F.max("bytes").alias("bytes"), F.sort_array(F.collect_list(F.when(F.col("body").isNotNull(), heading))).alias("found"), *visible)
+    sized = stored(sized, "layout")
 
     # Bases, counts and the next heading, in stretches of parts: only one row a stretch meets the whole book's.
     cut = sized.withColumn("stretch", F.floor(F.col("part") / WIDTH))

@@ -150,7 +150,8 @@ def windowed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("byte_length").alias("byte_length"), F.sum(F.octet_length("bytes")).alias("n_bytes"), F.max(F.octet_length("bytes")).alias("widest"),
         (F.min("start_byte") == 0).alias("opens"), F.max("end_byte").alias("reaches"), F.bool_and("closed").alias("closed"),
     )
-    lines = structure.lines(parts).groupBy(F.col("book_id").alias("path")).agg(F.count("*").alias("n_lines"), F.max("end_byte").alias("last_byte"))
+    last_end = F.col("base") + F.element_at("starts", -1) + F.element_at("sizes", -1) + 1
+    lines = structure.line_index(parts).groupBy(F.col("book_id").alias("path")).agg(F.sum(F.size("sizes")).alias("n_lines"), F.max(last_end).alias("last_byte"))
     chapters = structure.chapters(parts).groupBy(F.col("book_id").alias("path")).agg(F.count("*").alias("n_chapters"))
     hashed = windows.hashes(spark, path).select("path", F.col("byte_length").alias("hashed_bytes"), "stable")
     joined = sizes.join(lines, "path", "left").join(chapters, "path", "left").join(hashed, "path", "left")

@@ -2,7 +2,7 @@
 
 A file is cut at multiples of a stride; each cut moves back to the last line end within ``lookBehind``
 bytes, or to the last character boundary where there is none. What a window holds depends on the bytes
-around its two cuts only, so every window is a partition of its own and may be read again at any time.
+around its two cuts only, so runs of windows are read apart, one a partition, and may be read again at any time.
 A SHA-256 is a chain over the whole file: its bytes stream through one task in small buffers, one
 task a file, beside the windows.
 
@@ -23,6 +23,8 @@ from chaptermill.sources.text_files import is_text_name
 WINDOW_BYTES = 16 << 20
 LOOK_BEHIND = 1 << 20
 BUFFER_BYTES = 1 << 20
+#: Bytes of a file that one task reads, window by window, where more than one window fits in them.
+TASK_BYTES = 16 << 20
 
 
 @dataclass
@@ -31,6 +33,7 @@ class _Piece(InputPartition):
     size: int
     mtime: int | None
     window: int = 0
+    windows: int = 1
 
 
 def _system(path: str):
@@ -96,7 +99,9 @@ class _Windows(DataSourceReader):
             raise ValueError("lookBehind has at least 4 bytes, and windowBytes some more")
 
     def partitions(self):
-        return [_Piece(p.path, p.size, p.mtime, i) for p in _files(self.path) for i in range(max(1, -(-p.size // self.stride)))]
+        run = max(1, TASK_BYTES // self.stride)
+        counted = ((p, max(1, -(-p.size // self.stride))) for p in _files(self.path))
+        return [_Piece(p.path, p.size, p.mtime, i, min(run, n - i)) for p, n in counted for i in range(0, n, run)]
 
     def _cut(self, file, at: int, size: int) -> tuple[int, bool]:
         """Where the cut of a multiple of the stride lies, and whether a line ends there."""
@@ -113,9 +118,11 @@ class _Windows(DataSourceReader):
         system, inner = _system(partition.path)
         with system.open_input_file(inner) as file:
             start, _ = self._cut(file, partition.window * self.stride, partition.size)
-            end, closed = self._cut(file, (partition.window + 1) * self.stride, partition.size)
-            file.seek(start)
-            yield partition.path, partition.window, start, end, partition.size, closed, file.read(end - start)
+            for window in range(partition.window, partition.window + partition.windows):
+                end, closed = self._cut(file, (window + 1) * self.stride, partition.size)
+                file.seek(start)
+                yield partition.path, window, start, end, partition.size, closed, file.read(end - start)
+                start = end
 
 
 class TextWindows(DataSource):

@@ -97,3 +97,14 @@ def test_window_options_are_checked(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"x")
     with pytest.raises(Exception, match="lookBehind"):
         windows.windows(spark, str(tmp_path), 100, 100).collect()
+
+
+def test_a_task_reads_a_run_of_windows(spark, book):
+    read_by = windows.windows(spark, str(book[0] / "sub"), 700, 300)
+    assert read_by.count() > 3 and read_by.rdd.getNumPartitions() == 1
+
+
+def test_lines_and_headings_are_found_once(spark, book):
+    """What is derived of texts is stored, so its users don't read the texts again."""
+    parts = spark.createDataFrame([("b", 0, book[1])], "book_id string, part long, text string")
+    assert structure.line_index(parts).inputFiles() and structure.layout(parts).inputFiles()

@@ -18,7 +18,10 @@ SNAPSHOT = {
     "revisionId": "string", "baselineRevision": "integer", "source": "object", "encoding": "string", "encodingMethod": "string", "textByteLength": "integer",
     "chapters": "array", "coverage": "object", "revisionHistory": "array", "reviewStatus": ("pending", "approved"), "createdAt": "string",
 }
-_TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][-+.0-9eE]*|[^"0-9-]+'
+# A number of up to 15 digits that JavaScript writes the same way; runs of text with nothing to put otherwise; what may have.
+_PLAIN = r"-?(?:[0-9]{1,15}|(?=[0-9.]{3,16}(?![0-9.]))(?:[1-9][0-9]*|0(?=\.0{0,5}[1-9]))\.[0-9]*[1-9])(?![-+.0-9eE])"
+_RUN = rf'(?:[^"0-9-]++|"(?:[^"\\]++|\\(?!u00).)*+"|{_PLAIN}){{1,200}}+'
+_TOKEN = rf'{_RUN}|"(?:[^"\\]++|\\.)*+"|-?[0-9][-+.0-9eE]*'
 _END = "\u0001end of text\u0001"
 
 
@@ -30,8 +33,12 @@ def _let(value: Column, body) -> Column:
 def parsed(text: Column) -> Column:
     """The text as a VARIANT; null where it is no JSON, or JSON with more behind it."""
     whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("," + '"' + _END.replace("\u0001", "\\u0001") + '"]')))
-    alone = F.coalesce(F.try_variant_get(whole, "$[1]", "string") == _END, F.lit(False)) & F.try_variant_get(whole, "$[2]", "variant").isNull()
-    return F.when(alone, F.try_parse_json(text))
+
+    def first(w: Column) -> Column:
+        alone = F.coalesce(F.try_variant_get(w, "$[1]", "string") == _END, F.lit(False)) & F.try_variant_get(w, "$[2]", "variant").isNull()
+        return F.when(alone, F.try_variant_get(w, "$[0]", "variant"))
+
+    return _let(whole, first)
 
 
 def number_text(value: Column) -> Column:
@@ -75,8 +82,9 @@ def _token(token: Column) -> Column:
     escapes = token
     for code in [0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)]:
         escapes = F.regexp_replace(escapes, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    number = F.when(token.rlike("^-?[0-9]{1,15}$"), token).otherwise(number_text(token.try_cast("double")))
-    return F.when(token.startswith('"'), F.when(token.contains("\\u00"), escapes).otherwise(token)).when(token.rlike("^-?[0-9]"), number).otherwise(token)
+    number = F.when(token.rlike(r"^-?[1-9][0-9]{0,14}\.0$"), F.substring_index(token, ".", 1)).otherwise(number_text(token.try_cast("double")))
+    odd = token.rlike(r"^-?[0-9][-+.0-9eE]*$") & ~token.rlike(f"^{_PLAIN}$")
+    return F.when(odd, number).when(token.contains("\\u00"), escapes).otherwise(token)
 
 
 def canonical(text: Column) -> Column:
@@ -89,10 +97,11 @@ def canonical_hash(text: Column) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """absent (a null column), null, boolean, number, string, array or object, of a VARIANT."""
-    kinds = {"": "absent", "VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
+    """absent (a null column), null, boolean, number, string, array or object, of a VARIANT that was JSON: told by the first
+    character it is written with, as a schema would be made of all that lies in it."""
+    kinds = {"": "absent", "n": "null", "t": "boolean", "f": "boolean", '"': "string", "[": "array", "{": "object"}
     known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit("")), "^[A-Z]*", 0)), F.lit("number"))
+    return F.coalesce(F.try_element_at(known, F.coalesce(F.substring(F.to_json(value), 1, 1), F.lit(""))), F.lit("number"))
 
 
 def field(value: Column, name: str) -> Column:
@@ -114,14 +123,14 @@ def _is(value: Column, want) -> Column:
 def fault(text: Column, rules: dict) -> Column:
     """``broken`` (no JSON), ``no-object``, or the first field of ``rules`` that isn't there or is of another kind; null where
     all are as they should be."""
+    return F.when(text.isNull(), "broken").otherwise(_let(parsed(text), lambda value: _fault_of(value, rules)))
 
-    def of(value: Column) -> Column:
-        found = F.when(value.isNull(), "broken").when(kind(value) != "object", "no-object")
-        for name, want in rules.items():
-            found = found.when(~_is(field(value, name), want), name)
-        return found
 
-    return F.when(text.isNull(), "broken").otherwise(_let(parsed(text), of))
+def _fault_of(value: Column, rules: dict) -> Column:
+    found = F.when(value.isNull(), "broken").when(kind(value) != "object", "no-object")
+    for name, want in rules.items():
+        found = found.when(~_is(field(value, name), want), name)
+    return found
 
 
 def unknown_keys(text: Column, rules: dict) -> Column:
@@ -164,6 +173,6 @@ def snapshot_fault(text: Column) -> Column:
         fit = lambda c, most: F.coalesce(_chapter_fits(c, most), F.lit(False))
         chapters = F.try_variant_get(value, "$.chapters", "array<variant>")
         bad = _let(safe_integer(field(value, "textByteLength")), lambda most: F.array_position(F.transform(chapters, lambda c: fit(c, most)), F.lit(False)))
-        return _let(bad, lambda n: F.when(n > 0, F.concat(F.lit("chapter-"), (n - 1).cast("string"))))
+        return F.coalesce(_fault_of(value, SNAPSHOT), _let(bad, lambda n: F.when(n > 0, F.concat(F.lit("chapter-"), (n - 1).cast("string")))))
 
-    return F.coalesce(fault(text, SNAPSHOT), _let(parsed(text), of))
+    return F.when(text.isNull(), "broken").otherwise(_let(parsed(text), of))

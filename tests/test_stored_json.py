@@ -121,3 +121,14 @@ def snapshot(**changes):
 ])
 def test_stored_snapshots(spark, changes, fault):
     assert spark.createDataFrame([(snapshot(**changes),)], "t string").select(S.snapshot_fault(F.col("t")).alias("f")).first().f == fault
+
+
+def test_texts_are_parsed_once(spark):
+    frame = spark.createDataFrame([("{}",)], "t string")
+    for made in (S.canonical(F.col("t")), S.snapshot_fault(F.col("t"))):
+        assert frame.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().count("try_parse_json(") == 1
+
+
+def test_numbers_beside_each_other_and_in_strings(spark):
+    texts = ['[1.0,-1.0,0.0,0.000001,0.0000001,12345678901234.5,123456789012345.6,"1.0, \\u000b 2.50",10.50,-0.25]', '{"a\\\\u000B":"\\u000B","b":[-7,1e2]}', "[" + ",".join(["1,2.50"] * 900) + "]"]
+    assert canonical(spark, texts)[0] == [plainly(json.loads(t)) for t in texts]

@@ -97,11 +97,19 @@ def canonical_hash(text: Column) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """absent (a null column), null, boolean, number, string, array or object, of a VARIANT that was JSON: told by the first
-    character it is written with, as a schema would be made of all that lies in it."""
-    kinds = {"": "absent", "n": "null", "t": "boolean", "f": "boolean", '"': "string", "[": "array", "{": "object"}
+    """absent (a null column), null, boolean, number, string, array or object, of a VARIANT."""
+    kinds = {"": "absent", "VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
     known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.coalesce(F.substring(F.to_json(value), 1, 1), F.lit(""))), F.lit("number"))
+    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit("")), "^[A-Z]*", 0)), F.lit("number"))
+
+
+def _is_kind(value: Column, want: str) -> Column:
+    """Whether :func:`kind` says ``want``, of which a schema is made of simple values only: that of an array or an object would
+    be made of all that lies in it."""
+    inside = {"array": "array<variant>", "object": "map<string,variant>"}
+    if want in inside:
+        return F.try_variant_get(value, "$", inside[want]).isNotNull()
+    return F.coalesce(F.schema_of_variant(value) == want.upper(), F.lit(False))
 
 
 def field(value: Column, name: str) -> Column:
@@ -110,14 +118,14 @@ def field(value: Column, name: str) -> Column:
 
 def safe_integer(value: Column) -> Column:
     """A VARIANT as a long, if it is a number that JavaScript holds exactly as an integer."""
-    number = F.when(kind(value) == "number", F.try_variant_get(value, "$", "double"))
+    number = F.when(~F.schema_of_variant(value).isin("VOID", "BOOLEAN", "STRING"), F.try_variant_get(value, "$", "double"))
     return _let(number, lambda n: F.when((n == F.floor(n)) & (F.abs(n) <= SAFE), n.cast("long")))
 
 
 def _is(value: Column, want) -> Column:
     if isinstance(want, tuple):
-        return F.coalesce(F.when(kind(value) == "string", F.try_variant_get(value, "$", "string")).isin(*want), F.lit(False))
-    return safe_integer(value).isNotNull() if want == "integer" else kind(value) == want
+        return F.coalesce(F.when(_is_kind(value, "string"), F.try_variant_get(value, "$", "string")).isin(*want), F.lit(False))
+    return safe_integer(value).isNotNull() if want == "integer" else _is_kind(value, want)
 
 
 def fault(text: Column, rules: dict) -> Column:
@@ -127,7 +135,7 @@ def fault(text: Column, rules: dict) -> Column:
 
 
 def _fault_of(value: Column, rules: dict) -> Column:
-    found = F.when(value.isNull(), "broken").when(kind(value) != "object", "no-object")
+    found = F.when(value.isNull(), "broken").when(~_is_kind(value, "object"), "no-object")
     for name, want in rules.items():
         found = found.when(~_is(field(value, name), want), name)
     return found
@@ -140,19 +148,23 @@ def unknown_keys(text: Column, rules: dict) -> Column:
 
 
 def _range_fits(value: Column, most: Column, empty: bool) -> Column:
-    ends = F.struct(safe_integer(field(value, "startByte")).alias("start"), safe_integer(field(value, "endByte")).alias("end"))
     ordered = lambda r: (r["start"] >= 0) & (r["end"] >= r["start"] if empty else r["end"] > r["start"]) & (r["end"] <= most)
-    return F.coalesce(_is(field(value, "offsetUnit"), (UNIT,)) & _let(ends, ordered), F.lit(False))
+
+    def of(v: Column) -> Column:
+        ends = F.struct(safe_integer(field(v, "startByte")).alias("start"), safe_integer(field(v, "endByte")).alias("end"))
+        return _is(field(v, "offsetUnit"), (UNIT,)) & _let(ends, ordered)
+
+    return F.coalesce(_let(value, of), F.lit(False))
 
 
 def _chapter_fits(chapter: Column, most: Column) -> Column:
-    named = lambda name: (kind(field(chapter, name)) == "string") & ~F.coalesce(F.try_variant_get(chapter, f"$.{name}", "string").rlike(r"^[\s 　﻿]*\z"), F.lit(False))
+    named = lambda name: _is_kind(field(chapter, name), "string") & ~F.coalesce(F.try_variant_get(chapter, f"$.{name}", "string").rlike(r"^[\s 　﻿]*\z"), F.lit(False))
     absent = lambda name: field(chapter, name).isNull()
     return (
-        (kind(chapter) == "object") & named("chapterId") & named("title") & safe_integer(field(chapter, "order")).isNotNull()
+        _is_kind(chapter, "object") & named("chapterId") & named("title") & safe_integer(field(chapter, "order")).isNotNull()
         & _is(field(chapter, "reviewStatus"), ("pending", "approved", "rejected"))
         & (absent("headingKind") | _is(field(chapter, "headingKind"), ("source", "missing")))
-        & (absent("lengthAnomalyAccepted") | (kind(field(chapter, "lengthAnomalyAccepted")) == "boolean"))
+        & (absent("lengthAnomalyAccepted") | _is_kind(field(chapter, "lengthAnomalyAccepted"), "boolean"))
         & (absent("headingRange") | _range_fits(field(chapter, "headingRange"), most, False)) & _range_fits(field(chapter, "contentRange"), most, True)
     )
 

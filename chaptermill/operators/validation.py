@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chaptermill.operators.ordered import along
+from chaptermill.operators.stored import stored
 
 # What a segment of a text can be, and why bytes may belong to a chapter that doesn't hold them.
 CLASSES = ["front-matter", "chapter", "appendix", "noise", "unknown"]
@@ -32,7 +33,7 @@ def coverage_faults(segments: DataFrame, uncovered: DataFrame, reports: DataFram
     complete) have to say what the segments add up to: ``end``, ``classified``, ``unclassified``, ``complete``."""
     known = chapters.select("book_id", "chapter_id").distinct().withColumn("_known", F.lit(True))
     unknown = F.col("classification") == "unknown"
-    placed = along(segments, ["book_id"], "pos", totals={"_unknowns": unknown.cast("int")}, before={"_reach": "end_byte"})
+    placed = stored(along(segments, ["book_id"], "pos", totals={"_unknowns": unknown.cast("int")}, before={"_reach": "end_byte"}), "segments")
     rows = placed.join(reports.select("book_id", "total"), "book_id").join(known, ["book_id", "chapter_id"], "left")
     chapter = F.col("classification") == "chapter"
     tests = {

@@ -265,6 +265,7 @@ def _order_coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("pos"))
     rows = items.agg(F.max("l_quantity").cast("long").alias("size"), F.min("l_returnflag").alias("flag"))
     placed = ordered.along(rows, ["book_id"], "pos", totals={"start_byte": F.col("size")}).withColumn("end_byte", F.col("start_byte") + F.col("size"))
+    placed = stored(placed, "placed")  # segments, ranges, reports and chapters are all made of it
     kind = F.when(F.col("flag") == "R", "unknown").when(F.col("flag") == "A", "chapter").otherwise("noise")
     placed = placed.withColumns({"classification": kind, "m": F.col("book_id") % 11})
     name = F.when(F.col("classification") == "chapter", F.concat(F.lit("c"), F.col("pos").cast("string")))

@@ -53,3 +53,11 @@ def test_record_faults_and_counts(spark, tmp_path):
     rows, seen = validation.counted(manifests, {"unnamed": F.col("name").isNull(), "large": F.col("size") > 2, "sizeless": F.col("size").isNull()})
     rows.write.parquet(str(tmp_path / "out"))
     assert seen.get == {"n": 5, "unnamed": 0, "large": 3, "sizeless": 1}
+
+
+def test_segments_are_placed_once(spark):
+    """What is derived of lists of segments is stored, so their faults don't place them again."""
+    segments = spark.createDataFrame([("b", 0, 0, 3, "chapter", "c", None)], "book_id string, pos long, start_byte long, end_byte long, classification string, chapter_id string, reason string")
+    reports = spark.createDataFrame([("b", 3, 3, 0, True)], "book_id string, total long, classified long, unclassified long, complete boolean")
+    found = validation.coverage_faults(segments, segments.filter("pos < 0").select("book_id", "pos", "start_byte", "end_byte"), reports, segments.select("book_id", "chapter_id"))
+    assert any("/segments-" in f for f in found.inputFiles()) and found.isEmpty()
